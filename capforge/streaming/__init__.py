@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference has no streaming input, state or late data (SURVEY §2.12): all of
+its work is batch over stored tables. Nothing is built here; the batch operators
+are plain DataFrame functions, so a user can call them from
+``writeStream.foreachBatch`` if new data arrives in files.
+"""
