@@ -48,4 +48,4 @@ def device_sql(truncate: bool = False) -> str:
 
 
 # Import the modules that register queries (order = registration order).
-from capforge.plans import checks_windows  # noqa: E402,F401
+from capforge.plans import checks_windows, checks_relational, checks_joins  # noqa: E402,F401
