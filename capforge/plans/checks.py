@@ -48,4 +48,5 @@ def device_sql(truncate: bool = False) -> str:
 
 
 # Import the modules that register queries (order = registration order).
-from capforge.plans import checks_windows, checks_relational, checks_joins  # noqa: E402,F401
+from capforge.plans import checks_windows, checks_relational, checks_joins, checks_profile, checks_ranking  # noqa: E402,F401,E501
+from capforge.plans import checks_pipeline, checks_sources, checks_ml  # noqa: E402,F401

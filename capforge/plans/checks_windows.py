@@ -22,7 +22,8 @@ def _same(a, b):
     return _SAME.format(a=a, b=b)
 
 
-def _flagship_sql(truncate: bool) -> str:
+def _flagship_sql(truncate: bool, rounded: bool = True) -> str:
+    r = (lambda e: f"round({e}, 6)") if rounded else (lambda e: e)
     win = lambda n: f'j."Date" > p."Date" - INTERVAL {n} DAY'
     counts = ",\n".join(
         f'    count(*) FILTER (WHERE j."Value" > 70 AND {win(n)}) AS c{n}' for n in (3, 7, 14, 28))
@@ -32,7 +33,7 @@ def _flagship_sql(truncate: bool) -> str:
     cnt_cols = ",\n".join(
         f'  CAST(coalesce(pa.c{n}, 0) AS DOUBLE) AS "Date_Count_Value_Above_70_Last_{n}Days"' for n in (3, 7, 14, 28))
     rng_cols = ",\n".join(
-        f'  round(coalesce(pa.r{n}, 0), 6) AS "Date_MinMax_Range_Last_{n}Days"' for n in (3, 7, 14, 28))
+        f'  {r(f"coalesce(pa.r{n}, 0)")} AS "Date_MinMax_Range_Last_{n}Days"' for n in (3, 7, 14, 28))
     return f"""
 WITH dev AS ({device_sql(truncate)}),
 ord AS (
@@ -58,15 +59,15 @@ fu AS (
   JOIN ord j ON {_same('j', 'i')} AND j."Date" > i."Date" AND j."Date" <= i."Date" + INTERVAL 21 DAY
   GROUP BY i.event_id
 )
-SELECT o."Date", round(coalesce(o."Value", 0), 6) AS "Value", o.event_id,
+SELECT o."Date", {r('coalesce(o."Value", 0)')} AS "Value", o.event_id,
   o."Date" + INTERVAL 14 DAY AS "Date_Next_2Weeks", o."Date" + INTERVAL 21 DAY AS "Date_Next_3Weeks",
   o."Type", o."Application", o."IP",
-  round(coalesce(fu.fmax, 0.0), 6) AS "Value_target_Max",
+  {r('coalesce(fu.fmax, 0.0)')} AS "Value_target_Max",
   CAST(coalesce(fu.fmax, 0.0) >= 80 AS INTEGER) AS "Target",
-  round(coalesce(pa.v1, 0), 6) AS "Value_Last_1Day",
-  round(coalesce(pa.v3, 0), 6) AS "Value_Last_3Days",
-  round(coalesce(pa.sd28, 0), 6) AS "Date_Value_Last_28Days_SDev",
-  round(coalesce(pa.med28, 0), 6) AS "Date_Value_Last_28Days_Median",
+  {r('coalesce(pa.v1, 0)')} AS "Value_Last_1Day",
+  {r('coalesce(pa.v3, 0)')} AS "Value_Last_3Days",
+  {r('coalesce(pa.sd28, 0)')} AS "Date_Value_Last_28Days_SDev",
+  {r('coalesce(pa.med28, 0)')} AS "Date_Value_Last_28Days_Median",
 {cnt_cols},
 {rng_cols}
 FROM ord o LEFT JOIN pa ON pa.event_id = o.event_id LEFT JOIN fu ON fu.event_id = o.event_id
@@ -90,3 +91,108 @@ def q_engineer_features_blocked(spark, sf_dir):
     """Same with each device cut into 7-day blocks (the plan for very large devices)."""
     return round_doubles(W.engineer_features(device_metrics(spark, sf_dir, truncate_to_day=True),
                                              tiebreak=["event_id"], block_days=7))
+
+
+# --------------------------------------------------------------- single operators (rows 42–49, 61)
+
+_DEV_COLS = 'o."Type", o."Application", o."IP", o."Date", round(o."Value", 6) AS "Value", o.event_id'
+
+
+def _past_sql(exprs: list[tuple[str, str]], max_days: int, shift: bool = True) -> str:
+    """``exprs``: (alias, SQL aggregate over ``j``; ``{w:n}`` marks the n-day window condition)."""
+    a = "p" if shift else "i"
+    join_p = f"JOIN ord p ON {_same('p', 'i')} AND p.rn = i.rn - 1" if shift else ""
+    last = "p.rn" if shift else "i.rn"
+
+    def fill(e):
+        for n in (1, 3, 7, 14, 21, 28):
+            e = e.replace("{w:%d}" % n, f'j."Date" > {a}."Date" - INTERVAL {n} DAY')
+        return e
+
+    aggs = ",\n    ".join(f"{fill(e)} AS {alias}" for alias, e in exprs)
+    outs = ", ".join(f'round(pa.{alias}, 6) AS "{alias}"' for alias, _ in exprs)
+    return f"""
+WITH dev AS ({device_sql(False)}),
+ord AS (SELECT *, row_number() OVER (PARTITION BY "Type", "Application", "IP" ORDER BY "Date", event_id) AS rn FROM dev),
+pa AS (
+  SELECT i.event_id,
+    {aggs}
+  FROM ord i {join_p}
+  JOIN ord j ON {_same('j', 'i')} AND j.rn <= {last} AND j."Date" > {a}."Date" - INTERVAL {max_days} DAY
+  GROUP BY i.event_id
+)
+SELECT {_DEV_COLS}, {outs}
+FROM ord o LEFT JOIN pa ON pa.event_id = o.event_id
+"""
+
+
+def _future_sql(days: int, target: float | None) -> str:
+    tgt = f', CAST(coalesce(fu.fmax, 0.0) >= {target} AS INTEGER) AS "Target"' if target is not None else ""
+    return f"""
+WITH dev AS ({device_sql(False)}),
+fu AS (
+  SELECT i.event_id, max(j."Value") AS fmax
+  FROM dev i JOIN dev j ON {_same('j', 'i')} AND j."Date" > i."Date" AND j."Date" <= i."Date" + INTERVAL {days} DAY
+  GROUP BY i.event_id
+)
+SELECT {_DEV_COLS}, round(coalesce(fu.fmax, 0.0), 6) AS "Value_target_Max"{tgt}
+FROM dev o LEFT JOIN fu ON fu.event_id = o.event_id
+"""
+
+
+def _dev(spark, sf_dir):
+    return device_metrics(spark, sf_dir)
+
+
+@register("future_max", _future_sql(21, None))
+def q_future_max(spark, sf_dir):
+    return round_doubles(W.future_max(_dev(spark, sf_dir), tiebreak=["event_id"]))
+
+
+@register("future_target", _future_sql(21, 80))
+def q_future_target(spark, sf_dir):
+    return round_doubles(W.future_target(_dev(spark, sf_dir), tiebreak=["event_id"]))
+
+
+@register("past_max", _past_sql([("Value_Last_1Day", 'max(j."Value") FILTER (WHERE {w:1})'),
+                                  ("Value_Last_3Days", 'max(j."Value") FILTER (WHERE {w:3})')], 3))
+def q_past_max(spark, sf_dir):
+    return round_doubles(W.past_max(_dev(spark, sf_dir), tiebreak=["event_id"]))
+
+
+@register("past_std", _past_sql([("Date_Value_Last_28Days_SDev", 'stddev_samp(j."Value")')], 28))
+def q_past_std(spark, sf_dir):
+    return round_doubles(W.past_std(_dev(spark, sf_dir), tiebreak=["event_id"]))
+
+
+@register("past_median", _past_sql([("Date_Value_Last_28Days_Median", 'median(j."Value")')], 28))
+def q_past_median(spark, sf_dir):
+    return round_doubles(W.past_median(_dev(spark, sf_dir), tiebreak=["event_id"]))
+
+
+@register("past_count_above", _past_sql(
+    [(f"Date_Count_Value_Above_70_Last_{n}Days", 'CAST(count(*) FILTER (WHERE j."Value" > 70 AND {w:%d}) AS DOUBLE)' % n)
+     for n in (3, 7, 14, 28)], 28))
+def q_past_count_above(spark, sf_dir):
+    return round_doubles(W.past_count_above(_dev(spark, sf_dir), tiebreak=["event_id"]))
+
+
+@register("past_minmax_range", _past_sql(
+    [(f"Date_MinMax_Range_Last_{n}Days",
+      'max(j."Value") FILTER (WHERE {w:%d}) - min(j."Value") FILTER (WHERE {w:%d})' % (n, n)) for n in (3, 7, 14, 28)],
+    28))
+def q_past_minmax_range(spark, sf_dir):
+    return round_doubles(W.past_minmax_range(_dev(spark, sf_dir), tiebreak=["event_id"]))
+
+
+@register("shift_rows", f"""
+SELECT *, lag("Value", 1) OVER (PARTITION BY "Type", "Application", "IP" ORDER BY "Date", event_id) AS "Value_shift_1"
+FROM ({device_sql(False)}) d
+""")
+def q_shift_rows(spark, sf_dir):
+    return W.shift_rows(_dev(spark, sf_dir), list(W.DEVICE_KEYS), ["Date", "event_id"], "Value", 1)
+
+
+@register("rolling_stat", _past_sql([("Value_Last_14Days_Max", 'max(j."Value")')], 14, shift=False))
+def q_rolling_stat(spark, sf_dir):
+    return round_doubles(W.rolling_stat(_dev(spark, sf_dir), col="Value", days=14, stat="max", tiebreak=["event_id"]))
