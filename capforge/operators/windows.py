@@ -120,10 +120,39 @@ def _guarded_key(span: Column, tie: Column) -> Column:
              .otherwise(span * F.lit(_STEP) + tie))
 
 
+HOT_ROWS_CONF = "capforge.window.hotRows"
+HOT_BLOCK_DAYS_CONF = "capforge.window.hotBlockDays"
+DEFAULT_HOT_ROWS = 2_000_000
+DEFAULT_HOT_BLOCK_DAYS = 90
+# Hot device keys are collected (at most this many) to split the input with a filter.
+MAX_HOT_LIST = 10_000
+
+
+def _key_json(keys: Sequence[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(k) for k in keys]))
+
+
+def _key_text(row) -> str:
+    return row["k"]
+
+
 def framed(df: DataFrame, keys: Sequence[str], ts: str, frames: Sequence[Frame],
-           tiebreak: Sequence[str] | None = None, block_days: int | None = None) -> DataFrame:
+           tiebreak: Sequence[str] | None = None, block_days: int | None = None,
+           hot_rows: int | None = None, hot_block_days: int | None = None) -> DataFrame:
     """Add one column per ``Frame``; input rows and columns are kept.
 
+    Plans:
+
+    * ``block_days`` given: every device is cut into blocks of that many days.
+    * otherwise devices with more than ``hot_rows`` rows (session conf
+      ``capforge.window.hotRows``, default 2 000 000; 0 turns the check off) are
+      cut into ``hot_block_days`` blocks (default 90) and all others use one
+      window partition per device. The hot devices are found first with one count
+      per device (partial aggregation before the shuffle); there are at most
+      ``rows / hot_rows`` of them. With none, the plan is the single-partitioning
+      one; otherwise the input is split by a filter on the key list (or a
+      broadcast join beyond ``MAX_HOT_LIST`` keys) and both plans are unioned.
+
     Rows with a NULL key are expected to be removed by the caller.
     """
     keys = list(keys)
@@ -133,8 +162,29 @@ def framed(df: DataFrame, keys: Sequence[str], ts: str, frames: Sequence[Frame],
             raise ValueError("future frames are not shifted")
     cols = df.columns
     d = df.withColumn(ts, _check_ts(ts))
+    spark = df.sparkSession
+    if hot_rows is None:
+        hot_rows = int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
+    if hot_block_days is None:
+        hot_block_days = int(spark.conf.get(HOT_BLOCK_DAYS_CONF, str(DEFAULT_HOT_BLOCK_DAYS)))
     if block_days:
         out = _framed_blocked(d, keys, ts, frames, tiebreak, int(block_days))
+    elif hot_rows and hot_rows > 0:
+        hot = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+                .filter(F.col("__rows") > F.lit(int(hot_rows))).select(*keys))
+        found = [_key_text(r) for r in hot.select(_key_json(keys).alias("k")).limit(MAX_HOT_LIST + 1).collect()]
+        if not found:
+            out = _framed_plain(d, keys, ts, frames, tiebreak)
+        else:
+            if len(found) <= MAX_HOT_LIST:
+                is_hot = _key_json(keys).isin(found)
+                normal, busy = d.filter(~is_hot), d.filter(is_hot)
+            else:  # very many hot devices: split with a broadcast join (<= rows / hot_rows keys)
+                normal = d.join(F.broadcast(hot), on=keys, how="left_anti")
+                busy = d.join(F.broadcast(hot), on=keys, how="left_semi")
+            sel = lambda x: x.select(*[F.col(f"`{c}`") for c in cols], *[F.col(f"`{f.name}`") for f in frames])
+            out = sel(_framed_plain(normal, keys, ts, frames, tiebreak)).unionByName(
+                sel(_framed_blocked(busy, keys, ts, frames, tiebreak, int(hot_block_days))))
     else:
         out = _framed_plain(d, keys, ts, frames, tiebreak)
     return out.select(*[F.col(f"`{c}`") for c in cols], *[F.col(f"`{f.name}`") for f in frames])
@@ -311,12 +361,14 @@ FEATURE_COLUMNS = (
 
 def engineer_features(df: DataFrame, value_col: str = "Value", high: float = 70.0, target: float = 80.0,
                       horizon_days: int = 21, keys: Sequence[str] = DEVICE_KEYS, ts: str = "Date",
-                      tiebreak: Sequence[str] | None = None, block_days: int | None = None) -> DataFrame:
+                      tiebreak: Sequence[str] | None = None, block_days: int | None = None,
+                      hot_rows: int | None = None, hot_block_days: int | None = None) -> DataFrame:
     """The flagship device feature table (row 50).
 
     Output: ``Date``, the other raw columns, ``Date_Next_2Weeks``, ``Date_Next_3Weeks``,
     the device keys, then ``FEATURE_COLUMNS``. Missing numbers become 0.
-    ``block_days`` splits each device into time blocks (for devices too large for one task).
+    ``block_days`` cuts every device into time blocks; by default only devices with more
+    than ``hot_rows`` rows are cut (see ``framed``).
     """
     keys = list(keys)
     missing = [c for c in keys + [ts, value_col] if c not in df.columns]
@@ -340,7 +392,7 @@ def engineer_features(df: DataFrame, value_col: str = "Value", high: float = 70.
     ]
     raw = [c for c in d.columns if c not in keys and c != ts and c != "__above"]
     tb = list(tiebreak) if tiebreak is not None else _default_tiebreak(d.drop("__above"), keys, ts)
-    out = framed(d, keys, ts, frames, tb, block_days)
+    out = framed(d, keys, ts, frames, tb, block_days, hot_rows, hot_block_days)
     out = out.withColumn("Value_target_Max", F.coalesce(F.col("Value_target_Max"), F.lit(0.0)))
     out = out.withColumn("Target", above_flag("Value_target_Max", target, inclusive=True))
     out = out.select(F.col(ts), *[F.col(f"`{c}`") for c in raw], *[F.col(k) for k in keys],
