@@ -119,10 +119,14 @@ def recreate_tables(spark: SparkSession, tables: Sequence[Mapping], location: st
         name = t["table_name"]
         cols = ", ".join(f"`{c['name']}` {spark_type(c['type'])}{_sql_default(c.get('default'), spark_type(c['type']))}"
                          for c in t["columns"])
+        path = f"{location.rstrip('/')}/{name}"
         stmts = [f"DROP TABLE IF EXISTS `{name}`",
-                 f"CREATE TABLE `{name}` ({cols}) USING parquet LOCATION '{location.rstrip('/')}/{name}'"]
-        for s in stmts:
-            spark.sql(s)
+                 f"CREATE TABLE `{name}` ({cols}) USING parquet LOCATION '{path}'"]
+        spark.sql(stmts[0])
+        # dropping a table with a location keeps its files: empty the folder first
+        schema = ", ".join(f"`{c['name']}` {spark_type(c['type'])}" for c in t["columns"])
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+        spark.sql(stmts[1])
         ddl += stmts
     return ddl
 
