@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capforge.functions.scalar import nan_to_null
-from capforge.operators.prefix import running_counts
 from capforge.operators.relational import numeric_columns
 
 
@@ -58,36 +57,53 @@ def table_metadata(df: DataFrame) -> DataFrame:
     return cols.crossJoin(F.broadcast(count))
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def exact_medians(df: DataFrame, columns: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Exact median (mean of the two middle values) per column → ``(column, median)``.
 
-    Values are unpivoted and counted per distinct ``(column, value)``, then the
-    rows below each value are found with distributed running counts; the median
-    rows are the ones whose rank span holds the middle ranks.
+    No task sorts a whole column:
+
+    1. values are counted per distinct ``(column, value)`` (partial aggregation first);
+    2. those rows are range-partitioned by ``(column, value)``; per-partition
+       sums (``partitions × columns`` rows) give each partition's rank offset;
+    3. only the partitions holding a column's middle ranks (at most two per
+       column) are ranked inside with a running count; the rows whose rank span
+       holds the middle ranks give the median.
     """
     columns = list(columns)
+    spark = df.sparkSession
     if not columns:
-        spark = df.sparkSession
         return spark.createDataFrame([], "column string, median double")
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _num(df, c).alias("value"))
-                                         for c in columns])).alias("__kv")).select("__kv.*")
+    n = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
+    # small integer column ids hash faster than names; names are joined back at the end
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("column"), _num(df, c).alias("value"))
+                                         for i, c in enumerate(columns)])).alias("__kv")).select("__kv.*")
     counted = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running_counts(counted, ["column"], "value", "__n")
-    total = ranked.groupBy("column").agg(F.sum("__n").alias("__total"))
-    j = ranked.join(F.broadcast(total), "column")  # one row per column
+    ranged = counted.repartitionByRange(n, "column", "value").withColumn("__pid", F.spark_partition_id())
+    sums = ranged.groupBy("column", "__pid").agg(F.sum("__n").alias("__psum"))
+    offsets = sums.select(
+        "column", "__pid", "__psum",
+        F.coalesce(F.sum("__psum").over(Window.partitionBy("column").orderBy("__pid")
+                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"),
+        F.sum("__psum").over(Window.partitionBy("column")).alias("__total"))
     lo = F.floor((F.col("__total") - 1) / 2)
     hi = F.ceil((F.col("__total") - 1) / 2)
 
-    def covers(r):
-        return (F.col("__before") <= r) & (r < F.col("__before") + F.col("__n"))
-
-    picked = j.groupBy("column").agg(
-        F.max(F.when(covers(lo), F.col("value"))).alias("__lo"),
-        F.max(F.when(covers(hi), F.col("value"))).alias("__hi"))
-    out = picked.select("column", ((F.col("__lo") + F.col("__hi")) / 2).alias("median"))
+    def holds(r, start, size):
+        return (start <= r) & (r < start + size)
+
+    targets = offsets.filter(holds(lo, F.col("__offset"), F.col("__psum")) |
+                             holds(hi, F.col("__offset"), F.col("__psum")))
+    # at most two target partitions per column: broadcast, then rank only their rows
+    cand = ranged.join(F.broadcast(targets.select("column", "__pid", "__offset", "__total")), ["column", "__pid"])
+    local = Window.partitionBy("column", "__pid").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cand.withColumn("__before", F.col("__offset") + F.coalesce(F.sum("__n").over(local), F.lit(0)))
+    picked = ranked.groupBy("column").agg(
+        F.max(F.when(holds(lo, F.col("__before"), F.col("__n")), F.col("value"))).alias("__lo"),
+        F.max(F.when(holds(hi, F.col("__before"), F.col("__n")), F.col("value"))).alias("__hi"))
+    out = picked.select(F.col("column").alias("__id"), ((F.col("__lo") + F.col("__hi")) / 2).alias("median"))
     # columns with no value at all still get a row (median NULL)
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return names.join(out, "column", "left")
+    names = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "__id int, column string")
+    return names.join(F.broadcast(out), "__id", "left").select("column", "median")
 
 
 def profile_numeric(df: DataFrame, approx: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
@@ -175,31 +191,43 @@ def dataset_statistics(df: DataFrame, k: int = 5) -> DataFrame:
     stats: ``row_count``/``column_count`` (column ``*``), ``min max mean median std``
     for numeric columns, ``unique_count`` and ``top_value`` (item = the value,
     value = its count) for the others, ``missing`` for every column.
+
+    Passes over the data: one aggregate for the row count, the numeric moments and
+    every missing count; the exact medians; one value count shared by the
+    distinct counts and the top values.
     """
     spark = df.sparkSession
     num = numeric_columns(df, include_bool=True)
     cat = categorical_columns(df)
-    parts = []
-    size = df.agg(F.count(F.lit(1)).cast("double").alias("value"))
-    parts.append(size.select(F.lit("*").alias("column"), F.lit("row_count").alias("stat"),
-                             F.lit(None).cast("string").alias("item"), "value"))
-    parts.append(spark.createDataFrame([("*", "column_count", None, float(len(df.columns)))],
-                                       "column string, stat string, item string, value double"))
+    fields = df.schema.fields
+    aggs = [F.count(F.lit(1)).cast("double").alias("__rows")]
+    for c in num:
+        v = _num(df, c)
+        aggs += [F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"), F.avg(v).alias(f"{c}__mean"),
+                 F.stddev_samp(v).alias(f"{c}__std")]
+    aggs += [F.count_if(_is_missing(df, f)).cast("double").alias(f"{f.name}__missing") for f in fields]
+    row = df.agg(*aggs)
+    none = F.lit(None).cast("string")
+
+    def entry(column, stat, value):
+        return F.struct(F.lit(column).alias("column"), F.lit(stat).alias("stat"), none.alias("item"),
+                        value.cast("double").alias("value"))
+
+    entries = [entry("*", "row_count", F.col("__rows")), entry("*", "column_count", F.lit(float(len(fields))))]
+    for c in num:
+        entries += [entry(c, st, F.col(f"`{c}__{st}`")) for st in ("min", "max", "mean", "std")]
+    entries += [entry(f.name, "missing", F.col(f"`{f.name}__missing`")) for f in fields]
+    parts = [row.select(F.inline(F.array(*entries)))]
     if num:
-        p = profile_numeric(df, columns=num)
-        parts.append(p.select("column", F.inline(F.array(*[
-            F.struct(F.lit(s).alias("stat"), F.lit(None).cast("string").alias("item"), F.col(s).alias("value"))
-            for s in ("min", "max", "mean", "median", "std")]))))
+        parts.append(exact_medians(df, num).select("column", F.lit("median").alias("stat"), none.alias("item"),
+                                                   F.col("median").alias("value")))
     if cat:
         u = profile_categorical(df, columns=cat)
-        parts.append(u.select("column", F.lit("unique_count").alias("stat"), F.lit(None).cast("string").alias("item"),
+        parts.append(u.select("column", F.lit("unique_count").alias("stat"), none.alias("item"),
                               F.col("unique_count").cast("double").alias("value")))
         t = top_values(df, k, columns=cat)
         parts.append(t.select("column", F.lit("top_value").alias("stat"), F.col("value").alias("item"),
                               F.col("count").cast("double").alias("value")))
-    m = missing_counts(df)
-    parts.append(m.select("column", F.lit("missing").alias("stat"), F.lit(None).cast("string").alias("item"),
-                          F.col("missing").cast("double").alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -228,16 +256,55 @@ def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson for every pair ``i < j`` of numeric columns in one pass → ``(column_1, column_2, correlation)`` (row 38).
-
-    Cost is ``p²/2`` aggregate buffers; for several hundred columns without NULLs
-    ``pyspark.ml.stat.Correlation`` on an assembled vector is the better plan.
+    """Pearson for every pair ``i < j`` of numeric columns, pairwise complete → ``(column_1, column_2, correlation)`` (row 38).
+
+    One pass over the data whatever the width: each task multiplies its Arrow
+    batches as matrices (masked, mean-shifted columns) into four ``p × p`` sums —
+    pair counts, pair-complete sums, pair-complete sums of squares, cross
+    products — and Spark adds the per-task sums with the vector ``Summarizer``.
+    The column means used as shifts (against cancellation) come from one cheap
+    aggregate first. NULL when a side is constant or fewer than two pairs.
     """
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     cols = list(columns) if columns is not None else numeric_columns(df)
-    pairs = list(itertools.combinations(cols, 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "column_1 string, column_2 string, correlation double")
-    row = df.agg(*[_pair_corr(_num(df, a), _num(df, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    packed = F.array(*[F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"),
-                                F.col(f"c{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(packed))
+    p = len(cols)
+    spark = df.sparkSession
+    if p < 2:
+        return spark.createDataFrame([], "column_1 string, column_2 string, correlation double")
+    src = df.select(*[_num(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
+    first = src.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(p)]).first()
+    mu = np.array([first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(p)])
+
+    def sums(batches):
+        acc = np.zeros((4, p, p))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float) - mu
+            m = (~np.isnan(x)).astype(float)
+            x0 = np.where(m > 0, x, 0.0)
+            acc[0] += m.T @ m            # rows where both are present
+            acc[1] += x0.T @ m           # sum of a over rows where b is present
+            acc[2] += (x0 * x0).T @ m    # sum of a² over rows where b is present
+            acc[3] += x0.T @ x0          # sum of a·b over rows where both are present
+        yield pd.DataFrame({"s": [acc.ravel()]})
+
+    total = (src.mapInPandas(sums, "s array<double>")
+                .select(array_to_vector("s").alias("v"))
+                .agg(Summarizer.sum(F.col("v")).alias("v"))
+                .select(vector_to_array("v").alias("a")))
+    pp = p * p
+    pairs = spark.createDataFrame(
+        [(cols[i], cols[j], i * p + j, j * p + i) for i, j in itertools.combinations(range(p), 2)],
+        "column_1 string, column_2 string, ij int, ji int")
+
+    def at(k: int, c: str) -> Column:
+        return F.element_at(F.col("a"), F.col(c) + F.lit(k * pp + 1))
+
+    n, sa, sb, qa, qb, sab = at(0, "ij"), at(1, "ij"), at(1, "ji"), at(2, "ij"), at(2, "ji"), at(3, "ij")
+    cab, caa, cbb = sab - sa * sb / n, qa - sa * sa / n, qb - sb * sb / n
+    return pairs.crossJoin(F.broadcast(total)).select(
+        "column_1", "column_2",
+        F.when((n > 1) & (caa > 0) & (cbb > 0), cab / F.sqrt(caa * cbb)).alias("correlation"))
