@@ -14,6 +14,14 @@ from pyspark.sql import DataFrame
 
 
 def grouped_apply(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame],
-                  schema: str) -> DataFrame:
-    """Run ``fn`` on each group as a pandas frame (Arrow batches); rows out follow ``schema``."""
-    return df.groupBy(*keys).applyInPandas(fn, schema=schema)
+                  schema: str, partitions: int | None = None) -> DataFrame:
+    """Run ``fn`` on each group as a pandas frame (Arrow batches); rows out follow ``schema``.
+
+    The input is hash-partitioned by the keys into ``partitions`` (default
+    ``spark.sql.shuffle.partitions``) before grouping; the grouping reuses that
+    partitioning. A fixed count keeps the Python work spread over tasks: AQE
+    would otherwise merge small shuffle partitions by bytes, and a few MB of
+    input can carry minutes of Python work.
+    """
+    n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).groupBy(*keys).applyInPandas(fn, schema=schema)
