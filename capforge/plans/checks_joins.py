@@ -35,9 +35,9 @@ def q_gap_join(spark, sf_dir):
 @register("gap_report", f"""
 WITH {GAP_BASE_SQL},
 ranked AS (
-  SELECT *, row_number() OVER (ORDER BY host_id NULLS LAST, datetime_1 NULLS LAST, hostname NULLS LAST,
+  SELECT *, CAST(row_number() OVER (ORDER BY host_id NULLS LAST, datetime_1 NULLS LAST, hostname NULLS LAST,
       datetime_2 NULLS LAST, core_number_avg NULLS LAST, cpu_usage_percentage_avg NULLS LAST,
-      memory_number_avg NULLS LAST, memory_usage_percentage_avg NULLS LAST) AS row_number
+      memory_number_avg NULLS LAST, memory_usage_percentage_avg NULLS LAST) AS INTEGER) AS row_number
   FROM gap
 )
 SELECT hostname, host_id, datetime_1, datetime_2, cpu_usage_percentage_avg, CAST(NULL AS VARCHAR) AS no_such_column,

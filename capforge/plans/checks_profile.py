@@ -177,3 +177,38 @@ def q_auc(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"),
                                                  F.col("l_quantity").alias("score"))
     return round_doubles(M.auc(li, "label", "score"))
+
+
+# ---------------------------------------------------------------- the same profiles on other tables
+def _profile_sql(base: str, numeric, text, all_cols, floating) -> str:
+    num = [f"""SELECT '{c}' AS "column", s.stat, CAST(NULL AS VARCHAR) AS item, s.value FROM (
+      SELECT round(min(CAST({c} AS DOUBLE)), 6) AS mn, round(max(CAST({c} AS DOUBLE)), 6) AS mx,
+             round(avg(CAST({c} AS DOUBLE)), 6) AS me, round(median(CAST({c} AS DOUBLE)), 6) AS md,
+             round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS sd FROM {base} b) x,
+      LATERAL (VALUES ('min', x.mn), ('max', x.mx), ('mean', x.me), ('median', x.md), ('std', x.sd)) s(stat, value)"""
+           for c in numeric]
+    uq = [f"""SELECT '{c}', 'unique_count', NULL, CAST(count(DISTINCT {c}) AS DOUBLE) FROM {base} b""" for c in text]
+    counts = _union([f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS count
+       FROM {base} b WHERE {c} IS NOT NULL GROUP BY 2""" for c in text])
+    top = [f"""SELECT "column", 'top_value', value, CAST(count AS DOUBLE) FROM (
+      SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM ({counts}))
+      WHERE rank <= 5"""] if text else []
+    miss = [f"""SELECT '{c}', 'missing', NULL, CAST(count(*) FILTER (WHERE {c} IS NULL{' OR isnan(' + c + ')' if c in floating else ''}) AS DOUBLE) FROM {base} b"""
+            for c in all_cols]
+    head = [f"""SELECT '*' AS "column", 'row_count' AS stat, CAST(NULL AS VARCHAR) AS item, CAST(count(*) AS DOUBLE) AS value FROM {base} b""",
+            f"SELECT '*', 'column_count', NULL, CAST({len(all_cols)} AS DOUBLE)"]
+    return _union(head + num + uq + top + miss)
+
+
+@register("dataset_statistics_documents", _profile_sql(
+    "documents", ["doc_id", "n_chars"], ["text", "lang", "source"], ["doc_id", "text", "lang", "source", "n_chars"], ()))
+def q_dataset_statistics_documents(spark, sf_dir):
+    """Statistics of a text table: whole texts are the values counted for distinct and top values."""
+    return round_doubles(P.dataset_statistics(table(spark, sf_dir, "documents")))
+
+
+@register("dataset_statistics_customer", _profile_sql(
+    "customer", ["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"],
+    ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], ("c_acctbal",)))
+def q_dataset_statistics_customer(spark, sf_dir):
+    return round_doubles(P.dataset_statistics(table(spark, sf_dir, "customer")))

@@ -119,3 +119,30 @@ def q_conform_schema(spark, sf_dir):
         F.col("o_totalprice").alias("total"),
         F.when(F.col("o_orderstatus") == "F", "DONE").alias("status"), F.col("o_orderdate").alias("order_day"))
     return round_doubles(REG.conform_schema(o, STATUS_SPEC))
+
+
+@register("recreate_tables", """
+SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id, CAST(o_custkey AS VARCHAR) AS project_id,
+       'ON PROGRESS' AS status, CAST(NULL AS INTEGER) AS num_columns
+FROM orders
+""")
+def q_recreate_tables(spark, sf_dir):
+    """Declared table re-created empty, then filled from ``orders`` naming only some columns:
+    the others take their declared defaults (``'ON PROGRESS'``, ``NOW()``, NULL)."""
+    loc = scratch_dir(spark, "declared")
+    name = "cf_dataset_status_" + loc.rstrip("/").rsplit("-", 1)[-1]
+    spec = [{"table_name": name, "columns": [
+        {"name": "dataset_id", "type": "VARCHAR", "default": "NULL"},
+        {"name": "project_id", "type": "VARCHAR", "default": "NULL"},
+        {"name": "status", "type": "VARCHAR", "default": "'ON PROGRESS'"},
+        {"name": "num_columns", "type": "INTEGER", "default": "NULL"},
+        {"name": "creation_date", "type": "TIMESTAMPTZ", "default": "NOW()"}]}]
+    REG.recreate_tables(spark, spec, loc)
+    table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("dataset_id"),
+        F.col("o_custkey").cast("string").alias("project_id")).createOrReplaceTempView(f"{name}_src")
+    spark.sql(f"INSERT INTO `{name}` (dataset_id, project_id) SELECT dataset_id, project_id FROM `{name}_src`")
+    out = spark.table(name)
+    if out.filter(F.col("creation_date").isNull()).limit(1).count():
+        raise AssertionError("declared NOW() default was not applied")
+    return out.drop("creation_date")

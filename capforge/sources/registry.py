@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,15 +54,21 @@ def append_records(df: DataFrame, path: str) -> None:
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing`` (one per key) (row 7).
 
-    ``left_anti`` on the key; among incoming rows with the same new key the first
-    by all columns is kept, so the result is deterministic.
+    ``left_anti`` on the key; among incoming rows with the same new key the
+    smallest by the other (orderable) columns is kept, so the result is
+    deterministic. The pick is an aggregate (``min_by``, partial on the map side),
+    so a key repeated in a large share of the batch is not one task's work.
     """
     keys = [key] if isinstance(key, str) else list(key)
     fresh = new.join(existing.select(*keys).distinct(), on=keys, how="left_anti")
-    order = [F.col(f"`{c}`").asc_nulls_last() for c in new.columns if c not in keys and _orderable(new, c)]
-    w = Window.partitionBy(*keys).orderBy(*(order or [F.lit(1)]))
-    return fresh.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn") \
-        .select(*[F.col(f"`{c}`") for c in new.columns])
+    rest = [c for c in new.columns if c not in keys]
+    if not rest:
+        return fresh.distinct()
+    order = [F.col(f"`{c}`") for c in rest if _orderable(new, c)]
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in rest])
+    rank = F.struct(*order) if order else F.lit(0)
+    picked = fresh.groupBy(*keys).agg(F.min_by(row, rank).alias("__row"))
+    return picked.select(*[F.col(f"`{c}`") if c in keys else F.col(f"__row.`{c}`").alias(c) for c in new.columns])
 
 
 def _orderable(df: DataFrame, c: str) -> bool:
