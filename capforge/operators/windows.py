@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capforge.functions.scalar import DAY_MICROS, above_flag, add_days, epoch_micros, floor_div, nan_to_null
+from capforge.session import ensure_checkpoint_dir
 
 DEVICE_KEYS = ("Type", "Application", "IP")
 
@@ -215,7 +216,7 @@ def _framed_plain(d: DataFrame, keys: list[str], ts: str, frames: Sequence[Frame
 
 
 def _framed_blocked(d: DataFrame, keys: list[str], ts: str, frames: Sequence[Frame],
-                    tiebreak: list[str], block_days: int) -> DataFrame:
+                    tiebreak: list[str], block_days: int, materialize: bool = True) -> DataFrame:
     block = block_days * DAY_MICROS
     past = max([f.days for f in frames if f.direction == "past"] or [0]) * DAY_MICROS
     future = max([f.days for f in frames if f.direction == "future"] or [0]) * DAY_MICROS
@@ -241,6 +242,11 @@ def _framed_blocked(d: DataFrame, keys: list[str], ts: str, frames: Sequence[Fra
                  (~F.coalesce(F.lag(F.col(_OWN), 1).over(wk), F.lit(False))).alias(_FIRST),
                  packed.alias("__packed"))
     mine = d.filter(F.col(_OWN))
+    if materialize:
+        # The block output is read twice (rows + per-block summary). Write it once into
+        # the shared checkpoint folder instead of running the window pass twice.
+        ensure_checkpoint_dir(mine.sparkSession)
+        mine = mine.checkpoint(eager=True)
     # The first owned row of a block takes the last owned row of the nearest earlier
     # non-empty block: one summary row per (device, block), so this side stays small.
     summary = mine.groupBy(*parts).agg(F.max_by(F.col("__packed"), F.col(_K)).alias(_LAST))
