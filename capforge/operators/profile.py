@@ -188,7 +188,8 @@ def missing_counts(df: DataFrame) -> DataFrame:
 def dataset_statistics(df: DataFrame, k: int = 5) -> DataFrame:
     """Rows 31–35 as one long table ``(column, stat, item, value)`` (row 36).
 
-    stats: ``row_count``/``column_count`` (column ``*``), ``min max mean median std``
+    stats: ``row_count``/``column_count`` (column ``*``), ``dtype`` (item = Spark type) for
+    every column, ``min max mean median std``
     for numeric columns, ``unique_count`` and ``top_value`` (item = the value,
     value = its count) for the others, ``missing`` for every column.
 
@@ -214,6 +215,9 @@ def dataset_statistics(df: DataFrame, k: int = 5) -> DataFrame:
                         value.cast("double").alias("value"))
 
     entries = [entry("*", "row_count", F.col("__rows")), entry("*", "column_count", F.lit(float(len(fields))))]
+    entries += [F.struct(F.lit(f.name).alias("column"), F.lit("dtype").alias("stat"),
+                         F.lit(f.dataType.simpleString()).alias("item"), F.lit(None).cast("double").alias("value"))
+                for f in fields]
     for c in num:
         entries += [entry(c, st, F.col(f"`{c}__{st}`")) for st in ("min", "max", "mean", "std")]
     entries += [entry(f.name, "missing", F.col(f"`{f.name}__missing`")) for f in fields]

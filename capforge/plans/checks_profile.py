@@ -96,7 +96,13 @@ def _stats_sql():
         f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count FROM lineitem" for c in TEXT])})"""
     top = f"""SELECT "column", 'top_value', value, CAST(count AS DOUBLE) FROM ({_top_sql()})"""
     miss = f"""SELECT "column", 'missing', NULL, CAST(missing AS DOUBLE) FROM ({_missing_sql()})"""
-    return _union([n, cc, num, uq, top, miss])
+    types = {**SPARK_TYPES, "l_discount_gap": "double", "const_one": "double"}
+    return _union([n, cc, _dtype_sql([(c, types[c]) for c in ALL]), num, uq, top, miss])
+
+
+def _dtype_sql(pairs) -> str:
+    rows = ", ".join(f"('{c}', '{t}')" for c, t in pairs)
+    return f"""SELECT c, 'dtype', t, CAST(NULL AS DOUBLE) FROM (VALUES {rows}) AS v(c, t)"""
 
 
 @register("dataset_statistics", _stats_sql())
@@ -180,7 +186,7 @@ def q_auc(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- the same profiles on other tables
-def _profile_sql(base: str, numeric, text, all_cols, floating) -> str:
+def _profile_sql(base: str, numeric, text, all_cols, floating, types) -> str:
     num = [f"""SELECT '{c}' AS "column", s.stat, CAST(NULL AS VARCHAR) AS item, s.value FROM (
       SELECT round(min(CAST({c} AS DOUBLE)), 6) AS mn, round(max(CAST({c} AS DOUBLE)), 6) AS mx,
              round(avg(CAST({c} AS DOUBLE)), 6) AS me, round(median(CAST({c} AS DOUBLE)), 6) AS md,
@@ -197,11 +203,12 @@ def _profile_sql(base: str, numeric, text, all_cols, floating) -> str:
             for c in all_cols]
     head = [f"""SELECT '*' AS "column", 'row_count' AS stat, CAST(NULL AS VARCHAR) AS item, CAST(count(*) AS DOUBLE) AS value FROM {base} b""",
             f"SELECT '*', 'column_count', NULL, CAST({len(all_cols)} AS DOUBLE)"]
-    return _union(head + num + uq + top + miss)
+    return _union(head + [_dtype_sql([(c, types[c]) for c in all_cols])] + num + uq + top + miss)
 
 
 @register("dataset_statistics_documents", _profile_sql(
-    "documents", ["doc_id", "n_chars"], ["text", "lang", "source"], ["doc_id", "text", "lang", "source", "n_chars"], ()))
+    "documents", ["doc_id", "n_chars"], ["text", "lang", "source"], ["doc_id", "text", "lang", "source", "n_chars"], (),
+    {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}))
 def q_dataset_statistics_documents(spark, sf_dir):
     """Statistics of a text table: whole texts are the values counted for distinct and top values."""
     return round_doubles(P.dataset_statistics(table(spark, sf_dir, "documents")))
@@ -209,6 +216,7 @@ def q_dataset_statistics_documents(spark, sf_dir):
 
 @register("dataset_statistics_customer", _profile_sql(
     "customer", ["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"],
-    ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], ("c_acctbal",)))
+    ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], ("c_acctbal",),
+    {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}))
 def q_dataset_statistics_customer(spark, sf_dir):
     return round_doubles(P.dataset_statistics(table(spark, sf_dir, "customer")))
