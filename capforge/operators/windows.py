@@ -56,7 +56,8 @@ _K, _TIE, _RN, _BASE, _BLK, _OWNB, _OWN, _FIRST, _LAG, _LAST, _PREV = (
 class Frame:
     """One framed aggregate.
 
-    ``stat``: max | min | std | median | sum | range.  ``direction``: past | future.
+    ``stat``: max | min | std | median | sum | mean | range | value (the row's own value).
+    ``direction``: past | future.
     ``shift``: take the value of the previous row's window (past frames only).
     """
 
@@ -101,6 +102,13 @@ def _frame_bounds(f: Frame) -> tuple[int, int]:
     raise ValueError(f"unknown frame direction: {f.direction}")
 
 
+def _own_expr(f: Frame, wk) -> Column:
+    """The frame's aggregate over the window ending at (past) / starting after (future) the row."""
+    if f.stat == "value":
+        return F.col(f.source)
+    return _agg(f.stat, f.source, wk.rangeBetween(*_frame_bounds(f)))
+
+
 def _default_tiebreak(df: DataFrame, keys: Sequence[str], ts: str) -> list[str]:
     orderable = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
     return [f.name for f in df.schema.fields
@@ -208,7 +216,7 @@ def _framed_plain(d: DataFrame, keys: list[str], ts: str, frames: Sequence[Frame
     d = d.withColumn(_BASE, F.first(micros).over(pos))
     d = d.withColumn(_K, _guarded_key(micros - F.col(_BASE), F.col(_TIE)))
     wk = Window.partitionBy(*keys).orderBy(F.col(_K))
-    own = [_agg(f.stat, f.source, wk.rangeBetween(*_frame_bounds(f))).alias(
+    own = [_own_expr(f, wk).alias(
         f"__own_{i}" if f.shift else f.name) for i, f in enumerate(frames)]
     d = d.select("*", *own)
     shifted = [F.lag(F.col(f"__own_{i}"), 1).over(wk).alias(f.name) for i, f in enumerate(frames) if f.shift]
@@ -225,14 +233,15 @@ def _framed_blocked(d: DataFrame, keys: list[str], ts: str, frames: Sequence[Fra
     # blocks whose future frames reach it and the later blocks whose past frames reach it.
     d = (d.withColumn(_OWNB, floor_div(micros, block))
           .withColumn(_BLK, F.explode(F.sequence(floor_div(micros - F.lit(future), block),
-                                                 floor_div(micros + F.lit(past - 1), block)))))
+                                                 F.greatest(floor_div(micros, block),
+                                                            floor_div(micros + F.lit(past - 1), block))))))
     parts = keys + [_BLK]
     d = _order_columns(d, parts, ts, tiebreak)
     d = d.withColumn(_K, _guarded_key(micros - F.col(_BLK) * F.lit(block), F.col(_TIE)))
     d = d.withColumn(_OWN, F.col(_BLK) == F.col(_OWNB))
     wk = Window.partitionBy(*parts).orderBy(F.col(_K))
     shifted = [(i, f) for i, f in enumerate(frames) if f.shift]
-    own = [_agg(f.stat, f.source, wk.rangeBetween(*_frame_bounds(f))).alias(
+    own = [_own_expr(f, wk).alias(
         f"__own_{i}" if f.shift else f.name) for i, f in enumerate(frames)]
     d = d.select("*", *own)
     if not shifted:
@@ -252,7 +261,12 @@ def _framed_blocked(d: DataFrame, keys: list[str], ts: str, frames: Sequence[Fra
     summary = mine.groupBy(*parts).agg(F.max_by(F.col("__packed"), F.col(_K)).alias(_LAST))
     prev = summary.select(*parts, F.lag(F.col(_LAST), 1).over(
         Window.partitionBy(*keys).orderBy(F.col(_BLK))).alias(_PREV))
-    j = mine.join(prev, on=parts, how="left")
+    prev = prev.select(*[F.col(c).alias(f"__p_{c}") for c in parts], _PREV)
+    cond = None
+    for c in parts:
+        e = F.col(c).eqNullSafe(F.col(f"__p_{c}"))
+        cond = e if cond is None else cond & e
+    j = mine.join(prev, cond, how="left").drop(*[f"__p_{c}" for c in parts])
     return j.select("*", *[F.when(F.col(_FIRST), F.col(f"{_PREV}.f{i}")).otherwise(F.col(f"{_LAG}.f{i}"))
                            .alias(f.name) for i, f in shifted])
 
@@ -336,15 +350,22 @@ def past_minmax_range(df: DataFrame, keys=DEVICE_KEYS, ts="Date", v="Value",
 
 
 def shift_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str] | str, col: str, n: int = 1,
-               name: str | None = None) -> DataFrame:
+               name: str | None = None, hot_rows: int | None = None) -> DataFrame:
     """Value of the row ``n`` places earlier in the group (``lag``; row 49).
 
-    ``order`` must make the order unique (add a tie-break column), otherwise the
-    previous row is not defined.
+    ``order`` must make the order unique (add a tie-break column). A one-row shift
+    ordered by a timestamp runs on the device-window plan, so groups with more than
+    ``hot_rows`` rows are split into time blocks (a NULL timestamp is then an
+    error); other shifts are a plain ``lag`` over the group.
     """
     order = [order] if isinstance(order, str) else list(order)
+    name = name or f"{col}_shift_{n}"
+    timed = isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType))
+    if n == 1 and timed:
+        return framed(df, keys, order[0], [Frame(name, col, "value", 0, "past", True)], order[1:],
+                      hot_rows=hot_rows)
     w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
-    return df.withColumn(name or f"{col}_shift_{n}", F.lag(F.col(col), n).over(w))
+    return df.withColumn(name, F.lag(F.col(col), n).over(w))
 
 
 def rolling_stat(df: DataFrame, keys=DEVICE_KEYS, ts="Date", col="Value", days: int = 14,

@@ -140,3 +140,20 @@ def test_rolling_stat_and_shift(spark):
     assert list(r["Value_Last_14Days_Max"]) == [10.0, 30.0, 5.0]
     s = W.shift_rows(frame(spark, rows), list(W.DEVICE_KEYS), ["Date", "event_id"], "Value").toPandas().sort_values("event_id")
     assert s["Value_shift_1"].isna().tolist() == [True, False, False]
+
+
+def test_shift_rows_hot_split_equals_lag(spark):
+    rng = np.random.default_rng(5)
+    rows = [dev(i, T0 + dt.timedelta(hours=int(rng.integers(0, 24 * 200))), float(i), "hot" if i % 2 else str(i % 3))
+            for i in range(240)]
+    rows.append(dev(999, T0 + 90 * D, 5.0, "hot"))  # a row exactly on a 90-day block start
+    df = frame(spark, rows)
+    keys = list(W.DEVICE_KEYS)
+    plain = W.shift_rows(df, keys, ["Date", "event_id"], "Value", hot_rows=0).toPandas().sort_values("event_id")
+    split = W.shift_rows(df, keys, ["Date", "event_id"], "Value", hot_rows=20).toPandas().sort_values("event_id")
+    pd.testing.assert_frame_equal(plain.reset_index(drop=True), split.reset_index(drop=True))
+    pdf = pd.DataFrame(rows, columns=["Type", "Application", "IP", "Date", "Value", "event_id"])
+    want = pdf.sort_values(["Date", "event_id"]).groupby(keys)["Value"].shift(1)
+    got = plain.set_index("event_id")["Value_shift_1"]
+    np.testing.assert_allclose(got.loc[pdf.loc[want.index, "event_id"]].to_numpy(dtype=float),
+                               want.to_numpy(dtype=float), equal_nan=True)
