@@ -154,7 +154,12 @@ def q_fill_missing(spark, sf_dir):
     return round_doubles(R.fill_missing(li, 0))
 
 
-@register("rows_to_json")
+@register("rows_to_json", """
+SELECT to_json(struct_pack(o_orderkey := o_orderkey, o_custkey := o_custkey, o_orderstatus := o_orderstatus,
+  o_totalprice := o_totalprice, o_orderdate := strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f'),
+  o_orderpriority := o_orderpriority)) AS json
+FROM orders
+""")
 def q_rows_to_json(spark, sf_dir):
     return R.rows_to_json(table(spark, sf_dir, "orders"))
 

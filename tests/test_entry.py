@@ -11,7 +11,7 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-ROWS_ONLY = {"rows_to_json", "train_classifier", "train_regressor", "save_load_model", "batch_predict",
+ROWS_ONLY = {"train_classifier", "train_regressor", "save_load_model", "batch_predict",
              "predict_and_record", "oot_evaluation"}
 
 
