@@ -102,10 +102,23 @@ def sink_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def ingest_predictions(spark: SparkSession, path: str, dest: str) -> DataFrame:
-    """Read an external prediction CSV (UTF-8), refuse an empty one, store it, return the stored rows (row 5)."""
+def ingest_predictions(spark: SparkSession, path: str, dest: str, runs_path: str | None = None,
+                       run: dict | None = None) -> DataFrame:
+    """Read an external prediction CSV (UTF-8), refuse an empty one, store it, return the stored rows (row 5).
+
+    With ``runs_path`` a prediction-run row pointing at ``dest`` is appended too, so
+    uploaded predictions can be listed, downloaded and purged like computed ones.
+    """
     df = scan_csv(spark, path)
     if df.isEmpty():
         raise ValueError(f"prediction file is empty: {path}")
     sink_table(df, dest)
+    if runs_path:
+        from capforge.sources.registry import append_records, registry_schema
+
+        schema = registry_schema("predictions")
+        row = {**(run or {}), "output_path": dest, "status": (run or {}).get("status", "UPLOADED")}
+        rec = spark.createDataFrame([tuple(row.get(f.name) for f in schema.fields)], schema)
+        append_records(rec.withColumn("created_at", F.coalesce(F.col("created_at"), F.current_timestamp())),
+                       runs_path)
     return scan_table(spark, dest)

@@ -145,3 +145,39 @@ def replace_table(df: DataFrame, path: str) -> None:
     """
     ensure_checkpoint_dir(df.sparkSession)
     df.checkpoint(eager=True).write.mode("overwrite").parquet(path)
+
+
+def drop_tables(spark: SparkSession, names: Sequence[str]) -> list[str]:
+    """``DROP TABLE IF EXISTS`` for each name (a project's raw / engineered / prediction tables)."""
+    stmts = [f"DROP TABLE IF EXISTS `{n}`" for n in names]
+    for st in stmts:
+        spark.sql(st)
+    return stmts
+
+
+def purge_project_tables(spark: SparkSession, project_id, registries: Mapping[str, tuple[str, str]],
+                         children: Mapping[str, tuple[str, str, str]] | None = None,
+                         drop: Sequence[str] = ()) -> dict[str, int]:
+    """Delete one project from stored registry tables and drop its data tables (row 30).
+
+    ``registries``: name → (parquet path, project-id column); ``children``: name →
+    (parquet path, foreign key, parent registry name). Survivors are computed with
+    ``operators.joins.purge_project`` (``left_anti`` on the doomed keys), all of them
+    checkpointed, then written back. Returns the surviving row count per table.
+    """
+    from capforge.operators.joins import purge_project
+
+    frames = {n: (spark.read.parquet(path), col) for n, (path, col) in registries.items()}
+    kids = {n: (spark.read.parquet(path), fk, parent) for n, (path, fk, parent) in (children or {}).items()}
+    survivors = purge_project(project_id, frames, kids)
+    paths = {**{n: p for n, (p, _) in registries.items()}, **{n: p for n, (p, _, _) in (children or {}).items()}}
+    # child survivors are computed from the parents' old rows: cut every lineage
+    # (checkpoint in the shared folder) before the first table is overwritten
+    ensure_checkpoint_dir(spark)
+    cut = {name: df.checkpoint(eager=True) for name, df in survivors.items()}
+    counts = {}
+    for name, df in cut.items():
+        df.write.mode("overwrite").parquet(paths[name])
+        counts[name] = spark.read.parquet(paths[name]).count()
+    drop_tables(spark, drop)
+    return counts

@@ -121,3 +121,21 @@ def test_page_beyond_end_and_limits(spark):
     assert K.page(df, page_no=4, size=10).count() == 0
     with pytest.raises(ValueError):
         K.page(df, size=101)
+
+
+def test_purge_project_tables_and_upload_run(spark, scratch):
+    ds, eng = scratch("ds"), scratch("eng")
+    spark.createDataFrame([("d1", "p1"), ("d2", "p2")], "id string, project_id string").write.parquet(ds)
+    spark.createDataFrame([("d1", "t1"), ("d2", "t2")], "dataset_id string, table_name string").write.parquet(eng)
+    spark.sql("CREATE OR REPLACE TEMP VIEW cf_raw_d1 AS SELECT 1 AS x")
+    counts = REG.purge_project_tables(spark, "p1", {"datasets": (ds, "project_id")},
+                                      {"engineered": (eng, "dataset_id", "datasets")}, drop=["cf_raw_d1"])
+    assert counts == {"datasets": 1, "engineered": 1}
+    assert [r.table_name for r in spark.read.parquet(eng).collect()] == ["t2"]
+    assert not spark.catalog.tableExists("cf_raw_d1")
+    src, runs = scratch("up"), scratch("runs")
+    write_text(spark, src, "id,pred", ["1,0.5", "2,0.7"])
+    out = IO.ingest_predictions(spark, src, scratch("ext"), runs, {"id": "u1", "project_id": "p2"})
+    assert out.count() == 2
+    r = spark.read.parquet(runs).collect()[0]
+    assert r.status == "UPLOADED" and r.project_id == "p2" and r.created_at is not None
