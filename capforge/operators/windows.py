@@ -133,7 +133,8 @@ HOT_ROWS_CONF = "capforge.window.hotRows"
 HOT_BLOCK_DAYS_CONF = "capforge.window.hotBlockDays"
 DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_HOT_BLOCK_DAYS = 90
-# Hot device keys are collected (at most this many) to split the input with a filter.
+# At most this many hot devices (the heaviest) are split; their keys are collected and the
+# input is split with a filter. Devices beyond the list take the plain plan (also exact).
 MAX_HOT_LIST = 10_000
 
 
@@ -157,10 +158,10 @@ def framed(df: DataFrame, keys: Sequence[str], ts: str, frames: Sequence[Frame],
       ``capforge.window.hotRows``, default 2 000 000; 0 turns the check off) are
       cut into ``hot_block_days`` blocks (default 90) and all others use one
       window partition per device. The hot devices are found first with one count
-      per device (partial aggregation before the shuffle); there are at most
-      ``rows / hot_rows`` of them. With none, the plan is the single-partitioning
-      one; otherwise the input is split by a filter on the key list (or a
-      broadcast join beyond ``MAX_HOT_LIST`` keys) and both plans are unioned.
+      per device (partial aggregation before the shuffle); the heaviest
+      ``MAX_HOT_LIST`` of them are collected (a fixed bound). With none, the plan is
+      the single-partitioning one; otherwise the input is split by a filter on the
+      key list and both plans are unioned.
 
     Rows with a NULL key are expected to be removed by the caller.
     """
@@ -179,21 +180,18 @@ def framed(df: DataFrame, keys: Sequence[str], ts: str, frames: Sequence[Frame],
     if block_days:
         out = _framed_blocked(d, keys, ts, frames, tiebreak, int(block_days))
     elif hot_rows and hot_rows > 0:
+        # the heaviest devices above the limit (at most MAX_HOT_LIST; a top-n, no sort of all devices)
         hot = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-                .filter(F.col("__rows") > F.lit(int(hot_rows))).select(*keys))
-        found = [_key_text(r) for r in hot.select(_key_json(keys).alias("k")).limit(MAX_HOT_LIST + 1).collect()]
+                .filter(F.col("__rows") > F.lit(int(hot_rows)))
+                .orderBy(F.col("__rows").desc(), _key_json(keys)).limit(MAX_HOT_LIST))
+        found = [_key_text(r) for r in hot.select(_key_json(keys).alias("k")).collect()]
         if not found:
             out = _framed_plain(d, keys, ts, frames, tiebreak)
         else:
-            if len(found) <= MAX_HOT_LIST:
-                is_hot = _key_json(keys).isin(found)
-                normal, busy = d.filter(~is_hot), d.filter(is_hot)
-            else:  # very many hot devices: split with a broadcast join (<= rows / hot_rows keys)
-                normal = d.join(F.broadcast(hot), on=keys, how="left_anti")
-                busy = d.join(F.broadcast(hot), on=keys, how="left_semi")
+            is_hot = _key_json(keys).isin(found)
             sel = lambda x: x.select(*[F.col(f"`{c}`") for c in cols], *[F.col(f"`{f.name}`") for f in frames])
-            out = sel(_framed_plain(normal, keys, ts, frames, tiebreak)).unionByName(
-                sel(_framed_blocked(busy, keys, ts, frames, tiebreak, int(hot_block_days))))
+            out = sel(_framed_plain(d.filter(~is_hot), keys, ts, frames, tiebreak)).unionByName(
+                sel(_framed_blocked(d.filter(is_hot), keys, ts, frames, tiebreak, int(hot_block_days))))
     else:
         out = _framed_plain(d, keys, ts, frames, tiebreak)
     return out.select(*[F.col(f"`{c}`") for c in cols], *[F.col(f"`{f.name}`") for f in frames])
