@@ -54,9 +54,15 @@ def q_train_regressor(spark, sf_dir):
     return round_doubles(metrics)
 
 
+_MODELS: dict = {}
+
+
 def _fitted(spark, sf_dir):
-    model, _ = ML.train_classifier(labelled(spark, sf_dir), FEATURES, "is_returned", key="row_key")
-    return model
+    """The classifier of ``train_classifier``, fitted once per Spark context and table folder."""
+    key = (id(spark.sparkContext._jsc), sf_dir)
+    if key not in _MODELS:
+        _MODELS[key], _ = ML.train_classifier(labelled(spark, sf_dir), FEATURES, "is_returned", key="row_key")
+    return _MODELS[key]
 
 
 @register("save_load_model")
