@@ -157,3 +157,12 @@ def test_shift_rows_hot_split_equals_lag(spark):
     got = plain.set_index("event_id")["Value_shift_1"]
     np.testing.assert_allclose(got.loc[pdf.loc[want.index, "event_id"]].to_numpy(dtype=float),
                                want.to_numpy(dtype=float), equal_nan=True)
+
+
+def test_nan_value_is_missing_like_null(spark):
+    base = [dev(0, T0, 75.0), dev(1, T0 + D, None), dev(2, T0 + 2 * D, 90.0), dev(3, T0 + 3 * D, 10.0)]
+    with_nan = [r if r[4] is not None else r[:4] + (float("nan"),) + r[5:] for r in base]
+    a, b = run(spark, base), run(spark, with_nan)
+    pd.testing.assert_frame_equal(a, b)
+    assert a.loc[2, "Date_Value_Last_28Days_SDev"] == 0.0  # previous window holds one present value -> std undefined -> 0
+    compare(spark, base)
