@@ -126,8 +126,15 @@ def _num(x: float) -> str:
 
 def fill_missing(df: DataFrame, value=0) -> DataFrame:
     """Missing numbers (NULL and NaN) → ``value``; text/time cells stay NULL (row 20)."""
-    from capforge.operators.windows import fill_numeric
-    return fill_numeric(df, value)
+    cols = []
+    for f in df.schema.fields:
+        c = _c(f.name)
+        if isinstance(f.dataType, T.NumericType):
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+                c = S.nan_to_null(c)
+            c = F.coalesce(c, F.lit(value).cast(f.dataType)).alias(f.name)
+        cols.append(c)
+    return df.select(*cols)
 
 
 def rows_to_json(df: DataFrame, name: str = "json") -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capforge.functions.scalar import DAY_MICROS, above_flag, add_days, epoch_micros, floor_div, nan_to_null
+from capforge.operators.relational import fill_missing
 from capforge.session import ensure_checkpoint_dir
 
 DEVICE_KEYS = ("Type", "Application", "IP")
@@ -422,17 +423,4 @@ def engineer_features(df: DataFrame, value_col: str = "Value", high: float = 70.
     out = out.withColumn("Target", above_flag("Value_target_Max", target, inclusive=True))
     out = out.select(F.col(ts), *[F.col(f"`{c}`") for c in raw], *[F.col(k) for k in keys],
                      *[F.col(c) for c in FEATURE_COLUMNS])
-    return fill_numeric(out, 0)
-
-
-def fill_numeric(df: DataFrame, value=0) -> DataFrame:
-    """Missing numbers → ``value`` (text and time cells stay NULL; row 20)."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.NumericType):
-            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-                c = nan_to_null(c)
-            c = F.coalesce(c, F.lit(value).cast(f.dataType)).alias(f.name)
-        cols.append(c)
-    return df.select(*cols)
+    return fill_missing(out, 0)

@@ -32,7 +32,7 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     """Read CSV with a header (row 1). With ``schema`` the types are given; otherwise inferred as above."""
     _check_suffix(path)
     reader = spark.read.option("header", True).option("encoding", encoding).option("mode", "FAILFAST")
-    raw = reader.schema(_as_string_schema(spark, path, reader, schema)).csv(path) if schema is not None \
+    raw = reader.schema(_as_string_schema(schema)).csv(path) if schema is not None \
         else reader.option("inferSchema", False).csv(path)
     tokens = list(null_tokens)
     text = raw.select(*[F.when(F.col(f"`{c}`").isin(tokens), F.lit(None).cast("string"))
@@ -43,7 +43,7 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return text.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in infer_types(text).items()])
 
 
-def _as_string_schema(spark, path, reader, schema) -> T.StructType:
+def _as_string_schema(schema) -> T.StructType:
     st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     return T.StructType([T.StructField(f.name, T.StringType(), True) for f in st.fields])
 
