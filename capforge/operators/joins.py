@@ -56,13 +56,16 @@ def gap_report(df: DataFrame, columns: str | Iterable[str], gap_days: int = 2, h
     """``gap_join`` + full row count + the first ``n`` rows of the requested columns (row 25).
 
     The first rows are a top-n (no full sort); the count is a separate one-row
-    aggregate attached to every reported row as ``row_count``.
+    aggregate attached to every reported row as ``row_count``, with ``gap_days`` and
+    ``host_id_filter`` (``all`` when no host is given).
     """
     from capforge.operators.relational import parse_column_list, select_requested
 
     joined = gap_join(df, gap_days, host_id)
     top = sort_gap_rows(joined).limit(n)
-    count = joined.agg(F.count(F.lit(1)).alias("row_count"))
+    count = joined.agg(F.count(F.lit(1)).alias("row_count")).select(
+        F.lit(int(gap_days)).alias("gap_days"),
+        F.lit("all" if host_id is None else str(host_id)).alias("host_id_filter"), "row_count")
     rank_cols = [F.col("host_id").asc_nulls_last(), F.col("datetime_1").asc_nulls_last()] + [
         F.col(c).asc_nulls_last() for c in joined.columns if c not in ("host_id", "datetime_1")]
     # numbering the n reported rows (a window over at most n rows)

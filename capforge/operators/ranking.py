@@ -28,7 +28,8 @@ def sort_series(df: DataFrame, keys: Sequence[str] = ("Type", "Application", "IP
 
 def page(df: DataFrame, order: str = "created_at", tiebreak: str = "id", page_no: int = 1,
          size: int = 10) -> DataFrame:
-    """Newest first, page ``page_no`` of ``size`` rows, with ``total`` and ``total_pages`` (row 52).
+    """Newest first, page ``page_no`` of ``size`` rows, with ``total``, ``page``, ``page_size``
+    and ``total_pages`` (row 52).
 
     Planned as a top-(offset+size) with offset, not a full sort; the total is a
     one-row aggregate. A page past the end is empty.
@@ -39,8 +40,9 @@ def page(df: DataFrame, order: str = "created_at", tiebreak: str = "id", page_no
         raise ValueError("page number starts at 1")
     rows = df.orderBy(F.col(order).desc_nulls_last(), F.col(tiebreak).asc_nulls_last()).offset(
         (int(page_no) - 1) * int(size)).limit(int(size))
-    total = df.agg(F.count(F.lit(1)).alias("total")).withColumn(
-        "total_pages", F.ceil(F.col("total") / F.lit(int(size))).cast("long"))
+    total = df.agg(F.count(F.lit(1)).alias("total")).select(
+        "total", F.lit(int(page_no)).alias("page"), F.lit(int(size)).alias("page_size"),
+        F.ceil(F.col("total") / F.lit(int(size))).cast("long").alias("total_pages"))
     return rows.crossJoin(F.broadcast(total))
 
 

@@ -41,7 +41,7 @@ ranked AS (
   FROM gap
 )
 SELECT hostname, host_id, datetime_1, datetime_2, cpu_usage_percentage_avg, CAST(NULL AS VARCHAR) AS no_such_column,
-       row_number, (SELECT count(*) FROM gap) AS row_count
+       row_number, 2 AS gap_days, 'all' AS host_id_filter, (SELECT count(*) FROM gap) AS row_count
 FROM ranked WHERE row_number <= 20
 """)
 def q_gap_report(spark, sf_dir):

@@ -21,7 +21,7 @@ def q_sort_series(spark, sf_dir):
 
 
 @register("page", f"""
-SELECT d.*, t.total, t.total_pages FROM (
+SELECT d.*, t.total, 3 AS page, 10 AS page_size, t.total_pages FROM (
   SELECT * FROM ({DATASETS_SQL}) x ORDER BY created_at DESC NULLS LAST, id LIMIT 10 OFFSET 20) d
 CROSS JOIN (SELECT count(*) AS total, CAST(ceil(count(*) / 10.0) AS BIGINT) AS total_pages FROM orders) t
 """)
@@ -63,3 +63,24 @@ def q_select_top_features(spark, sf_dir):
 def q_dropped_features(spark, sf_dir):
     feats = W.engineer_features(device_metrics(spark, sf_dir), tiebreak=["event_id"])
     return K.dropped_features(feats, "Target", k=10)
+
+
+@register("list_projects", """
+WITH p AS (
+  SELECT c.c_custkey, c.c_name, c.c_acctbal, CAST(coalesce(n, 0) AS BIGINT) AS dataset_count
+  FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o
+    ON o.o_custkey = c.c_custkey
+  WHERE c.c_name ILIKE '%00001%'
+)
+SELECT x.*, t.total, 2 AS page, 20 AS page_size, t.total_pages FROM (
+  SELECT * FROM p ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 20 OFFSET 20) x
+CROSS JOIN (SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM p) t
+""")
+def q_list_projects(spark, sf_dir):
+    """Project listing as in the reference: name search, dataset count per project, page 2 of 20."""
+    from capforge.operators import joins as J
+    from capforge.operators import relational as R
+
+    c = R.search_name(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), "c_name", "00001")
+    counted = J.child_count(c, table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+    return K.page(counted, "c_acctbal", "c_custkey", page_no=2, size=20)

@@ -155,9 +155,9 @@ def q_fill_missing(spark, sf_dir):
 
 
 @register("rows_to_json", """
-SELECT to_json(struct_pack(o_orderkey := o_orderkey, o_custkey := o_custkey, o_orderstatus := o_orderstatus,
+SELECT CAST(to_json(struct_pack(o_orderkey := o_orderkey, o_custkey := o_custkey, o_orderstatus := o_orderstatus,
   o_totalprice := o_totalprice, o_orderdate := strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f'),
-  o_orderpriority := o_orderpriority)) AS json
+  o_orderpriority := o_orderpriority)) AS VARCHAR) AS json
 FROM orders
 """)
 def q_rows_to_json(spark, sf_dir):

@@ -45,7 +45,7 @@ def test_gap_report_top_rows_and_count(spark):
     assert [r.row_number for r in rep] == [1, 2] or sorted(r.row_number for r in rep) == [1, 2]
     assert all(r.row_count == 5 for r in rep)
     assert all(r.nope is None for r in rep)
-    assert set(rep[0].asDict()) == {"hostname", "host_id", "nope", "row_number", "row_count"}
+    assert set(rep[0].asDict()) == {"hostname", "host_id", "nope", "row_number", "gap_days", "host_id_filter", "row_count"}
 
 
 def test_exists_flag_and_child_count(spark):

@@ -117,7 +117,7 @@ def test_horizon_split_edges(spark):
 def test_page_beyond_end_and_limits(spark):
     df = spark.createDataFrame([(str(i), dt.datetime(2024, 1, 1 + i)) for i in range(25)], "id string, created_at timestamp")
     p3 = K.page(df, page_no=3, size=10).collect()
-    assert len(p3) == 5 and p3[0].total == 25 and p3[0].total_pages == 3 and p3[0].id == "4"
+    assert len(p3) == 5 and p3[0].total == 25 and p3[0].total_pages == 3 and p3[0].id == "4" and p3[0].page == 3
     assert K.page(df, page_no=4, size=10).count() == 0
     with pytest.raises(ValueError):
         K.page(df, size=101)
