@@ -135,7 +135,8 @@ def categorical_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.name not in num]
 
 
-def profile_categorical(df: DataFrame, approx: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+def profile_categorical(df: DataFrame, approx: bool = False, columns: Sequence[str] | None = None,
+                        counts: DataFrame | None = None) -> DataFrame:
     """Distinct count per non-numeric column, NULL excluded → ``(column, unique_count)`` (row 33)."""
     cols = list(columns) if columns is not None else categorical_columns(df)
     if not cols:
@@ -145,7 +146,8 @@ def profile_categorical(df: DataFrame, approx: bool = False, columns: Sequence[s
         return _unpivot_row(row, cols, ["unique_count"])
     # unpivot once and count distinct (column, value) pairs: one shuffle, however many columns.
     # Same plan as the counts of ``top_values`` so the two share one exchange.
-    return (_value_counts(df, cols).groupBy("column")
+    counts = counts if counts is not None else _value_counts(df, cols)
+    return (counts.groupBy("column")
                 .agg(F.count(F.lit(1)).alias("unique_count"))
                 .join(df.sparkSession.createDataFrame([(c,) for c in cols], "column string"), "column", "right")
                 .select("column", F.coalesce(F.col("unique_count"), F.lit(0)).alias("unique_count")))
@@ -162,7 +164,8 @@ def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _long_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
+def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None,
+               counts: DataFrame | None = None) -> DataFrame:
     """The ``k`` most frequent values per non-numeric column, NULL excluded (row 34).
 
     → ``(column, rank, value, count)``; ties by value ascending. The ``rank <= k``
@@ -172,7 +175,7 @@ def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None)
     cols = list(columns) if columns is not None else categorical_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, rank int, value string, count bigint")
-    counts = _value_counts(df, cols)
+    counts = counts if counts is not None else _value_counts(df, cols)
     w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
     return (counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                   .select("column", "rank", "value", "count"))
@@ -226,10 +229,11 @@ def dataset_statistics(df: DataFrame, k: int = 5) -> DataFrame:
         parts.append(exact_medians(df, num).select("column", F.lit("median").alias("stat"), none.alias("item"),
                                                    F.col("median").alias("value")))
     if cat:
-        u = profile_categorical(df, columns=cat)
+        counts = _value_counts(df, cat)  # one value count feeds both the distinct counts and the top values
+        u = profile_categorical(df, columns=cat, counts=counts)
         parts.append(u.select("column", F.lit("unique_count").alias("stat"), none.alias("item"),
                               F.col("unique_count").cast("double").alias("value")))
-        t = top_values(df, k, columns=cat)
+        t = top_values(df, k, columns=cat, counts=counts)
         parts.append(t.select("column", F.lit("top_value").alias("stat"), F.col("value").alias("item"),
                               F.col("count").cast("double").alias("value")))
     out = parts[0]
