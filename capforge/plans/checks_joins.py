@@ -121,3 +121,15 @@ def q_purge_project(spark, sf_dir):
 def q_purge_project_datasets(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     return J.purge_project(1, {"datasets": (orders, "o_custkey")})["datasets"]
+
+
+@register("gap_join_zero", f"WITH {GAP_BASE_SQL.replace('INTERVAL 2 DAY', 'INTERVAL 0 DAY')} SELECT * FROM gap")
+def q_gap_join_zero(spark, sf_dir):
+    """Gap 0: every row pairs with itself and with its duplicates at the same (host, time)."""
+    return round_doubles(J.gap_join(host_metrics(spark, sf_dir), gap_days=0))
+
+
+@register("gap_join_negative", f"WITH {GAP_BASE_SQL.replace('+ INTERVAL 2 DAY', '- INTERVAL 5 DAY')} SELECT * FROM gap")
+def q_gap_join_negative(spark, sf_dir):
+    """Negative gap: pairs each row with the same host's rows 5 days earlier."""
+    return round_doubles(J.gap_join(host_metrics(spark, sf_dir), gap_days=-5))

@@ -22,11 +22,12 @@ def _same(a, b):
     return _SAME.format(a=a, b=b)
 
 
-def _flagship_sql(truncate: bool, rounded: bool = True) -> str:
+def _flagship_sql(truncate: bool, rounded: bool = True, high: float = 70, target: float = 80,
+                  horizon: int = 21) -> str:
     r = (lambda e: f"round({e}, 6)") if rounded else (lambda e: e)
     win = lambda n: f'j."Date" > p."Date" - INTERVAL {n} DAY'
     counts = ",\n".join(
-        f'    count(*) FILTER (WHERE j."Value" > 70 AND {win(n)}) AS c{n}' for n in (3, 7, 14, 28))
+        f'    count(*) FILTER (WHERE j."Value" > {high} AND {win(n)}) AS c{n}' for n in (3, 7, 14, 28))
     ranges = ",\n".join(
         f'    max(j."Value") FILTER (WHERE {win(n)}) - min(j."Value") FILTER (WHERE {win(n)}) AS r{n}'
         for n in (3, 7, 14, 28))
@@ -56,14 +57,14 @@ pa AS (
 fu AS (
   SELECT i.event_id, max(j."Value") AS fmax
   FROM ord i
-  JOIN ord j ON {_same('j', 'i')} AND j."Date" > i."Date" AND j."Date" <= i."Date" + INTERVAL 21 DAY
+  JOIN ord j ON {_same('j', 'i')} AND j."Date" > i."Date" AND j."Date" <= i."Date" + INTERVAL {horizon} DAY
   GROUP BY i.event_id
 )
 SELECT o."Date", {r('coalesce(o."Value", 0)')} AS "Value", o.event_id,
   o."Date" + INTERVAL 14 DAY AS "Date_Next_2Weeks", o."Date" + INTERVAL 21 DAY AS "Date_Next_3Weeks",
   o."Type", o."Application", o."IP",
   {r('coalesce(fu.fmax, 0.0)')} AS "Value_target_Max",
-  CAST(coalesce(fu.fmax, 0.0) >= 80 AS INTEGER) AS "Target",
+  CAST(coalesce(fu.fmax, 0.0) >= {target} AS INTEGER) AS "Target",
   {r('coalesce(pa.v1, 0)')} AS "Value_Last_1Day",
   {r('coalesce(pa.v3, 0)')} AS "Value_Last_3Days",
   {r('coalesce(pa.sd28, 0)')} AS "Date_Value_Last_28Days_SDev",
@@ -93,6 +94,13 @@ def q_engineer_features_blocked(spark, sf_dir):
                                              tiebreak=["event_id"], block_days=7))
 
 
+@register("engineer_features_params", _flagship_sql(False, high=50, target=90, horizon=14))
+def q_engineer_features_params(spark, sf_dir):
+    """Other thresholds and horizon (names keep ``Above_70`` like the reference; dates keep +14/+21 days)."""
+    return round_doubles(W.engineer_features(device_metrics(spark, sf_dir), high=50.0, target=90.0,
+                                             horizon_days=14, tiebreak=["event_id"]))
+
+
 @register("engineer_features_hot", _flagship_sql(False))
 def q_engineer_features_hot(spark, sf_dir):
     """Same with a low hot-device limit: devices above 12 rows go through 10-day blocks,
