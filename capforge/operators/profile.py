@@ -29,6 +29,21 @@ def _num(df: DataFrame, name: str) -> Column:
     return nan_to_null(c)
 
 
+def _q(name: str) -> str:
+    """A column name quoted for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _lit(text: str) -> str:
+    """A string literal for SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _num_sql(name: str) -> str:
+    """SQL text of ``_num``: DOUBLE with NaN read as missing."""
+    return f"nanvl(CAST({_q(name)} AS DOUBLE), CAST(NULL AS DOUBLE))"
+
+
 def _is_missing(df: DataFrame, f: T.StructField) -> Column:
     c = _c(f.name)
     if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
@@ -75,8 +90,8 @@ def exact_medians(df: DataFrame, columns: Sequence[str], partitions: int | None
         return spark.createDataFrame([], "column string, median double")
     n = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     # small integer column ids hash faster than names; names are joined back at the end
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("column"), _num(df, c).alias("value"))
-                                         for i, c in enumerate(columns)])).alias("__kv")).select("__kv.*")
+    pairs = ", ".join(f"named_struct('column', {i}, 'value', {_num_sql(c)})" for i, c in enumerate(columns))
+    long = df.select(F.expr(f"inline(array({pairs}))"))
     counted = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("__n"))
     ranged = counted.repartitionByRange(n, "column", "value").withColumn("__pid", F.spark_partition_id())
     sums = ranged.groupBy("column", "__pid").agg(F.sum("__n").alias("__psum"))
@@ -155,9 +170,8 @@ def profile_categorical(df: DataFrame, approx: bool = False, columns: Sequence[s
 
 def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Non-NULL ``(column, value as string)`` pairs of the given columns."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _c(c).cast("string").alias("value"))
-                                         for c in cols])).alias("__kv")).select("__kv.*")
-    return long.filter(F.col("value").isNotNull())
+    pairs = ", ".join(f"named_struct('column', {_lit(c)}, 'value', CAST({_q(c)} AS STRING))" for c in cols)
+    return df.select(F.expr(f"inline(array({pairs}))")).filter(F.col("value").isNotNull())
 
 
 def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -204,27 +218,26 @@ def dataset_statistics(df: DataFrame, k: int = 5) -> DataFrame:
     num = numeric_columns(df, include_bool=True)
     cat = categorical_columns(df)
     fields = df.schema.fields
-    aggs = [F.count(F.lit(1)).cast("double").alias("__rows")]
-    for c in num:
-        v = _num(df, c)
-        aggs += [F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"), F.avg(v).alias(f"{c}__mean"),
-                 F.stddev_samp(v).alias(f"{c}__std")]
-    aggs += [F.count_if(_is_missing(df, f)).cast("double").alias(f"{f.name}__missing") for f in fields]
-    row = df.agg(*aggs)
+    # Large generated expression lists are passed as SQL text: one JVM call each.
+    aggs = ["CAST(count(1) AS DOUBLE) AS __rows"]
+    for i, c in enumerate(num):
+        v = _num_sql(c)
+        aggs += [f"min({v}) AS n{i}_min", f"max({v}) AS n{i}_max", f"avg({v}) AS n{i}_mean",
+                 f"stddev_samp({v}) AS n{i}_std"]
+    for i, f in enumerate(fields):
+        miss = f"{_q(f.name)} IS NULL" + (f" OR isnan({_q(f.name)})"
+                                          if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else "")
+        aggs.append(f"CAST(count_if({miss}) AS DOUBLE) AS m{i}")
+    row = df.agg(*[F.expr(a) for a in aggs])
+    entries = [f"'*', 'row_count', CAST(NULL AS STRING), __rows",
+               f"'*', 'column_count', CAST(NULL AS STRING), CAST({float(len(fields))} AS DOUBLE)"]
+    entries += [f"{_lit(f.name)}, 'dtype', {_lit(f.dataType.simpleString())}, CAST(NULL AS DOUBLE)" for f in fields]
+    for i, c in enumerate(num):
+        entries += [f"{_lit(c)}, '{st}', CAST(NULL AS STRING), n{i}_{st}" for st in ("min", "max", "mean", "std")]
+    entries += [f"{_lit(f.name)}, 'missing', CAST(NULL AS STRING), m{i}" for i, f in enumerate(fields)]
     none = F.lit(None).cast("string")
-
-    def entry(column, stat, value):
-        return F.struct(F.lit(column).alias("column"), F.lit(stat).alias("stat"), none.alias("item"),
-                        value.cast("double").alias("value"))
-
-    entries = [entry("*", "row_count", F.col("__rows")), entry("*", "column_count", F.lit(float(len(fields))))]
-    entries += [F.struct(F.lit(f.name).alias("column"), F.lit("dtype").alias("stat"),
-                         F.lit(f.dataType.simpleString()).alias("item"), F.lit(None).cast("double").alias("value"))
-                for f in fields]
-    for c in num:
-        entries += [entry(c, st, F.col(f"`{c}__{st}`")) for st in ("min", "max", "mean", "std")]
-    entries += [entry(f.name, "missing", F.col(f"`{f.name}__missing`")) for f in fields]
-    parts = [row.select(F.inline(F.array(*entries)))]
+    stack = f"stack({len(entries)}, {', '.join(entries)}) AS (column, stat, item, value)"
+    parts = [row.select(F.expr(stack))]
     if num:
         parts.append(exact_medians(df, num).select("column", F.lit("median").alias("stat"), none.alias("item"),
                                                    F.col("median").alias("value")))

@@ -26,6 +26,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # PySpark records the Python call site of every Column call for error messages;
+    # that costs a JVM round trip per call when building large plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
