@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from capforge.functions.scalar import round_doubles
 from capforge.operators import ranking as K

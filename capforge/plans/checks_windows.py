@@ -8,7 +8,6 @@ before ``p`` inside ``(p.Date - n days, p.Date]``; future max joins rows in
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from capforge.functions.scalar import round_doubles
 from capforge.operators import windows as W

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from capforge.plans import lifecycle as L
 from capforge.plans.fixtures import device_metrics

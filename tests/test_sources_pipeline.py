@@ -2,7 +2,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from capforge.plans import pipeline as PL
 from capforge.operators import ranking as K
