@@ -85,3 +85,12 @@ def test_top_values_plan_limits_before_shuffle(spark):
     _, df = sample(spark)
     plan = P.top_values(df, 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_approx_profiles_are_close(spark):
+    pdf, df = sample(spark)
+    got = {r.column: r for r in P.profile_numeric(df, approx=True).collect()}
+    assert got["a"].median == pytest.approx(pdf["a"].median(), rel=0.01)
+    assert got["a"].mean == pytest.approx(pdf["a"].mean())
+    uc = {r.column: r.unique_count for r in P.profile_categorical(df, approx=True).collect()}
+    assert uc["cat"] == pdf["cat"].nunique()

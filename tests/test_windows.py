@@ -166,3 +166,22 @@ def test_nan_value_is_missing_like_null(spark):
     pd.testing.assert_frame_equal(a, b)
     assert a.loc[2, "Date_Value_Last_28Days_SDev"] == 0.0  # previous window holds one present value -> std undefined -> 0
     compare(spark, base)
+
+
+@pytest.mark.parametrize("stat,method", [("max", "max"), ("min", "min"), ("sum", "sum"), ("mean", "mean"),
+                                         ("std", "std"), ("median", "median")])
+def test_rolling_stat_matches_pandas_rolling(spark, stat, method):
+    rng = np.random.default_rng(3)
+    rows = [dev(i, T0 + dt.timedelta(hours=int(h)), float(rng.integers(0, 50)), str(i % 2))
+            for i, h in enumerate(sorted(rng.integers(0, 24 * 40, 120)))]
+    got = W.rolling_stat(frame(spark, rows), days=7, stat=stat, tiebreak=["event_id"]).toPandas()
+    got = got.set_index("event_id")[f"Value_Last_7Days_{stat.capitalize()}"]
+    pdf = pd.DataFrame(rows, columns=["Type", "Application", "IP", "Date", "Value", "event_id"])
+    want = {}
+    for _, g in pdf.groupby("IP"):
+        g = g.sort_values(["Date", "event_id"]).set_index("Date")
+        r = getattr(g["Value"].rolling("7D"), method)()
+        want.update(dict(zip(g["event_id"], r.to_numpy())))
+    ids = sorted(want)
+    np.testing.assert_allclose(got.loc[ids].to_numpy(dtype=float), np.array([want[i] for i in ids], dtype=float),
+                               rtol=1e-9, atol=1e-9, equal_nan=True)
