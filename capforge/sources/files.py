@@ -79,19 +79,32 @@ def infer_types(text: DataFrame) -> dict[str, str]:
     return out
 
 
-def scan_table(spark: SparkSession, name_or_path: str) -> DataFrame:
-    """A stored table by catalog name, or a parquet folder by path (row 2)."""
+def scan_table(spark: SparkSession, name_or_path: str = "", format: str | None = None, **options) -> DataFrame:
+    """A stored table (row 2): catalog name, parquet folder, or any Spark source.
+
+    ``format`` + ``options`` read through ``spark.read.format(...)``, e.g. the
+    reference's relational tables with ``format="jdbc", url=..., dbtable=...``
+    (add ``partitionColumn/lowerBound/upperBound/numPartitions`` to read in parallel).
+    """
+    if format:
+        reader = spark.read.format(format).options(**options)
+        return reader.load(name_or_path) if name_or_path else reader.load()
     if "/" in name_or_path or name_or_path.endswith(".parquet"):
         return spark.read.parquet(name_or_path)
     return spark.table(name_or_path)
 
 
-def sink_table(df: DataFrame, name_or_path: str, partition_by: Sequence[str] = ()) -> None:
-    """Write, replacing the table (row 3). Path → parquet folder; name → catalog table."""
+def sink_table(df: DataFrame, name_or_path: str = "", partition_by: Sequence[str] = (), format: str | None = None,
+               **options) -> None:
+    """Write, replacing the table (row 3). Path → parquet folder; name → catalog table;
+    ``format`` + ``options`` → any Spark sink (e.g. ``jdbc``)."""
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    if "/" in name_or_path:
+    if format:
+        w = w.format(format).options(**options)
+        w.save(name_or_path) if name_or_path else w.save()
+    elif "/" in name_or_path:
         w.parquet(name_or_path)
     else:
         w.format("parquet").saveAsTable(name_or_path)

@@ -138,3 +138,11 @@ def test_purge_project_tables_and_upload_run(spark, scratch):
     assert out.count() == 2
     r = spark.read.parquet(runs).collect()[0]
     assert r.status == "UPLOADED" and r.project_id == "p2" and r.created_at is not None
+
+
+def test_generic_source_and_sink_formats(spark, scratch):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string")
+    p = scratch("fmt")
+    IO.sink_table(df, p, format="csv", header="true")
+    back = IO.scan_table(spark, p, format="csv", header="true", inferSchema="true")
+    assert sorted((r.id, r.s) for r in back.collect()) == [(1, "a"), (2, "b")]
