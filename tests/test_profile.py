@@ -94,3 +94,22 @@ def test_approx_profiles_are_close(spark):
     assert got["a"].mean == pytest.approx(pdf["a"].mean())
     uc = {r.column: r.unique_count for r in P.profile_categorical(df, approx=True).collect()}
     assert uc["cat"] == pdf["cat"].nunique()
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.integers(-5, 5), st.floats(-1e6, 1e6, allow_nan=False)), min_size=0,
+                max_size=60), st.integers(1, 9))
+def test_exact_median_property(spark, values, parts):
+    df = spark.createDataFrame([(None if v is None else float(v), 1.0) for v in values], "v double, w double")
+    got = {r.column: r.median for r in P.exact_medians(df, ["v", "w"], partitions=parts).collect()}
+    present = [float(v) for v in values if v is not None]
+    want = float(np.median(present)) if present else None
+    if want is None:
+        assert got["v"] is None
+    else:
+        assert got["v"] == pytest.approx(want, rel=1e-12, abs=1e-12)
+    assert got["w"] == (1.0 if values else None)
