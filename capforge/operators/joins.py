@@ -19,17 +19,9 @@ HOST_METRICS = ("core_number", "cpu_usage_percentage", "memory_number", "memory_
 GAP_COLUMNS = ("hostname", "host_id", "datetime_1", "datetime_2", *[f"{m}_avg" for m in HOST_METRICS])
 
 
-def gap_join(df: DataFrame, gap_days: int = 2, host_id: int | None = None,
-             host_col: str = "hostname", ts_col: str = "datetime",
-             metrics: Sequence[str] = HOST_METRICS) -> DataFrame:
-    """Pair each host row at ``t`` with the same host's rows at exactly ``t + gap`` (row 24).
-
-    Left outer: unmatched rows are kept with NULL partner columns; duplicate
-    ``(host, t)`` keys multiply; a NULL host id never matches. The right side is
-    projected to ``t - gap`` so the condition is a plain equi-join on
-    ``(host_id, t)``: both sides hash-partition on the pair, so one busy host
-    is spread over partitions by time.
-    """
+def _gap_sides(df: DataFrame, gap_days: int, host_id: int | None, host_col: str, ts_col: str,
+               metrics: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Left rows ``(hostname, host_id, __t, metrics)`` and right rows keyed ``(__rh, __rt = t - gap)``."""
     base = df.select(F.col(host_col).alias("hostname"), S.host_id(host_col).alias("host_id"),
                      F.col(ts_col).alias("__t"), *[F.col(m).cast("double").alias(m) for m in metrics])
     if host_id is not None:
@@ -38,12 +30,31 @@ def gap_join(df: DataFrame, gap_days: int = 2, host_id: int | None = None,
     right = (base.filter(F.col("host_id").isNotNull() & F.col("__t").isNotNull())
                  .select(F.col("host_id").alias("__rh"), (F.col("__t") - shift).alias("__rt"),
                          F.col("__t").alias("datetime_2"), *[F.col(m).alias(f"__r_{m}") for m in metrics]))
-    j = base.join(right, (F.col("host_id") == F.col("__rh")) & (F.col("__t") == F.col("__rt")), "left")
+    return base, right
+
+
+def _pair(left: DataFrame, right: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    j = left.join(right, (F.col("host_id") == F.col("__rh")) & (F.col("__t") == F.col("__rt")), "left")
     return j.select(
         "hostname", "host_id", F.col("__t").alias("datetime_1"), "datetime_2",
         *[((F.col(m) + F.col(f"__r_{m}")) / F.lit(2.0)).alias(f"{m}_avg") for m in metrics])
 
 
+def gap_join(df: DataFrame, gap_days: int = 2, host_id: int | None = None,
+             host_col: str = "hostname", ts_col: str = "datetime",
+             metrics: Sequence[str] = HOST_METRICS) -> DataFrame:
+    """Pair each host row at ``t`` with the same host's rows at exactly ``t + gap`` (row 24).
+
+    Left outer: unmatched rows are kept with NULL partner columns; duplicate
+    ``(host, t)`` keys multiply; a NULL host id never matches. The right side is
+    projected to ``t - gap`` so the condition is a plain equi-join on
+    ``(host_id, t)``: both sides hash-partition on the pair, so one busy host
+    is spread over partitions by time.
+    """
+    left, right = _gap_sides(df, gap_days, host_id, host_col, ts_col, metrics)
+    return _pair(left, right, metrics)
+
+
 def sort_gap_rows(df: DataFrame) -> DataFrame:
     """Host id, then time, NULLs last; the remaining columns make the order unique."""
     first = [F.col("host_id").asc_nulls_last(), F.col("datetime_1").asc_nulls_last()]
@@ -51,27 +62,51 @@ def sort_gap_rows(df: DataFrame) -> DataFrame:
     return df.orderBy(*first, *rest)
 
 
+def gap_row_count(df: DataFrame, gap_days: int = 2, host_id: int | None = None, host_col: str = "hostname",
+                  ts_col: str = "datetime") -> DataFrame:
+    """Number of ``gap_join`` rows without building them: each left row counts its partners, at least 1.
+
+    The right side is first counted per key (partial aggregation), so duplicated
+    keys never multiply here. → one row ``row_count``.
+    """
+    left, right = _gap_sides(df, gap_days, host_id, host_col, ts_col, ())
+    partners = right.groupBy("__rh", "__rt").agg(F.count(F.lit(1)).alias("__n"))
+    j = left.join(partners, (F.col("host_id") == F.col("__rh")) & (F.col("__t") == F.col("__rt")), "left")
+    return j.agg(F.coalesce(F.sum(F.coalesce(F.col("__n"), F.lit(1))), F.lit(0)).cast("long").alias("row_count"))
+
+
 def gap_report(df: DataFrame, columns: str | Iterable[str], gap_days: int = 2, host_id: int | None = None,
-               n: int = 20) -> DataFrame:
+               n: int = 20, metrics: Sequence[str] = HOST_METRICS) -> DataFrame:
     """``gap_join`` + full row count + the first ``n`` rows of the requested columns (row 25).
 
-    The first rows are a top-n (no full sort); the count is a separate one-row
-    aggregate attached to every reported row as ``row_count``, with ``gap_days`` and
+    The first ``n`` output rows can only come from left rows whose ``(host_id, t)``
+    is at most the ``n``-th smallest left key (every left row yields at least one
+    output row): that key is found with a top-n, and only those left rows and the
+    right rows with keys up to it are joined and sorted. The count is
+    ``gap_row_count`` (no pairs built). Every reported row carries ``row_count``, ``gap_days`` and
     ``host_id_filter`` (``all`` when no host is given).
     """
     from capforge.operators.relational import parse_column_list, select_requested
 
-    joined = gap_join(df, gap_days, host_id)
-    top = sort_gap_rows(joined).limit(n)
-    count = joined.agg(F.count(F.lit(1)).alias("row_count")).select(
-        F.lit(int(gap_days)).alias("gap_days"),
-        F.lit("all" if host_id is None else str(host_id)).alias("host_id_filter"), "row_count")
+    left, right = _gap_sides(df, gap_days, host_id, "hostname", "datetime", metrics)
+    # Sort key of a left row in report order (NULLs last). The n-th smallest key is a
+    # threshold: all earlier keys and every tie of it are the only left rows that can
+    # reach the first n report rows (each left row yields at least one).
+    lkey = F.struct(F.col("host_id").isNull(), F.col("host_id"), F.col("__t").isNull(), F.col("__t"))
+    rkey = F.struct(F.lit(False), F.col("__rh"), F.lit(False), F.col("__rt"))
+    first = left.select(lkey.alias("__k")).orderBy("__k").limit(int(n))
+    threshold = first.agg(F.max("__k").alias("__th"))  # one row
+    head = left.crossJoin(F.broadcast(threshold)).filter(lkey <= F.col("__th")).drop("__th")
+    right_head = right.crossJoin(F.broadcast(threshold)).filter(rkey <= F.col("__th")).drop("__th")
+    top = sort_gap_rows(_pair(head, right_head, metrics)).limit(int(n))
     rank_cols = [F.col("host_id").asc_nulls_last(), F.col("datetime_1").asc_nulls_last()] + [
-        F.col(c).asc_nulls_last() for c in joined.columns if c not in ("host_id", "datetime_1")]
+        F.col(c).asc_nulls_last() for c in top.columns if c not in ("host_id", "datetime_1")]
     # numbering the n reported rows (a window over at most n rows)
     top = top.withColumn("row_number", F.row_number().over(Window.orderBy(*rank_cols)))
-    fields = parse_column_list(columns)
-    picked = select_requested(top, fields + ["row_number"])
+    count = gap_row_count(df, gap_days, host_id).select(
+        F.lit(int(gap_days)).alias("gap_days"),
+        F.lit("all" if host_id is None else str(host_id)).alias("host_id_filter"), "row_count")
+    picked = select_requested(top, parse_column_list(columns) + ["row_number"])
     return picked.crossJoin(F.broadcast(count))
 
 

@@ -85,3 +85,12 @@ def test_purge_project(spark):
     out = J.purge_project("p1", {"datasets": (ds, "project_id")}, {"engineered": (eng, "dataset_id", "datasets")})
     assert sorted(r.id for r in out["datasets"].collect()) == ["d2", "d3"]
     assert sorted(r.dataset_id for r in out["engineered"].collect()) == ["d2", "d9"]
+
+
+def test_gap_row_count_and_report_with_null_hosts(spark):
+    h = hosts(spark)
+    for gap in (0, 2, -2):
+        assert J.gap_row_count(h, gap).collect()[0].row_count == J.gap_join(h, gap).count()
+    rep = J.gap_report(h, "hostname,host_id,datetime_2", 0, n=50).collect()
+    assert len(rep) == J.gap_join(h, 0).count() == rep[0].row_count == 7
+    assert [r.host_id for r in sorted(rep, key=lambda r: r.row_number)][-1] is None  # NULL host last
