@@ -77,8 +77,13 @@ def q_top_values(spark, sf_dir):
     return P.top_values(profiled(spark, sf_dir), 5)
 
 
+FLOATING = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_discount_gap", "const_one")
+
+
 def _missing_sql():
-    return _union([f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} IS NULL{' OR isnan(' + c + ')' if c in ('l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_discount_gap', 'const_one') else ''}) AS missing
+    def cond(c):
+        return f"{c} IS NULL OR isnan({c})" if c in FLOATING else f"{c} IS NULL"
+    return _union([f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {cond(c)}) AS missing
        FROM {BASE_SQL} b""" for c in ALL])
 
 
