@@ -146,3 +146,21 @@ def test_generic_source_and_sink_formats(spark, scratch):
     IO.sink_table(df, p, format="csv", header="true")
     back = IO.scan_table(spark, p, format="csv", header="true", inferSchema="true")
     assert sorted((r.id, r.s) for r in back.collect()) == [(1, "a"), (2, "b")]
+
+
+def test_date_conversion_modes(spark):
+    df = spark.createDataFrame([("02/01/2024 10:30", dt.datetime(2024, 1, 2, 10, 30))], "s string, t timestamp_ntz")
+    r = PL.step_date_conversion(df, "s", to="timestamp", format="dd/MM/yyyy HH:mm", name="ts").collect()[0]
+    assert r.ts == dt.datetime(2024, 1, 2, 10, 30)
+    r = PL.step_date_conversion(df, "t", to="date", name="d").collect()[0]
+    assert r.d == dt.date(2024, 1, 2)
+    r = PL.step_date_conversion(df, "t", to="trunc", unit="hour", name="h").collect()[0]
+    assert r.h == dt.datetime(2024, 1, 2, 10, 0)
+    with pytest.raises(ValueError):
+        PL.step_date_conversion(df, "t", to="weekday")
+
+
+def test_params_frame_is_one_row(spark):
+    from capforge.operators.joins import params_frame
+    rows = params_frame(spark, {"gap_days": 2, "filter_host_id": None, "label": "x", "rate": 0.5}).collect()
+    assert len(rows) == 1 and rows[0].gap_days == 2 and rows[0].filter_host_id is None and rows[0].rate == 0.5
