@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # remove checkpoint files (hot-device blocks, table rewrites) once nothing refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
     # PySpark records the Python call site of every Column call for error messages;
     # that costs a JVM round trip per call when building large plans.
@@ -50,7 +52,7 @@ def get_session(master: str | None = None, app_name: str = "capforge",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     for k, v in conf.items():
-        if not k.startswith("spark.ui") and not k.startswith("spark.driver"):
+        if not k.startswith(("spark.ui", "spark.driver", "spark.cleaner")):
             try:
                 spark.conf.set(k, v)
             except Exception:  # static conf of an existing session
