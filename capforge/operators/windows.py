@@ -103,11 +103,29 @@ def _frame_bounds(f: Frame) -> tuple[int, int]:
     raise ValueError(f"unknown frame direction: {f.direction}")
 
 
-def _own_expr(f: Frame, wk) -> Column:
-    """The frame's aggregate over the window ending at (past) / starting after (future) the row."""
-    if f.stat == "value":
-        return F.col(f.source)
-    return _agg(f.stat, f.source, wk.rangeBetween(*_frame_bounds(f)))
+def _own_columns(frames: Sequence[Frame], wk) -> tuple[list[Column], list[Column]]:
+    """Window aggregates (each distinct function/column/frame once) and the per-frame
+    values built from them: ``__own_i`` for shifted frames, the frame name otherwise."""
+    base: dict = {}
+    windowed: list[Column] = []
+
+    def agg(stat: str, f: Frame) -> Column:
+        key = (stat, f.source, _frame_bounds(f))
+        if key not in base:
+            base[key] = f"__a{len(base)}"
+            windowed.append(_agg(stat, f.source, wk.rangeBetween(*_frame_bounds(f))).alias(base[key]))
+        return F.col(base[key])
+
+    own = []
+    for i, f in enumerate(frames):
+        if f.stat == "value":
+            c = F.col(f.source)
+        elif f.stat == "range":
+            c = agg("max", f) - agg("min", f)
+        else:
+            c = agg(f.stat, f)
+        own.append(c.alias(f"__own_{i}" if f.shift else f.name))
+    return windowed, own
 
 
 def _default_tiebreak(df: DataFrame, keys: Sequence[str], ts: str) -> list[str]:
@@ -215,9 +233,8 @@ def _framed_plain(d: DataFrame, keys: list[str], ts: str, frames: Sequence[Frame
     d = d.withColumn(_BASE, F.first(micros).over(pos))
     d = d.withColumn(_K, _guarded_key(micros - F.col(_BASE), F.col(_TIE)))
     wk = Window.partitionBy(*keys).orderBy(F.col(_K))
-    own = [_own_expr(f, wk).alias(
-        f"__own_{i}" if f.shift else f.name) for i, f in enumerate(frames)]
-    d = d.select("*", *own)
+    windowed, own = _own_columns(frames, wk)
+    d = d.select("*", *windowed).select("*", *own)
     shifted = [F.lag(F.col(f"__own_{i}"), 1).over(wk).alias(f.name) for i, f in enumerate(frames) if f.shift]
     return d.select("*", *shifted)
 
@@ -240,9 +257,8 @@ def _framed_blocked(d: DataFrame, keys: list[str], ts: str, frames: Sequence[Fra
     d = d.withColumn(_OWN, F.col(_BLK) == F.col(_OWNB))
     wk = Window.partitionBy(*parts).orderBy(F.col(_K))
     shifted = [(i, f) for i, f in enumerate(frames) if f.shift]
-    own = [_own_expr(f, wk).alias(
-        f"__own_{i}" if f.shift else f.name) for i, f in enumerate(frames)]
-    d = d.select("*", *own)
+    windowed, own = _own_columns(frames, wk)
+    d = d.select("*", *windowed).select("*", *own)
     if not shifted:
         return d.filter(F.col(_OWN))
     packed = F.struct(*[F.col(f"__own_{i}").alias(f"f{i}") for i, _ in shifted])
