@@ -10,15 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from capforge.functions.fixed import PANDAS_NULL_TOKENS  # noqa: F401  (re-exported)
+
 DAY_MICROS = 86_400_000_000
 
-# The cell texts pandas ``read_csv`` treats as missing by default
-# (its documented ``na_values`` list). The CSV reader turns these into NULL.
-PANDAS_NULL_TOKENS = (
-    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
-    "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
-    "n/a", "nan", "null",
-)
 
 def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -64,7 +59,9 @@ def table_suffix(c) -> Column:
 
 def model_label(task_col, id_col) -> Column:
     """``<TaskTitle>Model-<first 6 chars of id>``, e.g. ``ClassificationModel-1a2b3c``."""
-    return F.concat(F.initcap(col_of(task_col)), F.lit("Model-"), F.substring(col_of(id_col), 1, 6))
+    from capforge.functions.fixed import MODEL_ID_CHARS, MODEL_NAME_INFIX
+    return F.concat(F.initcap(col_of(task_col)), F.lit(MODEL_NAME_INFIX),
+                    F.substring(col_of(id_col), 1, MODEL_ID_CHARS))
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:

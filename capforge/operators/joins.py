@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from capforge.functions import fixed as FX
 from capforge.functions import scalar as S
 
 HOST_METRICS = ("core_number", "cpu_usage_percentage", "memory_number", "memory_usage_percentage")
@@ -40,7 +41,7 @@ def _pair(left: DataFrame, right: DataFrame, metrics: Sequence[str]) -> DataFram
         *[((F.col(m) + F.col(f"__r_{m}")) / F.lit(2.0)).alias(f"{m}_avg") for m in metrics])
 
 
-def gap_join(df: DataFrame, gap_days: int = 2, host_id: int | None = None,
+def gap_join(df: DataFrame, gap_days: int = FX.GAP_DAYS, host_id: int | None = None,
              host_col: str = "hostname", ts_col: str = "datetime",
              metrics: Sequence[str] = HOST_METRICS) -> DataFrame:
     """Pair each host row at ``t`` with the same host's rows at exactly ``t + gap`` (row 24).
@@ -62,7 +63,7 @@ def sort_gap_rows(df: DataFrame) -> DataFrame:
     return df.orderBy(*first, *rest)
 
 
-def gap_row_count(df: DataFrame, gap_days: int = 2, host_id: int | None = None, host_col: str = "hostname",
+def gap_row_count(df: DataFrame, gap_days: int = FX.GAP_DAYS, host_id: int | None = None, host_col: str = "hostname",
                   ts_col: str = "datetime") -> DataFrame:
     """Number of ``gap_join`` rows without building them: each left row counts its partners, at least 1.
 
@@ -75,8 +76,8 @@ def gap_row_count(df: DataFrame, gap_days: int = 2, host_id: int | None = None,
     return j.agg(F.coalesce(F.sum(F.coalesce(F.col("__n"), F.lit(1))), F.lit(0)).cast("long").alias("row_count"))
 
 
-def gap_report(df: DataFrame, columns: str | Iterable[str], gap_days: int = 2, host_id: int | None = None,
-               n: int = 20, metrics: Sequence[str] = HOST_METRICS) -> DataFrame:
+def gap_report(df: DataFrame, columns: str | Iterable[str], gap_days: int = FX.GAP_DAYS,
+               host_id: int | None = None, n: int = FX.GAP_REPORT_ROWS, metrics: Sequence[str] = HOST_METRICS) -> DataFrame:
     """``gap_join`` + full row count + the first ``n`` rows of the requested columns (row 25).
 
     The first ``n`` output rows can only come from left rows whose ``(host_id, t)``

@@ -16,11 +16,12 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capforge.functions import fixed as FX
 from capforge.operators.metrics import auc, classification_metrics, regression_metrics
 from capforge.operators.relational import missing_columns
 from capforge.plans.pipeline import horizon_split
 
-GBT_DEFAULTS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "seed": 42}
+GBT_DEFAULTS = {"maxIter": FX.GBT_ROUNDS, "maxDepth": FX.GBT_DEPTH, "stepSize": FX.GBT_RATE, "seed": FX.SEED}
 
 
 def split_bucket(key: str | Column, seed: int = 42) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from capforge.functions import fixed as FX
 from capforge.functions.scalar import nan_to_null
 from capforge.operators.relational import numeric_columns
 
@@ -178,7 +179,7 @@ def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _long_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None,
+def top_values(df: DataFrame, k: int = FX.TOP_VALUES, columns: Sequence[str] | None = None,
                counts: DataFrame | None = None) -> DataFrame:
     """The ``k`` most frequent values per non-numeric column, NULL excluded (row 34).
 
@@ -202,7 +203,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return _unpivot_row(row, [f.name for f in fields], ["missing"])
 
 
-def dataset_statistics(df: DataFrame, k: int = 5) -> DataFrame:
+def dataset_statistics(df: DataFrame, k: int = FX.TOP_VALUES) -> DataFrame:
     """Rows 31–35 as one long table ``(column, stat, item, value)`` (row 36).
 
     stats: ``row_count``/``column_count`` (column ``*``), ``dtype`` (item = Spark type) for

@@ -7,9 +7,10 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capforge.functions import fixed as FX
 from capforge.operators.profile import target_correlation
 
-DROP_REASON = "Low correlation or outside top-k"  # fixed value: reason text stored with dropped features
+DROP_REASON = FX.DROP_REASON
 
 
 def _order(cols: Sequence[str | Column], descending: bool = False) -> list[Column]:
@@ -27,15 +28,15 @@ def sort_series(df: DataFrame, keys: Sequence[str] = ("Type", "Application", "IP
 
 
 def page(df: DataFrame, order: str = "created_at", tiebreak: str = "id", page_no: int = 1,
-         size: int = 10) -> DataFrame:
+         size: int = FX.PAGE_SIZE_DEFAULT) -> DataFrame:
     """Newest first, page ``page_no`` of ``size`` rows, with ``total``, ``page``, ``page_size``
     and ``total_pages`` (row 52).
 
     Planned as a top-(offset+size) with offset, not a full sort; the total is a
     one-row aggregate. A page past the end is empty.
     """
-    if not 1 <= int(size) <= 100:
-        raise ValueError("page size must be between 1 and 100")
+    if not FX.PAGE_SIZE_MIN <= int(size) <= FX.PAGE_SIZE_MAX:
+        raise ValueError(f"page size must be between {FX.PAGE_SIZE_MIN} and {FX.PAGE_SIZE_MAX}")
     if int(page_no) < 1:
         raise ValueError("page number starts at 1")
     rows = df.orderBy(F.col(order).desc_nulls_last(), F.col(tiebreak).asc_nulls_last()).offset(
@@ -46,10 +47,10 @@ def page(df: DataFrame, order: str = "created_at", tiebreak: str = "id", page_no
     return rows.crossJoin(F.broadcast(total))
 
 
-def preview(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+def preview(df: DataFrame, order: Sequence[str], n: int = FX.PREVIEW_ROWS) -> DataFrame:
     """First ``n`` rows after an explicit order (row 53): a top-n, no full sort."""
-    if not 1 <= int(n) <= 100:
-        raise ValueError("preview size must be between 1 and 100")
+    if not FX.PAGE_SIZE_MIN <= int(n) <= FX.PAGE_SIZE_MAX:
+        raise ValueError(f"preview size must be between {FX.PAGE_SIZE_MIN} and {FX.PAGE_SIZE_MAX}")
     return df.orderBy(*_order(order)).limit(int(n))
 
 
@@ -62,7 +63,7 @@ def _ranked_features(df: DataFrame, target: str, exclude: Sequence[str] = ()) ->
     return corr.withColumn("rank", F.row_number().over(w))
 
 
-def select_top_features(df: DataFrame, target: str, k: int = 10, exclude: Sequence[str] = ()) -> DataFrame:
+def select_top_features(df: DataFrame, target: str, k: int = FX.TOP_K, exclude: Sequence[str] = ()) -> DataFrame:
     """The ``k`` numeric columns with the largest |Pearson| against ``target`` (row 54).
 
     → ``(rank, feature, correlation)``; ties by name, undefined correlations last.
@@ -73,13 +74,13 @@ def select_top_features(df: DataFrame, target: str, k: int = 10, exclude: Sequen
     return r.filter(F.col("rank") <= int(k)).select("rank", "feature", "correlation")
 
 
-def dropped_features(df: DataFrame, target: str, k: int = 10, exclude: Sequence[str] = ()) -> DataFrame:
+def dropped_features(df: DataFrame, target: str, k: int = FX.TOP_K, exclude: Sequence[str] = ()) -> DataFrame:
     """The other numeric columns with the reason text (row 55) → ``(feature, reason)``."""
     r = _ranked_features(df, target, exclude)
     return r.filter(F.col("rank") > int(k)).select("feature", F.lit(DROP_REASON).alias("reason"))
 
 
-def selection_record(df: DataFrame, target: str, k: int = 10, exclude: Sequence[str] = ()) -> DataFrame:
+def selection_record(df: DataFrame, target: str, k: int = FX.TOP_K, exclude: Sequence[str] = ()) -> DataFrame:
     """One selection-run row: ``selected_features`` array and ``dropped_features`` array of structs."""
     r = _ranked_features(df, target, exclude)
     return r.agg(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from capforge.functions import fixed as FX
 from capforge.functions import scalar as S
 
 
@@ -94,10 +95,10 @@ def parse_dates(df: DataFrame, col: str, fmt: str | None = None, strict: bool =
     return df.withColumn(col, parsed)
 
 
-def date_offsets(df: DataFrame, col: str = "Date", days: Sequence[int] = (14, 21),
+def date_offsets(df: DataFrame, col: str = FX.TIME_COLUMN, days: Sequence[int] = tuple(d for _, d in FX.DATE_OFFSETS),
                  names: Sequence[str] | None = None) -> DataFrame:
     """``col + n days`` columns, named ``Date_Next_2Weeks`` / ``Date_Next_3Weeks`` for 14 / 21 (row 16)."""
-    default = {14: "Date_Next_2Weeks", 21: "Date_Next_3Weeks"}
+    default = {d: name for name, d in FX.DATE_OFFSETS}
     names = list(names) if names else [default.get(n, f"{col}_Plus_{n}Days") for n in days]
     return df.select("*", *[S.add_days(col, n).alias(nm) for n, nm in zip(days, names)])
 
@@ -114,7 +115,8 @@ def filter_optional(df: DataFrame, col: str, value=None) -> DataFrame:
     return df.filter(_c(col) == F.lit(value))
 
 
-def threshold_flags(df: DataFrame, col: str = "Value", high: float = 70.0, target: float = 80.0) -> DataFrame:
+def threshold_flags(df: DataFrame, col: str = FX.VALUE_COLUMN, high: float = FX.HIGH_THRESHOLD,
+                    target: float = FX.TARGET_THRESHOLD) -> DataFrame:
     """``col > high`` and ``col >= target`` as 0/1, missing → 0 (row 19)."""
     return df.select("*", S.above_flag(col, high).alias(f"{col}_Above_{_num(high)}"),
                      S.above_flag(col, target, inclusive=True).alias(f"{col}_AtLeast_{_num(target)}"))
@@ -158,7 +160,7 @@ def project_registry(datasets: DataFrame) -> DataFrame:
     """Dataset registry rows as feature-store entries (row 22)."""
     return datasets.select(
         F.col("id"), F.col("name"),
-        F.concat(F.lit("Filename: "), F.col("filename")).alias("description"),
+        F.concat(F.lit(FX.FILENAME_PREFIX), F.col("filename")).alias("description"),
         F.col("filename").alias("offline_dataset_path"),
         F.col("created_at"),
     )

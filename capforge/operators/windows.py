@@ -36,11 +36,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from capforge.functions import fixed as FX
 from capforge.functions.scalar import DAY_MICROS, above_flag, add_days, epoch_micros, floor_div, nan_to_null
 from capforge.operators.relational import fill_missing
 from capforge.session import ensure_checkpoint_dir
 
-DEVICE_KEYS = ("Type", "Application", "IP")
+DEVICE_KEYS = FX.DEVICE_KEYS
 
 # Rows that may share one (device, timestamp); the order key reserves this many
 # positions per microsecond. Exceeding it raises instead of computing wrong frames.
@@ -314,8 +315,8 @@ def future_max(df: DataFrame, keys=DEVICE_KEYS, ts="Date", v="Value", days: int
 def future_target(df: DataFrame, keys=DEVICE_KEYS, ts="Date", v="Value", days: int = 21,
                   threshold: float = 80.0, tiebreak=None, block_days=None) -> DataFrame:
     """``Target = future max >= threshold`` as INT (row 43)."""
-    out = future_max(df, keys, ts, v, days, tiebreak, block_days, name="Value_target_Max")
-    return out.withColumn("Target", above_flag("Value_target_Max", threshold, inclusive=True))
+    out = future_max(df, keys, ts, v, days, tiebreak, block_days, name=FX.FUTURE_MAX)
+    return out.withColumn(FX.TARGET, above_flag(FX.FUTURE_MAX, threshold, inclusive=True))
 
 
 def _past(df, keys, ts, v, frames, tiebreak, block_days):
@@ -391,18 +392,12 @@ def rolling_stat(df: DataFrame, keys=DEVICE_KEYS, ts="Date", col="Value", days:
     return framed(d, keys, ts, [Frame(name, col, stat, days, "past", False)], tiebreak, block_days)
 
 
-FEATURE_COLUMNS = (
-    "Value_target_Max", "Target", "Value_Last_1Day", "Value_Last_3Days",
-    "Date_Value_Last_28Days_SDev", "Date_Value_Last_28Days_Median",
-    "Date_Count_Value_Above_70_Last_3Days", "Date_Count_Value_Above_70_Last_7Days",
-    "Date_Count_Value_Above_70_Last_14Days", "Date_Count_Value_Above_70_Last_28Days",
-    "Date_MinMax_Range_Last_3Days", "Date_MinMax_Range_Last_7Days",
-    "Date_MinMax_Range_Last_14Days", "Date_MinMax_Range_Last_28Days",
-)
+FEATURE_COLUMNS = FX.FEATURE_COLUMNS
 
 
-def engineer_features(df: DataFrame, value_col: str = "Value", high: float = 70.0, target: float = 80.0,
-                      horizon_days: int = 21, keys: Sequence[str] = DEVICE_KEYS, ts: str = "Date",
+def engineer_features(df: DataFrame, value_col: str = FX.VALUE_COLUMN, high: float = FX.HIGH_THRESHOLD,
+                      target: float = FX.TARGET_THRESHOLD, horizon_days: int = FX.HORIZON_DAYS,
+                      keys: Sequence[str] = DEVICE_KEYS, ts: str = FX.TIME_COLUMN,
                       tiebreak: Sequence[str] | None = None, block_days: int | None = None,
                       hot_rows: int | None = None, hot_block_days: int | None = None) -> DataFrame:
     """The flagship device feature table (row 50).
@@ -419,24 +414,24 @@ def engineer_features(df: DataFrame, value_col: str = "Value", high: float = 70.
     d = _prepare(df, keys, value_col)
     if not isinstance(d.schema[ts].dataType, (T.TimestampType, T.TimestampNTZType)):
         d = d.withColumn(ts, F.to_timestamp_ntz(F.col(ts)))
-    d = (d.withColumn("Date_Next_2Weeks", add_days(ts, 14))
-          .withColumn("Date_Next_3Weeks", add_days(ts, 21))
-          .withColumn("__above", above_flag(value_col, high)))
+    for name, days in FX.DATE_OFFSETS:
+        d = d.withColumn(name, add_days(ts, days))
+    d = d.withColumn("__above", above_flag(value_col, high))
     v = value_col
     frames = [
-        Frame("Value_target_Max", v, "max", horizon_days, "future", False),
-        Frame("Value_Last_1Day", v, "max", 1),
-        Frame("Value_Last_3Days", v, "max", 3),
-        Frame("Date_Value_Last_28Days_SDev", v, "std", 28),
-        Frame("Date_Value_Last_28Days_Median", v, "median", 28),
-        *[Frame(f"Date_Count_Value_Above_70_Last_{n}Days", "__above", "sum", n) for n in (3, 7, 14, 28)],
-        *[Frame(f"Date_MinMax_Range_Last_{n}Days", v, "range", n) for n in (3, 7, 14, 28)],
+        Frame(FX.FUTURE_MAX, v, "max", horizon_days, "future", False),
+        Frame(FX.LAST_1_DAY, v, "max", 1),
+        Frame(FX.LAST_3_DAYS, v, "max", 3),
+        Frame(FX.SDEV_28_DAYS, v, "std", 28),
+        Frame(FX.MEDIAN_28_DAYS, v, "median", 28),
+        *[Frame(name, "__above", "sum", n) for name, n in FX.COUNT_ABOVE],
+        *[Frame(name, v, "range", n) for name, n in FX.MINMAX_RANGE],
     ]
     raw = [c for c in d.columns if c not in keys and c != ts and c != "__above"]
     tb = list(tiebreak) if tiebreak is not None else _default_tiebreak(d.drop("__above"), keys, ts)
     out = framed(d, keys, ts, frames, tb, block_days, hot_rows, hot_block_days)
-    out = out.withColumn("Value_target_Max", F.coalesce(F.col("Value_target_Max"), F.lit(0.0)))
-    out = out.withColumn("Target", above_flag("Value_target_Max", target, inclusive=True))
+    out = out.withColumn(FX.FUTURE_MAX, F.coalesce(F.col(FX.FUTURE_MAX), F.lit(0.0)))
+    out = out.withColumn(FX.TARGET, above_flag(FX.FUTURE_MAX, target, inclusive=True))
     out = out.select(F.col(ts), *[F.col(f"`{c}`") for c in raw], *[F.col(k) for k in keys],
                      *[F.col(c) for c in FEATURE_COLUMNS])
     return fill_missing(out, 0)

@@ -14,11 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capforge.functions.scalar import PANDAS_NULL_TOKENS
-
-# The texts pandas reads as booleans by default.
-TRUE_TOKENS = ("True", "TRUE", "true")
-FALSE_TOKENS = ("False", "FALSE", "false")
+from capforge.functions.fixed import FALSE_TOKENS, PANDAS_NULL_TOKENS, TRUE_TOKENS
 
 
 def _check_suffix(path: str) -> None:

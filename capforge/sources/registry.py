@@ -14,19 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from capforge.functions.fixed import DECLARED_TYPES
 from capforge.session import ensure_checkpoint_dir
 
-# Declared column types and the Spark types they map to.
-DECLARED_TYPES = {
-    "VARCHAR": "string",
-    "INTEGER": "int",
-    "FLOAT": "double",
-    "DATE": "date",
-    "JSONB": "string",
-    "JSON": "string",
-    "TIMESTAMPTZ": "timestamp",
-}
-
 REGISTRY_SCHEMAS = {
     "datasets": "id string, project_id string, name string, filename string, target_column string, "
                 "created_at timestamp",
