@@ -43,12 +43,19 @@ from capforge.session import ensure_checkpoint_dir
 
 DEVICE_KEYS = FX.DEVICE_KEYS
 
-# Rows that may share one (device, timestamp); the order key reserves this many
-# positions per microsecond. Exceeding it raises instead of computing wrong frames.
+# Rows that may share one (device, timestamp): the order key reserves M positions per
+# microsecond (k = µs·2M + tie). M is sized from the longest device span plus the longest
+# frame so that k ± frame stays inside BIGINT; this is the floor when nothing is known.
 MAX_TIES = 2048
-_STEP = 2 * MAX_TIES
-# (micros - base) * _STEP must stay inside BIGINT: about 71 years of span per device.
-_MAX_SPAN = (2**63 - 1) // _STEP - MAX_TIES
+_TIES_CAP = 1 << 24
+_LONG_MAX = 2**63 - 1
+
+
+def ties_for_span(span_micros: int, frame_micros: int) -> int:
+    """Largest tie budget M (at least ``MAX_TIES``) for which µs·2M + tie and every frame
+    offset stay inside BIGINT over ``span_micros`` of data."""
+    total = int(span_micros) + int(frame_micros) + 1
+    return max(MAX_TIES, min(_TIES_CAP, _LONG_MAX // (4 * total) - 1))
 
 _K, _TIE, _RN, _BASE, _BLK, _OWNB, _OWN, _FIRST, _LAG, _LAST, _PREV = (
     "__k", "__tie", "__rn", "__base", "__blk", "__ownb", "__own", "__first", "__lag", "__last", "__prev")
@@ -95,26 +102,26 @@ def _agg(stat: str, c: str, w) -> Column:
     raise ValueError(f"unknown window statistic: {stat}")
 
 
-def _frame_bounds(f: Frame) -> tuple[int, int]:
-    span = f.days * DAY_MICROS * _STEP
+def _frame_bounds(f: Frame, m: int) -> tuple[int, int]:
+    span = f.days * DAY_MICROS * 2 * m
     if f.direction == "past":
-        return -(span - MAX_TIES), 0
+        return -(span - m), 0
     if f.direction == "future":
-        return MAX_TIES, span + MAX_TIES
+        return m, span + m
     raise ValueError(f"unknown frame direction: {f.direction}")
 
 
-def _own_columns(frames: Sequence[Frame], wk) -> tuple[list[Column], list[Column]]:
+def _own_columns(frames: Sequence[Frame], wk, m: int) -> tuple[list[Column], list[Column]]:
     """Window aggregates (each distinct function/column/frame once) and the per-frame
     values built from them: ``__own_i`` for shifted frames, the frame name otherwise."""
     base: dict = {}
     windowed: list[Column] = []
 
     def agg(stat: str, f: Frame) -> Column:
-        key = (stat, f.source, _frame_bounds(f))
+        key = (stat, f.source, _frame_bounds(f, m))
         if key not in base:
             base[key] = f"__a{len(base)}"
-            windowed.append(_agg(stat, f.source, wk.rangeBetween(*_frame_bounds(f))).alias(base[key]))
+            windowed.append(_agg(stat, f.source, wk.rangeBetween(*_frame_bounds(f, m))).alias(base[key]))
         return F.col(base[key])
 
     own = []
@@ -141,12 +148,15 @@ def _check_ts(ts: str) -> Column:
     return F.when(c.isNull(), F.raise_error(F.lit(f"NULL value in time column '{ts}'"))).otherwise(c)
 
 
-def _guarded_key(span: Column, tie: Column) -> Column:
-    return (F.when(tie >= F.lit(MAX_TIES),
-                   F.raise_error(F.lit(f"more than {MAX_TIES} rows share one device timestamp")))
-             .when(F.abs(span) > F.lit(_MAX_SPAN),
-                   F.raise_error(F.lit("device series spans more than ~71 years; use block_days")))
-             .otherwise(span * F.lit(_STEP) + tie))
+def _guarded_key(span: Column, tie: Column, m: int, frame_micros: int) -> Column:
+    """k = span·2M + tie; raises instead of computing wrong frames when the tie budget or
+    BIGINT range (including the largest frame offset) would be exceeded."""
+    max_span = _LONG_MAX // (2 * m) - frame_micros - 1
+    return (F.when(tie >= F.lit(m),
+                   F.raise_error(F.lit(f"more than {m} rows share one device timestamp; use block_days")))
+             .when(F.abs(span) > F.lit(max_span),
+                   F.raise_error(F.lit("device series too long for the order key; use block_days")))
+             .otherwise(span * F.lit(2 * m) + tie))
 
 
 HOT_ROWS_CONF = "capforge.window.hotRows"
@@ -162,10 +172,6 @@ def _key_json(keys: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[F.col(k) for k in keys]))
 
 
-def _key_text(row) -> str:
-    return row["k"]
-
-
 def framed(df: DataFrame, keys: Sequence[str], ts: str, frames: Sequence[Frame],
            tiebreak: Sequence[str] | None = None, block_days: int | None = None,
            hot_rows: int | None = None, hot_block_days: int | None = None) -> DataFrame:
@@ -197,23 +203,33 @@ def framed(df: DataFrame, keys: Sequence[str], ts: str, frames: Sequence[Frame],
         hot_rows = int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
     if hot_block_days is None:
         hot_block_days = int(spark.conf.get(HOT_BLOCK_DAYS_CONF, str(DEFAULT_HOT_BLOCK_DAYS)))
+    frame_us = max([f.days for f in frames] or [0]) * DAY_MICROS
     if block_days:
         out = _framed_blocked(d, keys, ts, frames, tiebreak, int(block_days))
     elif hot_rows and hot_rows > 0:
-        # the heaviest devices above the limit (at most MAX_HOT_LIST; a top-n, no sort of all devices)
-        hot = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-                .filter(F.col("__rows") > F.lit(int(hot_rows)))
-                .orderBy(F.col("__rows").desc(), _key_json(keys)).limit(MAX_HOT_LIST))
-        found = [_key_text(r) for r in hot.select(_key_json(keys).alias("k")).collect()]
+        # One count per device (partial aggregation first) gives both the heaviest devices
+        # above the limit (at most MAX_HOT_LIST, a top-n) and the longest device span,
+        # which sizes the tie budget of the order key; one job, the aggregate is shared.
+        micros = epoch_micros(ts)
+        dev = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"),
+                                   (F.max(micros) - F.min(micros)).alias("__span"))
+        hot = (dev.filter(F.col("__rows") > F.lit(int(hot_rows)))
+                  .orderBy(F.col("__rows").desc(), _key_json(keys)).limit(MAX_HOT_LIST)
+                  .select(_key_json(keys).alias("k"), F.lit(None).cast("long").alias("span")))
+        widest = dev.agg(F.max("__span").alias("span")).select(F.lit(None).cast("string").alias("k"), "span")
+        got = hot.unionByName(widest).collect()
+        found = [r["k"] for r in got if r["k"] is not None]
+        span = max([r["span"] for r in got if r["k"] is None and r["span"] is not None] or [0])
+        m = ties_for_span(span, frame_us)
         if not found:
-            out = _framed_plain(d, keys, ts, frames, tiebreak)
+            out = _framed_plain(d, keys, ts, frames, tiebreak, m)
         else:
             is_hot = _key_json(keys).isin(found)
             sel = lambda x: x.select(*[F.col(f"`{c}`") for c in cols], *[F.col(f"`{f.name}`") for f in frames])
-            out = sel(_framed_plain(d.filter(~is_hot), keys, ts, frames, tiebreak)).unionByName(
+            out = sel(_framed_plain(d.filter(~is_hot), keys, ts, frames, tiebreak, m)).unionByName(
                 sel(_framed_blocked(d.filter(is_hot), keys, ts, frames, tiebreak, int(hot_block_days))))
     else:
-        out = _framed_plain(d, keys, ts, frames, tiebreak)
+        out = _framed_plain(d, keys, ts, frames, tiebreak, MAX_TIES)
     return out.select(*[F.col(f"`{c}`") for c in cols], *[F.col(f"`{f.name}`") for f in frames])
 
 
@@ -227,14 +243,15 @@ def _order_columns(d: DataFrame, parts: list[str], ts: str, tiebreak: list[str])
 
 
 def _framed_plain(d: DataFrame, keys: list[str], ts: str, frames: Sequence[Frame],
-                  tiebreak: list[str]) -> DataFrame:
+                  tiebreak: list[str], m: int = MAX_TIES) -> DataFrame:
     micros = epoch_micros(ts)
     pos = Window.partitionBy(*keys).orderBy(F.col(ts), *[F.col(c) for c in tiebreak])
     d = _order_columns(d, keys, ts, tiebreak)
     d = d.withColumn(_BASE, F.first(micros).over(pos))
-    d = d.withColumn(_K, _guarded_key(micros - F.col(_BASE), F.col(_TIE)))
+    frame_us = max([f.days for f in frames] or [0]) * DAY_MICROS
+    d = d.withColumn(_K, _guarded_key(micros - F.col(_BASE), F.col(_TIE), m, frame_us))
     wk = Window.partitionBy(*keys).orderBy(F.col(_K))
-    windowed, own = _own_columns(frames, wk)
+    windowed, own = _own_columns(frames, wk, m)
     d = d.select("*", *windowed).select("*", *own)
     shifted = [F.lag(F.col(f"__own_{i}"), 1).over(wk).alias(f.name) for i, f in enumerate(frames) if f.shift]
     return d.select("*", *shifted)
@@ -254,11 +271,14 @@ def _framed_blocked(d: DataFrame, keys: list[str], ts: str, frames: Sequence[Fra
                                                             floor_div(micros + F.lit(past - 1), block))))))
     parts = keys + [_BLK]
     d = _order_columns(d, parts, ts, tiebreak)
-    d = d.withColumn(_K, _guarded_key(micros - F.col(_BLK) * F.lit(block), F.col(_TIE)))
+    # keys are relative to the block start: |span| <= block + max(past, future), so the tie
+    # budget can be far larger than for a whole device
+    m = ties_for_span(block + max(past, future), max(past, future))
+    d = d.withColumn(_K, _guarded_key(micros - F.col(_BLK) * F.lit(block), F.col(_TIE), m, max(past, future)))
     d = d.withColumn(_OWN, F.col(_BLK) == F.col(_OWNB))
     wk = Window.partitionBy(*parts).orderBy(F.col(_K))
     shifted = [(i, f) for i, f in enumerate(frames) if f.shift]
-    windowed, own = _own_columns(frames, wk)
+    windowed, own = _own_columns(frames, wk, m)
     d = d.select("*", *windowed).select("*", *own)
     if not shifted:
         return d.filter(F.col(_OWN))

@@ -185,3 +185,11 @@ def test_rolling_stat_matches_pandas_rolling(spark, stat, method):
     ids = sorted(want)
     np.testing.assert_allclose(got.loc[ids].to_numpy(dtype=float), np.array([want[i] for i in ids], dtype=float),
                                rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
+def test_many_rows_on_one_timestamp(spark):
+    # 2 500 readings share one timestamp: more than the 2 048 floor of the tie budget
+    rows = [dev(i, T0 + D, float(i % 97), "1") for i in range(2500)]
+    rows += [dev(2500 + i, T0 + i * D / 3, float(i), "1") for i in range(6)]
+    got = compare(spark, rows)
+    assert len(got) == 2506
