@@ -207,20 +207,19 @@ def framed(df: DataFrame, keys: Sequence[str], ts: str, frames: Sequence[Frame],
     if block_days:
         out = _framed_blocked(d, keys, ts, frames, tiebreak, int(block_days))
     elif hot_rows and hot_rows > 0:
-        # One count per device (partial aggregation first) gives both the heaviest devices
-        # above the limit (at most MAX_HOT_LIST, a top-n) and the longest device span,
-        # which sizes the tie budget of the order key; one job, the aggregate is shared.
+        # One count per device (partial aggregation first) gives the longest device span,
+        # which sizes the tie budget of the order key, and the number of devices over the
+        # limit; only then are the heaviest of them (at most MAX_HOT_LIST, a top-n) listed.
         micros = epoch_micros(ts)
         dev = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"),
                                    (F.max(micros) - F.min(micros)).alias("__span"))
-        hot = (dev.filter(F.col("__rows") > F.lit(int(hot_rows)))
-                  .orderBy(F.col("__rows").desc(), _key_json(keys)).limit(MAX_HOT_LIST)
-                  .select(_key_json(keys).alias("k"), F.lit(None).cast("long").alias("span")))
-        widest = dev.agg(F.max("__span").alias("span")).select(F.lit(None).cast("string").alias("k"), "span")
-        got = hot.unionByName(widest).collect()
-        found = [r["k"] for r in got if r["k"] is not None]
-        span = max([r["span"] for r in got if r["k"] is None and r["span"] is not None] or [0])
-        m = ties_for_span(span, frame_us)
+        is_heavy = F.col("__rows") > F.lit(int(hot_rows))
+        stats = dev.agg(F.max("__span").alias("span"), F.count_if(is_heavy).alias("heavy")).first()
+        m = ties_for_span(stats["span"] or 0, frame_us)
+        found = []
+        if stats["heavy"]:  # second small job only when some device is over the limit
+            found = [r["k"] for r in dev.filter(is_heavy).orderBy(F.col("__rows").desc(), _key_json(keys))
+                     .limit(MAX_HOT_LIST).select(_key_json(keys).alias("k")).collect()]
         if not found:
             out = _framed_plain(d, keys, ts, frames, tiebreak, m)
         else:
