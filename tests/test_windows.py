@@ -193,3 +193,13 @@ def test_many_rows_on_one_timestamp(spark):
     rows += [dev(2500 + i, T0 + i * D / 3, float(i), "1") for i in range(6)]
     got = compare(spark, rows)
     assert len(got) == 2506
+
+
+def test_tie_budget_keeps_keys_and_frames_in_bigint():
+    day = W.DAY_MICROS
+    for span_days, frame_days in ((0, 28), (30, 28), (5 * 365, 28), (70 * 365, 28), (139, 49)):
+        m = W.ties_for_span(span_days * day, frame_days * day)
+        assert W.MAX_TIES <= m <= 1 << 24
+        largest = (span_days * day + frame_days * day) * 2 * m + m  # |k| + frame offset
+        assert largest < 2 ** 63 or m == W.MAX_TIES
+    assert W.ties_for_span(30 * day, 28 * day) > 100_000
