@@ -225,3 +225,12 @@ def q_dataset_statistics_documents(spark, sf_dir):
     {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}))
 def q_dataset_statistics_customer(spark, sf_dir):
     return round_doubles(P.dataset_statistics(table(spark, sf_dir, "customer")))
+
+
+@register("dataset_statistics_part", _profile_sql(
+    "part", ["p_partkey", "p_size", "p_retailprice"], ["p_name", "p_brand", "p_type"],
+    ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], ("p_retailprice",),
+    {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int",
+     "p_retailprice": "double"}))
+def q_dataset_statistics_part(spark, sf_dir):
+    return round_doubles(P.dataset_statistics(table(spark, sf_dir, "part")))
