@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from capforge.operators import profile as P
 from capforge.operators import ranking as K
@@ -113,3 +114,19 @@ def test_exact_median_property(spark, values, parts):
     else:
         assert got["v"] == pytest.approx(want, rel=1e-12, abs=1e-12)
     assert got["w"] == (1.0 if values else None)
+
+
+def test_correlation_matrix_wide_table(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    base = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+    cols = []
+    for i in range(30):
+        a, b = base[i % 5], base[(i * 3 + 1) % 5]
+        expr = f"CASE WHEN (l_orderkey + {i}) % 11 = 0 THEN NULL ELSE {a} * {i + 1} + {b} * {(i % 4) - 1.5} END"
+        cols.append(F.expr(expr).alias(f"c{i}"))
+    wide = li.select(*cols)
+    got = {(r.column_1, r.column_2): r.correlation for r in P.correlation_matrix(wide).collect()}
+    assert len(got) == 30 * 29 // 2
+    want = wide.toPandas().astype(float).corr()
+    for (a, b), v in got.items():
+        assert v == pytest.approx(want.loc[a, b], abs=1e-9), (a, b)
