@@ -58,3 +58,14 @@ def test_aggregates_are_partial_before_the_shuffle(spark):
     for name in ("classification_metrics", "step_aggregate", "child_count"):
         p = plan(E.queries()[name](spark, SF))
         assert "partial_" in p, name
+
+
+def test_gap_report_counts_partners_and_sorts_only_the_head(spark):
+    p = plan(E.queries()["gap_report"](spark, SF))
+    assert "TakeOrderedAndProject" in p and "partial_count" in p
+    assert "Exchange rangepartitioning" not in p  # no global sort of the joined rows
+
+
+def test_correlation_matrix_reads_the_table_once(spark):
+    p = plan(E.queries()["correlation_matrix"](spark, SF))
+    assert p.count("FileScan parquet") == 1 and "MapInPandas" in p
