@@ -164,3 +164,17 @@ def test_params_frame_is_one_row(spark):
     from capforge.operators.joins import params_frame
     rows = params_frame(spark, {"gap_days": 2, "filter_host_id": None, "label": "x", "rate": 0.5}).collect()
     assert len(rows) == 1 and rows[0].gap_days == 2 and rows[0].filter_host_id is None and rows[0].rate == 0.5
+
+
+def test_partitioned_sink_and_csv_with_schema(spark, scratch):
+    import os
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "b", None), (3, "a", 4.5)], "id int, g string, v double")
+    p = scratch("parts")
+    IO.sink_table(df, p, partition_by=["g"])
+    assert sorted(d for d in os.listdir(p.replace("file:", "")) if d.startswith("g=")) == ["g=a", "g=b"]
+    back = IO.scan_table(spark, p).filter("g = 'a'")
+    assert sorted(r.id for r in back.collect()) == [1, 3]
+    c = scratch("typed")
+    write_text(spark, c, "id,v,note", ["1,2.5,x", "2,NA,", "3,null,y"])
+    typed = IO.scan_csv(spark, c, schema="id int, v double, note string").orderBy("id").collect()
+    assert [(r.id, r.v, r.note) for r in typed] == [(1, 2.5, "x"), (2, None, None), (3, None, "y")]
