@@ -69,3 +69,8 @@ def test_gap_report_counts_partners_and_sorts_only_the_head(spark):
 def test_correlation_matrix_reads_the_table_once(spark):
     p = plan(E.queries()["correlation_matrix"](spark, SF))
     assert p.count("FileScan parquet") == 1 and "MapInPandas" in p
+
+
+def test_global_sort_is_range_partitioned(spark):
+    p = plan(E.queries()["sort_series"](spark, SF))
+    assert "Exchange rangepartitioning" in p and "SinglePartition" not in p
