@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from capforge.llm.common import table
 from capforge.llm.exact_dedup import exact_dedup
+from capforge.llm.mixing import mix_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +34,31 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 """)
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
+
+
+@register("op7_mix_sources", r"""
+WITH t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS hash FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+             1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM t GROUP BY source),
+o AS (SELECT *, row_number() OVER r AS i, sum(source_size) OVER () AS total,
+             coalesce(sum(3 * source_size) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
+             sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+      FROM s WINDOW r AS (ORDER BY source_size / weight::DOUBLE, weight, source NULLS LAST)),
+f AS (SELECT * FROM o WHERE (weight * (total - caps))::DOUBLE / weights < 3 * source_size ORDER BY i LIMIT 1),
+g AS (SELECT o.source, o.source_size,
+             CASE WHEN f.i IS NULL OR o.i < f.i THEN 3.0 * o.source_size::DOUBLE
+                  ELSE (o.weight * (f.total - f.caps))::DOUBLE / f.weights END AS target
+      FROM o LEFT JOIN f ON true),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM g),
+q AS (SELECT *, target - copies * source_size AS rest FROM p),
+c AS (SELECT t.source, t.hash AS cut, sum(size) OVER (PARTITION BY t.source ORDER BY t.hash) AS words FROM t
+      UNION ALL SELECT source, -1, 0 FROM s),
+b AS (SELECT q.source, first(c.cut ORDER BY abs(c.words - q.rest), c.words, c.cut) AS cut
+      FROM q JOIN c ON q.source IS NOT DISTINCT FROM c.source WHERE q.rest > 0 GROUP BY q.source)
+SELECT t.doc_id, t.size, q.source_size, q.target,
+       (t.size * (q.copies + CASE WHEN t.hash <= coalesce(b.cut, -1) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM t JOIN q ON t.source IS NOT DISTINCT FROM q.source LEFT JOIN b ON t.source IS NOT DISTINCT FROM b.source
+""")
+def op7_mix_sources(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
