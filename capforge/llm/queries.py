@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from capforge.llm.common import table
 from capforge.llm.exact_dedup import exact_dedup
 from capforge.llm.mixing import mix_sources
+from capforge.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,3 +63,8 @@ FROM t JOIN q ON t.source IS NOT DISTINCT FROM q.source LEFT JOIN b ON t.source
 """)
 def op7_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
