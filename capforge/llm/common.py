@@ -43,7 +43,8 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """A unique long per row: two rows that agree in every column still differ in it."""
+    """A unique long per row: two rows that agree in every column still differ in it. Store the result before
+    it is used twice: how a scan is split, and so these ids, can change when executors come or go."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -92,8 +92,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slo
 
 
 def keep_first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """The rows of ``docs`` (a stored table: it is scanned twice) that stay, with its columns."""
+    """The rows of ``docs`` that stay, with its columns."""
     rid = fresh(docs, "__rid")
-    rows = with_row_id(docs, rid)
+    rows = stored(with_row_id(docs, rid), "numbered")
     stays = exact_dedup(rows, doc_id, text, slots, rid).filter("kept").select(F.col("rid").alias(rid))
     return rows.join(stays, rid, "left_semi").select(*docs.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from capforge.llm.common import table
 from capforge.llm.exact_dedup import exact_dedup
 from capforge.llm.mixing import mix_sources
+from capforge.llm.ngram_join import ngram_jaccard
 from capforge.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +69,8 @@ def op7_mix_sources(spark, sf_dir):
 @register("op8_toxicity")
 def op8_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op1_ngram_jaccard")
+def op1_ngram_jaccard(spark, sf_dir):
+    return ngram_jaccard(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
