@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from typing import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from capforge.llm.common import table
 from capforge.llm.exact_dedup import exact_dedup
 from capforge.llm.mixing import mix_sources
 from capforge.llm.ngram_join import ngram_jaccard
+from capforge.llm.piece_codec import piece_digests
+from capforge.llm.token_counts import token_counts
 from capforge.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +77,13 @@ def op8_toxicity(spark, sf_dir):
 @register("op1_ngram_jaccard")
 def op1_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@register("op5_token_counts")
+def op5_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op6_piece_codec")
+def op6_piece_codec(spark, sf_dir):
+    return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
