@@ -14,6 +14,7 @@ from capforge.llm.ngram_join import ngram_jaccard
 from capforge.llm.piece_codec import piece_digests
 from capforge.llm.token_counts import token_counts
 from capforge.llm.toxicity import toxicity
+from capforge.llm.vector_topk import exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,3 +88,15 @@ def op5_token_counts(spark, sf_dir):
 @register("op6_piece_codec")
 def op6_piece_codec(spark, sf_dir):
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op10_exact_top_k", """
+WITH x AS (SELECT vec_id, [floor(256 * c::DOUBLE) for c in embedding] AS v FROM embeddings
+           WHERE len(embedding) > 0 AND len([c for c in embedding if c IS NOT NULL AND isfinite(c)]) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+      FROM x q JOIN x d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op10_exact_top_k(spark, sf_dir):
+    return exact_top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
