@@ -71,12 +71,13 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text, in order."""
     for _, part in slices(texts):
-        clean = pc.ascii_trim_whitespace(pc.ascii_lower(part.cast(pa.large_string())))
+        clean = pc.ascii_trim_whitespace(part.cast(pa.large_string()))
         words = pc.ascii_split_whitespace(clean)
         offsets = words.offsets.to_numpy().astype(np.int64)
         coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets = offsets - offsets[0]
-        lexicon = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()] or [0], np.uint64)
+        lexicon = np.array([xxhash.xxh64_intdigest(w.lower())  # of bytes: A-Z only
+                            for w in coded.dictionary.cast(pa.large_binary()).to_pylist()] or [0], np.uint64)
         h = lexicon[coded.indices.to_numpy()]
         m = max(0, len(h) - n + 1)
         rolled = np.zeros(m, np.uint64)
