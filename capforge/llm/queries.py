@@ -7,7 +7,7 @@ from typing import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from capforge.llm.common import table
+from capforge.llm.common import shared_path, table
 from capforge.llm.exact_dedup import exact_dedup
 from capforge.llm.mixing import mix_sources
 from capforge.llm.ngram_join import ngram_jaccard
@@ -15,6 +15,7 @@ from capforge.llm.piece_codec import piece_digests
 from capforge.llm.token_counts import token_counts
 from capforge.llm.toxicity import toxicity
 from capforge.llm.vector_topk import exact_top_k
+from capforge.llm.warc import read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,3 +101,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """)
 def op10_exact_top_k(spark, sf_dir):
     return exact_top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+@register("op4_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+                  sha1(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM w
+""")
+def op4_warc(spark, sf_dir):
+    path = shared_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
