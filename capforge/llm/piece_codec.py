@@ -173,26 +173,29 @@ def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame
     return encoded.withColumn("decoded", decode(F.col(ids)))
 
 
-def piece_digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def piece_digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode, project and decode like the two above in one pass, and keep digests: doc_id, n_tokens,
-    ids_sha256 (decimal ids joined by commas), decoded_sha256, spans_sha256 (begins, then ends, as int64)."""
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
+    ids_sha256 (decimal ids joined by commas), decoded_sha256, spans_sha256 (begins, then ends, as int64),
+    and the ids where ``keep_ids``."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"] + ["ids"] * keep_ids
 
     def sha(x: bytes) -> str:
         return hashlib.sha256(x).hexdigest()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
+        types = [pa.int64(), pa.string(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * keep_ids
         for batch in batches:
-            made = []
-            for t in batch.column(1).to_pylist():
-                ids, begins, ends = codec.encode(t)
-                made.append((len(ids), sha(codec.ids_text(ids).encode()), sha(codec.model.decode(ids).encode()),
-                             sha(begins.tobytes() + ends.tobytes())))
-            columns = list(zip(*made)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64())] + [
-                pa.array(c, pa.string()) for c in columns[1:]], names)
+            for i in range(0, batch.num_rows, 512):
+                part, made = batch.slice(i, 512), []
+                for t in part.column(1).to_pylist():
+                    ids, begins, ends = codec.encode(t)
+                    made.append((len(ids), sha(codec.ids_text(ids).encode()), sha(codec.model.decode(ids).encode()),
+                                 sha(begins.tobytes() + ends.tobytes())) + ((np.array(ids, np.int32),) if keep_ids else ()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0)] + [pa.array(c, t) for c, t in zip(zip(*made), types)], names)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(F.col(text)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(digest, f"doc_id {kind}, n_tokens long, " + ", ".join(f"{c} string" for c in names[2:]))
+    return rows.mapInArrow(digest, f"doc_id {kind}, n_tokens long, " + ", ".join(f"{c} string" for c in names[2:5])
+                           + ", ids array<int>" * keep_ids)

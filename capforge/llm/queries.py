@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from capforge.llm.common import shared_path, table
 from capforge.llm.exact_dedup import exact_dedup
+from capforge.llm.licences import KNOWN, known_licences, scan_licences
 from capforge.llm.mixing import mix_sources
 from capforge.llm.ngram_join import ngram_jaccard
 from capforge.llm.piece_codec import piece_digests
@@ -116,3 +117,45 @@ def op4_warc(spark, sf_dir):
     path = shared_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     return read_warc(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _licence_sql() -> str:
+    """The definition over single words: lines, then words, then spellings."""
+    def form(text: str) -> str:
+        return f"""trim(regexp_replace({spelled(f"""' ' || array_to_string([{line('l')} for l in string_split(
+            replace(replace({text}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))], ' ') || ' '""")}, ' +', ' ', 'g'))"""
+
+    def line(l: str) -> str:
+        return f"""CASE WHEN regexp_matches(lower({l}), '^[^a-z0-9]*(copyright|©|\\(c\\))[^a-z]*(\\(c\\)|©|[0-9]{{4}})') THEN ''
+            ELSE regexp_replace(lower({l}), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F«»“”„‘’‚…–—·•©®™]+', ' ', 'g') END"""
+
+    def spelled(words: str) -> str:
+        out = f"regexp_replace({words}, ' +', '  ', 'g')"
+        for stems, a, b in (("author|capital|categor|character|emphas|initial|maxim|minim|optim|organ|real|recogn|util",
+                             "is(e|ed|es|ing|ation|ations) ", "iz\\2 "), ("behavi|col|fav|hon|lab", "our", "or"),
+                            ("acknowledg|judg", "ement", "ment")):
+            out = f"regexp_replace({out}, ' ({stems}){a}', ' \\1{b}', 'g')"
+        out = f"regexp_replace({out}, ' +', ' ', 'g')"
+        for old, new in (("licenc", "licens"), (" whilst ", " while "), (" centre ", " center "), (" catalogue ", " catalog "),
+                         (" programme ", " program "), (" artefact", " artifact"), (" copyright owner", " copyright holder"),
+                         (" per cent ", " percent "), (" sub licens", " sublicens"), (" non commercial ", " noncommercial "),
+                         (" https ", " http ")):
+            out = f"replace({out}, '{old}', '{new}')"
+        return out
+
+    known = ", ".join("('" + k.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for k, v in sorted(KNOWN.items()))
+    return f"""
+WITH k AS (SELECT min(licence) AS licence, {form('text')} AS form FROM (VALUES {known}) v(licence, text) GROUP BY form),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT doc_id, {form('text')} AS form FROM d),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+s AS (SELECT l.doc_id, count(DISTINCT k.licence) AS n, min(k.licence) AS first
+      FROM l JOIN k ON {form('l.line')} = k.form GROUP BY l.doc_id)
+SELECT f.doc_id, CASE WHEN f.form <> '' THEN sha256(f.form) END AS canonical_sha256, k.licence,
+       coalesce(s.n, 0) AS n_stated, s.first AS first_stated
+FROM f LEFT JOIN k ON f.form = k.form LEFT JOIN s ON f.doc_id = s.doc_id"""
+
+
+@register("op2_licence_scan", _licence_sql())
+def op2_licence_scan(spark, sf_dir):
+    return scan_licences(table(spark, sf_dir, "documents"), known_licences(spark))
