@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capforge.llm.common import fresh, stored, text_or_empty, with_row_id
+from capforge.llm.common import fresh, mix, stored, text_or_empty, with_row_id
 
 BUCKETS = 1 << 16
 BLOOM_BITS = 1 << 23
@@ -50,13 +50,6 @@ TRIED = 2
 SLICE = 4_000_000
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (wrapping arithmetic)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     """(first row, part) of about ``SLICE`` bytes each."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -6,6 +6,7 @@ from typing import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from capforge.llm.common import shared_path, table
 from capforge.llm.exact_dedup import exact_dedup
@@ -15,6 +16,7 @@ from capforge.llm.ngram_join import ngram_jaccard
 from capforge.llm.piece_codec import piece_digests
 from capforge.llm.token_counts import token_counts
 from capforge.llm.toxicity import toxicity
+from capforge.llm.training_order import PER_SHARD, read_training_order, write_training_order
 from capforge.llm.vector_topk import exact_top_k
 from capforge.llm.warc import read_warc, write_warc
 
@@ -159,3 +161,14 @@ FROM f LEFT JOIN k ON f.form = k.form LEFT JOIN s ON f.doc_id = s.doc_id"""
 @register("op2_licence_scan", _licence_sql())
 def op2_licence_scan(spark, sf_dir):
     return scan_licences(table(spark, sf_dir, "documents"), known_licences(spark))
+
+
+@register("op3_training_order")
+def op3_training_order(spark, sf_dir):
+    path = shared_path(spark, "shards")
+    n = write_training_order(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                             public_tokenizers.PATTERN)
+    if not n:
+        return spark.createDataFrame([], "slot long, shard long, n_tokens long, ids_sha256 string")
+    return read_training_order(spark, path, ids=False).select(
+        "slot", F.floor(F.col("slot") / PER_SHARD).alias("shard"), "n_tokens", "ids_sha256")
