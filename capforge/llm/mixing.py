@@ -108,7 +108,8 @@ def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
                               word_count(F.col(text)).alias("size"), id_hash(F.col(doc_id), seed).alias("hash")), "sizes")
 
 
-COPIES = F.col("full") + F.when(F.col("hash") <= F.col("cut"), 1).otherwise(0)
+def copies(hash_: str, full: str, cut: str) -> Column:
+    return F.col(full) + F.when(F.col(hash_) <= F.col(cut), 1).otherwise(0)
 
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -116,21 +117,17 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     """One row per row of ``docs``: doc_id, size, source_size, target, taken (words, repeats counted), copies."""
     rows = mix_rows(docs, doc_id, text, source, seed)
     plan = cuts(rows, source_targets(rows, most))
+    n = copies("hash", "full", "cut")
     return join_per_key(rows, plan, "source").select(
-        "doc_id", "size", "source_size", "target", (COPIES * F.col("size")).alias("taken"), COPIES.alias("copies"))
+        "doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"))
 
 
 def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
              most: int = MOST, seed: str = SEED) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with its columns; texts are not shuffled."""
     rows = mix_rows(docs, doc_id, text, source, seed)
-    plan = cuts(rows, source_targets(rows, most)).select(F.col("source").alias("__of"), "full", "cut")
-    names = {c: fresh(docs, f"__{c}") for c in ("source", "hash", "n")}
-    whole = docs.withColumn(names["source"], F.col(source)).withColumn(names["hash"], id_hash(F.col(doc_id), seed))
-    plan = plan.select(F.col("__of").alias(names["source"]),
-                       F.struct("full", "cut").alias(fresh(whole, "__plan")))
-    picked = plan.columns[1]
-    copies = F.col(picked + ".full") + F.when(F.col(names["hash"]) <= F.col(picked + ".cut"), 1).otherwise(0)
-    joined = join_per_key(whole, plan, names["source"])
-    return joined.withColumn(names["n"], F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(copies, F.lit(1).cast("long"))))).filter(
-        copies > 0).select(*docs.columns)
+    of, key, plan, n = (fresh(docs, f"__{c}") for c in ("source", "hash", "plan", "copy"))
+    per_source = cuts(rows, source_targets(rows, most)).select(F.col("source").alias(of), F.struct("full", "cut").alias(plan))
+    joined = join_per_key(docs.withColumn(of, F.col(source)).withColumn(key, id_hash(F.col(doc_id), seed)), per_source, of)
+    times = copies(key, plan + ".full", plan + ".cut")
+    return joined.filter(times > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
