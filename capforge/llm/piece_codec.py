@@ -18,6 +18,7 @@ import struct
 from typing import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,26 +103,36 @@ class Codec:
         source.append(np.arange(done, len(raw)))
         return b"".join(out), np.concatenate(source)
 
+    def leading(self, raw: bytes) -> int:
+        """How many bytes of the characters and keys at the start stand for single spaces."""
+        at = 0
+        while at < len(raw):
+            n = next((n for n in self.longest.get(raw[at], ()) if raw[at:at + n] in self.map), 1)
+            if self.map.get(raw[at:at + n], raw[at:at + n]) != b" ":
+                break
+            at += n
+        return at
+
     def normalise(self, raw: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised text and, for each of its bytes and its end, the original byte."""
-        text, source = self.mapped(raw)
-        x = np.frombuffer(text, np.uint8)
-        end = len(raw)
+        start, end = self.leading(raw) if self.collapse else 0, len(raw)
+        if start == end:
+            return b"", np.array([end])
+        text, source = self.mapped(raw[start:])
+        x, source = np.frombuffer(text, np.uint8), source + start
         if self.collapse:
             blank = x == 32
-            keep = ~(blank & np.concatenate([[True], blank[:-1]]))
-            last = np.flatnonzero(~blank)
-            if not len(last):
-                return b"", np.array([end])
-            end = int(source[last[-1] + 1]) if last[-1] + 1 < len(source) else end
-            keep[last[-1] + 1:] = False
+            keep = ~(blank & np.concatenate([[True], blank[:-1]])) if len(x) else blank
             x, source = x[keep], source[keep]
-        if not len(x):
-            return b"", np.array([end])
         source = np.repeat(source, np.where(x == 32, len(self.space), 1))
         text = x.tobytes().replace(b" ", self.space)
         if self.prefix:
-            text, source = self.space + text, np.concatenate([np.full(len(self.space), source[0]), source])
+            text, source = self.space + text, np.concatenate([np.full(len(self.space), start), source])
+        if self.collapse:
+            while text.endswith(self.space):
+                text = text[:-len(self.space)]
+                end = int(source[len(text)])
+            source = source[:len(text)]
         if self.suffix:
             text, source = text + self.space, np.concatenate([source, np.full(len(self.space), end)])
         return text, np.append(source, end)
@@ -165,7 +176,7 @@ def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame
     """``encoded`` with the library's decoding of ``ids`` as column decoded."""
 
     @F.pandas_udf("string")
-    def decode(batches: Iterator) -> Iterator:
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec(model)
         for batch in batches:
             yield batch.map(lambda x: codec.model.decode([int(i) for i in x]))

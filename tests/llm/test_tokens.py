@@ -75,7 +75,7 @@ def test_spans_tile_the_original(frame):
         raw, r = (t or "").encode(), rows[i]
         assert r.decoded == model.decode(list(r.ids))
         assert b"".join(raw[b:e] for b, e in zip(r.begins, r.ends)) == raw
-        pieces = [model.id_to_piece(k).replace("▁", " ") for k in r.ids]
+        pieces = [model.id_to_piece(int(k)).replace("▁", " ") for k in r.ids]
         for k, (piece, b, e) in enumerate(zip(pieces, r.begins, r.ends)):
             if not piece.startswith("<0x"):
                 assert raw[b:e].decode().replace("▁", " ") == (piece[1:] if k == 0 else piece)

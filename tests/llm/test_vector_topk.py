@@ -38,7 +38,7 @@ def test_random_with_ties_and_copies(spark, monkeypatch, k, cell):
     monkeypatch.setattr(V, "QUERY_BLOCK", 16)
     monkeypatch.setattr(V, "VECTOR_BLOCK", 40)
     rnd = random.Random(k)
-    base = [[rnd.choice([-1, -0.5, 0, 0.25, 0.5]) if i % 2 else rnd.uniform(-1, 1) for _ in range(6)] for i in range(120)]
+    base = [[rnd.choice([-1.0, -0.5, 0.0, 0.25, 0.5]) if i % 2 else rnd.uniform(-1, 1) for _ in range(6)] for i in range(120)]
     rows = [(i, list(v)) for i, v in enumerate(base)] + [(200 + i, list(base[0])) for i in range(60)]
     assert got(spark, rows, k, cell) == brute(rows, lambda i: i % 3 == 0, k)
 
