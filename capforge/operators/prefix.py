@@ -1,15 +1,13 @@
 """Distributed running counts over a global order.
 
-Exact medians and the rank-based AUC need, for each distinct value, how many
-rows lie below it. A window over the whole column would put every value into one
-task, so instead:
-
-1. range-partition the (already de-duplicated) rows by ``(group, order)``;
-2. sum each partition per group — at most ``partitions × groups`` rows;
-3. turn those partition sums into offsets with a window over that small table;
-4. add a running sum inside each partition and the partition's offset.
-
-Every step is a DataFrame operation; no task holds more than one range partition.
+A window over a whole column would put every value into one task, so instead:
+
+1. the (already de-duplicated) rows are range-sorted once and written with the number of the partition
+   that each row fell into; everything after reads that table, so a row's partition is a stored value
+   and not the outcome of another sampling of range bounds;
+2. each partition is summed per group (at most ``partitions x groups`` rows), and running sums over
+   these give every partition its offset;
+3. a running sum inside each stored partition is added to the partition's offset.
 """
 
 from __future__ import annotations
@@ -19,25 +17,24 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from capforge.session import materialised
+
 
-def running_counts(df: DataFrame, groups: Sequence[str], order: str, weight: str,
-                   partitions: int | None = None) -> DataFrame:
+def running_counts(df: DataFrame, groups: Sequence[str], order: str, weight: str) -> DataFrame:
     """Add ``__before``: sum of ``weight`` over rows of the same group ordered strictly before.
 
-    ``(groups, order)`` must be unique (aggregate first). ``partitions`` defaults
-    to ``spark.sql.shuffle.partitions``.
+    ``(groups, order)`` must be unique (aggregate first). The sorted rows are written to the shared folder.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = list(groups)
-    r = df.repartitionByRange(n, *[F.col(g) for g in groups], F.col(order)).withColumn(
-        "__pid", F.spark_partition_id())
-    sums = r.groupBy(*groups, "__pid").agg(F.sum(weight).alias("__psum"))
-    offsets = sums.select(*groups, "__pid", F.coalesce(F.sum("__psum").over(
-        Window.partitionBy(*groups).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("__offset"))
-    local = Window.partitionBy("__pid", *groups).orderBy(F.col(order)).rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("__local", F.coalesce(F.sum(weight).over(local), F.lit(0)))
-    # offsets has at most ``n × groups`` rows; callers pass few groups (one per column).
-    j = r.join(F.broadcast(offsets), on=[*groups, "__pid"], how="inner")
-    return j.withColumn("__before", F.col("__local") + F.col("__offset")).drop("__pid", "__local", "__offset")
+    rows = materialised(df.orderBy(*groups, order).withColumn("__part", F.spark_partition_id()), "sorted")
+    sums = rows.groupBy(*groups, "__part").agg(F.sum(weight).alias("__sum"))
+    upto = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(g).alias(f"__of_{g}") for g in groups], F.col("__part").alias("__of_part"),
+                          F.coalesce(F.sum("__sum").over(upto), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy(*groups, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("__local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    same = F.col("__part") == F.col("__of_part")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    joined = local.join(offsets, same)
+    return joined.withColumn("__before", F.col("__local") + F.col("__offset")).select(*df.columns, "__before")

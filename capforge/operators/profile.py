@@ -1,9 +1,9 @@
 """Table profiles and correlations.
 
 Every statistic over all columns is one aggregate pass (partial aggregation on
-the map side); results are unpivoted from that single row. Exact medians use
-distributed running counts (``prefix.running_counts``) instead of a single
-``percentile`` buffer, which would merge every distinct value in one task.
+the map side); results are unpivoted from that single row. Exact medians are
+bracketed by approximate percentiles and exact counts, and only the values in
+between are shuffled.
 """
 
 from __future__ import annotations
@@ -73,52 +73,90 @@ def table_metadata(df: DataFrame) -> DataFrame:
     return cols.crossJoin(F.broadcast(count))
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Exact median (mean of the two middle values) per column → ``(column, median)``.
+#: Rows that may lie between a median's bounds before its values are counted.
+INSIDE_ROWS = 2_000_000
+
 
-    No task sorts a whole column:
+def _brackets(df: DataFrame, columns: Sequence[str]) -> list[tuple[int, int, float, float] | None]:
+    """For each column (present rows, rows below lo, lo, hi) with both middle values in [lo, hi].
 
-    1. values are counted per distinct ``(column, value)`` (partial aggregation first);
-    2. those rows are range-partitioned by ``(column, value)``; per-partition
-       sums (``partitions × columns`` rows) give each partition's rank offset;
-    3. only the partitions holding a column's middle ranks (at most two per
-       column) are ranked inside with a running count; the rows whose rank span
-       holds the middle ranks give the median.
+    Bounds come from approximate percentiles and are checked by exact counts in the next pass, which
+    also gives narrower ones; most tables need two passes of one aggregate row each.
+    """
+    done: list = [None] * len(columns)
+    bounds: dict[int, tuple[float, float]] = {i: (float("-inf"), float("inf")) for i in range(len(columns))}
+    trusted: dict[int, tuple[float, float]] = dict(bounds)  # known to hold the middle
+    for _ in range(40):
+        aggs = []
+        for i, (lo, hi) in bounds.items():
+            v = F.expr(_num_sql(columns[i]))
+            inside = F.when((v >= lo) & (v <= hi), v)
+            aggs += [F.count(v).alias(f"n{i}"), F.count_if(v < lo).alias(f"b{i}"), F.count(inside).alias(f"i{i}"),
+                     F.percentile_approx(inside, [k / 1000 for k in range(1001)], 20_000).alias(f"p{i}")]
+        row = df.agg(*aggs).first()
+        left = {}
+        for i, (lo, hi) in bounds.items():
+            n, below, inside, marks = (row[f"{k}{i}"] for k in "nbip")
+            if not n:
+                continue
+            first, last = (n - 1) // 2, n // 2
+            if below <= first and last < below + inside:
+                trusted[i] = (lo, hi)
+                if inside <= INSIDE_ROWS or lo == hi or (marks[0] == marks[-1]):
+                    done[i] = (n, below, lo, hi)
+                    continue
+                start = max(0, int(1000 * (first - below) / inside) - 1)
+                narrow = marks[start], marks[min(1000, int(1000 * (last - below) / inside) + 2)]
+                if narrow == (lo, hi):  # one value has most of the rows
+                    done[i] = (n, below, lo, hi)
+                    continue
+                left[i] = narrow
+            else:  # the approximation missed: take the last bounds that held
+                done[i] = None
+                left[i] = trusted[i]
+                if trusted[i] == (lo, hi):
+                    raise ValueError(f"the median of {columns[i]} could not be bracketed")
+        bounds = left
+        if not bounds:
+            break
+    return done
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Exact median (mean of the two middle values) per column → ``(column, median)``.
+
+    No task sorts a whole column and no whole column is shuffled: aggregates bracket the middle between
+    two values (see ``_brackets``); only the values inside are counted, and a running count over these few
+    distinct values finds the middle ranks.
     """
     columns = list(columns)
     spark = df.sparkSession
     if not columns:
         return spark.createDataFrame([], "column string, median double")
-    n = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
-    # small integer column ids hash faster than names; names are joined back at the end
-    pairs = ", ".join(f"named_struct('column', {i}, 'value', {_num_sql(c)})" for i, c in enumerate(columns))
-    long = df.select(F.expr(f"inline(array({pairs}))"))
-    counted = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("__n"))
-    ranged = counted.repartitionByRange(n, "column", "value").withColumn("__pid", F.spark_partition_id())
-    sums = ranged.groupBy("column", "__pid").agg(F.sum("__n").alias("__psum"))
-    offsets = sums.select(
-        "column", "__pid", "__psum",
-        F.coalesce(F.sum("__psum").over(Window.partitionBy("column").orderBy("__pid")
-                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"),
-        F.sum("__psum").over(Window.partitionBy("column")).alias("__total"))
-    lo = F.floor((F.col("__total") - 1) / 2)
-    hi = F.ceil((F.col("__total") - 1) / 2)
-
-    def holds(r, start, size):
-        return (start <= r) & (r < start + size)
-
-    targets = offsets.filter(holds(lo, F.col("__offset"), F.col("__psum")) |
-                             holds(hi, F.col("__offset"), F.col("__psum")))
-    # at most two target partitions per column: broadcast, then rank only their rows
-    cand = ranged.join(F.broadcast(targets.select("column", "__pid", "__offset", "__total")), ["column", "__pid"])
-    local = Window.partitionBy("column", "__pid").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cand.withColumn("__before", F.col("__offset") + F.coalesce(F.sum("__n").over(local), F.lit(0)))
-    picked = ranked.groupBy("column").agg(
-        F.max(F.when(holds(lo, F.col("__before"), F.col("__n")), F.col("value"))).alias("__lo"),
-        F.max(F.when(holds(hi, F.col("__before"), F.col("__n")), F.col("value"))).alias("__hi"))
-    out = picked.select(F.col("column").alias("__id"), ((F.col("__lo") + F.col("__hi")) / 2).alias("median"))
-    # columns with no value at all still get a row (median NULL)
+    found = _brackets(df, columns)
+    open_ = [(i, *f) for i, f in enumerate(found) if f]
     names = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "__id int, column string")
+    if not open_:
+        return names.select("column", F.lit(None).cast("double").alias("median"))
+
+    def bound(x: float) -> str:
+        return f"CAST('{x!r}' AS DOUBLE)" if abs(x) != float("inf") else f"CAST('{'-' if x < 0 else ''}Infinity' AS DOUBLE)"
+
+    pairs = ", ".join(f"named_struct('id', {i}, 'value', CASE WHEN {_num_sql(columns[i])} BETWEEN {bound(lo)} AND {bound(hi)} "
+                      f"THEN {_num_sql(columns[i])} END)" for i, _, _, lo, hi in open_)
+    counted = df.select(F.expr(f"inline(array({pairs}))")).filter(F.col("value").isNotNull()).groupBy("id", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    known = spark.createDataFrame([(i, n, below) for i, n, below, _, _ in open_], "id int, rows long, below long")
+    upto = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.join(F.broadcast(known), "id").withColumn(  # one row for each column
+        "before", F.col("below") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("value")))
+
+    picked = ranked.groupBy("id").agg(at(F.floor((F.col("rows") - 1) / 2)).alias("lo"), at(F.floor(F.col("rows") / 2)).alias("hi"))
+    out = picked.select(F.col("id").alias("__id"), ((F.col("lo") + F.col("hi")) / 2).alias("median"))
+    # columns with no value at all still get a row (median NULL)
     return names.join(F.broadcast(out), "__id", "left").select("column", "median")
 
 
@@ -212,8 +250,8 @@ def dataset_statistics(df: DataFrame, k: int = FX.TOP_VALUES) -> DataFrame:
     value = its count) for the others, ``missing`` for every column.
 
     Passes over the data: one aggregate for the row count, the numeric moments and
-    every missing count; the exact medians; one value count shared by the
-    distinct counts and the top values.
+    every missing count; the exact medians; value counts for the distinct counts
+    and the top values.
     """
     spark = df.sparkSession
     num = numeric_columns(df, include_bool=True)

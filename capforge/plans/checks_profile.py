@@ -190,6 +190,19 @@ def q_auc(spark, sf_dir):
     return round_doubles(M.auc(li, "label", "score"))
 
 
+@register("auc_many_scores", """
+WITH s AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_extendedprice AS sc FROM lineitem),
+r AS (SELECT y, rank() OVER (ORDER BY sc) + (count(*) OVER (PARTITION BY sc) - 1) / 2.0 AS avg_rank FROM s),
+t AS (SELECT sum(avg_rank) FILTER (WHERE y = 1) AS rs, count(*) FILTER (WHERE y = 1) AS pos,
+             count(*) FILTER (WHERE y = 0) AS neg FROM r)
+SELECT round((rs - pos * (pos + 1) / 2.0) / (pos * neg), 6) AS auc FROM t
+""")
+def q_auc_many_scores(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"),
+                                                 F.col("l_extendedprice").alias("score"))
+    return round_doubles(M.auc(li, "label", "score"))
+
+
 # ---------------------------------------------------------------- the same profiles on other tables
 def _profile_sql(base: str, numeric, text, all_cols, floating, types) -> str:
     num = [f"""SELECT '{c}' AS "column", s.stat, CAST(NULL AS VARCHAR) AS item, s.value FROM (

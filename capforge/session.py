@@ -7,10 +7,10 @@ shared checkpoint folder.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators assume. Shuffle partitions are sized for the target
 # scale by the caller; AQE coalesces them down at runtime for small inputs.
@@ -53,19 +53,16 @@ def get_session(master: str | None = None, app_name: str = "capforge",
     spark = builder.getOrCreate()
     for k, v in conf.items():
         if not k.startswith(("spark.ui", "spark.driver", "spark.cleaner")):
-            try:
+            if spark.conf.isModifiable(k):  # a static setting of a running session stays as it is
                 spark.conf.set(k, v)
-            except Exception:  # static conf of an existing session
-                pass
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the launcher and is shared storage; a
-    local temporary folder is only created when nothing is configured (tests).
+    On a cluster the launcher must set it to shared storage: without it this raises. Only a
+    single-machine session (``local[...]``: tests, bench) gets a temporary folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -73,22 +70,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="capforge-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once below the shared folder and read it back."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{next(_counter)}"
-
-
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_counter = _count()
+    return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -106,7 +106,7 @@ from hypothesis import strategies as st  # noqa: E402
                 max_size=60), st.integers(1, 9))
 def test_exact_median_property(spark, values, parts):
     df = spark.createDataFrame([(None if v is None else float(v), 1.0) for v in values], "v double, w double")
-    got = {r.column: r.median for r in P.exact_medians(df, ["v", "w"], partitions=parts).collect()}
+    got = {r.column: r.median for r in P.exact_medians(df, ["v", "w"]).collect()}
     present = [float(v) for v in values if v is not None]
     want = float(np.median(present)) if present else None
     if want is None:
