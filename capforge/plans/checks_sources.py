@@ -45,6 +45,60 @@ def q_scan_csv_missing_tokens(spark, sf_dir):
     return round_doubles(IO.scan_csv(spark, path))
 
 
+ODD_TEXT_SQL = r"""
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN turn % 2 = 0 THEN 'say "' || role || '", ok' ELSE 'end"\' END AS quoted,
+       CASE WHEN turn % 2 = 0 THEN 'two' || chr(10) || 'lines' ELSE 'one, line' END AS broken,
+       CAST(turn AS VARCHAR) || 'D' AS code, TIMESTAMP '2024-01-02 03:04:05' + to_seconds(turn) AS moment,
+       turn % 3 = 0 AS third, text
+FROM conversations
+"""
+
+
+def _odd_text(spark, sf_dir):
+    even = F.col("turn") % 2 == 0
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.when(even, F.concat(F.lit('say "'), F.col("role"), F.lit('", ok'))).otherwise('end"\\').alias("quoted"),
+        F.when(even, "two\nlines").otherwise("one, line").alias("broken"), F.concat(F.col("turn").cast("string"), F.lit("D")).alias("code"),
+        F.expr("timestamp_ntz'2024-01-02 03:04:05' + make_dt_interval(0, 0, 0, turn)").alias("moment"),
+        (F.col("turn") % 3 == 0).alias("third"), "text")
+
+
+@register("csv_round_trip", ODD_TEXT_SQL)
+def q_csv_round_trip(spark, sf_dir):
+    """Quoted quotes, a backslash before a closing quote, line breaks, codes that look like numbers, times, whole texts."""
+    path = scratch_dir(spark, "csv-odd")
+    IO.sink_csv(_odd_text(spark, sf_dir), path)
+    return IO.scan_csv(spark, path).withColumn("moment", F.col("moment").cast("timestamp_ntz"))
+
+
+@register("csv_times_as_text", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || CASE WHEN o_orderkey % 2 = 0 THEN '.500000' ELSE '' END AS moment
+FROM orders
+""")
+def q_csv_times_as_text(spark, sf_dir):
+    """Written times as the text that is in the file."""
+    path = scratch_dir(spark, "csv-times")
+    half = F.expr("make_dt_interval(0, 0, 0, CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 0 END)")
+    IO.sink_csv(table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderdate").cast("timestamp_ntz") + half).alias("moment")), path)
+    return IO.scan_csv(spark, path)
+
+
+@register("csv_short_rows", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS c_name,
+       CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE round(c_acctbal, 6) END AS c_acctbal
+FROM customer
+""")
+def q_csv_short_rows(spark, sf_dir):
+    """Rows with fewer cells than the header get missing values (files split into lines)."""
+    path = scratch_dir(spark, "csv-short")
+    c = table(spark, sf_dir, "customer")
+    line = F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("string")).otherwise(
+        F.concat_ws(",", "c_custkey", "c_name", "c_acctbal"))
+    lines = c.select(line.alias("value"))
+    lines.sparkSession.createDataFrame([("c_custkey,c_name,c_acctbal",)], "value string").union(lines).coalesce(1).write.text(path)
+    return round_doubles(IO.scan_csv(spark, path, multi_line=False))
+
+
 @register("scan_table", "SELECT * FROM lineitem")
 def q_scan_table(spark, sf_dir):
     return IO.scan_table(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capforge.functions.fixed import FALSE_TOKENS, PANDAS_NULL_TOKENS, TRUE_TOKENS
+from capforge.functions.scalar import time_text
 
 
 def _check_suffix(path: str) -> None:
@@ -23,20 +24,42 @@ def _check_suffix(path: str) -> None:
         raise ValueError(f"unsupported file type: {base} (only .csv)")
 
 
+# Cell texts that are numbers, as pandas reads them (Spark's casts accept more, e.g. ``10D``).
+WHOLE = r"^[ \t]*[+-]?[0-9]+[ \t]*$"
+DECIMAL = r"(?i)^[ \t]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?[ \t]*$|^[+-]?inf(inity)?$"
+#: What both CSV directions agree on: quotes inside quoted cells are doubled.
+CSV_QUOTING = {"quote": '"', "escape": '"'}
+_BROKEN = "__broken_row"
+
+
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             null_tokens: Sequence[str] = PANDAS_NULL_TOKENS, encoding: str = "UTF-8") -> DataFrame:
-    """Read CSV with a header (row 1). With ``schema`` the types are given; otherwise inferred as above."""
+             null_tokens: Sequence[str] = PANDAS_NULL_TOKENS, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """Read CSV with a header (row 1). With ``schema`` the types are given; otherwise inferred as above.
+
+    Quotes inside quoted cells are doubled, rows with too few cells get NULLs, and a row with too many is
+    an error. ``multi_line`` allows line breaks inside quoted cells; a file is then one task, so large files
+    without such breaks should be read with ``multi_line=False``, which splits them.
+    """
     _check_suffix(path)
-    reader = spark.read.option("header", True).option("encoding", encoding).option("mode", "FAILFAST")
-    raw = reader.schema(_as_string_schema(schema)).csv(path) if schema is not None \
-        else reader.option("inferSchema", False).csv(path)
-    tokens = list(null_tokens)
-    text = raw.select(*[F.when(F.col(f"`{c}`").isin(tokens), F.lit(None).cast("string"))
-                        .otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
-    if schema is not None:
-        st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-        return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in st.fields])
-    return text.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in infer_types(text).items()])
+    reader = spark.read.options(header=True, encoding=encoding, multiLine=multi_line, inferSchema=False, **CSV_QUOTING)
+    given = (schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)) if schema is not None else None
+    names = [f.name for f in given.fields] if given else reader.csv(path).columns
+    cells = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _BROKEN]])
+    raw = reader.schema(cells).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN).csv(path)
+    # a broken row is short or long: parsed with one more cell, a long one fills it
+    wider = ", ".join(f"c{i} STRING" for i in range(len(names) + 1))
+    extra = F.from_csv(F.col(_BROKEN), wider, CSV_QUOTING)[f"c{len(names)}"]
+    tokens, too_long = list(null_tokens), F.raise_error(F.concat(F.lit("CSV row with too many cells: "), F.col(_BROKEN)))
+    first = F.when(extra.isNotNull(), too_long.cast("string")).otherwise(F.col(f"`{names[0]}`"))
+    text = raw.select(*[F.when((value := first if i == 0 else F.col(f"`{c}`")).isin(tokens), F.lit(None).cast("string")).otherwise(value).alias(c)
+                        for i, c in enumerate(names)])
+    if given:
+        return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in given.fields])
+    return text.select(*[_typed(F.col(f"`{c}`"), t).alias(c) for c, t in infer_types(text).items()])
+
+
+def _typed(cell, kind: str):
+    return F.trim(cell).cast(kind) if kind in ("bigint", "double") else cell.cast(kind)
 
 
 def _as_string_schema(schema) -> T.StructType:
@@ -54,8 +77,8 @@ def infer_types(text: DataFrame) -> dict[str, str]:
         v = F.col(f"`{c}`")
         present = v.isNotNull()
         aggs += [
-            F.count_if(present & v.try_cast("bigint").isNull()).alias(f"l{i}"),
-            F.count_if(present & v.try_cast("double").isNull()).alias(f"d{i}"),
+            F.count_if(present & (~v.rlike(WHOLE) | F.trim(v).try_cast("bigint").isNull())).alias(f"l{i}"),
+            F.count_if(present & ~v.rlike(DECIMAL)).alias(f"d{i}"),
             F.count_if(present & ~v.isin(list(TRUE_TOKENS + FALSE_TOKENS))).alias(f"b{i}"),
             F.count_if(present).alias(f"n{i}"),
         ]
@@ -107,8 +130,22 @@ def sink_table(df: DataFrame, name_or_path: str = "", partition_by: Sequence[str
 
 
 def sink_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header and no index column (row 4); one part file per partition."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header and no index column (row 4); one part file per partition.
+
+    Quotes are doubled, times are ``2024-01-02 03:04:05`` (with a fraction only where there is one), booleans
+    ``True``/``False``, missing cells empty.
+    """
+    cells = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = time_text(c)
+        elif isinstance(f.dataType, T.BooleanType):
+            c = F.when(c, TRUE_TOKENS[0]).when(~c, FALSE_TOKENS[0])
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.when(~F.isnan(c), c)
+        cells.append(c.alias(f.name))
+    df.select(*cells).write.mode("overwrite").options(header=True, emptyValue="", **CSV_QUOTING).csv(path)
 
 
 def ingest_predictions(spark: SparkSession, path: str, dest: str, runs_path: str | None = None,
