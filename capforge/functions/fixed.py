@@ -40,6 +40,9 @@ FILENAME_PREFIX = "Filename: "
 MODEL_NAME_INFIX = "Model-"
 MODEL_ID_CHARS = 6
 
+# Status of a finished prediction run.
+RUN_DONE = "completed"
+
 # Gap analysis defaults and the number of rows it reports.
 GAP_DAYS = 2
 GAP_REPORT_ROWS = 20

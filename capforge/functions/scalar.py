@@ -57,13 +57,33 @@ def table_suffix(c) -> Column:
     return F.translate(col_of(c), "-", "_")
 
 
+def title_case(c) -> Column:
+    """Every run of letters with a capital first letter and small others (``multi-class`` → ``Multi-Class``)."""
+    runs = F.regexp_extract_all(F.lower(col_of(c)), F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    return F.array_join(F.transform(runs, F.initcap), "")
+
+
 def model_label(task_col, id_col) -> Column:
-    """``<TaskTitle>Model-<first 6 chars of id>``, e.g. ``ClassificationModel-1a2b3c``."""
+    """``<TaskTitle>Model-<first 6 chars of id>``, e.g. ``Time_SeriesModel-1a2b3c``."""
     from capforge.functions.fixed import MODEL_ID_CHARS, MODEL_NAME_INFIX
-    return F.concat(F.initcap(col_of(task_col)), F.lit(MODEL_NAME_INFIX),
+    return F.concat(title_case(task_col), F.lit(MODEL_NAME_INFIX),
                     F.substring(col_of(id_col), 1, MODEL_ID_CHARS))
 
 
+def time_text(c, between: str = " ") -> Column:
+    """ISO date and time; six fraction digits only where the fraction isn't zero."""
+    c = col_of(c)
+    whole = F.date_format(c, f"yyyy-MM-dd'{between}'HH:mm:ss")
+    part = F.date_format(c, ".SSSSSS")
+    return F.when(part == ".000000", whole).otherwise(F.concat(whole, part))
+
+
+def utf8_text(c) -> Column:
+    """Bytes as text; bytes that aren't UTF-8 are left out."""
+    raw = col_of(c).cast("string")
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every DOUBLE/FLOAT column (for comparisons against SQL oracles)."""
     cols = []

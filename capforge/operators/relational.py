@@ -140,18 +140,19 @@ def fill_missing(df: DataFrame, value=0) -> DataFrame:
 
 
 def rows_to_json(df: DataFrame, name: str = "json") -> DataFrame:
-    """One JSON object per row (row 21): times as ISO text, DECIMAL as DOUBLE, bytes as UTF-8, NULLs kept."""
+    """One JSON object per row (row 21): times as ISO text (a fraction only where
+    there is one), DECIMAL as DOUBLE, bytes as UTF-8 without invalid bytes, NULLs kept."""
     cols = []
     for f in df.schema.fields:
         c = _c(f.name)
         if isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+            c = S.time_text(c, "T")
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, T.BinaryType):
-            c = F.decode(c, "UTF-8")
+            c = S.utf8_text(c)
         cols.append(c.alias(f.name))
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias(name))
 

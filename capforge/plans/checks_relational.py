@@ -154,9 +154,28 @@ def q_fill_missing(spark, sf_dir):
     return round_doubles(R.fill_missing(li, 0))
 
 
-@register("rows_to_json", """
+# ISO text has a fraction only where it isn't zero.
+_ISO_SQL = """CASE WHEN date_part('microseconds', {c}) % 1000000 = 0 THEN strftime({c}, '%Y-%m-%dT%H:%M:%S')
+  ELSE strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') END"""
+
+
+@register("rows_to_json_fractions", f"""
+SELECT CAST(to_json(struct_pack(event_id := event_id, moment := {_ISO_SQL.format(c="moment")}, raw := raw)) AS VARCHAR) AS json
+FROM (SELECT event_id, ts + to_microseconds(CASE WHEN event_id % 2 = 0 THEN 250000 ELSE 0 END)
+             - to_microseconds(date_part('microseconds', ts) % 1000000) AS moment,
+             CASE WHEN event_id % 3 = 0 THEN 'ab' ELSE 'é' END AS raw FROM events)
+""")
+def q_rows_to_json_fractions(spark, sf_dir):
+    """Times with and without a fraction; bytes that aren't UTF-8 left out."""
+    whole = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz")
+    quarter = F.expr("make_dt_interval(0, 0, 0, CASE WHEN event_id % 2 = 0 THEN 0.25 ELSE 0 END)")
+    raw = F.when(F.col("event_id") % 3 == 0, F.unhex(F.lit("61FF62"))).otherwise(F.encode(F.lit("é"), "UTF-8"))
+    return R.rows_to_json(table(spark, sf_dir, "events").select("event_id", (whole + quarter).alias("moment"), raw.alias("raw")))
+
+
+@register("rows_to_json", f"""
 SELECT CAST(to_json(struct_pack(o_orderkey := o_orderkey, o_custkey := o_custkey, o_orderstatus := o_orderstatus,
-  o_totalprice := o_totalprice, o_orderdate := strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f'),
+  o_totalprice := o_totalprice, o_orderdate := {_ISO_SQL.format(c='o_orderdate')},
   o_orderpriority := o_orderpriority)) AS VARCHAR) AS json
 FROM orders
 """)
@@ -174,11 +193,15 @@ def q_project_registry(spark, sf_dir):
 
 @register("model_label", f"""
 SELECT id, task_type,
-  upper(substr(task_type, 1, 1)) || lower(substr(task_type, 2)) || 'Model-' || substr(id, 1, 6) AS model_name,
+  CASE task_type WHEN 'classification' THEN 'Classification' WHEN 'time_series' THEN 'Time_Series' ELSE 'Multi-Class Regression' END
+    || 'Model-' || substr(id, 1, 6) AS model_name,
   replace(id, '-', '_') AS table_suffix
 FROM (SELECT {UUID_SQL.format(k='o_orderkey')} AS id,
-             CASE WHEN o_orderstatus = 'F' THEN 'classification' ELSE 'regression' END AS task_type FROM orders)
+             CASE o_orderstatus WHEN 'F' THEN 'classification' WHEN 'O' THEN 'time_series' ELSE 'multi-class REGRESSION' END AS task_type
+      FROM orders)
 """)
 def q_model_label(spark, sf_dir):
-    m = models_registry(spark, sf_dir).select("id", "task_type")
-    return R.model_label(m)
+    o = table(spark, sf_dir, "orders")
+    task = F.when(F.col("o_orderstatus") == "F", "classification").when(F.col("o_orderstatus") == "O", "time_series").otherwise(
+        "multi-class REGRESSION")
+    return R.model_label(o.select(uuid_of("o_orderkey").alias("id"), task.alias("task_type")))
