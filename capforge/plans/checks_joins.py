@@ -11,19 +11,23 @@ from capforge.plans.checks_relational import (DATASETS_SQL, HOST_ID_SQL, UUID_SQ
                                              models_registry)
 from capforge.plans.fixtures import host_metrics, table
 
+_GAP_MEANS = ("core_number", "cpu_usage_percentage", "memory_number", "memory_usage_percentage")
+
+# By definition: every reading with each reading of its host exactly two days later, and the readings
+# that have none, with missing means.
 GAP_BASE_SQL = f"""
-base AS (
-  SELECT hostname, {HOST_ID_SQL.format(c='hostname')} AS host_id, datetime,
-         CAST(core_number AS DOUBLE) AS core_number, cpu_usage_percentage, memory_number, memory_usage_percentage
-  FROM ({HOST_SQL}) h
+reading AS (
+  SELECT hostname, {HOST_ID_SQL.format(c='hostname')} AS host_id, datetime, {', '.join(_GAP_MEANS)} FROM ({HOST_SQL}) h
 ),
 gap AS (
-  SELECT b1.hostname, b1.host_id, b1.datetime AS datetime_1, b2.datetime AS datetime_2,
-    round((b1.core_number + b2.core_number) / 2.0, 6) AS core_number_avg,
-    round((b1.cpu_usage_percentage + b2.cpu_usage_percentage) / 2.0, 6) AS cpu_usage_percentage_avg,
-    round((b1.memory_number + b2.memory_number) / 2.0, 6) AS memory_number_avg,
-    round((b1.memory_usage_percentage + b2.memory_usage_percentage) / 2.0, 6) AS memory_usage_percentage_avg
-  FROM base b1 LEFT JOIN base b2 ON b2.host_id = b1.host_id AND b2.datetime = b1.datetime + INTERVAL 2 DAY
+  SELECT r.hostname, r.host_id, r.datetime AS datetime_1, later.datetime AS datetime_2,
+    {', '.join(f"round((CAST(r.{c} AS DOUBLE) + later.{c}) / 2, 6) AS {c}_avg" for c in _GAP_MEANS)}
+  FROM reading r, reading later
+  WHERE later.host_id = r.host_id AND later.datetime - INTERVAL 2 DAY = r.datetime
+  UNION ALL
+  SELECT hostname, host_id, datetime, NULL, {', '.join('NULL' for _ in _GAP_MEANS)}
+  FROM reading r
+  WHERE NOT EXISTS (SELECT 1 FROM reading o WHERE o.host_id = r.host_id AND o.datetime - INTERVAL 2 DAY = r.datetime)
 )"""
 
 
@@ -129,7 +133,7 @@ def q_gap_join_zero(spark, sf_dir):
     return round_doubles(J.gap_join(host_metrics(spark, sf_dir), gap_days=0))
 
 
-@register("gap_join_negative", f"WITH {GAP_BASE_SQL.replace('+ INTERVAL 2 DAY', '- INTERVAL 5 DAY')} SELECT * FROM gap")
+@register("gap_join_negative", f"WITH {GAP_BASE_SQL.replace('- INTERVAL 2 DAY', '+ INTERVAL 5 DAY')} SELECT * FROM gap")
 def q_gap_join_negative(spark, sf_dir):
     """Negative gap: pairs each row with the same host's rows 5 days earlier."""
     return round_doubles(J.gap_join(host_metrics(spark, sf_dir), gap_days=-5))
