@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import VectorAssembler
@@ -20,6 +21,7 @@ from capforge.functions import fixed as FX
 from capforge.operators.metrics import auc, classification_metrics, regression_metrics
 from capforge.operators.relational import missing_columns
 from capforge.plans.pipeline import horizon_split
+from capforge.session import materialised
 
 GBT_DEFAULTS = {"maxIter": FX.GBT_ROUNDS, "maxDepth": FX.GBT_DEPTH, "stepSize": FX.GBT_RATE, "seed": FX.SEED}
 
@@ -50,7 +52,7 @@ def with_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> Da
 def _features_frame(df: DataFrame, features: Sequence[str]) -> DataFrame:
     missing = missing_columns(df, features)
     if missing:
-        raise ValueError(f"Selected features missing from dataset: {missing}")
+        raise ValueError(f"feature columns missing from the data: {missing}")
     return df.na.fill(0, subset=list(features))
 
 
@@ -68,13 +70,14 @@ def train_classifier(df: DataFrame, features: Sequence[str], label: str, key: st
     params = {**GBT_DEFAULTS, **gbt}
     data = _features_frame(df, features).withColumn("__label", F.col(label).cast("double"))
     train, test_df = _split(data, key, test, params["seed"])
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)  # one pass for each round otherwise
     n_classes = data.select("__label").distinct().limit(3).count()
     base = GBTClassifier(featuresCol="__features", labelCol="__label", predictionCol="__prediction", **params)
     est = base if n_classes <= 2 else OneVsRest(classifier=base, featuresCol="__features", labelCol="__label",
                                                 predictionCol="__prediction")
     model = Pipeline(stages=[_assembler(features), est]).fit(train)
-    scored = model.transform(test_df)
-    return model, classification_metrics(scored, "__label", "__prediction")
+    train.unpersist()
+    return model, classification_metrics(model.transform(test_df), "__label", "__prediction")
 
 
 def train_regressor(df: DataFrame, features: Sequence[str], label: str, key: str | None = None,
@@ -83,8 +86,10 @@ def train_regressor(df: DataFrame, features: Sequence[str], label: str, key: str
     params = {**GBT_DEFAULTS, **gbt}
     data = _features_frame(df, features).withColumn("__label", F.col(label).cast("double"))
     train, test_df = _split(data, key, test, params["seed"])
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     est = GBTRegressor(featuresCol="__features", labelCol="__label", predictionCol="__prediction", **params)
     model = Pipeline(stages=[_assembler(features), est]).fit(train)
+    train.unpersist()
     return model, regression_metrics(model.transform(test_df), "__label", "__prediction")
 
 
@@ -121,20 +126,22 @@ def batch_predict(model: PipelineModel, df: DataFrame, features: Sequence[str],
 def predict_and_record(model: PipelineModel, df: DataFrame, features: Sequence[str], target: str | None,
                        output_path: str, runs_path: str, run: dict, keep: Sequence[str] = (),
                        n: int = 5) -> DataFrame:
-    """Score, write the prediction table, append the run row, return the first ``n`` rows (row 68)."""
+    """Score, write the prediction table (``keep``, target, prediction), append the run row, return the first
+    ``n`` scored rows with all input columns (row 68)."""
     from capforge.sources.registry import append_records, registry_schema
 
-    preds = batch_predict(model, df, features, target, keep)
-    preds.write.mode("overwrite").parquet(output_path)
+    name = f"predicted_{target}" if target else "prediction"
+    scored = model.transform(_features_frame(df, features)).withColumn(name, F.col("__prediction")).select(*df.columns, name)
     spark = df.sparkSession
-    row = {**run, "output_path": output_path, "status": run.get("status", "COMPLETED")}
+    kept = [*keep, *([target] if target and target in df.columns else []), name]
+    scored.select(*kept).write.mode("overwrite").parquet(output_path)
+    row = {**run, "output_path": output_path, "status": run.get("status", FX.RUN_DONE)}
     schema = registry_schema("predictions")
     rec = spark.createDataFrame([tuple(row.get(f.name) for f in schema.fields)], schema)
     rec = rec.withColumn("created_at", F.coalesce(F.col("created_at"), F.current_timestamp()))
     append_records(rec, runs_path)
-    stored = spark.read.parquet(output_path)
-    order = list(keep) or stored.columns
-    return stored.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in order]).limit(n)
+    order = list(keep) or kept
+    return scored.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in order]).limit(n)
 
 
 def oot_evaluation(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, ts: str,
@@ -148,13 +155,12 @@ def oot_evaluation(model: PipelineModel, df: DataFrame, features: Sequence[str],
         scored = scored.withColumn("__score", vector_to_array("probability")[1])
     else:
         scored = scored.withColumn("__score", F.col("__prediction"))
-    out = None
-    for part in ("horizon_1", "horizon_2"):
-        s = scored.filter(F.col("part") == part)
-        m = classification_metrics(s, label, "__prediction").crossJoin(auc(s, label, "__score"))
-        m = m.select(F.lit(part).alias("part"), "*")
-        out = m if out is None else out.unionByName(m)
-    return out
+    # scored once: both metrics read the stored scores
+    scored = materialised(scored.select("part", F.col(label).alias("label"), "__prediction", "__score"), "scored")
+    quality = classification_metrics(scored, "label", "__prediction", by=["part"])
+    area = auc(scored, "label", "__score", by=["part"])
+    parts = df.sparkSession.createDataFrame([("horizon_1",), ("horizon_2",)], "part string")
+    return parts.join(quality, "part", "left").join(area, "part", "left")
 
 
 def list_models(models: DataFrame, project_id: str) -> DataFrame:

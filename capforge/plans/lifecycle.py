@@ -14,9 +14,12 @@ import uuid
 from dataclasses import dataclass
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from capforge.functions.scalar import model_label
 from capforge.operators import ml as ML
 from capforge.operators.ranking import selection_record
 from capforge.operators.windows import engineer_features
@@ -42,12 +45,23 @@ class Registries:
 
 
 def _read_or_empty(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A registry table; empty where none has been written yet (any other failure is raised)."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # registry not created yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], registry_schema(name))
 
 
+def _registered(spark: SparkSession, reg: "Registries", registry: str, column: str, value: str):
+    """The one registry row with ``column = value``; an error if there is none."""
+    row = _read_or_empty(spark, reg.path(registry), registry).filter(F.col(column) == value).first()
+    if row is None:
+        raise ValueError(f"no {registry} row has {column} {value}")
+    return row
+
+
 def _row(spark: SparkSession, name: str, values: dict) -> DataFrame:
     schema = registry_schema(name)
     df = spark.createDataFrame([tuple(values.get(f.name) for f in schema.fields)], schema)
@@ -72,7 +86,9 @@ def run_feature_selection(spark: SparkSession, reg: Registries, dataset_id: str,
     """Engineered table → top-k features by |Pearson| with the target + selection registry row."""
     feats = scan_table(spark, reg.table("feat", dataset_id))
     if target not in feats.columns:
-        raise ValueError(f"Target column '{target}' not found in dataset columns: {feats.columns}")
+        raise ValueError(f"{target} is none of the columns {feats.columns}")
+    if not isinstance(feats.schema[target].dataType, (T.NumericType, T.BooleanType)):
+        raise ValueError(f"{target} isn't numeric: features can't be ranked by correlation with it")
     rec = selection_record(feats, target, k, exclude).first()
     run_id = str(uuid.uuid4())
     append_records(_row(spark, "selections", {
@@ -86,9 +102,7 @@ def run_feature_selection(spark: SparkSession, reg: Registries, dataset_id: str,
 def train_model(spark: SparkSession, reg: Registries, dataset_id: str, selection_id: str, project_id: str,
                 task_type: str, key: str | None = None, **gbt) -> dict:
     """Selection run → fitted GBT on the engineered table, saved with Spark ML + model registry row."""
-    sel = _read_or_empty(spark, reg.path("selections"), "selections").filter(F.col("id") == selection_id).first()
-    if sel is None:
-        raise ValueError(f"Feature selection run {selection_id} not found.")
+    sel = _registered(spark, reg, "selections", "id", selection_id)
     feats = scan_table(spark, reg.table("feat", dataset_id))
     train = ML.train_classifier if task_type == "classification" else ML.train_regressor
     model, metrics = train(feats, list(sel.selected_features), sel.target_column, key=key, **gbt)
@@ -97,22 +111,18 @@ def train_model(spark: SparkSession, reg: Registries, dataset_id: str, selection
     ML.save_model(model, path)
     m = {k: float(v) for k, v in metrics.first().asDict().items() if v is not None}
     append_records(_row(spark, "models", {
-        "id": model_id, "name": f"{task_type.title()}Model-{model_id[:6]}", "project_id": project_id,
+        "id": model_id, "project_id": project_id,
         "dataset_id": dataset_id, "selection_id": selection_id, "task_type": task_type,
-        "target_column": sel.target_column, "metrics": m, "artifact_path": path}), reg.path("models"))
+        "target_column": sel.target_column, "metrics": m, "artifact_path": path}).withColumn(
+        "name", model_label("task_type", "id")), reg.path("models"))
     return {"model_id": model_id, "metrics": m}
 
 
 def run_prediction(spark: SparkSession, reg: Registries, model_id: str, dataset_id: str, project_id: str,
                    keep: Sequence[str] = ()) -> DataFrame:
     """Model + dataset → prediction table ``pred_res_<run>`` + prediction-run row; first 5 rows back."""
-    models = _read_or_empty(spark, reg.path("models"), "models").filter(F.col("id") == model_id).first()
-    if models is None:
-        raise ValueError(f"Model {model_id} not found.")
-    sel = _read_or_empty(spark, reg.path("selections"), "selections").filter(
-        F.col("id") == models.selection_id).first()
-    if sel is None:
-        raise ValueError(f"Feature selection run {models.selection_id} not found.")
+    models = _registered(spark, reg, "models", "id", model_id)
+    sel = _registered(spark, reg, "selections", "id", models.selection_id)
     model = ML.load_model(models.artifact_path)
     data = scan_table(spark, reg.table("feat", dataset_id))
     run_id = str(uuid.uuid4())

@@ -22,4 +22,4 @@ def test_lifecycle_end_to_end(spark, scratch):
     preview = L.run_prediction(spark, reg, trained["model_id"], "ds-1", "p1", keep=["event_id"])
     assert preview.count() == 5 and "predicted_Target" in preview.columns
     run = spark.read.parquet(reg.path("predictions")).collect()[0]
-    assert run.status == "COMPLETED" and spark.read.parquet(run.output_path).count() == raw.count()
+    assert run.status == "completed" and spark.read.parquet(run.output_path).count() == raw.count()

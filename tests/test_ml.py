@@ -52,6 +52,6 @@ def test_predict_record_and_oot(spark, scratch):
     runs = scratch("runs")
     prev = ML.predict_and_record(model, d, FEATS, "y", scratch("out"), runs, {"id": "r1", "project_id": "p"},
                                  keep=["k"])
-    assert prev.count() == 5 and spark.read.parquet(runs).collect()[0].status == "COMPLETED"
+    assert prev.count() == 5 and spark.read.parquet(runs).collect()[0].status == "completed"
     oot = ML.oot_evaluation(model, d, FEATS, "y", "l_shipdate", "1999-01-01").collect()
     assert {r.part for r in oot} == {"horizon_1", "horizon_2"}
