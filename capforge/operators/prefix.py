@@ -20,18 +20,18 @@ from pyspark.sql import functions as F
 from capforge.session import materialised
 
 
-def running_counts(df: DataFrame, groups: Sequence[str], order: str, weight: str) -> DataFrame:
+def running_counts(df: DataFrame, groups: Sequence[str], order: str | Sequence[str], weight: str) -> DataFrame:
     """Add ``__before``: sum of ``weight`` over rows of the same group ordered strictly before.
 
     ``(groups, order)`` must be unique (aggregate first). The sorted rows are written to the shared folder.
     """
-    groups = list(groups)
-    rows = materialised(df.orderBy(*groups, order).withColumn("__part", F.spark_partition_id()), "sorted")
+    groups, order = list(groups), [order] if isinstance(order, str) else list(order)
+    rows = materialised(df.orderBy(*groups, *order).withColumn("__part", F.spark_partition_id()), "sorted")
     sums = rows.groupBy(*groups, "__part").agg(F.sum(weight).alias("__sum"))
     upto = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*[F.col(g).alias(f"__of_{g}") for g in groups], F.col("__part").alias("__of_part"),
                           F.coalesce(F.sum("__sum").over(upto), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy(*groups, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*groups, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("__local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     same = F.col("__part") == F.col("__of_part")
     for g in groups:

@@ -1,71 +1,50 @@
 """Per-device time-window features.
 
-All windows run per device ``keys`` ordered by the timestamp. Frames are by
-*time*, left-open ``(t - n days, t]``, and the past features are shifted by one
-**row** (the value a row carries is the window that ended at the previous row).
-
-Two details make the plain ``RANGE`` frame wrong and are handled here:
-
-* rows sharing a timestamp: the past window must end at the row itself, not
-  include later peers; and the shift must step to the previous *row*.
-* the window is open on the left, so ``n days PRECEDING`` includes one edge too many.
-
-Both are solved with one BIGINT order key per row::
-
-    k = (micros - base) * 2M + tie          tie = position among equal timestamps
-
-``RANGE BETWEEN (n*DAY*2M - M) PRECEDING AND CURRENT ROW`` on ``k`` is then exactly
-"earlier-or-same-position rows less than n days older", and
-``RANGE BETWEEN M FOLLOWING AND (h*DAY*2M + M) FOLLOWING`` is exactly ``(t, t + h]``.
-Every frame and the one-row ``lag`` share the order ``k``, so the plan has a
-single Window partitioning.
-
-Skew: a device holding a large share of all rows would be one task. With
-``block_days`` set, each device is cut into time blocks; every block also gets
-copies of the rows its frames reach into (``max past days`` before the block,
-``max future days`` after it), so each block is computed independently, and the
-one-row shift across a block edge is carried by a small per-block summary.
+Frames are by *time*, left-open ``(t - n days, t]``, and the past features are shifted by one **row**: the
+value a row carries is the window that ended at the previous row. Rows of one timestamp are ordered by the
+tie-break columns, and a past window ends at its row, not at its last peer.
+
+One plan serves every device, whatever its rows, ties or span:
+
+1. every device is cut into blocks of ``block_days``; a row is copied into the earlier blocks whose future
+   frames reach it and the later blocks whose past frames reach it;
+2. where a device has nothing for longer than the past frames reach, the rows before the gap that the first
+   row after it still needs (its previous row's window) are copied over the gap as well; these gaps come
+   from one small aggregate per device and block;
+3. rows are hashed by (device, block) and sorted by time; each task goes once over its sorted rows and finds
+   every statistic with running sums, maxima over power-of-two runs and a moving median pointer
+   (``sliding``), in time proportional to the rows, however dense a device is.
+
+A block with its copies is handled by one task; shorter blocks make smaller ones.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Iterable, Sequence
+from typing import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capforge.functions import fixed as FX
 from capforge.functions.scalar import DAY_MICROS, above_flag, add_days, epoch_micros, floor_div, nan_to_null
+from capforge.operators import sliding
+from capforge.operators.prefix import running_counts
 from capforge.operators.relational import fill_missing
-from capforge.session import ensure_checkpoint_dir
 
 DEVICE_KEYS = FX.DEVICE_KEYS
-
-# Rows that may share one (device, timestamp): the order key reserves M positions per
-# microsecond (k = µs·2M + tie). M is sized from the longest device span plus the longest
-# frame so that k ± frame stays inside BIGINT; this is the floor when nothing is known.
-MAX_TIES = 2048
-_TIES_CAP = 1 << 24
-_LONG_MAX = 2**63 - 1
-
-
-def ties_for_span(span_micros: int, frame_micros: int) -> int:
-    """Largest tie budget M (at least ``MAX_TIES``) for which µs·2M + tie and every frame
-    offset stay inside BIGINT over ``span_micros`` of data."""
-    total = int(span_micros) + int(frame_micros) + 1
-    return max(MAX_TIES, min(_TIES_CAP, _LONG_MAX // (4 * total) - 1))
-
-_K, _TIE, _RN, _BASE, _BLK, _OWNB, _OWN, _FIRST, _LAG, _LAST, _PREV = (
-    "__k", "__tie", "__rn", "__base", "__blk", "__ownb", "__own", "__first", "__lag", "__last", "__prev")
+BLOCK_DAYS = 90
+_BLOCK, _OWN, _MICROS = "__block", "__own", "__micros"
 
 
 @dataclass(frozen=True)
 class Frame:
     """One framed aggregate.
 
-    ``stat``: max | min | std | median | sum | mean | range | value (the row's own value).
+    ``stat``: max | min | std | median | sum | mean | range.
     ``direction``: past | future.
     ``shift``: take the value of the previous row's window (past frames only).
     """
@@ -78,62 +57,11 @@ class Frame:
     shift: bool = True
 
 
-def _day_suffix(n: int) -> str:
-    return f"{n}Day" if n == 1 else f"{n}Days"
+STATS = ("max", "min", "std", "median", "sum", "mean", "range")
 
 
-def _agg(stat: str, c: str, w) -> Column:
-    v = F.col(c)
-    if stat == "max":
-        return F.max(v).over(w)
-    if stat == "min":
-        return F.min(v).over(w)
-    if stat == "sum":
-        return F.sum(v).over(w).cast("double")
-    if stat == "mean":
-        return F.avg(v).over(w)
-    if stat == "std":
-        return F.stddev_samp(v).over(w)
-    if stat == "median":
-        # ``median`` refuses a frame; ``percentile`` accepts it and interpolates the same way.
-        return F.percentile(v, F.lit(0.5)).over(w)
-    if stat == "range":
-        return F.max(v).over(w) - F.min(v).over(w)
-    raise ValueError(f"unknown window statistic: {stat}")
-
-
-def _frame_bounds(f: Frame, m: int) -> tuple[int, int]:
-    span = f.days * DAY_MICROS * 2 * m
-    if f.direction == "past":
-        return -(span - m), 0
-    if f.direction == "future":
-        return m, span + m
-    raise ValueError(f"unknown frame direction: {f.direction}")
-
-
-def _own_columns(frames: Sequence[Frame], wk, m: int) -> tuple[list[Column], list[Column]]:
-    """Window aggregates (each distinct function/column/frame once) and the per-frame
-    values built from them: ``__own_i`` for shifted frames, the frame name otherwise."""
-    base: dict = {}
-    windowed: list[Column] = []
-
-    def agg(stat: str, f: Frame) -> Column:
-        key = (stat, f.source, _frame_bounds(f, m))
-        if key not in base:
-            base[key] = f"__a{len(base)}"
-            windowed.append(_agg(stat, f.source, wk.rangeBetween(*_frame_bounds(f, m))).alias(base[key]))
-        return F.col(base[key])
-
-    own = []
-    for i, f in enumerate(frames):
-        if f.stat == "value":
-            c = F.col(f.source)
-        elif f.stat == "range":
-            c = agg("max", f) - agg("min", f)
-        else:
-            c = agg(f.stat, f)
-        own.append(c.alias(f"__own_{i}" if f.shift else f.name))
-    return windowed, own
+def _day_suffix(n: int) -> str:
+    return f"{n}Day" if n == 1 else f"{n}Days"
 
 
 def _default_tiebreak(df: DataFrame, keys: Sequence[str], ts: str) -> list[str]:
@@ -148,162 +76,143 @@ def _check_ts(ts: str) -> Column:
     return F.when(c.isNull(), F.raise_error(F.lit(f"NULL value in time column '{ts}'"))).otherwise(c)
 
 
-def _guarded_key(span: Column, tie: Column, m: int, frame_micros: int) -> Column:
-    """k = span·2M + tie; raises instead of computing wrong frames when the tie budget or
-    BIGINT range (including the largest frame offset) would be exceeded."""
-    max_span = _LONG_MAX // (2 * m) - frame_micros - 1
-    return (F.when(tie >= F.lit(m),
-                   F.raise_error(F.lit(f"more than {m} rows share one device timestamp; use block_days")))
-             .when(F.abs(span) > F.lit(max_span),
-                   F.raise_error(F.lit("device series too long for the order key; use block_days")))
-             .otherwise(span * F.lit(2 * m) + tie))
-
-
-HOT_ROWS_CONF = "capforge.window.hotRows"
-HOT_BLOCK_DAYS_CONF = "capforge.window.hotBlockDays"
-DEFAULT_HOT_ROWS = 2_000_000
-DEFAULT_HOT_BLOCK_DAYS = 90
-# At most this many hot devices (the heaviest) are split; their keys are collected and the
-# input is split with a filter. Devices beyond the list take the plain plan (also exact).
-MAX_HOT_LIST = 10_000
-
-
-def _key_json(keys: Sequence[str]) -> Column:
-    return F.to_json(F.struct(*[F.col(k) for k in keys]))
+def _statistic(stat: str, x: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray) -> np.ndarray:
+    if stat == "max":
+        return sliding.range_max(x, low, high)
+    if stat == "min":
+        return -sliding.range_max(-x, low, high)
+    if stat == "range":
+        return sliding.range_max(x, low, high) + sliding.range_max(-x, low, high)
+    if stat == "median":
+        return sliding.range_median(x, low, high, group)
+    return {"sum": sliding.range_sum, "mean": sliding.range_mean, "std": sliding.range_std}[stat](x, low, high)
+
+
+def _framed_values(group: np.ndarray, t: np.ndarray, values: dict[str, np.ndarray], frames: Sequence[Frame]) -> list[np.ndarray]:
+    """The frames' values for rows sorted by (group, t); NaN: undefined."""
+    n = len(t)
+    rows = np.arange(n)
+    first = np.concatenate([[True], group[1:] != group[:-1]])
+    before = np.maximum(rows - 1, 0)
+    ranges: dict = {}
+    made: dict = {}
+    for f in frames:
+        where = (f.direction, f.days, f.shift)
+        if where not in ranges:
+            if f.direction == "future":
+                ranges[where] = sliding.edges(group, t, t, group), sliding.edges(group, t, t + f.days * DAY_MICROS, group)
+            else:
+                low, high = sliding.edges(group, t, t - f.days * DAY_MICROS, group), rows + 1
+                ranges[where] = (np.where(first, 0, low[before]), np.where(first, 0, high[before])) if f.shift else (low, high)
+        key = (f.stat, f.source, where)
+        if key not in made:
+            made[key] = _statistic(f.stat, values[f.source], *ranges[where], group)
+    return [made[(f.stat, f.source, (f.direction, f.days, f.shift))] for f in frames]
+
+
+def _with_copies(d: DataFrame, keys: list[str], frames: Sequence[Frame], block: int) -> DataFrame:
+    """Rows with ``__block``, copied to every block that needs them; ``__own`` marks the row's own block."""
+    past = max([f.days for f in frames if f.direction == "past"] or [0]) * DAY_MICROS
+    future = max([f.days for f in frames if f.direction == "future"] or [0]) * DAY_MICROS
+    shifted = any(f.shift for f in frames)
+    micros, own = F.col(_MICROS), floor_div(F.col(_MICROS), block)
+    # a shifted frame is that of the previous row, which may be nearly a frame before the block itself
+    reach = floor_div(micros + F.lit(2 * past if shifted else past), block)
+    near = d.withColumn(_BLOCK, F.explode(F.sequence(floor_div(micros - F.lit(future), block), F.greatest(own, reach)))).withColumn(
+        _OWN, F.col(_BLOCK) == own)
+    if not shifted:
+        return near
+    # gaps: the next block with rows of its own starts more than a frame after the last row before it
+    last = d.groupBy(*keys, own.alias("__from")).agg(F.max(_MICROS).alias("__last"))
+    order = Window.partitionBy(*keys).orderBy("__from")
+    gaps = last.withColumn("__to", F.lead("__from").over(order)).filter(F.col("__to") * F.lit(block) > F.col("__last") + F.lit(past))
+    gaps = gaps.select(*[F.col(f"`{k}`").alias(f"__gap{i}") for i, k in enumerate(keys)], "__last", "__to", F.explode(
+        F.sequence(F.col("__from") - F.lit(past // block + 1), F.col("__from"))).alias("__from"))
+    same = own == F.col("__from")
+    for i, k in enumerate(keys):
+        same = same & (F.col(f"`{k}`") == F.col(f"__gap{i}"))
+    far = d.join(gaps, same & (micros > F.col("__last") - F.lit(past)) & (reach < F.col("__to")))
+    return near.unionByName(far.withColumn(_BLOCK, F.col("__to")).withColumn(_OWN, F.lit(False)).select(*near.columns))
 
 
 def framed(df: DataFrame, keys: Sequence[str], ts: str, frames: Sequence[Frame],
-           tiebreak: Sequence[str] | None = None, block_days: int | None = None,
-           hot_rows: int | None = None, hot_block_days: int | None = None) -> DataFrame:
-    """Add one column per ``Frame``; input rows and columns are kept.
-
-    Plans:
-
-    * ``block_days`` given: every device is cut into blocks of that many days.
-    * otherwise devices with more than ``hot_rows`` rows (session conf
-      ``capforge.window.hotRows``, default 2 000 000; 0 turns the check off) are
-      cut into ``hot_block_days`` blocks (default 90) and all others use one
-      window partition per device. The hot devices are found first with one count
-      per device (partial aggregation before the shuffle); the heaviest
-      ``MAX_HOT_LIST`` of them are collected (a fixed bound). With none, the plan is
-      the single-partitioning one; otherwise the input is split by a filter on the
-      key list and both plans are unioned.
-
-    Rows with a NULL key are expected to be removed by the caller.
-    """
-    keys = list(keys)
+           tiebreak: Sequence[str] | None = None, block_days: int | None = None) -> DataFrame:
+    """Add one column per ``Frame``; input rows and columns are kept. Rows with a NULL key are expected to be
+    removed by the caller; a NULL time is an error. Results don't depend on ``block_days`` (default 90)."""
+    keys, frames = list(keys), list(frames)
     tiebreak = list(tiebreak) if tiebreak is not None else _default_tiebreak(df, keys, ts)
     for f in frames:
+        if f.direction not in ("past", "future") or f.stat not in STATS:
+            raise ValueError(f"unknown frame: {f}")
         if f.direction == "future" and f.shift:
             raise ValueError("future frames are not shifted")
-    cols = df.columns
-    d = df.withColumn(ts, _check_ts(ts))
-    spark = df.sparkSession
-    if hot_rows is None:
-        hot_rows = int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
-    if hot_block_days is None:
-        hot_block_days = int(spark.conf.get(HOT_BLOCK_DAYS_CONF, str(DEFAULT_HOT_BLOCK_DAYS)))
-    frame_us = max([f.days for f in frames] or [0]) * DAY_MICROS
-    if block_days:
-        out = _framed_blocked(d, keys, ts, frames, tiebreak, int(block_days))
-    elif hot_rows and hot_rows > 0:
-        # One count per device (partial aggregation first) gives the longest device span,
-        # which sizes the tie budget of the order key, and the number of devices over the
-        # limit; only then are the heaviest of them (at most MAX_HOT_LIST, a top-n) listed.
-        micros = epoch_micros(ts)
-        dev = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"),
-                                   (F.max(micros) - F.min(micros)).alias("__span"))
-        is_heavy = F.col("__rows") > F.lit(int(hot_rows))
-        stats = dev.agg(F.max("__span").alias("span"), F.count_if(is_heavy).alias("heavy")).first()
-        m = ties_for_span(stats["span"] or 0, frame_us)
-        found = []
-        if stats["heavy"]:  # second small job only when some device is over the limit
-            found = [r["k"] for r in dev.filter(is_heavy).orderBy(F.col("__rows").desc(), _key_json(keys))
-                     .limit(MAX_HOT_LIST).select(_key_json(keys).alias("k")).collect()]
-        if not found:
-            out = _framed_plain(d, keys, ts, frames, tiebreak, m)
-        else:
-            is_hot = _key_json(keys).isin(found)
-            sel = lambda x: x.select(*[F.col(f"`{c}`") for c in cols], *[F.col(f"`{f.name}`") for f in frames])
-            out = sel(_framed_plain(d.filter(~is_hot), keys, ts, frames, tiebreak, m)).unionByName(
-                sel(_framed_blocked(d.filter(is_hot), keys, ts, frames, tiebreak, int(hot_block_days))))
-    else:
-        out = _framed_plain(d, keys, ts, frames, tiebreak, MAX_TIES)
-    return out.select(*[F.col(f"`{c}`") for c in cols], *[F.col(f"`{f.name}`") for f in frames])
-
-
-def _order_columns(d: DataFrame, parts: list[str], ts: str, tiebreak: list[str]) -> DataFrame:
-    pos = Window.partitionBy(*parts).orderBy(F.col(ts), *[F.col(c) for c in tiebreak])
-    peer = Window.partitionBy(*parts).orderBy(F.col(ts))
-    d = d.withColumn(_RN, F.row_number().over(pos))
-    # tie = 0-based position among rows with the same timestamp (rank is over the time only;
-    # the sort for ``pos`` already satisfies it, so no extra sort is planned).
-    return d.withColumn(_TIE, (F.col(_RN) - F.rank().over(peer)).cast("long"))
-
-
-def _framed_plain(d: DataFrame, keys: list[str], ts: str, frames: Sequence[Frame],
-                  tiebreak: list[str], m: int = MAX_TIES) -> DataFrame:
-    micros = epoch_micros(ts)
-    pos = Window.partitionBy(*keys).orderBy(F.col(ts), *[F.col(c) for c in tiebreak])
-    d = _order_columns(d, keys, ts, tiebreak)
-    d = d.withColumn(_BASE, F.first(micros).over(pos))
-    frame_us = max([f.days for f in frames] or [0]) * DAY_MICROS
-    d = d.withColumn(_K, _guarded_key(micros - F.col(_BASE), F.col(_TIE), m, frame_us))
-    wk = Window.partitionBy(*keys).orderBy(F.col(_K))
-    windowed, own = _own_columns(frames, wk, m)
-    d = d.select("*", *windowed).select("*", *own)
-    shifted = [F.lag(F.col(f"__own_{i}"), 1).over(wk).alias(f.name) for i, f in enumerate(frames) if f.shift]
-    return d.select("*", *shifted)
-
-
-def _framed_blocked(d: DataFrame, keys: list[str], ts: str, frames: Sequence[Frame],
-                    tiebreak: list[str], block_days: int, materialize: bool = True) -> DataFrame:
-    block = block_days * DAY_MICROS
-    past = max([f.days for f in frames if f.direction == "past"] or [0]) * DAY_MICROS
-    future = max([f.days for f in frames if f.direction == "future"] or [0]) * DAY_MICROS
-    micros = epoch_micros(ts)
-    # A row is owned by the block of its timestamp and copied into the earlier
-    # blocks whose future frames reach it and the later blocks whose past frames reach it.
-    d = (d.withColumn(_OWNB, floor_div(micros, block))
-          .withColumn(_BLK, F.explode(F.sequence(floor_div(micros - F.lit(future), block),
-                                                 F.greatest(floor_div(micros, block),
-                                                            floor_div(micros + F.lit(past - 1), block))))))
-    parts = keys + [_BLK]
-    d = _order_columns(d, parts, ts, tiebreak)
-    # keys are relative to the block start: |span| <= block + max(past, future), so the tie
-    # budget can be far larger than for a whole device
-    m = ties_for_span(block + max(past, future), max(past, future))
-    d = d.withColumn(_K, _guarded_key(micros - F.col(_BLK) * F.lit(block), F.col(_TIE), m, max(past, future)))
-    d = d.withColumn(_OWN, F.col(_BLK) == F.col(_OWNB))
-    wk = Window.partitionBy(*parts).orderBy(F.col(_K))
-    shifted = [(i, f) for i, f in enumerate(frames) if f.shift]
-    windowed, own = _own_columns(frames, wk, m)
-    d = d.select("*", *windowed).select("*", *own)
-    if not shifted:
-        return d.filter(F.col(_OWN))
-    packed = F.struct(*[F.col(f"__own_{i}").alias(f"f{i}") for i, _ in shifted])
-    d = d.select("*", F.lag(packed, 1).over(wk).alias(_LAG),
-                 (~F.coalesce(F.lag(F.col(_OWN), 1).over(wk), F.lit(False))).alias(_FIRST),
-                 packed.alias("__packed"))
-    mine = d.filter(F.col(_OWN))
-    if materialize:
-        # The block output is read twice (rows + per-block summary). Write it once into
-        # the shared checkpoint folder instead of running the window pass twice.
-        ensure_checkpoint_dir(mine.sparkSession)
-        mine = mine.checkpoint(eager=True)
-    # The first owned row of a block takes the last owned row of the nearest earlier
-    # non-empty block: one summary row per (device, block), so this side stays small.
-    summary = mine.groupBy(*parts).agg(F.max_by(F.col("__packed"), F.col(_K)).alias(_LAST))
-    prev = summary.select(*parts, F.lag(F.col(_LAST), 1).over(
-        Window.partitionBy(*keys).orderBy(F.col(_BLK))).alias(_PREV))
-    prev = prev.select(*[F.col(c).alias(f"__p_{c}") for c in parts], _PREV)
-    cond = None
-    for c in parts:
-        e = F.col(c).eqNullSafe(F.col(f"__p_{c}"))
-        cond = e if cond is None else cond & e
-    j = mine.join(prev, cond, how="left").drop(*[f"__p_{c}" for c in parts])
-    return j.select("*", *[F.when(F.col(_FIRST), F.col(f"{_PREV}.f{i}")).otherwise(F.col(f"{_LAG}.f{i}"))
-                           .alias(f.name) for i, f in shifted])
+    cols, sources = df.columns, sorted({f.source for f in frames})
+    d = df.withColumn(ts, _check_ts(ts)).withColumn(_MICROS, epoch_micros(ts))
+    for i, c in enumerate(sources):
+        d = d.withColumn(f"__x{i}", F.col(f"`{c}`").cast("double"))
+    spread = _with_copies(d, keys, frames, int(block_days or BLOCK_DAYS) * DAY_MICROS)
+    names = [f"`{k}`" for k in keys] + [_BLOCK]
+    dealt = spread.repartition(*names).sortWithinPartitions(*names, _MICROS, *[f"`{c}`" for c in tiebreak])
+    place = [dealt.columns.index(c) for c in [*keys, _BLOCK]]
+    own, micros = dealt.columns.index(_OWN), dealt.columns.index(_MICROS)
+    xs = {c: dealt.columns.index(f"__x{i}") for i, c in enumerate(sources)}
+    kept = [dealt.columns.index(c) for c in cols]
+    names_out = [*cols, *[f.name for f in frames]]
+
+    def changes(batch: pa.RecordBatch) -> np.ndarray:
+        """Rows whose (device, block) isn't that of the row before."""
+        out = np.zeros(batch.num_rows, bool)
+        for i in place:
+            code = batch.column(i).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            out[1:] |= code[1:] != code[:-1]
+        return out
+
+    def finished(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        """The own rows of whole groups with their frames' values."""
+        batch = pa.Table.from_batches(parts).combine_chunks().to_batches()
+        if not batch:
+            return None
+        batch = batch[0]
+        group = np.cumsum(changes(batch))
+        t = batch.column(micros).to_numpy()
+        values = {c: batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for c, i in xs.items()}
+        made = _framed_values(group, t, values, frames)
+        mine = batch.column(own)
+        keep = mine.to_numpy(zero_copy_only=False).astype(bool)
+        arrays = [batch.column(i).filter(mine) for i in kept]
+        arrays += [pa.array(v[keep], pa.float64(), from_pandas=True) for v in made]
+        return pa.RecordBatch.from_arrays(arrays, names_out)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of a group that may go on in the next batch
+
+        def tail(b: pa.RecordBatch) -> tuple:
+            return tuple(b.column(i)[b.num_rows - 1].as_py() for i in place)
+
+        def head(b: pa.RecordBatch) -> tuple:
+            return tuple(b.column(i)[0].as_py() for i in place)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = np.flatnonzero(changes(batch))
+            if held and tail(held[-1]) != head(batch):
+                starts = np.concatenate([[0], starts])
+            if len(starts):
+                cut = int(starts[-1])
+                out = finished(held + [batch.slice(0, cut)])
+                if out is not None:
+                    yield out
+                held = []
+                batch = batch.slice(cut)
+            held.append(batch)
+        if held:
+            out = finished(held)
+            if out is not None:
+                yield out
+
+    schema = T.StructType([*[df.schema[c] for c in cols], *[T.StructField(f.name, T.DoubleType()) for f in frames]])
+    return dealt.mapInArrow(walk, schema)
 
 
 # --------------------------------------------------------------------------- public operators
@@ -385,22 +294,22 @@ def past_minmax_range(df: DataFrame, keys=DEVICE_KEYS, ts="Date", v="Value",
 
 
 def shift_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str] | str, col: str, n: int = 1,
-               name: str | None = None, hot_rows: int | None = None) -> DataFrame:
-    """Value of the row ``n`` places earlier in the group (``lag``; row 49).
+               name: str | None = None) -> DataFrame:
+    """Value of the row ``n`` places earlier in the group, later where ``n`` is negative (``lag``/``lead``; row 49).
 
-    ``order`` must make the order unique (add a tie-break column). A one-row shift
-    ordered by a timestamp runs on the device-window plan, so groups with more than
-    ``hot_rows`` rows are split into time blocks (a NULL timestamp is then an
-    error); other shifts are a plain ``lag`` over the group.
+    ``order`` must make the order unique (add a tie-break column). Rows get their places from distributed
+    running counts and are joined with the rows ``n`` places away on (group, place), so neither a large
+    group nor a table without groups (``keys`` empty) is one task. NULL keys are a group, as with ``lag``.
     """
     order = [order] if isinstance(order, str) else list(order)
-    name = name or f"{col}_shift_{n}"
-    timed = isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType))
-    if n == 1 and timed:
-        return framed(df, keys, order[0], [Frame(name, col, "value", 0, "past", True)], order[1:],
-                      hot_rows=hot_rows)
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
-    return df.withColumn(name, F.lag(F.col(col), n).over(w))
+    name, keys = name or f"{col}_shift_{n}", list(keys)
+    placed = running_counts(df.withColumn("__one", F.lit(1).cast("long")).withColumn("__all", F.lit(0)), [*keys, "__all"], order, "__one")
+    other = placed.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)],
+                          (F.col("__before") + n).alias("__place"), F.col(f"`{col}`").alias("__value"))
+    same = F.col("__before") == F.col("__place")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+    return placed.join(other, same, "left").withColumn(name, F.col("__value")).select(*df.columns, name)
 
 
 def rolling_stat(df: DataFrame, keys=DEVICE_KEYS, ts="Date", col="Value", days: int = 14,
@@ -417,14 +326,12 @@ FEATURE_COLUMNS = FX.FEATURE_COLUMNS
 def engineer_features(df: DataFrame, value_col: str = FX.VALUE_COLUMN, high: float = FX.HIGH_THRESHOLD,
                       target: float = FX.TARGET_THRESHOLD, horizon_days: int = FX.HORIZON_DAYS,
                       keys: Sequence[str] = DEVICE_KEYS, ts: str = FX.TIME_COLUMN,
-                      tiebreak: Sequence[str] | None = None, block_days: int | None = None,
-                      hot_rows: int | None = None, hot_block_days: int | None = None) -> DataFrame:
+                      tiebreak: Sequence[str] | None = None, block_days: int | None = None) -> DataFrame:
     """The flagship device feature table (row 50).
 
     Output: ``Date``, the other raw columns, ``Date_Next_2Weeks``, ``Date_Next_3Weeks``,
     the device keys, then ``FEATURE_COLUMNS``. Missing numbers become 0.
-    ``block_days`` cuts every device into time blocks; by default only devices with more
-    than ``hot_rows`` rows are cut (see ``framed``).
+    ``block_days``: length of the time blocks (see ``framed``); results don't depend on it.
     """
     keys = list(keys)
     missing = [c for c in keys + [ts, value_col] if c not in df.columns]
@@ -448,7 +355,7 @@ def engineer_features(df: DataFrame, value_col: str = FX.VALUE_COLUMN, high: flo
     ]
     raw = [c for c in d.columns if c not in keys and c != ts and c != "__above"]
     tb = list(tiebreak) if tiebreak is not None else _default_tiebreak(d.drop("__above"), keys, ts)
-    out = framed(d, keys, ts, frames, tb, block_days, hot_rows, hot_block_days)
+    out = framed(d, keys, ts, frames, tb, block_days)
     out = out.withColumn(FX.FUTURE_MAX, F.coalesce(F.col(FX.FUTURE_MAX), F.lit(0.0)))
     out = out.withColumn(FX.TARGET, above_flag(FX.FUTURE_MAX, target, inclusive=True))
     out = out.select(F.col(ts), *[F.col(f"`{c}`") for c in raw], *[F.col(k) for k in keys],

@@ -102,10 +102,8 @@ def q_engineer_features_params(spark, sf_dir):
 
 @register("engineer_features_hot", _flagship_sql(False))
 def q_engineer_features_hot(spark, sf_dir):
-    """Same with a low hot-device limit: devices above 12 rows go through 10-day blocks,
-    the others through one window partition each, and the two results are unioned."""
-    return round_doubles(W.engineer_features(device_metrics(spark, sf_dir), tiebreak=["event_id"],
-                                             hot_rows=12, hot_block_days=10))
+    """Same with 10-day blocks, shorter than most frames."""
+    return round_doubles(W.engineer_features(device_metrics(spark, sf_dir), tiebreak=["event_id"], block_days=10))
 
 
 # --------------------------------------------------------------- single operators (rows 42–49, 61)

@@ -19,9 +19,11 @@ from __future__ import annotations
 import json
 from typing import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capforge.operators.windows import shift_rows
+
 STEP_FUNCTIONS = ("filter", "aggregate", "shift", "date_conversion", "join")
 
 
@@ -37,11 +39,9 @@ def step_aggregate(df: DataFrame, group_by: Sequence[str], aggregations: Mapping
 
 def step_shift(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str], column: str,
                periods: int = 1, name: str | None = None) -> DataFrame:
-    """``lag``/``lead`` of a column inside groups (declared step ``shift``; row 49)."""
-    w = Window.partitionBy(*partition_by).orderBy(*[F.col(c) for c in order_by])
-    n = int(periods)
-    val = F.lag(F.col(column), n).over(w) if n >= 0 else F.lead(F.col(column), -n).over(w)
-    return df.withColumn(name or f"{column}_shift_{n}", val)
+    """``lag``/``lead`` of a column inside groups (declared step ``shift``; row 49); without ``partition_by``
+    the whole table is one group, whose order must be unique like any other's."""
+    return shift_rows(df, partition_by, order_by, column, int(periods), name)
 
 
 def step_date_conversion(df: DataFrame, column: str, to: str = "timestamp", format: str | None = None,

@@ -43,11 +43,11 @@ def test_gap_join_partitions_on_host_and_time(spark):
     assert "hashpartitioning(host_id" in p and "__t" in p
 
 
-def test_flagship_has_one_window_partitioning(spark):
-    df = E.queries()["engineer_features"](spark, SF)
-    p = plan(df)
-    assert p.count("Exchange hashpartitioning(Type") == 1
-    assert "PythonUDF" not in p and "ArrowEvalPython" not in p
+def test_flagship_has_no_sliding_window(spark):
+    """One pass over rows sorted by device and time; the only window is over a device's blocks."""
+    p = plan(E.queries()["engineer_features"](spark, SF))
+    assert p.count("MapInArrow") == 1 and "PythonUDF" not in p
+    assert all("lead(__from" in line for line in p.splitlines() if "Window [" in line), p
 
 
 def test_top_values_limits_groups_before_the_shuffle(spark):
