@@ -66,32 +66,31 @@ CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION W
 }
 
 
-def canonical_line(line: Column) -> Column:
-    """The canonical form of one line, with a space at each end of every word."""
+def line_form(line: Column) -> Column:
+    """The canonical form of one line."""
     out = F.lower(line)
     out = F.when(out.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(out)
-    return F.concat(F.lit(" "), F.regexp_replace(out, MARKS, " "), F.lit(" "))
-
-
-def spelled(words: Column) -> Column:
-    out = F.regexp_replace(words, " +", "  ")  # each word with spaces of its own
+    out = F.concat(F.lit(" "), F.regexp_replace(out, MARKS, "  "), F.lit(" "))  # each word with spaces of its own
     for pattern, to in PATTERNS:
         out = F.regexp_replace(out, pattern, to)
-    out = F.regexp_replace(out, " +", " ")
-    for old, new in WORDS:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(out)
+    return same_spelling(F.replace(out, F.lit("  "), F.lit(" ")), WORDS)
 
 
-def canonical(text: Column) -> Column:
-    lines = F.split(F.regexp_replace(text_or_empty(text), "\r\n?", "\n"), "\n")
-    return spelled(F.array_join(F.transform(lines, canonical_line), " "))
+def same_spelling(words: Column, pairs: list[tuple[str, str]]) -> Column:
+    for old, new in pairs:
+        words = F.replace(words, F.lit(old), F.lit(new))
+    return F.trim(words)
 
 
 def line_forms(text: Column) -> Column:
-    """The canonical forms of a text's lines, each once."""
-    lines = F.split(F.regexp_replace(text_or_empty(text), "\r\n?", "\n"), "\n")
-    return F.array_distinct(F.transform(lines, lambda x: spelled(canonical_line(x))))
+    lines = F.split(F.replace(F.replace(text_or_empty(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n")
+    return F.filter(F.transform(lines, line_form), lambda x: x != "")
+
+
+def joined(forms: Column) -> Column:
+    """The canonical form of a text from those of its lines: what spans two lines is spelled here."""
+    spanning = [(old, new) for old, new in WORDS if " " in old.strip()]
+    return same_spelling(F.concat(F.lit(" "), F.array_join(forms, " "), F.lit(" ")), spanning)
 
 
 def form_digest(form: Column) -> Column:
@@ -105,11 +104,13 @@ def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) ->
 def scan_licences(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, canonical_sha256 (null: empty form), licence (of the whole text),
     n_stated (different licences that whole lines state) and first_stated (the smallest of them)."""
-    table = known.select(form_digest(canonical(F.col("text"))).alias("digest"), "licence").filter(
+    table = known.select("licence", line_forms(F.col("text")).alias("forms")).select(
+        "licence", form_digest(joined(F.col("forms"))).alias("digest")).filter(
         "digest is not null").groupBy("digest").agg(F.min("licence").alias("licence"))
-    rows = stored(with_row_id(docs.select(
-        F.col(doc_id).alias("doc_id"), form_digest(canonical(F.col(text))).alias("digest"),
-        F.transform(F.filter(line_forms(F.col(text)), lambda x: x != ""), lambda x: F.sha2(x, 256)).alias("lines")), "rid"), "forms")
+    forms = docs.select(F.col(doc_id).alias("doc_id"), line_forms(F.col(text)).alias("forms"))
+    rows = stored(with_row_id(forms.select(
+        "doc_id", form_digest(joined(F.col("forms"))).alias("digest"),
+        F.transform(F.array_distinct("forms"), lambda x: F.sha2(x, 256)).alias("lines")), "rid"), "forms")
     lines = rows.select("rid", F.explode("lines").alias("digest"))
     stated = join_per_key(lines, table, "digest").filter("licence is not null").groupBy("rid").agg(
         F.countDistinct("licence").alias("n_stated"), F.min("licence").alias("first_stated"))

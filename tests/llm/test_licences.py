@@ -33,5 +33,5 @@ def test_edges(spark, frame):
 
 
 def test_known_licences_match_themselves(spark):
-    forms = [r.f for r in L.known_licences(spark).select(L.canonical(L.F.col("text")).alias("f")).collect()]
+    forms = [r.f for r in L.known_licences(spark).select(L.joined(L.line_forms(L.F.col("text"))).alias("f")).collect()]
     assert len(set(forms)) == len(L.KNOWN) and all(forms)
