@@ -4,7 +4,14 @@ The main entry points, re-exported here; everything else lives in the submodules
 (``capforge.operators.*``, ``capforge.sources.*``, ``capforge.plans.*``).
 """
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks are shipped by value: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+__version__ = "0.2.0"
 
 from capforge.operators.joins import gap_join, gap_report  # noqa: E402
 from capforge.operators.metrics import auc, classification_metrics, regression_metrics  # noqa: E402
