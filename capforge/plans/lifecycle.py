@@ -23,8 +23,9 @@ from capforge.functions.scalar import model_label
 from capforge.operators import ml as ML
 from capforge.operators.ranking import selection_record
 from capforge.operators.windows import engineer_features
-from capforge.sources.files import scan_table, sink_table
-from capforge.sources.registry import append_records, insert_if_absent, registry_schema
+from capforge.sources.files import scan_csv, scan_table, sink_csv, sink_table
+from capforge.sources.registry import (REGISTRY_SCHEMAS, append_records, delete_path, insert_if_absent, path_exists,
+                                       registry_schema, replace_table)
 
 
 @dataclass(frozen=True)
@@ -68,10 +69,55 @@ def _row(spark: SparkSession, name: str, values: dict) -> DataFrame:
     return df.withColumn("created_at", F.coalesce(F.col("created_at"), F.current_timestamp()))
 
 
+def upload_dataset(spark: SparkSession, reg: Registries, csv_path: str, project_id: str, name: str | None = None,
+                   dataset_id: str | None = None, target_column: str | None = None) -> dict:
+    """CSV → raw table ``raw_<id>`` + datasets registry row; the id, columns and row count."""
+    dataset_id = dataset_id or str(uuid.uuid4())
+    data, dest = scan_csv(spark, csv_path), reg.table("raw", dataset_id)
+    sink_table(data, dest)
+    filename = csv_path.rstrip("/").rsplit("/", 1)[-1]
+    append_records(_row(spark, "datasets", {"id": dataset_id, "project_id": project_id, "name": name or filename,
+                                            "filename": filename, "target_column": target_column}), reg.path("datasets"))
+    return {"dataset_id": dataset_id, "columns": data.columns, "rows": scan_table(spark, dest).count()}
+
+
+def load_raw(spark: SparkSession, reg: Registries, dataset_id: str) -> DataFrame:
+    """The raw table of a registered dataset; an unknown dataset is an error."""
+    return scan_table(spark, reg.table("raw", _registered(spark, reg, "datasets", "id", dataset_id).id))
+
+
+def load_engineered(spark: SparkSession, reg: Registries, dataset_id: str) -> DataFrame:
+    """The engineered table that the registry names for a dataset; an error where there is none."""
+    return scan_table(spark, _registered(spark, reg, "engineered", "dataset_id", dataset_id).table_name)
+
+
+def download_prediction(spark: SparkSession, reg: Registries, run_id: str, path: str) -> str:
+    """The prediction table of a run as CSV files in the folder ``path``."""
+    sink_csv(scan_table(spark, _registered(spark, reg, "predictions", "id", run_id).output_path), path)
+    return path
+
+
+def delete_project(spark: SparkSession, reg: Registries, project_id: str) -> list[str]:
+    """Delete a project's rows from all five registries and then its raw, engineered, prediction and model
+    folders, which the registries name. Every registry is written beside the old one and swapped in; the
+    folders deleted are returned. Running it again after a failure finishes the job, as rows go last."""
+    mine = F.col("project_id") == project_id
+    tables = {name: _read_or_empty(spark, reg.path(name), name) for name in REGISTRY_SCHEMAS}
+    paths = [reg.table("raw", r.id) for r in tables["datasets"].filter(mine).select("id").collect()]
+    for name, column in (("engineered", "table_name"), ("predictions", "output_path"), ("models", "artifact_path")):
+        paths += [r[0] for r in tables[name].filter(mine & F.col(column).isNotNull()).select(column).collect()]
+    for path in paths:
+        delete_path(spark, path)
+    for name, table in tables.items():
+        if path_exists(spark, reg.path(name)):
+            replace_table(table.filter(~mine | F.col("project_id").isNull()), reg.path(name))
+    return paths
+
+
 def run_feature_engineering(spark: SparkSession, reg: Registries, dataset_id: str, project_id: str,
                             raw: DataFrame | None = None, tiebreak: Sequence[str] | None = None) -> list[str]:
     """Raw device table → engineered table ``feat_<id>`` + engineered registry row (once per dataset)."""
-    raw = raw if raw is not None else scan_table(spark, reg.table("raw", dataset_id))
+    raw = raw if raw is not None else load_raw(spark, reg, dataset_id)
     dest = reg.table("feat", dataset_id)
     feats = engineer_features(raw, tiebreak=tiebreak)
     sink_table(feats, dest)
@@ -84,7 +130,7 @@ def run_feature_engineering(spark: SparkSession, reg: Registries, dataset_id: st
 def run_feature_selection(spark: SparkSession, reg: Registries, dataset_id: str, project_id: str, target: str,
                           k: int = 10, exclude: Sequence[str] = ()) -> dict:
     """Engineered table → top-k features by |Pearson| with the target + selection registry row."""
-    feats = scan_table(spark, reg.table("feat", dataset_id))
+    feats = load_engineered(spark, reg, dataset_id)
     if target not in feats.columns:
         raise ValueError(f"{target} is none of the columns {feats.columns}")
     if not isinstance(feats.schema[target].dataType, (T.NumericType, T.BooleanType)):
@@ -103,7 +149,7 @@ def train_model(spark: SparkSession, reg: Registries, dataset_id: str, selection
                 task_type: str, key: str | None = None, **gbt) -> dict:
     """Selection run → fitted GBT on the engineered table, saved with Spark ML + model registry row."""
     sel = _registered(spark, reg, "selections", "id", selection_id)
-    feats = scan_table(spark, reg.table("feat", dataset_id))
+    feats = load_engineered(spark, reg, dataset_id)
     train = ML.train_classifier if task_type == "classification" else ML.train_regressor
     model, metrics = train(feats, list(sel.selected_features), sel.target_column, key=key, **gbt)
     model_id = str(uuid.uuid4())
@@ -124,7 +170,7 @@ def run_prediction(spark: SparkSession, reg: Registries, model_id: str, dataset_
     models = _registered(spark, reg, "models", "id", model_id)
     sel = _registered(spark, reg, "selections", "id", models.selection_id)
     model = ML.load_model(models.artifact_path)
-    data = scan_table(spark, reg.table("feat", dataset_id))
+    data = load_engineered(spark, reg, dataset_id)
     run_id = str(uuid.uuid4())
     return ML.predict_and_record(model, data, list(sel.selected_features), models.target_column,
                                  reg.table("pred_res", run_id), reg.path("predictions"),

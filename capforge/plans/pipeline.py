@@ -100,11 +100,13 @@ def run_pipeline(source: DataFrame, steps: DataFrame | Iterable[Mapping], pipeli
         s = steps
         if pipeline_id is not None:
             s = s.filter(F.col("pipeline_id") == F.lit(pipeline_id))
-        rows = [r.asDict() for r in s.select("function_name", "input_param_value", "sequence_num")
+        rows = [r.asDict() for r in s.select(*[c for c in ("pipeline_id",) if c in s.columns], "function_name", "input_param_value", "sequence_num")
                 .orderBy("sequence_num").collect()]
     else:
         rows = sorted((dict(r) for r in steps if pipeline_id is None or r.get("pipeline_id") == pipeline_id),
                       key=lambda r: r["sequence_num"])
+    if pipeline_id is None and len({r.get("pipeline_id") for r in rows}) > 1:
+        raise ValueError("the steps belong to several pipelines: name one by pipeline_id")
     out = source
     for r in rows:
         params = r["input_param_value"]

@@ -2,12 +2,13 @@
 
 Registries are small append-only tables (datasets, engineered tables, selection
 runs, models, prediction runs). Rows are added in batches with ``mode("append")``;
-a table is rewritten from itself only after its lineage is cut (checkpoint into
-the shared checkpoint folder), because Spark cannot overwrite a path it reads.
+a table that is rewritten from itself is written beside the old one and swapped in,
+because Spark cannot overwrite a path it reads.
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capforge.functions.fixed import DECLARED_TYPES
-from capforge.session import ensure_checkpoint_dir
+from capforge.session import materialised
 
 REGISTRY_SCHEMAS = {
     "datasets": "id string, project_id string, name string, filename string, target_column string, "
@@ -127,14 +128,45 @@ def recreate_tables(spark: SparkSession, tables: Sequence[Mapping], location: st
     return ddl
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path`` and the path as it knows it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a stored table's folder, if it is there."""
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrite a parquet table with rows computed from itself (e.g. ``purge_project`` survivors).
+    """Replace a parquet table with rows that may be computed from itself (e.g. ``purge_project`` survivors).
 
-    The rows are first checkpointed into the shared checkpoint folder, which cuts
-    the lineage to the old files; then the path is overwritten.
+    The rows are written to a folder beside it; only when they are complete does the old folder move away
+    and the new one take its name, so a failure while writing leaves the table as it was. A reader that
+    comes between the two renames finds no table and should try again.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    df.checkpoint(eager=True).write.mode("overwrite").parquet(path)
+    spark, base = df.sparkSession, path.rstrip("/")
+    mark = uuid.uuid4().hex
+    df.write.parquet(f"{base}.new-{mark}")
+    fs, old = _hadoop(spark, base)
+    new, away = (spark._jvm.org.apache.hadoop.fs.Path(f"{base}.{k}-{mark}") for k in ("new", "old"))
+    moved = fs.exists(old)
+    if moved and not fs.rename(old, away):
+        raise OSError(f"{path} could not be moved away")
+    if not fs.rename(new, old):
+        if moved:
+            fs.rename(away, old)
+        raise OSError(f"{path} could not be replaced")
+    spark.catalog.refreshByPath(base)
+    if moved:
+        fs.delete(away, True)
 
 
 def drop_tables(spark: SparkSession, names: Sequence[str]) -> list[str]:
@@ -153,7 +185,7 @@ def purge_project_tables(spark: SparkSession, project_id, registries: Mapping[st
     ``registries``: name → (parquet path, project-id column); ``children``: name →
     (parquet path, foreign key, parent registry name). Survivors are computed with
     ``operators.joins.purge_project`` (``left_anti`` on the doomed keys), all of them
-    checkpointed, then written back. Returns the surviving row count per table.
+    written beside the old tables and swapped in. Returns the surviving row count per table.
     """
     from capforge.operators.joins import purge_project
 
@@ -161,13 +193,11 @@ def purge_project_tables(spark: SparkSession, project_id, registries: Mapping[st
     kids = {n: (spark.read.parquet(path), fk, parent) for n, (path, fk, parent) in (children or {}).items()}
     survivors = purge_project(project_id, frames, kids)
     paths = {**{n: p for n, (p, _) in registries.items()}, **{n: p for n, (p, _, _) in (children or {}).items()}}
-    # child survivors are computed from the parents' old rows: cut every lineage
-    # (checkpoint in the shared folder) before the first table is overwritten
-    ensure_checkpoint_dir(spark)
-    cut = {name: df.checkpoint(eager=True) for name, df in survivors.items()}
+    # child survivors are computed from the parents' old rows: all are written before the first is replaced
+    stored = {name: materialised(df, f"survivors-{name}") for name, df in survivors.items()}
     counts = {}
-    for name, df in cut.items():
-        df.write.mode("overwrite").parquet(paths[name])
+    for name, df in stored.items():
+        replace_table(df, paths[name])
         counts[name] = spark.read.parquet(paths[name]).count()
     drop_tables(spark, drop)
     return counts
