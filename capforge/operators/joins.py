@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,15 @@ def gap_row_count(df: DataFrame, gap_days: int = FX.GAP_DAYS, host_id: int | Non
     return j.agg(F.coalesce(F.sum(F.coalesce(F.col("__n"), F.lit(1))), F.lit(0)).cast("long").alias("row_count"))
 
 
+def _upto(host: str, t: str, last_host, last_t) -> Column:
+    """Keys (host, time), NULLs last, up to the given one."""
+    h, time = F.col(host), F.col(t)
+    upto_t = F.lit(True) if last_t is None else (time <= F.lit(last_t).cast("timestamp_ntz"))
+    if last_host is None:
+        return h.isNotNull() | F.coalesce(upto_t, F.lit(False))
+    return F.coalesce((h < F.lit(last_host)) | ((h == F.lit(last_host)) & upto_t), F.lit(False))
+
+
 def gap_report(df: DataFrame, columns: str | Iterable[str], gap_days: int = FX.GAP_DAYS,
                host_id: int | None = None, n: int = FX.GAP_REPORT_ROWS, metrics: Sequence[str] = HOST_METRICS) -> DataFrame:
     """``gap_join`` + full row count + the first ``n`` rows of the requested columns (row 25).
@@ -90,15 +99,16 @@ def gap_report(df: DataFrame, columns: str | Iterable[str], gap_days: int = FX.G
     from capforge.operators.relational import parse_column_list, select_requested
 
     left, right = _gap_sides(df, gap_days, host_id, "hostname", "datetime", metrics)
-    # Sort key of a left row in report order (NULLs last). The n-th smallest key is a
-    # threshold: all earlier keys and every tie of it are the only left rows that can
-    # reach the first n report rows (each left row yields at least one).
+    # The n-th smallest key of a left row in report order (NULLs last) is a threshold: all earlier keys and
+    # every tie of it are the only left rows that can reach the first n report rows (each left row yields at
+    # least one). It is read first, as one row, so that both sides filter by plain values.
     lkey = F.struct(F.col("host_id").isNull(), F.col("host_id"), F.col("__t").isNull(), F.col("__t"))
-    rkey = F.struct(F.lit(False), F.col("__rh"), F.lit(False), F.col("__rt"))
-    first = left.select(lkey.alias("__k")).orderBy("__k").limit(int(n))
-    threshold = first.agg(F.max("__k").alias("__th"))  # one row
-    head = left.crossJoin(F.broadcast(threshold)).filter(lkey <= F.col("__th")).drop("__th")
-    right_head = right.crossJoin(F.broadcast(threshold)).filter(rkey <= F.col("__th")).drop("__th")
+    last = left.select(lkey.alias("k"), "host_id", "__t").orderBy("k").limit(int(n)).orderBy(F.col("k").desc()).limit(1).first()
+    if last is None:
+        head, right_head = left.limit(0), right.limit(0)
+    else:
+        head, right_head = left.filter(_upto("host_id", "__t", last.host_id, last["__t"])), right.filter(
+            _upto("__rh", "__rt", last.host_id, last["__t"]))
     top = sort_gap_rows(_pair(head, right_head, metrics)).limit(int(n))
     rank_cols = [F.col("host_id").asc_nulls_last(), F.col("datetime_1").asc_nulls_last()] + [
         F.col(c).asc_nulls_last() for c in top.columns if c not in ("host_id", "datetime_1")]

@@ -29,12 +29,12 @@ def running_counts(df: DataFrame, groups: Sequence[str], order: str | Sequence[s
     rows = materialised(df.orderBy(*groups, *order).withColumn("__part", F.spark_partition_id()), "sorted")
     sums = rows.groupBy(*groups, "__part").agg(F.sum(weight).alias("__sum"))
     upto = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*[F.col(g).alias(f"__of_{g}") for g in groups], F.col("__part").alias("__of_part"),
+    offsets = sums.select(*[F.col(g).alias(f"__group{i}") for i, g in enumerate(groups)], F.col("__part").alias("__in"),
                           F.coalesce(F.sum("__sum").over(upto), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy(*groups, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("__local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    same = F.col("__part") == F.col("__of_part")
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    same = F.col("__part") == F.col("__in")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__group{i}"))
     joined = local.join(offsets, same)
     return joined.withColumn("__before", F.col("__local") + F.col("__offset")).select(*df.columns, "__before")

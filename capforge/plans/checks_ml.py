@@ -58,13 +58,80 @@ _MODELS: dict = {}
 
 
 def _fitted(spark, sf_dir):
-    """The classifier of ``train_classifier``, fitted once per Spark context and table folder."""
-    key = (id(spark.sparkContext._jsc), sf_dir)
+    """The classifier of ``train_classifier``, fitted once per Spark application and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         _MODELS[key], _ = ML.train_classifier(labelled(spark, sf_dir), FEATURES, "is_returned", key="row_key")
     return _MODELS[key]
 
 
+_ROW_KEY_SQL = ("CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) "
+                "|| '-' || CAST(l_suppkey AS VARCHAR)")
+_RETURNED_SQL = "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END"
+
+
+@register("train_split_support", f"""
+SELECT {_RETURNED_SQL} AS is_returned,
+       count(*) FILTER (WHERE ('0x' || substr(md5({_ROW_KEY_SQL} || ':42'), 1, 8))::BIGINT % 100 < 80) AS train_rows,
+       count(*) FILTER (WHERE ('0x' || substr(md5({_ROW_KEY_SQL} || ':42'), 1, 8))::BIGINT % 100 >= 80) AS test_rows
+FROM lineitem GROUP BY 1
+""")
+def q_train_split_support(spark, sf_dir):
+    """Rows of each class that a training job fits and tests on."""
+    train, test = ML.train_test_split(labelled(spark, sf_dir), "row_key")
+    both = train.withColumn("t", F.lit(True)).unionByName(test.withColumn("t", F.lit(False)))
+    return both.groupBy("is_returned").agg(F.count_if("t").alias("train_rows"), F.count_if(~F.col("t")).alias("test_rows"))
+
+
+@register("batch_predict_rows", f"SELECT {_ROW_KEY_SQL} AS row_key, {_RETURNED_SQL} AS is_returned, true AS is_label FROM lineitem")
+def q_batch_predict_rows(spark, sf_dir):
+    """Every row is scored once, keeps its key and target, and gets one of the labels."""
+    scored = ML.batch_predict(_fitted(spark, sf_dir), labelled(spark, sf_dir), FEATURES, "is_returned", keep=["row_key"])
+    return scored.select("row_key", "is_returned", F.col("predicted_is_returned").isin(0.0, 1.0).alias("is_label"))
+
+
+@register("save_load_same", "SELECT count(*) AS n, 0 AS differing FROM lineitem")
+def q_save_load_same(spark, sf_dir):
+    """A reloaded model predicts what the one in memory does."""
+    path, model, data = scratch_dir(spark, "model"), _fitted(spark, sf_dir), labelled(spark, sf_dir)
+    ML.save_model(model, path)
+    again = ML.load_model(path)
+    for stage, name in ((model, "__kept"), (again, "__loaded")):
+        data = stage.transform(data.na.fill(0, subset=FEATURES)).withColumn(name, F.col("__prediction")).drop(
+            "__prediction", "__features", "rawPrediction", "probability")
+    return data.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__kept") != F.col("__loaded")).alias("differing"))
+
+
+@register("predict_and_record_run", "SELECT 'run-2' AS id, 'completed' AS status, count(*) AS n, min(l_quantity) AS least FROM lineitem")
+def q_predict_and_record_run(spark, sf_dir):
+    """The run's registry row, the size of its table, and the input columns of its preview."""
+    out, runs = scratch_dir(spark, "pred_res"), scratch_dir(spark, "pred_runs")
+    preview = ML.predict_and_record(_fitted(spark, sf_dir), labelled(spark, sf_dir), FEATURES, "is_returned", out, runs,
+                                    {"id": "run-2", "project_id": "p"}, keep=["row_key"])
+    if set(labelled(spark, sf_dir).columns) - set(preview.columns):
+        raise AssertionError("the preview lacks input columns")
+    stored = spark.read.parquet(out)
+    least = labelled(spark, sf_dir).join(stored.select("row_key").distinct(), "row_key", "left_semi").agg(F.min("l_quantity").alias("least"))
+    return spark.read.parquet(runs).select("id", "status").crossJoin(F.broadcast(stored.agg(F.count(F.lit(1)).alias("n")))).crossJoin(
+        F.broadcast(least))
+
+
+@register("oot_parts", """
+SELECT part, count(*) AS n, true AS scored FROM (
+  SELECT CASE WHEN l_shipdate < TIMESTAMP '1999-01-01' + INTERVAL 28 DAY THEN 'horizon_1' ELSE 'horizon_2' END AS part FROM lineitem
+  WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND l_shipdate < TIMESTAMP '1999-01-01' + INTERVAL 56 DAY) GROUP BY part
+""")
+def q_oot_parts(spark, sf_dir):
+    """Each out-of-time part has its rows and all its metrics within bounds."""
+    data = labelled(spark, sf_dir)
+    m = ML.oot_evaluation(_fitted(spark, sf_dir), data, FEATURES, "is_returned", "l_shipdate", "1999-01-01")
+    inside = F.lit(True)
+    for c in ("accuracy", "f1", "precision", "recall", "auc"):
+        inside = inside & F.col(c).between(0, 1)
+    later = ML.horizon_split(data, "l_shipdate", "1999-01-01", 12, 4, 8).filter("part <> 'train'").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return later.join(m, "part").select("part", "n", inside.alias("scored"))
+
+
 @register("save_load_model")
 def q_save_load_model(spark, sf_dir):
     path = scratch_dir(spark, "model")

@@ -52,3 +52,4 @@ def test_auc_by_group(spark):
     df = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.1), ("b", 1, 0.2), ("b", 0, 0.3), ("b", 0, 0.2), ("c", 1, 0.5), (None, 0, 1.0), (None, 1, 2.0)],
                                "g string, label int, score double")
     assert {r.g: r.auc for r in M.auc(df, by=["g"]).collect()} == {"a": 1.0, "b": 0.25, "c": None, None: 1.0}
+    assert {r.part: r.auc for r in M.auc(df.withColumnRenamed("g", "part"), by=["part"]).collect()}["b"] == 0.25
