@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from capforge.llm.common import stored
 
-CELL = 8
+CELL = 2
 QUERY_BLOCK = 512
 #: Vectors in a block of the approximation file, on average.
 VECTOR_BLOCK = 4096
@@ -57,7 +57,7 @@ def bounds(queries: np.ndarray, low: np.ndarray, cell: int) -> tuple[np.ndarray,
 
 
 def reachable(vectors: DataFrame, queries: DataFrame, k: int, cell: int) -> DataFrame:
-    """(q, c, lower, upper): for each query class the classes that its block can't rule out.
+    """(q, c, n, lower, upper): for each query class the classes that its block can't rule out.
 
     ``vectors``: (c, n, v) with n = rows of the class, up to k + 1; ``queries``: (q, v).
     """
@@ -73,25 +73,25 @@ def reachable(vectors: DataFrame, queries: DataFrame, k: int, cell: int) -> Data
         "dim", F.explode(F.sequence(F.lit(0), F.lit(max(0, q_blocks - 1)))).alias("qb"), "vb", "c", "n", "v")
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["q", "c", "lower", "upper"]
+        names = ["q", "c", "n", "lower", "upper"]
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], pa.int64()) for n in names})
         qs, cs = left["c"].to_numpy(), right["c"].to_numpy()
         rows = right["n"].to_numpy()
         lower, upper = bounds(packed(left["v"].combine_chunks()), packed(right["v"].combine_chunks()), cell)
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         for i in range(len(qs)):
             order = np.argpartition(-lower[i], min(k + 1, len(cs) - 1))[:k + 2]
             order = order[np.argsort(-lower[i][order], kind="stable")]
             sure = np.cumsum(rows[order]) >= k + 1
             least = lower[i][order[np.argmax(sure)]] if sure.any() else -np.inf
             at = np.flatnonzero(upper[i] >= least)
-            for o, x in zip(out, (np.full(len(at), qs[i]), cs[at], lower[i][at], upper[i][at])):
+            for o, x in zip(out, (np.full(len(at), qs[i]), cs[at], rows[at], lower[i][at], upper[i][at])):
                 o.append(x.astype(np.int64))
         return pa.table({n: np.concatenate(o) for n, o in zip(names, out)})
 
     keys = ["dim", "qb", "vb"]
-    return asked.groupBy(*keys).cogroup(file.groupBy(*keys)).applyInArrow(compare, "q long, c long, lower long, upper long")
+    return asked.groupBy(*keys).cogroup(file.groupBy(*keys)).applyInArrow(compare, "q long, c long, n long, lower long, upper long")
 
 
 def exact_top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -106,7 +106,11 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id"
     asked = stored(rows.filter(is_query(F.col("id"))).select("id", "h").join(classes.select("h", "c"), "h").select(
         "id", F.col("c").alias("q")), "asked")
     queries = stored(asked.select("q").distinct().join(classes.select(F.col("c").alias("q"), "v"), "q"), "queries")
-    near = stored(reachable(classes.select("c", F.size("ids").alias("n"), "v"), queries, k, cell), "bounds")
+    near = stored(reachable(classes.select("c", F.size("ids").alias("n"), "v"), queries, k, cell), "blocks")
+    rows_upto = F.sum("n").over(Window.partitionBy("q").orderBy(F.col("lower").desc(), "c"))
+    sure = near.withColumn("upto", rows_upto).filter(F.col("upto") >= k + 1).groupBy("q").agg(F.max("lower").alias("sure"))
+    near = stored(near.join(sure, "q", "left").filter(F.col("sure").isNull() | (F.col("upper") >= F.col("sure"))).select(
+        "q", "c", "upper"), "bounds")
     # 1 + k classes in bound order are enough for k rows besides the query's own id
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.col("upper").desc(), "c")))
     left, right = queries.select("q", F.col("v").alias("qv")), classes.select("c", "v", F.size("ids").alias("n"))
