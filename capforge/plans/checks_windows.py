@@ -9,10 +9,12 @@ before ``p`` inside ``(p.Date - n days, p.Date]``; future max joins rows in
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from capforge.functions.scalar import round_doubles
 from capforge.operators import windows as W
 from capforge.plans.checks import device_sql, register
-from capforge.plans.fixtures import device_metrics
+from capforge.plans.fixtures import device_metrics, table
 
 _SAME = '{a}."Type" = {b}."Type" AND {a}."Application" = {b}."Application" AND {a}."IP" = {b}."IP"'
 
@@ -106,6 +108,33 @@ def q_engineer_features_hot(spark, sf_dir):
     return round_doubles(W.engineer_features(device_metrics(spark, sf_dir), tiebreak=["event_id"], block_days=10))
 
 
+def _dense_sql() -> str:
+    """One device with all readings, 241.0001 s apart (no two are whole days apart): SQL's own sliding frames."""
+    past = lambda n: f'(ORDER BY "Date" RANGE BETWEEN INTERVAL {n} DAY PRECEDING AND CURRENT ROW)'
+    own = [("Value_Last_1Day", f"max(v) OVER {past(1)}"), ("Value_Last_3Days", f"max(v) OVER {past(3)}"),
+           ("Date_Value_Last_28Days_SDev", f"stddev_samp(v) OVER {past(28)}"),
+           ("Date_Value_Last_28Days_Median", f"median(v) OVER {past(28)}")]
+    for n in (3, 7, 14, 28):
+        own += [(f"Date_Count_Value_Above_70_Last_{n}Days", f"count(*) FILTER (WHERE v > 70) OVER {past(n)}::DOUBLE"),
+                (f"Date_MinMax_Range_Last_{n}Days", f"max(v) OVER {past(n)} - min(v) OVER {past(n)}")]
+    shifted = ", ".join(f'round(coalesce(lag("{c}") OVER (ORDER BY "Date"), 0), 6) AS "{c}"' for c, _ in own)
+    return f"""
+WITH d AS (SELECT event_id, TIMESTAMP '2024-01-01' + to_microseconds(event_id * 241000100) AS "Date", value AS v FROM events),
+w AS (SELECT *, max(v) OVER (ORDER BY "Date" RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND INTERVAL 21 DAY FOLLOWING) AS ahead,
+      {', '.join(f'{e} AS "{c}"' for c, e in own)} FROM d)
+SELECT event_id, round(coalesce(ahead, 0), 6) AS "Value_target_Max", (coalesce(ahead, 0) >= 80)::INTEGER AS "Target", {shifted} FROM w
+"""
+
+
+@register("engineer_features_dense", _dense_sql())
+def q_engineer_features_dense(spark, sf_dir):
+    """Every reading on one device, about 10 000 in 28 days."""
+    at = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, CAST(event_id AS DECIMAL(18, 6)) * 241.0001)")
+    one = table(spark, sf_dir, "events").select(F.lit("all").alias("Type"), F.lit("app").alias("Application"), F.lit("1").alias("IP"),
+                                               at.alias("Date"), F.col("value").alias("Value"), "event_id")
+    return round_doubles(W.engineer_features(one, tiebreak=["event_id"])).select("event_id", *W.FEATURE_COLUMNS)
+
+
 # --------------------------------------------------------------- single operators (rows 42–49, 61)
 
 _DEV_COLS = 'o."Type", o."Application", o."IP", o."Date", round(o."Value", 6) AS "Value", o.event_id'
