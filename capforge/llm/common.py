@@ -42,6 +42,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Whole texts that a Python task gets at once, and the build side of a hash join (checked by AQE at run
+#: time, partition by partition; larger ones are sorted).
+TEXT_ROWS, HASH_JOIN = 1000, "8MB"
+
+
+def task_memory(spark: SparkSession) -> None:
+    """Settings that keep tasks small, for a session that has Spark's defaults (it keeps its own values): few
+    long texts in a batch for Python, and no sort of both sides where a small hash table will do. No result
+    depends on them."""
+    for key, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(TEXT_ROWS)),
+                               ("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "0b", HASH_JOIN)):
+        if spark.conf.get(key).lower() in (default, default.rstrip("b")):
+            spark.conf.set(key, ours)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have (case-insensitively)."""
     have = {c.lower() for c in df.columns}

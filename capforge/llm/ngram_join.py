@@ -7,17 +7,18 @@ rows reachable by links. Shingles are 64-bit hashes.
 
 1. Rows with equal sets form a class; from here on a class is one row (its sets' row with the smallest
    id). Copies are linked without being paired.
-2. A table of 2^16 counts over all shingles orders shingles from rare to frequent. Of two linked sets a
-   and b at least one shingle is among the first |a| - ceil(percent |a| / 100) + 1 of each, so only these
-   are keys.
+2. Two tables of 2^16 counts, over all shingles and over all words, order shingles: those of much repeated
+   passages last, else by the rarest of their words. Linked sets share at least ceil(percent |a| / 100)
+   shingles, so of the first |a| - ceil(percent |a| / 100) + m in this order (m: 4, or all that must be
+   shared if fewer) they share at least m: only these are keys.
 3. A tile is a key and a size band: a band's home rows with the rows of the band below it; linked sets
    differ by at most one band. Each row's bitmap has one bit for each shingle hash modulo its length,
    set when an odd number of shingles falls on it. The bits that differ between two bitmaps are at most the
    symmetric difference, which bounds the intersection from above by (|a| + |b| - bits) / 2.
-4. In each tile one row is the pivot; a row is compared with the pivots of its tiles only, so a tile of m
-   near copies costs m comparisons. Rows connected through pivots get one label. A second round with other
-   pivots follows; at the end all pairs of a tile with different labels are compared. Pairs within one label can add
-   nothing to the components and are never made.
+4. In each tile one row is the pivot; a row is compared with the likeliest pivots of its tiles only, so a
+   tile of m near copies costs m comparisons. Rows connected through pivots get one label; then all pairs of a tile with different labels are compared, 256 bits of their
+   bitmaps first, and those that share m keys are kept. Pairs within one label can add nothing to the
+   components and are never made.
 5. Pairs that pass the bitmap bound are intersected exactly: the sorted arrays are built again from the
    texts of these rows alone (a fixed-size Bloom filter of their ids thins the scan, a join makes it exact).
 6. Components by alternating large-star and small-star steps over the links, as stored tables.
@@ -40,14 +41,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capforge.llm.common import fresh, mix, stored, text_or_empty, with_row_id
+from capforge.llm.common import fresh, mix, stored, task_memory, text_or_empty, with_row_id
 
 BUCKETS = 1 << 16
 BLOOM_BITS = 1 << 23
-ROUNDS = 2
+ROUNDS = 1
+#: Keys that two linked rows share at least, where their sizes ask for as many.
+SHARED = 4
+#: Orders of ids among which a key chooses the one that decides its pivot.
+ORDERS = 4
 #: Pivots that a row is compared with in a round: those with the best bounds.
-TRIED = 2
-SLICE = 4_000_000
+TRIED = 5
+SLICE = 1_000_000
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
@@ -61,8 +66,15 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         start = stop
 
 
-def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct 64-bit shingle hashes of each text, in order."""
+def shingle_sets(texts: pa.Array, n: int, word_counts: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The sorted distinct 64-bit shingle hashes of each text, in order. ``word_counts``: gets the number of
+    words of each bucket added."""
+    for x, _ in shingles(texts, n, word_counts, None):
+        yield x
+
+
+def shingles(texts: pa.Array, n: int, word_counts: np.ndarray | None, ranks: np.ndarray | None) -> Iterator[tuple]:
+    """(sorted distinct shingle hashes, the smallest of ``ranks`` among each one's words) of each text."""
     for _, part in slices(texts):
         clean = pc.ascii_trim_whitespace(part.cast(pa.large_string()))
         words = pc.ascii_split_whitespace(clean)
@@ -72,23 +84,32 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         lexicon = np.array([xxhash.xxh64_intdigest(w.lower())  # of bytes: A-Z only
                             for w in coded.dictionary.cast(pa.large_binary()).to_pylist()] or [0], np.uint64)
         h = lexicon[coded.indices.to_numpy()]
+        if word_counts is not None:
+            word_counts += np.bincount(bucket(h), minlength=BUCKETS)
         m = max(0, len(h) - n + 1)
         rolled = np.zeros(m, np.uint64)
+        rank = ranks[bucket(h)] if ranks is not None else None
+        rarest = rank[:m].copy() if ranks is not None else None
         for i in range(n):
             rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + h[i:i + m])
+            if rarest is not None:
+                np.minimum(rarest, rank[i:i + m], out=rarest)
         blank = pc.equal(pc.binary_length(clean), 0).to_numpy(zero_copy_only=False)
         for i in range(len(part)):
             s, e = int(offsets[i]), int(offsets[i + 1])
             if blank[i]:
-                yield np.zeros(0, np.uint64)
+                yield np.zeros(0, np.uint64), np.zeros(0, np.uint16)
             elif e - s < n:
                 short = np.zeros(1, np.uint64)
                 for j in range(s, e):
                     short = mix(short * np.uint64(0x9E3779B97F4A7C15) + h[j:j + 1])
-                yield mix(short + np.uint64(e - s))
-            else:
+                yield mix(short + np.uint64(e - s)), None if ranks is None else rank[s:e].min(keepdims=True)
+            elif ranks is None:
                 x = np.sort(rolled[s:e - n + 1])
-                yield x[np.concatenate([[True], x[1:] != x[:-1]])]
+                yield x[np.concatenate([[True], x[1:] != x[:-1]])], None
+            else:
+                x, first = np.unique(rolled[s:e - n + 1], return_index=True)
+                yield x, rarest[s:e - n + 1][first]
 
 
 def bucket(x: np.ndarray) -> np.ndarray:
@@ -117,14 +138,14 @@ def linked(common: int, a: int, b: int, percent: int) -> bool:
 
 
 def class_rows(rows: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """Stored (rid, n, digest) of all rows, and the counts of shingle buckets, from one pass."""
+    """Stored (rid, n, digest) of all rows, and the counts of shingle and of word buckets, from one pass."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts, words = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         names = ["rid", "n", "digest"]
         for batch in batches:
             sizes, digests, held, size = [], [], [], 0
-            for x in shingle_sets(batch.column(1), n):
+            for x in shingle_sets(batch.column(1), n, words):
                 sizes.append(len(x))
                 digests.append(xxhash.xxh3_128_digest(x.tobytes()))
                 held.append(bucket(x))
@@ -135,59 +156,102 @@ def class_rows(rows: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             if held:
                 counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names)
+        counts = np.concatenate([counts, words])
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(-1 - at, pa.int64()), pa.array(counts[at], pa.int64()),
                                           pa.nulls(len(at), pa.binary())], names)
 
     both = stored(rows.mapInArrow(describe, "rid long, n long, digest binary"), "sets")
-    counts = np.zeros(BUCKETS, np.int64)  # one row for each bucket, whatever the input
+    counts = np.zeros(2 * BUCKETS, np.int64)  # one row for each bucket, whatever the input
     for r in both.filter("rid < 0").groupBy("rid").agg(F.sum("n").alias("n")).collect():
         counts[-1 - r.rid] = r.n
-    return both.filter("rid >= 0"), counts
+    return both.filter("rid >= 0"), counts.reshape(2, BUCKETS)
 
 
-def profiles(rows: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Stored (rid, n, bitmap, keys) of each row: its prefix of rare shingles."""
-    order = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.uint16)
+def must_share(n: int, percent: int) -> tuple[int, int]:
+    """How many shingles a set of ``n`` shares with any linked one, and how many of its keys."""
+    share = -(-percent * n // 100)
+    return share, min(SHARED, share)
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, bitmaps, keys = [], [], []
-            for x in shingle_sets(batch.column(1), n):
-                prefix = len(x) + (-percent * len(x) // 100) + 1 if len(x) else 0
-                rare = np.argsort(order[bucket(x)], kind="stable")[:prefix]
-                sizes.append(len(x))
-                bitmaps.append(bitmap(x) if len(x) else b"")
-                keys.append(x[rare].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["rid", "n", "bitmap", "keys"])
 
-    return stored(rows.mapInArrow(describe, "rid long, n long, bitmap binary, keys array<long>"), "profiles")
+def signature(x: np.ndarray) -> np.ndarray:
+    """A parity bitmap of 256 bits, whatever the size of the set, as four 64-bit words."""
+    odd = np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def bloom_word(rid: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(rid, F.lit(seed)), F.lit(BLOOM_BITS))
 
 
-def some_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``ids`` and few others: a Bloom filter of fixed size, collected and broadcast."""
+def bloom_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over the column rid: one row for each of its words at most is collected."""
     words = ids.select(F.explode(F.array(bloom_word(F.col("rid"), 1), bloom_word(F.col("rid"), 2))).alias("bit")).groupBy(
         F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
-    bits = np.zeros(BLOOM_BITS // 64, np.int64)  # one row for each of these words at most
+    bits = np.zeros(BLOOM_BITS // 64, np.int64)
     for r in words.collect():
         bits[r.word] = r.bits
+    return bits
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """(rid, text) with the two places of each rid in a Bloom filter."""
+    return rows.select("rid", "text", bloom_word(F.col("rid"), 1).alias("b1"), bloom_word(F.col("rid"), 2).alias("b2"))
+
+
+def passed(batch: pa.RecordBatch, bits: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The rid and text of the rows that a Bloom filter lets through."""
+    keep = np.ones(batch.num_rows, bool)
+    for i in (2, 3):
+        at = batch.column(i).to_numpy()
+        keep &= (bits[at >> 6] >> (at & 63)) & 1 == 1
+    rid, text = (batch.column(i).filter(pa.array(keep)) for i in (0, 1))
+    return rid, text
+
 
-    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sets_of(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Stored (rid, x) with the sorted array of each row of ``ids`` and of the few others that its Bloom filter lets through."""
+    bits = bloom_filter(ids)
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for i in (2, 3):
-                at = batch.column(i).to_numpy()
-                keep &= (bits[at >> 6] >> (at & 63)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["rid", "text"])
+            rid, text = passed(batch, bits)
+            yield pa.RecordBatch.from_arrays([rid, pa.array([x.tobytes() for x in shingle_sets(text, n)], pa.binary())], ["rid", "x"])
+
+    return stored(hashed(rows).mapInArrow(arrays, "rid long, x binary"), "arrays")
+
+
+def profiles(rows: DataFrame, reps: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """Stored (rid, n, least, bitmap, s0 to s3, keys, repeated) of the rows ``reps`` and few others (see
+    ``bloom_filter``): keys in buckets of ordinary and of many shingles, and how many a linked row shares."""
+    def order(c: np.ndarray) -> np.ndarray:
+        return np.argsort(np.argsort(c, kind="stable"), kind="stable").astype(np.uint16)
+
+    by_shingle, by_word = order(counts[0]), order(counts[1])
+    mean = counts[0].mean()
+    repeated = counts[0] > mean + 8 * math.sqrt(mean)
+    bits = bloom_filter(reps)
 
-    return rows.select("rid", "text", bloom_word(F.col("rid"), 1).alias("b1"), bloom_word(F.col("rid"), 2).alias("b2")).mapInArrow(
-        hit, "rid long, text string")
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, text = passed(batch, bits)
+            out: list[list] = [[] for _ in range(9)]
+            for x, words in shingles(text, n, None, by_word):
+                share, least = must_share(len(x), percent)
+                at = bucket(x)
+                many = repeated[at]
+                rank = (many.astype(np.int64) << 32) | (words.astype(np.int64) << 16) | by_shingle[at]
+                rare = np.argsort(rank, kind="stable")[:len(x) - share + least]  # ties stay in hash order
+                y = x.view(np.int64)
+                row = (len(x), least, bitmap(x) if len(x) else b"", *signature(x), y[rare[~many[rare]]], y[rare[many[rare]]])
+                for column, value in zip(out, row):
+                    column.append(value)
+            types = [pa.int64(), pa.int32(), pa.binary()] + [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([rid] + [pa.array(c, t) for c, t in zip(out, types)],
+                                             ["rid", "n", "least", "bitmap", "s0", "s1", "s2", "s3", "keys", "repeated"])
+
+    return stored(hashed(rows).mapInArrow(describe, "rid long, n long, least int, bitmap binary, s0 long, s1 long, s2 long, "
+                                                    "s3 long, keys array<long>, repeated array<long>"), "profiles")
 
 
 def bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -211,11 +275,6 @@ def bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 def links(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Stored (a, b) of the stored ``pairs`` whose sets are linked."""
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1), n)], pa.binary())], ["rid", "x"])
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -226,7 +285,7 @@ def links(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    sets = stored(some_rows(rows, ids).mapInArrow(arrays, "rid long, x binary"), "arrays")
+    sets = sets_of(rows, ids, n)
     left, right = sets.select(F.col("rid").alias("a"), F.col("x").alias("xa")), sets.select(F.col("rid").alias("b"), F.col("x").alias("xb"))
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long"), "links")
 
@@ -251,15 +310,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def tile_keys(rows: DataFrame, classes: DataFrame, n: int, percent: int, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Stored (rid, n, key, tile) of keys that several classes have, and (rid, n, bitmap) of those classes."""
-    known = profiles(rows, n, percent, counts).join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    """Stored (rid, n, key, band) of keys that several classes may have, and the profiles of those classes.
+
+    Keys of ordinary buckets have few rows each, so they are counted by a window over one shuffle; those of
+    buckets with many shingles may have very many and are all kept.
+    """
+    reps = classes.select(F.col("rep").alias("rid"))
+    known = profiles(rows, reps, n, percent, counts)
     # a little wider than the largest ratio of two linked sizes, so that these differ by one band at most
     band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) + 1e-6)).cast("int")
-    keys = known.select("rid", "n", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo < hi").select("key")
-    home = stored(keys.join(shared, "key").select("rid", "n", "key", band.alias("band")), "keys")
-    known = stored(known.select("rid", "n", "bitmap").join(home.select("rid").distinct(), "rid", "left_semi"), "known")
-    return home.select("rid", "n", "key", F.explode(F.array("band", F.col("band") + 1)).alias("tile")), known
+    by_key = Window.partitionBy("key")
+    several = known.select("rid", F.explode("keys").alias("key")).withColumn("many", F.count(F.lit(1)).over(by_key)).filter("many > 1")
+    home = several.select("rid", "key").unionByName(known.select("rid", F.explode("repeated").alias("key")))
+    home = stored(home.join(reps, "rid", "left_semi").join(known.select("rid", "n"), "rid").select("rid", "n", "key", band.alias("band")), "keys")
+    known = known.drop("keys", "repeated").join(home.select("rid").distinct(), "rid", "left_semi")
+    return home, stored(known, "known")
 
 
 def labelled(df: DataFrame, labels: DataFrame | None, rid: str, label: str) -> DataFrame:
@@ -271,22 +336,29 @@ def labelled(df: DataFrame, labels: DataFrame | None, rid: str, label: str) -> D
         label, F.coalesce("__label", rid)).drop("__of", "__label")
 
 
-def candidates(tiles: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
+def candidates(home: DataFrame, known: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
     """(a, b) to compare: rows with the pivots of their tiles, or in the last round all pairs of a tile,
     where the labels differ."""
-    now = labelled(tiles, labels, "rid", "label")
-    mask = F.lit(random.Random(turn).getrandbits(62) if turn else 0)  # another order of ids, another pivot
+    now = labelled(home, labels, "rid", "label").withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
+    # another order of ids, another pivot: so the keys of a large group have several
+    masks = F.array(*[F.lit(random.Random(turn * ORDERS + i).getrandbits(62)) for i in range(ORDERS)])
+    mask = F.element_at(masks, (F.pmod(F.xxhash64("key"), F.lit(ORDERS)) + 1).cast("int"))
     info = now.groupBy("key", "tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(
         F.col("rid").bitwiseXOR(mask)).alias("p")).filter("lo < hi").select("key", "tile", F.col("p").bitwiseXOR(mask).alias("b"))
     if turn < ROUNDS:
         pairs = now.join(labelled(info, labels, "b", "lb"), ["key", "tile"]).filter("label <> lb")
         return pairs.select(F.col("rid").alias("a"), "b").distinct()
-    mixed = now.join(info.select("key", "tile"), ["key", "tile"])
-    one = mixed.select("key", "tile", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    two = mixed.select("key", "tile", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return one.join(two, ["key", "tile"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & size).select(
-        "a", "b").distinct()
+    mixed = now.join(info.select("key", "tile"), ["key", "tile"]).join(known.select("rid", "least", "s0", "s1", "s2", "s3"), "rid")
+    names = ["rid", "n", "label", "band", "least", "s0", "s1", "s2", "s3"]
+    one, two = (mixed.select("key", "tile", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "ab")
+    n_a, n_b, both = F.col("n_a"), F.col("n_b"), F.col("n_a") + F.col("n_b")
+    differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(4)), F.lit(0))
+    # n + m - differ may be odd: twice the bound is compared
+    bound = F.least(both - differ, 2 * n_a, 2 * n_b) * (100 + percent) >= 2 * percent * both
+    once = F.col("tile") == F.greatest("band_a", "band_b")  # two rows of one band meet in two tiles
+    pairs = one.join(two, ["key", "tile"]).filter((F.col("rid_a") < F.col("rid_b")) & (F.col("label_a") != F.col("label_b")) & once & bound)
+    return pairs.groupBy(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.min(F.least("least_a", "least_b")).alias("least")).filter("shared >= least").select("a", "b")
 
 
 def near_components(rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -294,10 +366,10 @@ def near_components(rows: DataFrame, n: int, percent: int) -> DataFrame:
     component (null for rows with an empty set)."""
     sets, counts = class_rows(rows, n)
     classes = stored(sets.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rep")), "classes")
-    tiles, known = tile_keys(rows, classes, n, percent, counts)
+    home, known = tile_keys(rows, classes, n, percent, counts)
     labels = None
     for turn in range(ROUNDS + 1):
-        passed = bounded(candidates(tiles, labels, turn, percent), known, percent)
+        passed = bounded(candidates(home, known, labels, turn, percent), known, percent)
         if turn < ROUNDS:  # of several pivots the likeliest; the last round leaves none out
             best = Window.partitionBy("a").orderBy(F.col("slack").desc(), "b")
             passed = passed.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= TRIED)
@@ -316,6 +388,7 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
                   row_id: str | None = None) -> DataFrame:
     """One row per row of ``docs`` (stored, if it has a row id): rid, doc_id, n_shingles, component_id (smallest doc_id
     of its component), kept (one row of each component; rows with an empty set all stay)."""
+    task_memory(docs.sparkSession)
     if row_id:
         base = docs.select(F.col(row_id).alias("rid"), F.col(doc_id).alias("doc_id"), text_or_empty(F.col(text)).alias("text"))
     else:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capforge.llm.common import text_or_empty
+from capforge.llm.common import task_memory, text_or_empty
 
 # Fixed values of the model file: piece types and the visible space.
 UNKNOWN, USER_DEFINED, BYTE = 2, 4, 6
@@ -167,6 +167,7 @@ def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([part.column(0)] + [
                     pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in range(3)], ["doc_id", "ids", "begins", "ends"])
 
+    task_memory(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(F.col(text)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(encode, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>")
@@ -206,6 +207,7 @@ def piece_digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0)] + [pa.array(c, t) for c, t in zip(zip(*made), types)], names)
 
+    task_memory(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(F.col(text)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(digest, f"doc_id {kind}, n_tokens long, " + ", ".join(f"{c} string" for c in names[2:5])

@@ -43,7 +43,7 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 """)
 def op9_exact_dedup(spark, sf_dir):
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
+    return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 @register("op7_mix_sources", r"""

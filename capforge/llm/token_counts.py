@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from capforge.llm.common import BROADCAST_ROWS, shared_path, stored, text_or_empty
+from capforge.llm.common import BROADCAST_ROWS, shared_path, stored, task_memory, text_or_empty
 
 LIMIT = 512
 #: Pieces that a task remembers at once, and the longest of them.
@@ -128,6 +128,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, doc_
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit. New counts are appended to the
     table ``cache`` (a new one in the shared folder where none is named)."""
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
+    task_memory(spark)
     cache = cache or shared_path(spark, "token-cache")
     body = text_or_empty(F.col(text))
     digest = F.unhex(F.sha2(body, 256)).alias("digest")

@@ -7,7 +7,7 @@
    may stand for, nothing, or a word boundary. Viterbi decoding finds the letters that are likeliest
    under channel costs and trigrams. Every other word has one path, itself, and is kept.
 3. Features of a text's restored words, with double letters squeezed, are the words, their prefixes of
-   4, 5 and 6 letters, and prefixes that two or more different words share. At most ``train_rows``
+   4, 5 and 6 letters, and prefixes that begin two or more of its words. At most ``train_rows``
    labelled rows (a hash sample; the bound of the fit) are stored; of their features those that occur
    in toxic rows beyond chance (G-test over all features) enter an L2-penalised logistic regression,
    which gets a label and a few feature numbers a row.
@@ -27,7 +27,6 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from functools import lru_cache
 from typing import Callable, Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capforge.llm.common import stored, text_or_empty
+from capforge.llm.common import stored, task_memory, text_or_empty
 
 #: Bounds of the classifier's fit.
 TRAIN_ROWS = 30_000
@@ -47,7 +46,7 @@ RIDGE = 0.2
 #: Log-odds of every text where the labels name no toxic row.
 NOTHING = -5.0
 #: Restored words that a task remembers at once.
-REMEMBERED = 300_000
+REMEMBERED = 60_000
 
 # Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -71,7 +70,6 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.replace("ß", "ss")) if not unicodedata.combining(c))
 
 
-@lru_cache(maxsize=1)
 def symbols() -> np.ndarray:
     """0 (boundary) to 26 for every code point below U+0250."""
     to = np.zeros(0x250, np.int64)
@@ -82,9 +80,9 @@ def symbols() -> np.ndarray:
     return to
 
 
-def trigram_counts(text: str) -> np.ndarray:
+def trigram_counts(text: str, symbol: np.ndarray) -> np.ndarray:
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = symbols()[np.where(points < 0x250, points, 32)]
+    s = symbol[np.where(points < 0x250, points, 32)]
     s = np.concatenate([[0, 0], s, [0]])
     s = s[np.concatenate([[True, True], (s[2:] != 0) | (s[1:-1] != 0)])]  # a gap is one boundary
     return np.bincount(s[:-2] * 729 + s[1:-1] * 27 + s[2:], minlength=27 ** 3)
@@ -94,16 +92,16 @@ def count_trigrams(texts: DataFrame) -> np.ndarray:
     """Trigram counts over all rows of the one text column."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(27 ** 3, np.int64)
+        total, symbol = np.zeros(27 ** 3, np.int64), symbols()
         for batch in batches:
             held, size = [], 0
             for t in batch.column(0).to_pylist():
                 held.append(t)
                 size += len(t)
                 if size > 1_000_000:
-                    total += trigram_counts("\n".join(held))
+                    total += trigram_counts("\n".join(held), symbol)
                     held, size = [], 0
-            total += trigram_counts("\n".join(held))
+            total += trigram_counts("\n".join(held), symbol)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["gram", "n"])
 
@@ -159,10 +157,11 @@ def decode(signs: str, costs: list[float]) -> list[str]:
 
 
 def restored(word: str, costs: list[float]) -> list[str]:
-    """The words that a white-space-free token stands for."""
-    w = fold(word).strip(EDGE).rstrip("!")
+    """The words that a white-space-free token stands for; a word with diacritics is also read without."""
+    plain = word.lower().strip(EDGE).rstrip("!")
+    w = fold(plain)
     if w.isascii() and w.isalpha():
-        return decode(w, costs) if TRIPLE.search(w) else [w]
+        return decode(w, costs) if TRIPLE.search(w) else list(dict.fromkeys([plain, w]))
     for signs, letter in DRAWN.items():
         w = w.replace(signs, letter)
     if not any("a" <= c <= "z" for c in w):
@@ -178,24 +177,24 @@ def features(word: str) -> list[str]:
 
 def feature_finder(costs: list[float], only: frozenset[str] | None = None) -> Callable[[str], list[str]]:
     """A function from a text to its features (those of ``only``): words, prefixes, and ``prefix**`` for
-    prefixes that two or more different words share."""
+    prefixes that begin two or more of its words."""
     remembered: dict[str, list] = {}
 
     def known(word: str) -> list[str]:
         return [f for f in features(word) if only is None or f in only or f + "*" in only]
 
     def find(text: str) -> list[str]:
-        found: dict[str, list[str]] = {}
-        for token in set(text.lower().split()):
+        counts: Counter = Counter()
+        for token, times in Counter(text.lower().split()).items():
             made = remembered.get(token)
             if made is None:
                 if len(remembered) >= REMEMBERED:
                     remembered.clear()
-                made = remembered[token] = [(w, fs) for w in restored(token, costs) if (fs := known(w))]
-            found.update(made)
+                made = remembered[token] = [f for w in restored(token, costs) for f in known(w)]
+            for f in made:
+                counts[f] += times
         for run in RUN.finditer(text):
-            found.update((w, known(w)) for w in decode(fold(run.group()).replace("\t", " "), costs))
-        counts = Counter(f for fs in found.values() for f in fs)
+            counts.update(f for w in decode(fold(run.group()).replace("\t", " "), costs) for f in known(w))
         active = list(counts) + [f + "*" for f, n in counts.items() if n > 1 and f[-1] == "*"]
         return active if only is None else [f for f in active if f in only]
 
@@ -266,6 +265,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
         train_rows: int = TRAIN_ROWS, max_features: int = MAX_FEATURES) -> Model:
+    task_memory(docs.sparkSession)
     costs = trigram_costs(count_trigrams(docs.select(text_or_empty(F.col(text)))))
     rows = stored(training_rows(docs, labels, doc_id, text, train_rows), "training")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}

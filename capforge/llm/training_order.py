@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capforge.llm.common import join_per_key, mix, stored, text_or_empty
+from capforge.llm.common import join_per_key, mix, stored, task_memory, text_or_empty
 
 LENGTH = 2048
 PER_SHARD = 16_384
@@ -120,6 +120,7 @@ def packed(docs: DataFrame, ranks: str, pattern: str, text: str = "text", length
 def write_training_order(docs: DataFrame, path: str, ranks: str, pattern: str, text: str = "text", length: int = LENGTH,
                          per_shard: int = PER_SHARD, key: int = KEY) -> int:
     """Write the shards below ``path``; the number of sequences."""
+    task_memory(docs.sparkSession)
     blocks = packed(docs, ranks, pattern, text, length)
     # a row for each scan task
     parts = blocks.groupBy("part").agg(F.sum("n").alias("n"))

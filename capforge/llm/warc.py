@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capforge.llm.common import join_per_key, text_or_empty
+from capforge.llm.common import join_per_key, task_memory, text_or_empty
 
 LEAST = 1000
 RANGE = 16 << 20
@@ -70,6 +70,7 @@ def member(data: bytes) -> bytes:
 
 def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html",
                least: int = LEAST) -> None:
+    task_memory(pages.sparkSession)
     body = text_or_empty(F.col(html))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
                         body.alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("n"))

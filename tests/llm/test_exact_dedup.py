@@ -47,6 +47,13 @@ def test_stage_keeps_columns_and_one_of_each(frame):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(k[0] for k, n in brute(ROWS).items() if k[3])
 
 
+def test_stage_with_frequent_and_repeated_winners(frame, monkeypatch):
+    monkeypatch.setattr(D, "LEAST_HEAVY", 8)
+    rows = [(i % 40, "h o t" + " " * (i % 5)) for i in range(300)] + [(7, "same row")] * 60 + [(None, "n")] * 20 + [(i, f"t{i % 50}") for i in range(200)]
+    kept = [r.doc_id for r in D.keep_first_copies(frame(rows), slots=10).collect()]
+    assert Counter(kept) == Counter(k[0] for k, n in brute(rows).items() for _ in range(n) if k[3])
+
+
 def test_empty(frame):
     df = frame(ROWS).limit(0)
     assert D.exact_dedup(df).count() == 0 and D.keep_first_copies(df).count() == 0

@@ -100,6 +100,21 @@ def test_bitmaps_bound_the_overlap(a, b, common):
     a, b = a | common, b | common
     x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
     assert len(a & b) <= (len(a) + len(b) - J.differing_bits(J.bitmap(x), J.bitmap(y))) // 2
+    assert len(a & b) <= (len(a) + len(b) - int(np.bitwise_count((J.signature(x) ^ J.signature(y)).view(np.uint64)).sum())) // 2
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 2 ** 64 - 1), min_size=1, max_size=80), st.integers(0, 8), st.integers(0, 8), st.sampled_from([50, 80, 90]))
+def test_linked_sets_share_as_many_keys(common, drop, extra, percent):
+    """Keys are the first of a fixed order; here the order of the numbers."""
+    a = sorted(common)
+    b = sorted(set(a[drop:]) | {2 ** 64 + i * 7919 ** 5 for i in range(extra)})
+    if b and 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b)):
+        keys = []
+        for x in (a, b):
+            share, least = J.must_share(len(x), percent)
+            keys.append((set(x[:len(x) - share + least]), least))
+        assert len(keys[0][0] & keys[1][0]) >= min(keys[0][1], keys[1][1])
 
 
 @settings(max_examples=80, deadline=None)

@@ -30,7 +30,7 @@ def model(corpus):
 @pytest.mark.parametrize("sign,word", [("1diot", "idiot"), ("m0r0n", "moron"), ("$cum", "scum"), ("sc|_|m", "scum"), ("m.o.r.o.n", "moron"),
                                        ("idiooooot", "idiot"), ("ídïot", "idiot"), ("moron!!!", "moron"), ("mor0n,", "moron")])
 def test_words_are_restored(model, sign, word):
-    assert T.restored(sign, model.costs) == [word]
+    assert T.restored(sign, model.costs)[-1] == word
 
 
 def test_clean_words_stay(model):
