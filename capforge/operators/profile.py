@@ -74,7 +74,9 @@ def table_metadata(df: DataFrame) -> DataFrame:
 
 
 #: Rows that may lie between a median's bounds before its values are counted.
-INSIDE_ROWS = 2_000_000
+INSIDE_ROWS = 200_000
+#: Percentiles of a pass, and their accuracy (1 / relative rank error).
+MARKS, ACCURACY = 100, 1000
 
 
 def _brackets(df: DataFrame, columns: Sequence[str]) -> list[tuple[int, int, float, float] | None]:
@@ -92,7 +94,7 @@ def _brackets(df: DataFrame, columns: Sequence[str]) -> list[tuple[int, int, flo
             v = F.expr(_num_sql(columns[i]))
             inside = F.when((v >= lo) & (v <= hi), v)
             aggs += [F.count(v).alias(f"n{i}"), F.count_if(v < lo).alias(f"b{i}"), F.count(inside).alias(f"i{i}"),
-                     F.percentile_approx(inside, [k / 1000 for k in range(1001)], 20_000).alias(f"p{i}")]
+                     F.percentile_approx(inside, [k / MARKS for k in range(MARKS + 1)], ACCURACY).alias(f"p{i}")]
         row = df.agg(*aggs).first()
         left = {}
         for i, (lo, hi) in bounds.items():
@@ -105,8 +107,8 @@ def _brackets(df: DataFrame, columns: Sequence[str]) -> list[tuple[int, int, flo
                 if inside <= INSIDE_ROWS or lo == hi or (marks[0] == marks[-1]):
                     done[i] = (n, below, lo, hi)
                     continue
-                start = max(0, int(1000 * (first - below) / inside) - 1)
-                narrow = marks[start], marks[min(1000, int(1000 * (last - below) / inside) + 2)]
+                start = max(0, int(MARKS * (first - below) / inside) - 1)
+                narrow = marks[start], marks[min(MARKS, int(MARKS * (last - below) / inside) + 2)]
                 if narrow == (lo, hi):  # one value has most of the rows
                     done[i] = (n, below, lo, hi)
                     continue
