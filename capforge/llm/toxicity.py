@@ -46,7 +46,7 @@ RIDGE = 0.2
 #: Log-odds of every text where the labels name no toxic row.
 NOTHING = -5.0
 #: Restored words that a task remembers at once.
-REMEMBERED = 60_000
+REMEMBERED = 200_000
 
 # Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
