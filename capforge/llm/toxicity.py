@@ -9,7 +9,7 @@
 3. Features of a text's restored words, with double letters squeezed, are the words, their prefixes of
    4, 5 and 6 letters, and prefixes that begin two or more of its words. At most ``train_rows``
    labelled rows (a hash sample; the bound of the fit) are stored; of their features those that occur
-   in toxic rows beyond chance (G-test over all features) enter an L2-penalised logistic regression,
+   in toxic rows beyond chance (G-test over all features) and above the base rate enter an L2-penalised logistic regression,
    which gets a label and a few feature numbers a row.
 4. A row's score is the regression's probability. Documents are scored where they are.
 
@@ -236,7 +236,7 @@ def telling(t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> np.ndarray:
     p = t / n
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (t * np.log(p / base) + np.where(c > 0, c * np.log((1 - p) / (1 - base)), 0))
-    return np.where((p > 2 * base) & (g >= 2 * math.log(20 * max(1, len(t)))), g, 0)
+    return np.where((p > base) & (g >= 2 * math.log(20 * max(1, len(t)))), g, 0)
 
 
 def logistic(row: np.ndarray, feature: np.ndarray, y: np.ndarray, k: int, steps: int = 400) -> np.ndarray:

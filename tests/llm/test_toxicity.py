@@ -71,3 +71,17 @@ def test_edges(spark, corpus, frame):
     assert {r.predicted for r in T.toxicity(frame(rows), labels.limit(0)).collect()} == {0}
     kept = T.drop_toxic(frame(rows + [(i, "calm words") for i in range(10)]), labels.limit(0))
     assert kept.count() == len(rows) + 10 and kept.columns == frame(rows).columns
+
+
+@pytest.mark.parametrize("toxic_of_ten", [4, 5, 8])
+def test_balanced_and_mostly_toxic_labels(spark, toxic_of_ten):
+    rnd, docs, labels = random.Random(toxic_of_ten), [], []
+    for i in range(600):
+        w, bad = [rnd.choice(FILLER) for _ in range(rnd.randrange(5, 30))], i % 10 < toxic_of_ten
+        w += [rnd.choice(BAD)] * bad
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = T.toxicity(docs, labels).join(labels, "doc_id").collect()
+    assert sum(r.predicted != r.toxic for r in out) <= 6
+    assert abs(T.drop_toxic(docs, labels).count() - 60 * (10 - toxic_of_ten)) <= 6
