@@ -2,10 +2,12 @@
 
 1. Character trigrams (a to z without diacritics, and a word boundary) are counted over all texts;
    the table has at most 27^3 rows and is collected.
-2. Words with digits, symbols or separators among letters, words with a letter three times in a row,
-   and runs of single characters are lattices: every position offers its letter, the letters its sign
-   may stand for, nothing, or a word boundary. Viterbi decoding finds the letters that are likeliest
-   under channel costs and trigrams. Every other word has one path, itself, and is kept.
+2. Words with digits, symbols, separators or look-alike letters among letters, words of signs alone, words
+   with a letter three times in a row, and runs of single characters are lattices: every position offers its
+   letter, the letters its sign or look-alike may stand for, nothing, or a word boundary. Viterbi decoding
+   finds the letters that are likeliest under channel costs and trigrams. Every other word has one path,
+   itself, and is kept: also words of other scripts (without punctuation; where a script has no spaces also
+   pairs of neighbouring characters). Numbers are left out. Only a to z have a lattice.
 3. Features of a text's restored words, with double letters squeezed, are the words, their prefixes of
    4, 5 and 6 letters, and prefixes that begin two or more of its words. At most ``train_rows``
    labelled rows (a hash sample; the bound of the fit) are stored; of their features those that occur
@@ -53,6 +55,13 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
          "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i"}
 # Letters drawn with several signs.
 DRAWN = {"|_|": "u", "()": "o", "|<": "k", "\\/\\/": "w", "\\/": "v", "/\\": "a", "|\\|": "n"}
+# Letters that have no decomposition, and letters of other scripts that look like one of a to z.
+UNDECOMPOSED = str.maketrans({"ß": "ss", "ł": "l", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "ħ": "h",
+                              "ŋ": "n", "ŧ": "t", "ĸ": "k", "ƀ": "b", "ɨ": "i", "ʉ": "u", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ə": "e"})
+LOOKALIKE = {**dict(zip("авгеёикмнопрстухіјѕԁԛԝһӏьз", "abreeukmhonpctyxijsdqwhlbz")), **dict(zip("αβεηικνοπρτυχωσγ", "abenikvonptuxwoy"))}
+# Numbers, and characters of scripts without spaces between words.
+NUMBER = re.compile(r"[$€£+]?(?:\d[\d.,:/\-]*)?\d[%$€£+]?")
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 # Channel costs (negative log probabilities).
 SUBSTITUTED, SIGN_DROPPED, MARK_DROPPED, BOUNDARY_KEPT, REPEAT_DROPPED = 1.0, 12.0, 0.5, 2.5, 0.5
 
@@ -67,7 +76,7 @@ def fold(text: str) -> str:
     text = text.lower()
     if text.isascii():
         return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text.replace("ß", "ss")) if not unicodedata.combining(c))
+    return "".join(c for c in unicodedata.normalize("NFKD", text.translate(UNDECOMPOSED)) if not unicodedata.combining(c))
 
 
 def symbols() -> np.ndarray:
@@ -126,6 +135,8 @@ def lattice(signs: str) -> list[list[tuple[int, float]]]:
                 options.append((-1, REPEAT_DROPPED))
         elif c in SIGNS:
             options = [(ord(x) - 96, SUBSTITUTED) for x in SIGNS[c]] + [(-1, REPEAT_DROPPED if c == last else SIGN_DROPPED)]
+        elif c in LOOKALIKE:
+            options = [(ord(LOOKALIKE[c]) - 96, SUBSTITUTED), (-1, REPEAT_DROPPED if c == last else SIGN_DROPPED)]
         else:
             options = [(-1, MARK_DROPPED), (0, BOUNDARY_KEPT)]
         out.append(options)
@@ -156,17 +167,30 @@ def decode(signs: str, costs: list[float]) -> list[str]:
     return "".join(reversed(letters)).split()
 
 
+def other_script(word: str) -> list[str]:
+    """The word's parts between punctuation and symbols, and the pairs of neighbouring characters of scripts without spaces."""
+    kept = [" " if (k := unicodedata.category(c))[0] in "PSZ" else "" if k == "Cf" else c for c in unicodedata.normalize("NFKC", word)]
+    parts = "".join(kept).split()
+    return parts + [run[i:i + 2] for part in parts for run in UNSPACED.findall(part) for i in range(len(run) - 1) if len(part) > 2]
+
+
 def restored(word: str, costs: list[float]) -> list[str]:
     """The words that a white-space-free token stands for; a word with diacritics is also read without."""
     plain = word.lower().strip(EDGE).rstrip("!")
     w = fold(plain)
     if w.isascii() and w.isalpha():
         return decode(w, costs) if TRIPLE.search(w) else list(dict.fromkeys([plain, w]))
+    if NUMBER.fullmatch(w):
+        return []
+    foreign = [] if w.isascii() else [c for c in w if c.isalpha() and not "a" <= c <= "z"]
+    latin = any("a" <= c <= "z" for c in w)
+    if foreign and not latin:
+        return other_script(plain)
     for signs, letter in DRAWN.items():
         w = w.replace(signs, letter)
-    if not any("a" <= c <= "z" for c in w):
+    if not latin and not any("a" <= c <= "z" or c in SIGNS for c in w):
         return []
-    return decode(w, costs)
+    return decode(w, costs) + (other_script(plain) if any(c not in LOOKALIKE for c in foreign) else [])
 
 
 def features(word: str) -> list[str]:

@@ -85,3 +85,30 @@ def test_balanced_and_mostly_toxic_labels(spark, toxic_of_ten):
     out = T.toxicity(docs, labels).join(labels, "doc_id").collect()
     assert sum(r.predicted != r.toxic for r in out) <= 6
     assert abs(T.drop_toxic(docs, labels).count() - 60 * (10 - toxic_of_ten)) <= 6
+
+
+@pytest.mark.parametrize("sign,words", [("mоrоn", ["moron"]), ("ıdiot", ["idiot"]), ("mørøn", ["moron"]), ("$(|_|m", ["scum"]), ("1d10t", ["idiot"]),
+                                        ("«идиот»!", ["идиот"]), ("ΗΛΊΘΙΟΣ", ["ηλίθιος"]), ("मूर्ख।", ["मूर्ख"]), ("白痴", ["白痴"]), ("你白痴", ["你白痴", "你白", "白痴"]),
+                                        ("12.50", []), ("$5", []), ("2024-12-03", []), ("50%", [])])
+def test_other_scripts_and_lookalikes(model, sign, words):
+    got = T.restored(sign, model.costs)
+    assert got == words or words and got[-1] == words[-1] and words[0].isascii()
+
+
+@pytest.mark.parametrize("sign,kept", [("@$$", "as"), ("4$$", "as"), ("5#17", "sit")])
+def test_tokens_of_signs_are_decoded(model, sign, kept):
+    costs = T.trigram_costs(T.trigram_counts("as sit " * 1000, T.symbols()))
+    assert [T.DOUBLE.sub(r"\1", w) for w in T.restored(sign, costs)] == [kept]
+
+
+def test_toxic_words_of_other_scripts_are_learnt(spark):
+    rnd, docs, labels = random.Random(5), [], []
+    calm = "тихая река течет мимо старых домов и садов".split() + ["静かな", "川が", "流れる"]
+    for i in range(600):
+        w, bad = [rnd.choice(calm) for _ in range(rnd.randrange(5, 30))], i % 6 == 0
+        w += [rnd.choice(["дурак", "Дурак!", "お前は馬鹿だ", "馬鹿野郎"])] * bad
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = T.toxicity(docs, labels).join(labels, "doc_id").collect()
+    assert sum(r.predicted != r.toxic for r in out) <= 6
