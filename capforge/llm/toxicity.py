@@ -6,7 +6,8 @@
    with a letter three times in a row, and runs of single characters are lattices: every position offers its
    letter, the letters its sign or look-alike may stand for, nothing, or a word boundary. Viterbi decoding
    finds the letters that are likeliest under channel costs and trigrams. Every other word has one path,
-   itself, and is kept: also words of other scripts (without punctuation; where a script has no spaces also
+   itself, and is kept. Up to four neighbouring tokens of five characters at most are also read as one word of up
+   to 16 letters where its trigrams cost less than those of the parts with boundaries. Kept are also words of other scripts (without punctuation; where a script has no spaces also
    pairs of neighbouring characters). Numbers are left out. Only a to z have a lattice.
 3. Features of a text's restored words, with double letters squeezed, are the words, their prefixes of
    4, 5 and 6 letters, and prefixes that begin two or more of its words. At most ``train_rows``
@@ -66,7 +67,10 @@ UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u34
 SUBSTITUTED, SIGN_DROPPED, MARK_DROPPED, BOUNDARY_KEPT, REPEAT_DROPPED = 1.0, 12.0, 0.5, 2.5, 0.5
 
 EDGE = ".,;:?\"'()[]{}<>«»“”„’…*_-~`/\\#%&="
-RUN = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
+#: Runs of three and more single characters with any white space between.
+RUN = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+#: Neighbouring tokens that may be one word, the characters of each and the letters of all.
+PARTS, PART_CHARACTERS, PARTS_LETTERS = 4, 5, 16
 TRIPLE = re.compile(r"(.)\1\1")
 DOUBLE = re.compile(r"(.)\1+")
 
@@ -193,6 +197,27 @@ def restored(word: str, costs: list[float]) -> list[str]:
     return decode(w, costs) + (other_script(plain) if any(c not in LOOKALIKE for c in foreign) else [])
 
 
+def path_cost(words: str, costs: list[float]) -> float:
+    """The trigram costs of words of a to z with single spaces."""
+    s = [0, 0] + [0 if c == " " else ord(c) - 96 for c in words] + [0]
+    return sum(costs[a * 729 + b * 27 + c] for a, b, c in zip(s, s[1:], s[2:]))
+
+
+def joining_cost(parts: list[str], costs: list[float]) -> float:
+    """What words of a to z cost as one word, less what they cost as they are."""
+    return path_cost("".join(parts), costs) - path_cost(" ".join(parts), costs) + (len(parts) - 1) * (MARK_DROPPED - BOUNDARY_KEPT)
+
+
+def part(token: str) -> tuple[str, str]:
+    """The letters of a short token with its signs, and the squeezed letters ("" where it has signs); two "" if it can't
+    be a part of a word of a to z."""
+    w = fold(token.strip(EDGE).rstrip("!"))
+    w = "" if NUMBER.fullmatch(w) else "".join(c for c in w if c.isalpha() or c in SIGNS)
+    if w.isascii() and w.isalpha():
+        return w, DOUBLE.sub(r"\1", w)
+    return ("", "") if not all("a" <= c <= "z" or c in SIGNS or c in LOOKALIKE for c in w) else (w, "")
+
+
 def features(word: str) -> list[str]:
     """The squeezed word and ``prefix*`` for its prefixes."""
     word = DOUBLE.sub(r"\1", word)
@@ -203,13 +228,72 @@ def feature_finder(costs: list[float], only: frozenset[str] | None = None) -> Ca
     """A function from a text to its features (those of ``only``): words, prefixes, and ``prefix**`` for
     prefixes that begin two or more of its words."""
     remembered: dict[str, list] = {}
+    remembered_parts: dict[str, tuple | None] = {}
+    remembered_signs: dict[str, list] = {}
+    gap_costs: dict[tuple[str, str], float] = {}
+    starts = None if only is None else {f[:k] for f in (f.rstrip("*") for f in only) for k in range(1, PREFIXES[0] + 1)}
 
     def known(word: str) -> list[str]:
         return [f for f in features(word) if only is None or f in only or f + "*" in only]
 
+    def short(token: str) -> tuple | None:
+        """(letters with signs, squeezed letters, whether a feature may start so)"""
+        if len(remembered_parts) >= REMEMBERED // 4:
+            remembered_parts.clear()
+        raw, squeezed = part(token)
+        made = remembered_parts[token] = (raw, squeezed, starts is None or not squeezed or squeezed[:PREFIXES[0]] in starts) if raw else None
+        return made
+
+    def gap(a: str, b: str) -> float:
+        """Between words of two or more letters, and at the ends of others, only the letters around the gap count."""
+        key = a[-2:], b[:2]
+        cost = gap_costs.get(key)
+        if cost is None:
+            cost = gap_costs[key] = joining_cost(list(key), costs)
+        return cost
+
+    def joined_signs(parts: list[str]) -> list[str]:
+        key = " ".join(parts)
+        made = remembered_signs.get(key)
+        if made is None:
+            if len(remembered_signs) >= REMEMBERED // 4:
+                remembered_signs.clear()
+            words = decode(key, costs)
+            made = remembered_signs[key] = known(words[0]) if len(words) == 1 else []
+        return made
+
+    def of_short_tokens(tokens: list[str]) -> Iterator[str]:
+        """Features of the words that neighbouring short tokens make, where that is the likeliest reading."""
+        seen = remembered_parts
+        made = [(seen[t] if t in seen else short(t)) if len(t) <= PART_CHARACTERS else None for t in tokens]
+        made.append(None)
+        for i in [i for i, x in enumerate(made) if x and x[2] and made[i + 1]]:
+            last, squeezed, _ = made[i]
+            parts, letters, cost, exact = [last], len(last), 0.0, False
+            for x in made[i + 1:i + PARTS]:
+                if x is None:
+                    break
+                raw, more, _ = x
+                letters += len(raw)
+                if letters > PARTS_LETTERS:
+                    break
+                exact = exact or len(last) == 1 < len(parts)
+                parts.append(raw)
+                squeezed = squeezed and more and squeezed + (more[1:] if squeezed[-1] == more[0] else more)
+                if not squeezed:
+                    yield from joined_signs(parts)
+                else:
+                    if starts is not None and squeezed[:PREFIXES[0]] not in starts:
+                        break
+                    cost += gap(last, raw)
+                    if (joining_cost(parts, costs) if exact else cost) < 0:
+                        yield from known(squeezed)
+                last = raw
+
     def find(text: str) -> list[str]:
         counts: Counter = Counter()
-        for token, times in Counter(text.lower().split()).items():
+        tokens = text.lower().split()
+        for token, times in Counter(tokens).items():
             made = remembered.get(token)
             if made is None:
                 if len(remembered) >= REMEMBERED:
@@ -218,7 +302,10 @@ def feature_finder(costs: list[float], only: frozenset[str] | None = None) -> Ca
             for f in made:
                 counts[f] += times
         for run in RUN.finditer(text):
-            counts.update(f for w in decode(fold(run.group()).replace("\t", " "), costs) for f in known(w))
+            spaced = fold(" ".join(run.group().split()))
+            made = decode(spaced, costs) if re.search("[a-z]", spaced) else restored("".join(run.group().split()), costs)
+            counts.update(f for w in made for f in known(w))
+        counts.update(of_short_tokens(tokens))
         active = list(counts) + [f + "*" for f, n in counts.items() if n > 1 and f[-1] == "*"]
         return active if only is None else [f for f in active if f in only]
 

@@ -112,3 +112,15 @@ def test_toxic_words_of_other_scripts_are_learnt(spark):
     docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     out = T.toxicity(docs, labels).join(labels, "doc_id").collect()
     assert sum(r.predicted != r.toxic for r in out) <= 6
+
+
+@pytest.mark.parametrize("text", ["what i  d  i  o  t wrote", "what i\nd\ni\no\nt wrote", "what i\u00a0d\u00a0i\u00a0o\u00a0t wrote", "an id iot wrote",
+                                  "the mo ron wrote", "an i di ot wrote", "an i d i ot wrote", "an idi\not, wrote", "an 1d 10t wrote", "a mor on wrote", "a sc\u00a0um wrote"])
+def test_spacing_is_undone(model, text):
+    assert model.scorer()(text) >= 0.5
+    assert model.scorer()(" ".join(text.split()[:1] + ["river wrote"])) < 0.5
+
+
+def test_runs_of_three(model):
+    find = T.feature_finder(T.trigram_costs(T.trigram_counts("ass the old " * 1000, T.symbols())))
+    assert "as" in find("an a s s wrote") and "идиот" in find("и д и о т") and "idiot" not in find("id 2024 iot")
