@@ -13,6 +13,11 @@ are all returned; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
+import json
+import pkgutil
+import re
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +106,36 @@ def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) ->
     return spark.createDataFrame(sorted((texts or KNOWN).items()), "licence string, text string")
 
 
+def whole_texts(titles: list[str], text: str) -> list[str]:
+    """A licence's text under each usual title or none, with or without reserved rights, with or without the appendix
+    after its terms, list numbers and lines to be filled in."""
+    ends = [text] + [text[:m.end()] for m in [re.search(r"END OF TERMS AND CONDITIONS", text)] if m]
+    unfilled = [re.sub(r"(?im)^\s*copyright\b.*[\[<{](yyyy|year)\b.*$", "", t) for t in ends]
+    numberless = [re.sub(r"(?m)^\s*[1-4][.)]\s", "", t) for t in ends + unfilled if t.startswith("Redistribution")]
+    return [f"{head}\n{rights}\n{t}" for head, rights, t in product(
+        ["", *titles], ["", "All rights reserved."], dict.fromkeys(ends + unfilled + numberless))]
+
+
+def statements(name: str) -> list[str]:
+    """One-line statements of the licence ``name``."""
+    verbs, things = ("licensed", "released", "distributed", "published", "available"), (
+        "work", "project", "software", "program", "code", "library", "file", "document", "package", "text", "dataset")
+    heads = [f"{v} under" for v in verbs] + [f"this {t} is {v} under" for t in things for v in verbs]
+    return [f"SPDX-License-Identifier: {name}"] + [f"{h} {the}{name}{end}" for h in heads for the in ("", "the ") for end in (
+        "", *(() if "license" in name.lower() else (" license",)))]
+
+
+def licence_table(spark: SparkSession) -> DataFrame:
+    """KNOWN, and the texts and statements of ``licences.jsonl`` (read by the driver, so that tasks need no file): for each
+    licence its usual titles, the names it is stated by and its texts (none: KNOWN's, if it is there)."""
+    rows = list(KNOWN.items())
+    for x in map(json.loads, pkgutil.get_data("capforge.llm", "licences.jsonl").decode().splitlines()):
+        texts = x["texts"] or [KNOWN[k] for k in (x["licence"],) if k in KNOWN]
+        rows += [(x["licence"], t) for text in texts for t in whole_texts(x["titles"], text)]
+        rows += [(f"{x['licence']} (statement)", t) for name in [x["licence"], *x["names"]] for t in statements(name)]
+    return spark.createDataFrame(sorted(set(rows)), "licence string, text string")
+
+
 def scan_licences(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, canonical_sha256 (null: empty form), licence (of the whole text),
     n_stated (different licences that whole lines state) and first_stated (the smallest of them)."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from capforge.llm.common import shared_path, table
 from capforge.llm.exact_dedup import exact_dedup
-from capforge.llm.licences import KNOWN, known_licences, scan_licences
+from capforge.llm.licences import KNOWN, licence_table, scan_licences
 from capforge.llm.mixing import mix_sources
 from capforge.llm.ngram_join import ngram_jaccard
 from capforge.llm.piece_codec import piece_digests
@@ -160,7 +160,7 @@ FROM f LEFT JOIN k ON f.form = k.form LEFT JOIN s ON f.doc_id = s.doc_id"""
 
 @register("op2_licence_scan", _licence_sql())
 def op2_licence_scan(spark, sf_dir):
-    return scan_licences(table(spark, sf_dir, "documents"), known_licences(spark))
+    return scan_licences(table(spark, sf_dir, "documents"), licence_table(spark))
 
 
 @register("op3_training_order")

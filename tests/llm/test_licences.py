@@ -35,3 +35,25 @@ def test_edges(spark, frame):
 def test_known_licences_match_themselves(spark):
     forms = [r.f for r in L.known_licences(spark).select(L.joined(L.line_forms(L.F.col("text"))).alias("f")).collect()]
     assert len(set(forms)) == len(L.KNOWN) and all(forms)
+
+
+def listed():
+    return {x["licence"]: x for x in map(L.json.loads, L.pkgutil.get_data("capforge.llm", "licences.jsonl").decode().splitlines())}
+
+
+def test_usual_files_of_the_table_match(spark, frame):
+    data = listed()
+    apache, gpl, bsd = (data[k]["texts"][0] for k in ("Apache-2.0", "GPL-3.0", "BSD-3-Clause"))
+    rows = [(1, "MIT License\n\nCopyright (c) 2019 Jane Doe\n\n" + MIT), (2, "The MIT License (MIT)\nCopyright (c) 2019 Jane Doe\nAll rights reserved.\n" + MIT),
+            (3, "Apache License\nVersion 2.0, January 2004\nhttps://www.apache.org/licenses/\n" + apache), (4, "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n" + gpl),
+            (5, "BSD 3-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n" + bsd), (6, data["Unlicense"]["texts"][0]), (7, apache + " more"),
+            (8, "SPDX-License-Identifier: BSD-3-Clause\nThis work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.")]
+    out = {r.doc_id: r for r in L.scan_licences(frame(rows), L.licence_table(spark)).collect()}
+    assert {i: out[i].licence for i in out} == {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "GPL-3.0", 5: "BSD-3-Clause", 6: "Unlicense", 7: None, 8: None}
+    assert (out[8].n_stated, out[8].first_stated) == (2, "BSD-3-Clause (statement)")
+
+
+def test_a_form_names_one_licence(spark):
+    table = L.licence_table(spark).select("licence", L.joined(L.line_forms(L.F.col("text"))).alias("form"))
+    assert [r for r in table.groupBy("form").agg(L.F.collect_set("licence").alias("ids")).collect() if len(r.ids) > 1 or not r.form] == []
+    assert {r.licence for r in table.collect()} >= set(L.KNOWN) | {k for k, x in listed().items() if x["texts"]}
