@@ -1,12 +1,12 @@
 """Licence scan by canonical digest (DataFrame functions only).
 
-A text's canonical form: lower case, without copyright lines, punctuation as single spaces, equivalent
+A text's canonical form: lower case, without copyright notices, punctuation as single spaces, equivalent
 spellings made one. Its SHA-256 is hash-joined with those of the known licences: a text is a licence when
 its whole canonical form is one. Lines that state a licence are found the same way, a line being a text.
 Everything is one row's expression and a broadcast join with the known table (counted first; beyond the
 bound a salted join takes its place); texts are not shuffled.
 
-Defined results: null and empty texts, and texts of punctuation or copyright lines alone, have the empty
+Defined results: null and empty texts, and texts of punctuation or copyright notices alone, have the empty
 form and match nothing; of known licences with equal forms the smallest id is reported; rows that repeat
 are all returned; an empty table gives an empty result; other columns are ignored whatever their names.
 """
@@ -23,8 +23,15 @@ from pyspark.sql import functions as F
 
 from capforge.llm.common import join_per_key, stored, text_or_empty, with_row_id
 
-# Lines left out, marks that count as spaces, and spellings that count as equal.
-COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright|©|\(c\))[^a-z]*(\(c\)|©|[0-9]{4}).*$"
+# Notices left out, marks that count as spaces, and spellings that count as equal.
+# A notice begins a line or follows a licence's title there: marker, years, holder, reserved rights. The holder goes up to the
+# end of its sentence, of the line, or to what begins a licence or statement, in 25 words; else only marker and years are one.
+NEXT = (r"(?=(?:permission|redistribution|licensed|released|distributed|published|available|this|the software|all rights|everyone"
+        r"|you may|spdx-license-identifier:?) )")
+LAST = r"(?!(?:inc|ltd|co|corp|jr|sr|dr|mr|mrs|st|llc|no|vs)\.(?:\s|$))\S*[^\s.!?;][^\s.!?;][.!?;]+(?:\s+|$)"
+NOTICE = (r"^((?:(?:the )?[a-z0-9 .,-]{0,40}licen[sc]e[^a-z0-9©(]*(?:\([a-z0-9 .-]{2,20}\)[^a-z0-9©(]*)?)?)[^a-z0-9]*(?:copyright|©|\(c\))"
+          r"[^a-z]*(?:\(c\)|©|[0-9]{4})(?:[\s,;:–-]|(?:19|20)[0-9]{2}|\(c\)|©|present\b|by\b)*+"
+          rf"(?:(?:(?!{NEXT})(?!{LAST})\S+(?:\s+|$)){{0,25}}?(?:(?!{NEXT}){LAST}|{NEXT}|$))?(?:all rights reserved[^a-z0-9]*)*")
 MARKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F«»“”„‘’‚…–—·•©®™]+"
 PATTERNS = [
     (r" (author|capital|categor|character|emphas|initial|maxim|minim|optim|organ|real|recogn|util)is(e|ed|es|ing|ation|ations) ",
@@ -74,7 +81,7 @@ CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION W
 def line_form(line: Column) -> Column:
     """The canonical form of one line."""
     out = F.lower(line)
-    out = F.when(out.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(out)
+    out = F.regexp_replace(out, NOTICE, "$1")
     out = F.concat(F.lit(" "), F.regexp_replace(out, MARKS, "  "), F.lit(" "))  # each word with spaces of its own
     for pattern, to in PATTERNS:
         out = F.regexp_replace(out, pattern, to)

@@ -57,3 +57,16 @@ def test_a_form_names_one_licence(spark):
     table = L.licence_table(spark).select("licence", L.joined(L.line_forms(L.F.col("text"))).alias("form"))
     assert [r for r in table.groupBy("form").agg(L.F.collect_set("licence").alias("ids")).collect() if len(r.ids) > 1 or not r.form] == []
     assert {r.licence for r in table.collect()} >= set(L.KNOWN) | {k for k, x in listed().items() if x["texts"]}
+
+
+def test_only_the_notice_is_left_out(spark, frame):
+    line, long = " ".join(MIT.split()), "the quiet river runs past old stone houses and small green gardens where people talk about weather and bread " * 5
+    rows = [(1, "Copyright (c) 2019 Jane Doe " + line), (2, "MIT License Copyright (c) 2019 Jane Doe. All rights reserved. " + line), (3, "(c) 1999 " + long), (4, long),
+            (5, "Copyright 2020 X. Released under the MIT License."), (6, "© 2001-2004, 2006 Example Inc. and others. All rights reserved."),
+            (7, "(c) 1999 Jane Doe. " + long), (8, "Copyright (c) 2019-present " + ", ".join(["Some One"] * 8) + " and contributors"),
+            (9, "The MIT License (MIT) Copyright © 2019 Jane Doe " + line), (10, "COPYRIGHT (C) 2019 JANE DOE " + line.upper())]
+    out = {r.doc_id: r for r in L.scan_licences(frame(rows), L.licence_table(spark)).collect()}
+    assert [out[i].licence for i in (1, 2, 9, 10)] == ["MIT"] * 4
+    assert out[3].canonical_sha256 == out[4].canonical_sha256 == out[7].canonical_sha256 is not None
+    assert out[5].first_stated == "MIT (statement)"
+    assert out[6].canonical_sha256 is None and out[8].canonical_sha256 is None
