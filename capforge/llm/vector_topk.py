@@ -12,14 +12,14 @@
 No class that could hold a result is left out, so the result is that of comparing all vectors.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do
-those with an integer beyond 2^24; only vectors of the query's length are compared; rows that repeat in id
+those whose integers' squares sum to 2^63 or more (within these every product is a long); only vectors of the query's length are compared; rows that repeat in id
 and vector count once; an id with two vectors is two rows and, as a query, has two results; ties go to the
 smaller id; null ids take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +32,18 @@ CELL = 2
 QUERY_BLOCK = 512
 #: Vectors in a block of the approximation file, on average.
 VECTOR_BLOCK = 4096
+#: Below 2^63 by more than sums of doubles are rounded.
+LONG = 2.0 ** 63 * (1 - 1e-9)
 
 
 def integer_vectors(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """(id, v array<int>) of the rows that take part."""
+    """(id, v array<long>) of the rows that take part."""
     x = F.col(embedding).cast("array<double>")
     fits = F.col("id").isNotNull() & (F.size(F.coalesce("x", F.array().cast("array<double>"))) > 0) & F.forall(
-        "x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= (1 << 24) / scale))
+        "x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < (1 << 32) / scale)) & (F.aggregate(
+            F.transform("x", lambda c: F.floor(c * scale).cast("double")), F.lit(0.0), lambda s, c: s + c * c) < LONG)
     return vectors.select(F.col(vec_id).cast("long").alias("id"), x.alias("x")).filter(F.coalesce(fits, F.lit(False))).select(
-        "id", F.transform("x", lambda c: F.floor(c * scale).cast("int")).alias("v"))
+        "id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
 def packed(column: pa.Array) -> np.ndarray:
@@ -53,7 +56,12 @@ def bounds(queries: np.ndarray, low: np.ndarray, cell: int) -> tuple[np.ndarray,
     q, base = queries.astype(np.float64), low.astype(np.float64)  # exact: below 2^53
     at_low = q @ base.T
     up, down = np.maximum(q, 0).sum(axis=1), np.minimum(q, 0).sum(axis=1)
-    return at_low + (cell - 1) * down[:, None], at_low + (cell - 1) * up[:, None]
+    lower, upper = at_low + (cell - 1) * down[:, None], at_low + (cell - 1) * up[:, None]
+    length, width = np.linalg.norm(q, axis=1)[:, None], np.linalg.norm(base, axis=1)[None, :] + cell * math.sqrt(q.shape[1])
+    if q.size and base.size and length.max() * width.max() >= 2.0 ** 50:  # sums may be rounded: outward by more than that
+        error = length * width * (q.shape[1] + 8) * 2.0 ** -51 + 1
+        lower, upper = np.floor(lower - error), np.ceil(upper + error)
+    return np.clip(lower, -LONG, LONG), np.clip(upper, -LONG, LONG)
 
 
 def reachable(vectors: DataFrame, queries: DataFrame, k: int, cell: int) -> DataFrame:
@@ -68,7 +76,7 @@ def reachable(vectors: DataFrame, queries: DataFrame, k: int, cell: int) -> Data
     asked = queries.select("q", "v", length, block("q", q_blocks).alias("qb")).select(
         "dim", "qb", F.explode(F.sequence(F.lit(0), F.lit(max(0, v_blocks - 1)))).alias("vb"), F.col("q").alias("c"),
         F.lit(0).alias("n"), "v")
-    cells = F.transform("v", lambda c: (F.floor(c / cell) * cell).cast("int"))
+    cells = F.transform("v", lambda c: (F.floor(c / cell) * cell).cast("long"))
     file = vectors.select("c", "n", cells.alias("v"), length, block("c", v_blocks).alias("vb")).select(
         "dim", F.explode(F.sequence(F.lit(0), F.lit(max(0, q_blocks - 1)))).alias("qb"), "vb", "c", "n", "v")
 

@@ -49,3 +49,33 @@ def test_bounds_hold(vectors, cell):
     x = np.array(vectors)
     lower, upper = V.bounds(x, np.floor(x / cell).astype(int) * cell, cell)
     assert (lower <= x @ x.T).all() and (x @ x.T <= upper).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(-(1 << 30), 1 << 30), min_size=4, max_size=4), min_size=2, max_size=12), st.integers(1, 50))
+def test_bounds_hold_for_large_integers(vectors, cell):
+    lower, upper = V.bounds(np.array(vectors), np.array([[c // cell * cell for c in v] for v in vectors]), cell)
+    for i, v in enumerate(vectors):
+        for j, w in enumerate(vectors):
+            assert int(lower[i, j]) <= sum(a * b for a, b in zip(v, w)) <= int(upper[i, j])
+
+
+def test_large_components(spark):
+    rnd = random.Random(9)
+    rows = [(i, [rnd.uniform(-1, 1) * rnd.choice([1, 1e5, 4e6]) for _ in range(5)]) for i in range(80)] + [(90, [70000.0] * 5), (91, [-65537.0, 0.0, 0.0, 0.0, 1e6])]
+    assert got(spark, rows, 5, 2) == brute(rows, lambda i: i % 3 == 0, 5)
+    small = [(i, [x / 4e4 for x in v]) for i, v in rows]
+    assert got(spark, small, 5, 2) == brute(small, lambda i: i % 3 == 0, 5)
+
+
+def test_large_components_against_sql(spark, tmp_path):
+    import duckdb
+    from capforge.llm import queries
+
+    rnd = random.Random(3)
+    spark.createDataFrame([(i, [rnd.uniform(-1, 1) * rnd.choice([1, 1e5]) for _ in range(4)]) for i in range(150)],
+                          "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE["op10_exact_top_k"]).fetchall()
+    assert sorted(tuple(r) for r in queries.QUERIES["op10_exact_top_k"](spark, str(tmp_path)).collect()) == sorted(want)
