@@ -11,7 +11,7 @@ import test_mixing
 import test_ngram_join
 
 import corpus_pipeline
-from capforge.llm import common, queries
+from capforge.llm import common, queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +68,17 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.stored(stage(spark, docs, SF), "empty")
     assert docs.count() == 0
+
+
+def test_pipeline_toxicity_stage(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = common.table(spark, sf, "documents")
+    model = toxicity.fit(docs, common.table(spark, sf, "labels"))
+    worst = [f for f in sorted(model.weight, key=model.weight.get, reverse=True) if "*" not in f][:4]
+    planted = [(-1, " ".join(worst * 3)), (-2, "the river runs past old houses"), (-3, ""), (-4, None)]
+    docs = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string"), allowMissingColumns=True)
+    docs = common.stored(docs, "planted")
+    score = toxicity.fit(docs, common.table(spark, sf, "labels")).scorer()
+    want = sorted(r.doc_id for r in docs.collect() if score(r.text or "") < 0.5)
+    got = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, sf).collect())
+    assert got == want and -1 not in got and {-2, -3, -4} <= set(got)
