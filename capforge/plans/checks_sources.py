@@ -3,6 +3,7 @@ fresh folder under the shared checkpoint folder, read back, compare with the sou
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from capforge.functions.scalar import round_doubles
@@ -95,7 +96,14 @@ def q_csv_short_rows(spark, sf_dir):
     line = F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("string")).otherwise(
         F.concat_ws(",", "c_custkey", "c_name", "c_acctbal"))
     lines = c.select(line.alias("value"))
-    lines.sparkSession.createDataFrame([("c_custkey,c_name,c_acctbal",)], "value string").union(lines).coalesce(1).write.text(path)
+    header = "c_custkey,c_name,c_acctbal"
+
+    def with_header(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+        yield from batches
+
+    spark.createDataFrame([(header,)], "value string").write.text(path)  # also without rows a file has the header
+    lines.mapInArrow(with_header, "value string").write.mode("append").text(path)
     return round_doubles(IO.scan_csv(spark, path, multi_line=False))
 
 

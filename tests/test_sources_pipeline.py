@@ -178,3 +178,16 @@ def test_partitioned_sink_and_csv_with_schema(spark, scratch):
     write_text(spark, c, "id,v,note", ["1,2.5,x", "2,NA,", "3,null,y"])
     typed = IO.scan_csv(spark, c, schema="id int, v double, note string").orderBy("id").collect()
     assert [(r.id, r.v, r.note) for r in typed] == [(1, 2.5, "x"), (2, None, None), (3, None, "y")]
+
+
+def test_short_rows_are_written_in_parallel(spark, tmp_path, monkeypatch):
+    from capforge.plans import checks_sources as C
+
+    rows = [(i, f"name {i}", i / 4) for i in range(1, 31)]
+    c = spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double").repartition(3)
+    path = str(tmp_path / "short")
+    monkeypatch.setattr(C, "table", lambda *a: c)
+    monkeypatch.setattr(C, "scratch_dir", lambda *a: path)
+    got = sorted(tuple(r) for r in C.q_csv_short_rows(spark, "").collect())
+    assert got == [(i, None, None) if i % 3 == 0 else (i, n, b) for i, n, b in rows]
+    assert sum(len(p.read_text().splitlines()) > 1 for p in tmp_path.glob("short/part-*")) == 3
