@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capforge.llm.common import shared_path, table
+from capforge.llm.divergence import divergence_audit
 from capforge.llm.exact_dedup import exact_dedup
+from capforge.llm.fill_middle import fill_in_middle, write_frames
 from capforge.llm.licences import KNOWN, licence_table, scan_licences
 from capforge.llm.mixing import mix_sources
 from capforge.llm.ngram_join import ngram_jaccard
@@ -17,6 +19,7 @@ from capforge.llm.piece_codec import piece_digests
 from capforge.llm.token_counts import token_counts
 from capforge.llm.toxicity import toxicity
 from capforge.llm.training_order import PER_SHARD, read_training_order, write_training_order
+from capforge.llm.vector_dedup import near_vectors
 from capforge.llm.vector_topk import exact_top_k
 from capforge.llm.warc import read_warc, write_warc
 
@@ -172,3 +175,57 @@ def op3_training_order(spark, sf_dir):
         return spark.createDataFrame([], "slot long, shard long, n_tokens long, ids_sha256 string")
     return read_training_order(spark, path, ids=False).select(
         "slot", F.floor(F.col("slot") / PER_SHARD).alias("shard"), "n_tokens", "ids_sha256")
+
+
+@register("op11_vector_dedup")
+def op11_vector_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@register("op12_fill_in_middle", r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, ('0x' || substr(h, 1, 8))::BIGINT AS h1,
+             ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3,
+             ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t),
+n AS (SELECT *, len(units)::BIGINT AS n FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+             array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                   ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM p
+""")
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_in_middle(write_frames(table(spark, sf_dir, "documents")))
+
+
+@register("op13_divergence_audit", r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS all_n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(all_n) AS total FROM k GROUP BY lang),
+s AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, all_n,
+             (1 + 1000000000 * (coalesce(n.n, 0) + 1) // (coalesce(s.total, 0)::BIGINT + l.v))::BIGINT AS p,
+             (1 + 1000000000 * (all_n + 1) // (l.total::BIGINT + l.v))::BIGINT AS q
+      FROM g JOIN k ON g.lang = k.lang JOIN l ON g.lang = l.lang LEFT JOIN s ON g.lang = s.lang AND g.source = s.source
+      LEFT JOIN n ON g.lang = n.lang AND g.source = n.source AND k.term = n.term),
+v AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o
+QUALIFY part = 'pair' OR rank <= 200
+""")
+def op13_divergence_audit(spark, sf_dir):
+    return divergence_audit(table(spark, sf_dir, "documents"))
