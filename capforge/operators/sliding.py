@@ -1,4 +1,4 @@
-"""Sliding statistics over index ranges of sorted arrays, in time proportional to the rows.
+"""Sliding statistics over index ranges of sorted arrays, in time proportional to rows times a logarithm at most.
 
 Helpers for tasks of the device windows: ``low`` and ``high`` are the first and one-past-last index of each
 row's range; both never decrease within a group. Missing values are NaN and are left out.
@@ -64,55 +64,38 @@ def range_std(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(n < 2, np.nan, np.where(same, 0.0, out))
 
 
-def range_median(x: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Median of each range: counts by rank and a pointer to the middle, which moves with the range."""
-    out = np.full(len(low), np.nan)
-    values, ranks = np.unique(x[~np.isnan(x)], return_inverse=True)
-    rank = np.full(len(x), -1)
-    rank[~np.isnan(x)] = ranks
-    rank, value, lows, highs, groups = rank.tolist(), values.tolist(), low.tolist(), high.tolist(), group.tolist()
-    counts = [0] * (len(value) + 1)
-    first = last = size = below = at = 0
-    of = None
-    for i, (a, b) in enumerate(zip(lows, highs)):
-        if groups[i] != of:  # the last group's rows leave
-            of = groups[i]
-            for j in range(first, last):
-                if rank[j] >= 0:
-                    counts[rank[j]] = 0
-            first = last
-            size = below = at = 0
-        if b <= a:
-            continue
-        if first == last:  # nothing inside: start here
-            first = last = a
-        while last < b:
-            r = rank[last]
-            last += 1
-            if r >= 0:
-                counts[r] += 1
-                size += 1
-                below += r < at
-        while first < a:
-            r = rank[first]
-            first += 1
-            if r >= 0:
-                counts[r] -= 1
-                size -= 1
-                below -= r < at
-        if not size:
-            continue
-        k = (size - 1) // 2
-        while below > k:
-            at -= 1
-            below -= counts[at]
-        while below + counts[at] <= k:
-            below += counts[at]
-            at += 1
-        up = at
-        if size % 2 == 0 and below + counts[at] <= k + 1:
-            up = at + 1
-            while not counts[up]:
-                up += 1
-        out[i] = (value[at] + value[up]) / 2
+def smallest(rank: np.ndarray, low: np.ndarray, high: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The ``k``-th smallest (from 0) of ``rank[low:high]`` for every range at once; ``k < high - low``.
+
+    A wavelet matrix: bit by bit from the highest, ranks with a 0 move before those with a 1 (each half in its old
+    order), and a range follows its ``k``-th rank into the half that holds it. One pass over rows and
+    ranges a bit, whatever the ranges' widths and however the values jump.
+    """
+    found, low, high, k = np.zeros(len(low), np.int64), low.copy(), high.copy(), k.copy()
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        one = (rank >> bit) & 1 == 1
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        first, last = zeros[low], zeros[high]
+        up = k >= last - first
+        k = np.where(up, k - (last - first), k)
+        low, high = np.where(up, zeros[-1] + low - first, first), np.where(up, zeros[-1] + high - last, last)
+        found |= up.astype(np.int64) << bit
+        rank = np.concatenate([rank[~one], rank[one]])
+    return found
+
+
+def range_median(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Median of each range, the mean of the two middle values where there are two (NaN: none)."""
+    held = ~np.isnan(x)
+    before = np.concatenate([[0], np.cumsum(held)])
+    first, last = before[low], before[np.maximum(high, low)]
+    out, some = np.full(len(low), np.nan), np.flatnonzero(last > first)
+    if not len(some):
+        return out
+    values, rank = np.unique(x[held], return_inverse=True)
+    size = (last - first)[some]
+    lower = smallest(rank, first[some], last[some], (size - 1) // 2)
+    upper, even = lower.copy(), np.flatnonzero(size % 2 == 0)
+    upper[even] = smallest(rank, first[some][even], last[some][even], size[even] // 2)
+    out[some] = (values[lower] + values[upper]) / 2
     return out

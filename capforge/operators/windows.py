@@ -12,8 +12,8 @@ One plan serves every device, whatever its rows, ties or span:
    row after it still needs (its previous row's window) are copied over the gap as well; these gaps come
    from one small aggregate per device and block;
 3. rows are hashed by (device, block) and sorted by time; each task goes once over its sorted rows and finds
-   every statistic with running sums, maxima over power-of-two runs and a moving median pointer
-   (``sliding``), in time proportional to the rows, however dense a device is.
+   every statistic with running sums, maxima over power-of-two runs and a wavelet matrix for the medians
+   (``sliding``), in n log n steps, however dense a device is and however its values jump.
 
 A block with its copies is handled by one task; shorter blocks make smaller ones.
 """
@@ -76,16 +76,14 @@ def _check_ts(ts: str) -> Column:
     return F.when(c.isNull(), F.raise_error(F.lit(f"NULL value in time column '{ts}'"))).otherwise(c)
 
 
-def _statistic(stat: str, x: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray) -> np.ndarray:
+def _statistic(stat: str, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     if stat == "max":
         return sliding.range_max(x, low, high)
     if stat == "min":
         return -sliding.range_max(-x, low, high)
     if stat == "range":
         return sliding.range_max(x, low, high) + sliding.range_max(-x, low, high)
-    if stat == "median":
-        return sliding.range_median(x, low, high, group)
-    return {"sum": sliding.range_sum, "mean": sliding.range_mean, "std": sliding.range_std}[stat](x, low, high)
+    return {"sum": sliding.range_sum, "mean": sliding.range_mean, "std": sliding.range_std, "median": sliding.range_median}[stat](x, low, high)
 
 
 def _framed_values(group: np.ndarray, t: np.ndarray, values: dict[str, np.ndarray], frames: Sequence[Frame]) -> list[np.ndarray]:
@@ -106,7 +104,7 @@ def _framed_values(group: np.ndarray, t: np.ndarray, values: dict[str, np.ndarra
                 ranges[where] = (np.where(first, 0, low[before]), np.where(first, 0, high[before])) if f.shift else (low, high)
         key = (f.stat, f.source, where)
         if key not in made:
-            made[key] = _statistic(f.stat, values[f.source], *ranges[where], group)
+            made[key] = _statistic(f.stat, values[f.source], *ranges[where])
     return [made[(f.stat, f.source, (f.direction, f.days, f.shift))] for f in frames]
 
 
