@@ -1,9 +1,8 @@
 """Table profiles and correlations.
 
 Every statistic over all columns is one aggregate pass (partial aggregation on
-the map side); results are unpivoted from that single row. Exact medians are
-bracketed by approximate percentiles and exact counts, and only the values in
-between are shuffled.
+the map side); results are unpivoted from that single row. Exact medians come from radix selection
+(``selection``), distinct and frequent values from counts by digest (``valuecounts``).
 """
 
 from __future__ import annotations
@@ -11,12 +10,13 @@ from __future__ import annotations
 import itertools
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capforge.functions import fixed as FX
 from capforge.functions.scalar import nan_to_null
+from capforge.operators import selection, valuecounts
 from capforge.operators.relational import numeric_columns
 
 
@@ -30,21 +30,6 @@ def _num(df: DataFrame, name: str) -> Column:
     return nan_to_null(c)
 
 
-def _q(name: str) -> str:
-    """A column name quoted for SQL text."""
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _lit(text: str) -> str:
-    """A string literal for SQL text."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _num_sql(name: str) -> str:
-    """SQL text of ``_num``: DOUBLE with NaN read as missing."""
-    return f"nanvl(CAST({_q(name)} AS DOUBLE), CAST(NULL AS DOUBLE))"
-
-
 def _is_missing(df: DataFrame, f: T.StructField) -> Column:
     c = _c(f.name)
     if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
@@ -73,117 +58,40 @@ def table_metadata(df: DataFrame) -> DataFrame:
     return cols.crossJoin(F.broadcast(count))
 
 
-#: Rows that may lie between a median's bounds before its values are counted.
-INSIDE_ROWS = 200_000
-#: Percentiles of a pass, and their accuracy (1 / relative rank error).
-MARKS, ACCURACY = 100, 1000
-
-
-def _brackets(df: DataFrame, columns: Sequence[str]) -> list[tuple[int, int, float, float] | None]:
-    """For each column (present rows, rows below lo, lo, hi) with both middle values in [lo, hi].
-
-    Bounds come from approximate percentiles and are checked by exact counts in the next pass, which
-    also gives narrower ones; most tables need two passes of one aggregate row each.
-    """
-    done: list = [None] * len(columns)
-    bounds: dict[int, tuple[float, float]] = {i: (float("-inf"), float("inf")) for i in range(len(columns))}
-    trusted: dict[int, tuple[float, float]] = dict(bounds)  # known to hold the middle
-    for _ in range(40):
-        aggs = []
-        for i, (lo, hi) in bounds.items():
-            v = F.expr(_num_sql(columns[i]))
-            inside = F.when((v >= lo) & (v <= hi), v)
-            aggs += [F.count(v).alias(f"n{i}"), F.count_if(v < lo).alias(f"b{i}"), F.count(inside).alias(f"i{i}"),
-                     F.percentile_approx(inside, [k / MARKS for k in range(MARKS + 1)], ACCURACY).alias(f"p{i}")]
-        row = df.agg(*aggs).first()
-        left = {}
-        for i, (lo, hi) in bounds.items():
-            n, below, inside, marks = (row[f"{k}{i}"] for k in "nbip")
-            if not n:
-                continue
-            first, last = (n - 1) // 2, n // 2
-            if below <= first and last < below + inside:
-                trusted[i] = (lo, hi)
-                if inside <= INSIDE_ROWS or lo == hi or (marks[0] == marks[-1]):
-                    done[i] = (n, below, lo, hi)
-                    continue
-                start = max(0, int(MARKS * (first - below) / inside) - 1)
-                narrow = marks[start], marks[min(MARKS, int(MARKS * (last - below) / inside) + 2)]
-                if narrow == (lo, hi):  # one value has most of the rows
-                    done[i] = (n, below, lo, hi)
-                    continue
-                left[i] = narrow
-            else:  # the approximation missed: take the last bounds that held
-                done[i] = None
-                left[i] = trusted[i]
-                if trusted[i] == (lo, hi):
-                    raise ValueError(f"the median of {columns[i]} could not be bracketed")
-        bounds = left
-        if not bounds:
-            break
-    return done
+def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(*[_num(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact median (mean of the two middle values) per column → ``(column, median)``.
+    """Exact median (mean of the two middle values) per column → ``(column, median)``; NULL without values.
 
-    No task sorts a whole column and no whole column is shuffled: aggregates bracket the middle between
-    two values (see ``_brackets``); only the values inside are counted, and a running count over these few
-    distinct values finds the middle ranks.
+    By radix selection (``selection``): at most three passes, each for all columns together.
     """
     columns = list(columns)
-    spark = df.sparkSession
-    if not columns:
-        return spark.createDataFrame([], "column string, median double")
-    found = _brackets(df, columns)
-    open_ = [(i, *f) for i, f in enumerate(found) if f]
-    names = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "__id int, column string")
-    if not open_:
-        return names.select("column", F.lit(None).cast("double").alias("median"))
-
-    def bound(x: float) -> str:
-        return f"CAST('{x!r}' AS DOUBLE)" if abs(x) != float("inf") else f"CAST('{'-' if x < 0 else ''}Infinity' AS DOUBLE)"
-
-    pairs = ", ".join(f"named_struct('id', {i}, 'value', CASE WHEN {_num_sql(columns[i])} BETWEEN {bound(lo)} AND {bound(hi)} "
-                      f"THEN {_num_sql(columns[i])} END)" for i, _, _, lo, hi in open_)
-    counted = df.select(F.expr(f"inline(array({pairs}))")).filter(F.col("value").isNotNull()).groupBy("id", "value").agg(
-        F.count(F.lit(1)).alias("n"))
-    known = spark.createDataFrame([(i, n, below) for i, n, below, _, _ in open_], "id int, rows long, below long")
-    upto = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.join(F.broadcast(known), "id").withColumn(  # one row for each column
-        "before", F.col("below") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("value")))
-
-    picked = ranked.groupBy("id").agg(at(F.floor((F.col("rows") - 1) / 2)).alias("lo"), at(F.floor(F.col("rows") / 2)).alias("hi"))
-    out = picked.select(F.col("id").alias("__id"), ((F.col("lo") + F.col("hi")) / 2).alias("median"))
-    # columns with no value at all still get a row (median NULL)
-    return names.join(F.broadcast(out), "__id", "left").select("column", "median")
+    found = selection.summaries(_numbers(df, columns))[1] if columns else []
+    return df.sparkSession.createDataFrame([(c, s.median) for c, s in zip(columns, found)], "column string, median double")
 
 
 def profile_numeric(df: DataFrame, approx: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: ``min, max, mean, median, std`` (sample), NULL when undefined (row 32).
 
-    ``approx=True`` takes ``percentile_approx`` for the median in the same pass.
+    All but the median come from the first of its passes (``selection``). ``approx=True`` takes
+    ``percentile_approx`` for the median in one aggregate.
     """
     cols = list(columns) if columns is not None else numeric_columns(df, include_bool=True)
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, min double, max double, mean double, median double, std double")
-    aggs = []
-    for c in cols:
-        v = _num(df, c)
-        aggs += [F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"), F.avg(v).alias(f"{c}__mean"),
-                 F.stddev_samp(v).alias(f"{c}__std")]
-        if approx:
-            aggs.append(F.percentile_approx(v, 0.5, 10000).cast("double").alias(f"{c}__median"))
-    row = df.agg(*aggs)
     if approx:
-        return _unpivot_row(row, cols, ["min", "max", "mean", "median", "std"])
-    base = _unpivot_row(row, cols, ["min", "max", "mean", "std"])
-    med = exact_medians(df, cols)
-    return base.join(F.broadcast(med), "column", "left").select("column", "min", "max", "mean", "median", "std")
+        aggs = []
+        for c in cols:
+            v = _num(df, c)
+            aggs += [F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"), F.avg(v).alias(f"{c}__mean"),
+                     F.percentile_approx(v, 0.5, 10000).cast("double").alias(f"{c}__median"), F.stddev_samp(v).alias(f"{c}__std")]
+        return _unpivot_row(df.agg(*aggs), cols, ["min", "max", "mean", "median", "std"])
+    found = selection.summaries(_numbers(df, cols))[1]
+    return df.sparkSession.createDataFrame([(c, s.min, s.max, s.mean, s.median, s.std) for c, s in zip(cols, found)],
+                                           "column string, min double, max double, mean double, median double, std double")
 
 
 def categorical_columns(df: DataFrame) -> list[str]:
@@ -191,49 +99,37 @@ def categorical_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.name not in num]
 
 
-def profile_categorical(df: DataFrame, approx: bool = False, columns: Sequence[str] | None = None,
-                        counts: DataFrame | None = None) -> DataFrame:
-    """Distinct count per non-numeric column, NULL excluded → ``(column, unique_count)`` (row 33)."""
+def profile_categorical(df: DataFrame, approx: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+    """Distinct count per non-numeric column, NULL excluded → ``(column, unique_count)`` (row 33).
+
+    Counted by digest (``valuecounts``): whole texts aren't shuffled.
+    """
     cols = list(columns) if columns is not None else categorical_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, unique_count bigint")
     if approx:
         row = df.agg(*[F.approx_count_distinct(_c(c)).alias(f"{c}__unique_count") for c in cols])
         return _unpivot_row(row, cols, ["unique_count"])
-    # unpivot once and count distinct (column, value) pairs: one shuffle, however many columns.
-    # Same plan as the counts of ``top_values`` so the two share one exchange.
-    counts = counts if counts is not None else _value_counts(df, cols)
-    return (counts.groupBy("column")
-                .agg(F.count(F.lit(1)).alias("unique_count"))
-                .join(df.sparkSession.createDataFrame([(c,) for c in cols], "column string"), "column", "right")
-                .select("column", F.coalesce(F.col("unique_count"), F.lit(0)).alias("unique_count")))
-
-
-def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Non-NULL ``(column, value as string)`` pairs of the given columns."""
-    pairs = ", ".join(f"named_struct('column', {_lit(c)}, 'value', CAST({_q(c)} AS STRING))" for c in cols)
-    return df.select(F.expr(f"inline(array({pairs}))")).filter(F.col("value").isNotNull())
+    found = valuecounts.per_column(valuecounts.value_counts(df, cols))
+    return df.sparkSession.createDataFrame([(c, found.get(i, (0, 0))[0]) for i, c in enumerate(cols)], "column string, unique_count bigint")
 
 
-def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return _long_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+def _named(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows with a column number get its name."""
+    names = F.array(*[F.lit(c) for c in cols])
+    return df.withColumn("column", F.element_at(names, F.col("id") + 1))
 
 
-def top_values(df: DataFrame, k: int = FX.TOP_VALUES, columns: Sequence[str] | None = None,
-               counts: DataFrame | None = None) -> DataFrame:
+def top_values(df: DataFrame, k: int = FX.TOP_VALUES, columns: Sequence[str] | None = None) -> DataFrame:
     """The ``k`` most frequent values per non-numeric column, NULL excluded (row 34).
 
-    → ``(column, rank, value, count)``; ties by value ascending. The ``rank <= k``
-    filter over ``row_number`` is planned with a partial group limit before the
-    shuffle, so each column's window sees at most ``k`` rows per map task.
+    → ``(column, rank, value, count)``; ties by value ascending. Counted by digest (``valuecounts``); the rank filters
+    are planned with a partial group limit before the shuffle.
     """
     cols = list(columns) if columns is not None else categorical_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, rank int, value string, count bigint")
-    counts = counts if counts is not None else _value_counts(df, cols)
-    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
-    return (counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                  .select("column", "rank", "value", "count"))
+    return _named(valuecounts.top_counts(df, cols, valuecounts.value_counts(df, cols), k), cols).select("column", "rank", "value", "count")
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
@@ -251,49 +147,30 @@ def dataset_statistics(df: DataFrame, k: int = FX.TOP_VALUES) -> DataFrame:
     for numeric columns, ``unique_count`` and ``top_value`` (item = the value,
     value = its count) for the others, ``missing`` for every column.
 
-    Passes over the data: one aggregate for the row count, the numeric moments and
-    every missing count; the exact medians; value counts for the distinct counts
-    and the top values.
+    Passes over the data: up to three for the numeric columns (``selection``; the first also gives the
+    row count and the moments), one for the others' value counts, and one more where frequent values are
+    longer than a count's piece (``valuecounts``).
     """
     spark = df.sparkSession
-    num = numeric_columns(df, include_bool=True)
-    cat = categorical_columns(df)
+    num, cat = numeric_columns(df, include_bool=True), categorical_columns(df)
     fields = df.schema.fields
-    # Large generated expression lists are passed as SQL text: one JVM call each.
-    aggs = ["CAST(count(1) AS DOUBLE) AS __rows"]
-    for i, c in enumerate(num):
-        v = _num_sql(c)
-        aggs += [f"min({v}) AS n{i}_min", f"max({v}) AS n{i}_max", f"avg({v}) AS n{i}_mean",
-                 f"stddev_samp({v}) AS n{i}_std"]
-    for i, f in enumerate(fields):
-        miss = f"{_q(f.name)} IS NULL" + (f" OR isnan({_q(f.name)})"
-                                          if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else "")
-        aggs.append(f"CAST(count_if({miss}) AS DOUBLE) AS m{i}")
-    row = df.agg(*[F.expr(a) for a in aggs])
-    entries = [f"'*', 'row_count', CAST(NULL AS STRING), __rows",
-               f"'*', 'column_count', CAST(NULL AS STRING), CAST({float(len(fields))} AS DOUBLE)"]
-    entries += [f"{_lit(f.name)}, 'dtype', {_lit(f.dataType.simpleString())}, CAST(NULL AS DOUBLE)" for f in fields]
-    for i, c in enumerate(num):
-        entries += [f"{_lit(c)}, '{st}', CAST(NULL AS STRING), n{i}_{st}" for st in ("min", "max", "mean", "std")]
-    entries += [f"{_lit(f.name)}, 'missing', CAST(NULL AS STRING), m{i}" for i, f in enumerate(fields)]
-    none = F.lit(None).cast("string")
-    stack = f"stack({len(entries)}, {', '.join(entries)}) AS (column, stat, item, value)"
-    parts = [row.select(F.expr(stack))]
-    if num:
-        parts.append(exact_medians(df, num).select("column", F.lit("median").alias("stat"), none.alias("item"),
-                                                   F.col("median").alias("value")))
-    if cat:
-        counts = _value_counts(df, cat)  # one value count feeds both the distinct counts and the top values
-        u = profile_categorical(df, columns=cat, counts=counts)
-        parts.append(u.select("column", F.lit("unique_count").alias("stat"), none.alias("item"),
-                              F.col("unique_count").cast("double").alias("value")))
-        t = top_values(df, k, columns=cat, counts=counts)
-        parts.append(t.select("column", F.lit("top_value").alias("stat"), F.col("value").alias("item"),
-                              F.col("count").cast("double").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows, found = selection.summaries(_numbers(df, num)) if num else (None, [])
+    counts = valuecounts.value_counts(df, cat) if cat else None
+    distinct = valuecounts.per_column(counts) if cat else {}
+    if rows is None:
+        rows = counts.filter("id = 0").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0] if cat else df.count()
+    missing = {c: rows - s.n for c, s in zip(num, found)} | {c: distinct.get(i, (0, 0))[1] for i, c in enumerate(cat)}
+    facts: list[tuple] = [("*", "row_count", None, float(rows)), ("*", "column_count", None, float(len(fields)))]
+    facts += [(f.name, "dtype", f.dataType.simpleString(), None) for f in fields]
+    facts += [(f.name, "missing", None, float(missing[f.name])) for f in fields]
+    facts += [(c, stat, None, getattr(s, stat)) for c, s in zip(num, found) for stat in ("min", "max", "mean", "median", "std")]
+    facts += [(c, "unique_count", None, float(distinct.get(i, (0, 0))[0])) for i, c in enumerate(cat)]
+    out = spark.createDataFrame(facts, "column string, stat string, item string, value double")
+    if not cat:
+        return out
+    top = _named(valuecounts.top_counts(df, cat, counts, k), cat)
+    return out.unionByName(top.select("column", F.lit("top_value").alias("stat"), F.col("value").alias("item"),
+                                      F.col("count").cast("double").alias("value")))
 
 
 def _pair_corr(x: Column, y: Column) -> Column:

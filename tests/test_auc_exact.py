@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from capforge.operators import metrics as M
 from capforge.operators import profile as P
+from capforge.operators import selection
 
 
 @pytest.fixture(scope="module")
@@ -38,9 +39,10 @@ def test_same_for_any_partitioning(spark, scores, exact, parts, reuse):
             spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("inside", [1, 50, 10 ** 6])
-def test_medians_with_narrow_brackets(spark, monkeypatch, inside):
-    monkeypatch.setattr(P, "INSIDE_ROWS", inside)
+@pytest.mark.parametrize("digits,held", [((18, 23, 23), 200_000), ((3, 4, 20, 20, 17), 2), ((40, 24), 100), ((64,), 10)])
+def test_medians_with_other_digits(spark, monkeypatch, digits, held):
+    monkeypatch.setattr(selection, "DIGITS", digits)
+    monkeypatch.setattr(selection, "HELD", held)
     df = spark.range(20_001).select(F.pmod(F.xxhash64("id"), F.lit(5000)).cast("double").alias("a"), F.when(F.col("id") < 15_000, 3.0).otherwise(
         F.col("id")).alias("b"), (F.col("id") * 1.0).alias("c"), F.lit(None).cast("double").alias("d"),
         F.when(F.col("id") % 2 == 0, float("inf")).otherwise(-1.0).alias("e"))

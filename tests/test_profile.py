@@ -130,3 +130,52 @@ def test_correlation_matrix_wide_table(spark):
     want = wide.toPandas().astype(float).corr()
     for (a, b), v in got.items():
         assert v == pytest.approx(want.loc[a, b], abs=1e-9), (a, b)
+
+
+def test_summaries_read_the_table_three_times_at_most(spark, monkeypatch):
+    from capforge.operators import selection
+
+    passes = []
+    one = selection._digit_counts
+    monkeypatch.setattr(selection, "_digit_counts", lambda numbers, level, prefixes: passes.append(level) or one(numbers, level, prefixes))
+    df = spark.range(50_000).select(*[(F.rand(i) * 10 ** i - 3).alias(f"c{i}") for i in range(9)], F.col("id").cast("double").alias("whole"))
+    pdf = df.toPandas()
+    got = {r.column: r for r in P.profile_numeric(df).collect()}
+    assert passes == list(range(len(passes))) and len(passes) <= 3
+    for c in pdf:
+        assert got[c].median == np.median(pdf[c]) and got[c].std == pytest.approx(pdf[c].std(), rel=1e-9) and got[c].max == pdf[c].max()
+    passes.clear()
+    P.profile_numeric(df.select("whole")).collect()
+    assert len(passes) <= 2  # whole numbers fit the first two digits
+
+
+def test_moments_far_from_zero(spark):
+    df = spark.range(10_000, numPartitions=7).select((F.col("id") % 10 + 1e12).alias("v"))
+    r = P.profile_numeric(df).first()
+    assert r.std == pytest.approx(np.std(np.arange(10_000) % 10, ddof=1), rel=1e-6) and r["mean"] == 1e12 + 4.5
+
+
+def test_long_values_by_digest(spark, monkeypatch):
+    from capforge.operators import valuecounts as V
+
+    start = "the same beginning of every text, longer than a piece of a count " * 5
+    rows = [(f"{start}{i:04d}",) for i in range(300)] + [(f"{start}0007",)] * 2 + [("short",)] * 3 + [(None,)] * 4 + [("",)]
+    df = spark.createDataFrame(rows, "`a.text` string").repartition(5)
+    want = [("short", 3), (f"{start}0007", 3), ("", 1), (f"{start}0000", 1), (f"{start}0001", 1)]
+    for fetched in (1000, 10):  # ten: longer pieces decide first
+        monkeypatch.setattr(V, "FETCHED", fetched)
+        got = sorted(P.top_values(df).collect(), key=lambda r: r["rank"])
+        assert [(r.value, r["count"]) for r in got] == want and {r.column for r in got} == {"a.text"}
+    assert P.profile_categorical(df).first().unique_count == 302
+    stats = {(r["column"], r.stat): r.value for r in P.dataset_statistics(df).filter("stat <> 'top_value'").collect()}
+    assert stats["a.text", "missing"] == 4 and stats["a.text", "unique_count"] == 302 and stats["*", "row_count"] == len(rows)
+
+
+def test_texts_are_not_shuffled(spark):
+    """What is shuffled for the counts holds digests and a bounded piece, not the texts."""
+    from capforge.operators import valuecounts as V
+
+    df = spark.createDataFrame([("x" * 10_000,)] * 20 + [("y" * 10_000,)], "t string").repartition(2)
+    stored = V.value_counts(df, ["t"])
+    assert stored.columns == ["id", "h1", "h2", "piece", "whole", "count"]
+    assert max(len(r.piece) for r in stored.collect()) == V.PIECE
