@@ -75,6 +75,23 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
+#: A key with more than one of so many rows is joined by broadcast (so fewer than as many keys are).
+HEAVY = 1000
+
+
+def join_counted(df: DataFrame, per_key: DataFrame, key: str, count: str, rows: int, how: str = "inner") -> DataFrame:
+    """Join ``df`` (``rows`` rows) with a table of one row per ``key``, whose column ``count`` says how many rows of ``df``
+    have it: the few keys with very many rows by broadcast, all others by a shuffle in which no key is large.
+    ``how``: inner or left; the column ``count`` is left out, other names must differ. Null keys match nothing."""
+    added = [c for c in per_key.columns if c not in (key, count)]
+    heavy, light = (per_key.filter(c).select(key, *added) for c in (F.col(count) * HEAVY > rows, F.col(count) * HEAVY <= rows))
+    mark = fresh(df, "__heavy")
+    marked = df.join(F.broadcast(heavy.withColumn(mark, F.lit(True))), key, "left")
+    rest = marked.filter(F.col(mark).isNull()).select(*[F.col(f"`{c}`") for c in df.columns]).join(light, key, how)
+    names = [F.col(f"`{c}`") for c in [*df.columns, *added]]
+    return marked.filter(F.col(mark)).select(*names).unionByName(rest.select(*names))
+
+
 def join_per_key(df: DataFrame, per_key: DataFrame, key: str, salts: int = 32,
                  limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left join of many rows with a table of one row per ``key`` (null keys match each other).
@@ -83,11 +100,16 @@ def join_per_key(df: DataFrame, per_key: DataFrame, key: str, salts: int = 32,
     ``salts`` times and joined on (key, salt), so that a key with a third of all rows is spread
     over ``salts`` tasks.
     """
-    other = per_key.withColumnRenamed(key, "__key")
+    own, salt, copy = fresh(df, "__key"), fresh(df, "__salt"), fresh(df, "__copy")
+    other = per_key.withColumnRenamed(key, own)
+    same = F.col(f"`{key}`").eqNullSafe(F.col(own))
     if per_key.count() <= limit:
-        return df.join(F.broadcast(other), df[key].eqNullSafe(other["__key"]), "left").drop("__key")
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    left = df.withColumn("__salt", salt)
-    right = other.withColumn("__copy", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, left[key].eqNullSafe(right["__key"]) & (left["__salt"] == right["__copy"]),
-                     "left").drop("__key", "__salt", "__copy")
+        return df.join(F.broadcast(other), same, "left").drop(own)
+    left = df.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    right = other.withColumn(copy, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return left.join(right, same & (F.col(salt) == F.col(copy)), "left").drop(own, salt, copy)
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]

@@ -5,19 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capforge.llm.common import stored
+from capforge.llm.common import join_counted, stored
 
-#: A node with more than one of so many edge ends is joined by broadcast (so at most as many nodes are).
-HEAVY = 1000
-
-
-def _with_least(ends: DataFrame, least: DataFrame, rows: int) -> DataFrame:
-    """``ends`` (u, v) joined with (u, m, n): the few nodes with very many ends by broadcast, all others by a shuffle."""
-    heavy, light = F.col("n") * HEAVY > rows, F.col("n") * HEAVY <= rows
-    # n sums to at most ``rows``, so fewer than HEAVY nodes are heavy
-    marked = ends.join(F.broadcast(least.filter(heavy).select("u", F.col("m").alias("of_heavy"))), "u", "left")
-    rest = marked.filter("of_heavy is null").select("u", "v").join(least.filter(light).select("u", "m"), "u")
-    return marked.filter("of_heavy is not null").select("u", "v", F.col("of_heavy").alias("m")).union(rest.select("u", "v", "m"))
+def _sign(edges: DataFrame) -> tuple:
+    """Edges, and a sum over them that tells two tables apart."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,21 +19,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     alone = edges.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
-    sign = None
+    seen = _sign(now)
     while True:
-        ends = now.union(now.select("v", "u"))
-        rows = 2 * now.count()
+        ends, rows = now.union(now.select("v", "u")), 2 * seen[0]
         least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = stored(_with_least(ends, least, rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(
+        large = stored(join_counted(ends, least, "u", "n", rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(
             "u <> v").distinct(), "large")
-        rows = large.count()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _with_least(large, least, rows).select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+        small = join_counted(large, least, "u", "n", rows).select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", "m")).filter("u <> v").distinct()
-        now = stored(small, "star")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == sign:
+        now, before = stored(small, "star"), seen
+        seen = _sign(now)
+        if seen == before:
             found = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
             return stored(found.union(now.select("v", "v").distinct()).union(
                 alone.join(found.select("node"), "node", "left_anti").join(found.select(F.col("label").alias("node")), "node", "left_anti")), "labels")
-        sign = seen

@@ -7,7 +7,7 @@
 3. Classes are dealt into blocks, and a task compares two of them (a tile). Pairs whose product and
    bound stay below the threshold are done; the others, and only these, get their cosine in double precision from
    the original vectors, which the tile holds beside the int8 ones.
-4. A tile hands on no pairs: for each class how many rows it is linked with, and the links' connected parts as paths,
+4. A tile hands on no pairs: for each class how many rows it is linked with, and the links' connected parts as stars,
    which have fewer links than the tile has classes. Components come from these.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components are linked with nothing and
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capforge.llm.common import stored, task_memory, with_row_id
-from capforge.llm.components import HEAVY, components
+from capforge.llm.common import join_counted, stored, task_memory, with_row_id
+from capforge.llm.components import components
 
 #: Classes in a block, at most on average, and the blocks that a table of some size has at least.
 BLOCK, BLOCKS, SMALL_BLOCK = 16384, 8, 1024
@@ -114,7 +114,7 @@ def vector_rows(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def tile_results(classes: DataFrame, least: float, blocks: int) -> DataFrame:
-    """Stored rows of all tiles: (a, n, null) rows that a class is linked with there, and (a, null, b) paths."""
+    """Stored rows of all tiles: (a, n, null) rows that a class is linked with there, and (a, null, b) stars."""
     cut = F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("int")
     dealt = classes.select("dim", "c", "m", "x", cut.alias("at"))
     one = dealt.select("dim", F.col("at").alias("i"), F.explode(F.sequence("at", F.lit(blocks - 1))).alias("j"), "c", "m", "x")
@@ -152,11 +152,9 @@ def tile_results(classes: DataFrame, least: float, blocks: int) -> DataFrame:
         ids = left["c"].combine_chunks() if i == j else pa.concat_arrays([*left["c"].chunks, *right["c"].chunks])
         on = np.flatnonzero(linked)
         root = np.array([forest.root(s) for s in on.tolist()], np.int64)
-        on = on[np.argsort(root, kind="stable")]
-        root = np.sort(root)
-        path = np.flatnonzero(root[1:] == root[:-1])
+        leaf = on != root
         degrees = [ids.take(pa.array(on)), pa.array(linked[on]), pa.nulls(len(on), c_kind)]
-        edges = [ids.take(pa.array(on[path])), pa.nulls(len(path), pa.int64()), ids.take(pa.array(on[path + 1]))]
+        edges = [ids.take(pa.array(on[leaf])), pa.nulls(int(leaf.sum()), pa.int64()), ids.take(pa.array(root[leaf]))]
         return pa.Table.from_arrays([pa.chunked_array([d, e]) for d, e in zip(degrees, edges)], schema=pa.schema(kinds))
 
     schema = T.StructType([T.StructField("a", node), T.StructField("n", T.LongType()), T.StructField("b", node)])
@@ -181,14 +179,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, vec_id: str = "vec_id"
     labels = components(found.filter("n is null").select("a", "b")).select(F.col("node.rid").alias("rid"), "label")
     of_class = stored(classes.select("digest", "m", "c", F.col("c.rid").alias("rid")).join(degrees, "rid", "left").join(labels, "rid", "left").select(
         "digest", "m", (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("label", "c").alias("label")), "of_class")
-    # classes with more than one row of a thousand are few: broadcast; each of the others is a small key
-    fields = [F.col("n_links"), F.col("label.id").alias("component_id")]
-    heavy = of_class.filter(F.col("m") * HEAVY > all_rows).select("digest", *fields)
-    light = of_class.filter(F.col("m") * HEAVY <= all_rows).select("digest", *fields)
     part = rows.select("id", "digest")
-    by_heavy = part.join(F.broadcast(heavy), "digest")
-    rest = part.filter("digest is not null").join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(light, "digest")
-    none = part.filter("digest is null").select("digest", "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    every = by_heavy.select(*none.columns).union(rest.select(*none.columns)).union(none)
+    found = of_class.select("digest", "m", "n_links", F.col("label.id").alias("component_id"))
+    linked = join_counted(part.filter("digest is not null"), found, "digest", "m", all_rows)
+    every = linked.unionByName(part.filter("digest is null").select(
+        "id", "digest", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return every.select(F.col("id").alias("vec_id"), "n_links", "component_id",
                         F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
