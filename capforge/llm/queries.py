@@ -98,11 +98,11 @@ def op6_piece_codec(spark, sf_dir):
 
 
 @register("op10_exact_top_k", """
-WITH x AS (SELECT vec_id, [floor(256 * c::DOUBLE) for c in embedding] AS v FROM embeddings
+WITH x AS (SELECT row_number() OVER () AS r, vec_id, [floor(256 * c::DOUBLE) for c in embedding] AS v FROM embeddings
            WHERE len(embedding) > 0 AND len([c for c in embedding if c IS NOT NULL AND isfinite(c)]) = len(embedding)),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
-      FROM x q JOIN x d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+s AS (SELECT q.vec_id AS query_id, q.r AS query_row, d.r, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+      FROM x q JOIN x d ON q.r <> d.r AND len(q.v) = len(d.v) WHERE q.vec_id % 50 = 0 AND d.vec_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, r)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """)
 def op10_exact_top_k(spark, sf_dir):
