@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from capforge.llm.common import SPACE, fresh, stored, text_or_empty, with_row_id
+from capforge.llm.common import SPACE, columns_of, fresh, stored, text_or_empty, with_row_id
 
 SLOTS = 1000
 #: A digest with fewer rows than this is never treated as frequent.
@@ -116,8 +116,8 @@ def keep_first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         F.col("digest").alias(f"{key}w"), F.struct(F.col("b.id").alias("id"), (-F.col("b.p")).alias("points")).alias(of))
     won_rows = left.join(best, F.col(key) == F.col(f"{key}w")).filter(wins)
     one = fresh(whole, "__one")
-    kept = won_rows.withColumn(one, F.row_number().over(Window.partitionBy(key).orderBy(points))).filter(F.col(one) == 1).select(*docs.columns)
+    kept = won_rows.withColumn(one, F.row_number().over(Window.partitionBy(key).orderBy(points))).filter(F.col(one) == 1).select(*columns_of(docs))
     if not heavy.filter(F.col("same") >= LEAST_HEAVY).isEmpty():  # a winner that is repeated very often meets in a partial aggregate
-        many = here.filter(wins & often).groupBy(key).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias(of))
+        many = here.filter(wins & often).groupBy(key).agg(F.first(F.struct(*columns_of(docs))).alias(of))
         kept = kept.unionByName(many.select(f"{of}.*"))
     return kept

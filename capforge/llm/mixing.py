@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capforge.llm.common import WORD, fresh, join_per_key, stored, text_or_empty
+from capforge.llm.common import WORD, columns_of, fresh, join_per_key, stored, text_or_empty
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -130,4 +130,4 @@ def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     per_source = cuts(rows, source_targets(rows, most)).select(F.col("source").alias(of), F.struct("full", "cut").alias(plan))
     joined = join_per_key(docs.withColumn(of, F.col(source)).withColumn(key, id_hash(F.col(doc_id), seed)), per_source, of)
     times = copies(key, plan + ".full", plan + ".cut")
-    return joined.filter(times > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
+    return joined.filter(times > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*columns_of(docs))

@@ -7,15 +7,16 @@ rows reachable by links. Shingles are 64-bit hashes.
 
 1. Rows with equal sets form a class; from here on a class is one row (its sets' row with the smallest
    id). Copies are linked without being paired.
-2. Two tables of 2^16 counts, over all shingles and over all words, order shingles: those of much repeated
-   passages last, else by the rarest of their words. Linked sets share at least ceil(percent |a| / 100)
-   shingles, so of the first |a| - ceil(percent |a| / 100) + m in this order (m: 4, or all that must be
-   shared if fewer) they share at least m: only these are keys.
+2. Linked sets share at least ceil(percent |a| / 100) shingles, so of the first |a| - ceil(percent |a| / 100) + m of
+   each in hash order they share at least m; these are a set's list. How many lists hold a shingle is counted, and
+   each list is ordered by that, the rarest first: of the list less m the linked sets share at least one (less m, plus
+   4, at least 4) in this order too, and only these are keys. So a passage that many documents share is the
+   last to become a key, however large the table is.
 3. A tile is a key and a size band: a band's home rows with the rows of the band below it; linked sets
    differ by at most one band. Each row's bitmap has one bit for each shingle hash modulo its length,
    set when an odd number of shingles falls on it. The bits that differ between two bitmaps are at most the
    symmetric difference, which bounds the intersection from above by (|a| + |b| - bits) / 2.
-4. In each tile one row is the pivot; a row is compared with the likeliest pivots of its tiles only, so a
+4. Keys that one list only holds make no tile. In each tile one row is the pivot; a row is compared with the likeliest pivots of its tiles only, so a
    tile of m near copies costs m comparisons. Rows connected through pivots get one label; then all pairs of a tile with different labels are compared, 256 bits of their
    bitmaps first, and those that share m keys are kept. Pairs within one label can add nothing to the
    components and are never made.
@@ -41,13 +42,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capforge.llm.common import fresh, mix, stored, task_memory, text_or_empty, with_row_id
+from capforge.llm.common import columns_of, fresh, join_counted, mix, stored, task_memory, text_or_empty, with_row_id
+from capforge.llm.components import components
 
-BUCKETS = 1 << 16
 BLOOM_BITS = 1 << 23
 ROUNDS = 1
 #: Keys that two linked rows share at least, where their sizes ask for as many.
 SHARED = 4
+#: A list has one of so many shingles beyond what linked sets must share.
+SPARE = 10
 #: Orders of ids among which a key chooses the one that decides its pivot.
 ORDERS = 4
 #: Pivots that a row is compared with in a round: those with the best bounds.
@@ -66,15 +69,8 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         start = stop
 
 
-def shingle_sets(texts: pa.Array, n: int, word_counts: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """The sorted distinct 64-bit shingle hashes of each text, in order. ``word_counts``: gets the number of
-    words of each bucket added."""
-    for x, _ in shingles(texts, n, word_counts, None):
-        yield x
-
-
-def shingles(texts: pa.Array, n: int, word_counts: np.ndarray | None, ranks: np.ndarray | None) -> Iterator[tuple]:
-    """(sorted distinct shingle hashes, the smallest of ``ranks`` among each one's words) of each text."""
+def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The sorted distinct 64-bit shingle hashes of each text, in order."""
     for _, part in slices(texts):
         clean = pc.ascii_trim_whitespace(part.cast(pa.large_string()))
         words = pc.ascii_split_whitespace(clean)
@@ -84,36 +80,23 @@ def shingles(texts: pa.Array, n: int, word_counts: np.ndarray | None, ranks: np.
         lexicon = np.array([xxhash.xxh64_intdigest(w.lower())  # of bytes: A-Z only
                             for w in coded.dictionary.cast(pa.large_binary()).to_pylist()] or [0], np.uint64)
         h = lexicon[coded.indices.to_numpy()]
-        if word_counts is not None:
-            word_counts += np.bincount(bucket(h), minlength=BUCKETS)
         m = max(0, len(h) - n + 1)
         rolled = np.zeros(m, np.uint64)
-        rank = ranks[bucket(h)] if ranks is not None else None
-        rarest = rank[:m].copy() if ranks is not None else None
         for i in range(n):
             rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + h[i:i + m])
-            if rarest is not None:
-                np.minimum(rarest, rank[i:i + m], out=rarest)
         blank = pc.equal(pc.binary_length(clean), 0).to_numpy(zero_copy_only=False)
         for i in range(len(part)):
             s, e = int(offsets[i]), int(offsets[i + 1])
             if blank[i]:
-                yield np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+                yield np.zeros(0, np.uint64)
             elif e - s < n:
                 short = np.zeros(1, np.uint64)
                 for j in range(s, e):
                     short = mix(short * np.uint64(0x9E3779B97F4A7C15) + h[j:j + 1])
-                yield mix(short + np.uint64(e - s)), None if ranks is None else rank[s:e].min(keepdims=True)
-            elif ranks is None:
-                x = np.sort(rolled[s:e - n + 1])
-                yield x[np.concatenate([[True], x[1:] != x[:-1]])], None
+                yield mix(short + np.uint64(e - s))
             else:
-                x, first = np.unique(rolled[s:e - n + 1], return_index=True)
-                yield x, rarest[s:e - n + 1][first]
-
-
-def bucket(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(48)).astype(np.int64)
+                x = np.sort(rolled[s:e - n + 1])
+                yield x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def bitmap(x: np.ndarray) -> bytes:
@@ -137,41 +120,38 @@ def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def class_rows(rows: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """Stored (rid, n, digest) of all rows, and the counts of shingle and of word buckets, from one pass."""
+def class_rows(rows: DataFrame, n: int) -> DataFrame:
+    """Stored (rid, n, digest) of all rows."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, words = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        names = ["rid", "n", "digest"]
         for batch in batches:
-            sizes, digests, held, size = [], [], [], 0
-            for x in shingle_sets(batch.column(1), n, words):
+            sizes, digests = [], []
+            for x in shingle_sets(batch.column(1), n):
                 sizes.append(len(x))
                 digests.append(xxhash.xxh3_128_digest(x.tobytes()))
-                held.append(bucket(x))
-                size += len(x)
-                if size > BUCKETS:
-                    counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
-                    held, size = [], 0
-            if held:
-                counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names)
-        counts = np.concatenate([counts, words])
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - at, pa.int64()), pa.array(counts[at], pa.int64()),
-                                          pa.nulls(len(at), pa.binary())], names)
-
-    both = stored(rows.mapInArrow(describe, "rid long, n long, digest binary"), "sets")
-    counts = np.zeros(2 * BUCKETS, np.int64)  # one row for each bucket, whatever the input
-    for r in both.filter("rid < 0").groupBy("rid").agg(F.sum("n").alias("n")).collect():
-        counts[-1 - r.rid] = r.n
-    return both.filter("rid >= 0"), counts.reshape(2, BUCKETS)
-
-
-def must_share(n: int, percent: int) -> tuple[int, int]:
-    """How many shingles a set of ``n`` shares with any linked one, and how many of its keys."""
-    share = -(-percent * n // 100)
-    return share, min(SHARED, share)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["rid", "n", "digest"])
+
+    return stored(rows.mapInArrow(describe, "rid long, n long, digest binary"), "sets")
+
+
+def must_share(n: int, percent: int) -> int:
+    """How many shingles a set of ``n`` shares with any linked one."""
+    return -(-percent * n // 100)
+
+
+def spare(n: int, percent: int) -> int:
+    """How many of their lists' shingles two linked sets share at least, if the smaller has ``n``: more let more frequent
+    ones be left out, and make the lists longer. It grows with ``n``."""
+    return min(must_share(n, percent), max(SHARED, n // SPARE))
+
+
+def list_sizes(n: int, percent: int) -> tuple[int, int, int]:
+    """Of a set of ``n``: the size of its list, how many of them are keys, and how many keys it shares with any linked set."""
+    share = must_share(n, percent)
+    size = n - share + spare(n, percent)
+    common = spare(share, percent)  # a linked set has at least ``share``
+    least = min(SHARED, common)
+    return size, size - common + least, least
 
 
 def signature(x: np.ndarray) -> np.ndarray:
@@ -221,37 +201,26 @@ def sets_of(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return stored(hashed(rows).mapInArrow(arrays, "rid long, x binary"), "arrays")
 
 
-def profiles(rows: DataFrame, reps: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Stored (rid, n, least, bitmap, s0 to s3, keys, repeated) of the rows ``reps`` and few others (see
-    ``bloom_filter``): keys in buckets of ordinary and of many shingles, and how many a linked row shares."""
-    def order(c: np.ndarray) -> np.ndarray:
-        return np.argsort(np.argsort(c, kind="stable"), kind="stable").astype(np.uint16)
-
-    by_shingle, by_word = order(counts[0]), order(counts[1])
-    mean = counts[0].mean()
-    repeated = counts[0] > mean + 8 * math.sqrt(mean)
+def profiles(rows: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """Stored (rid, n, size, keep, least, bitmap, s0 to s3, list) of the rows ``reps`` and few others (see
+    ``bloom_filter``): the list and its sizes as in ``list_sizes``."""
     bits = bloom_filter(reps)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, text = passed(batch, bits)
-            out: list[list] = [[] for _ in range(9)]
-            for x, words in shingles(text, n, None, by_word):
-                share, least = must_share(len(x), percent)
-                at = bucket(x)
-                many = repeated[at]
-                rank = (many.astype(np.int64) << 32) | (words.astype(np.int64) << 16) | by_shingle[at]
-                rare = np.argsort(rank, kind="stable")[:len(x) - share + least]  # ties stay in hash order
-                y = x.view(np.int64)
-                row = (len(x), least, bitmap(x) if len(x) else b"", *signature(x), y[rare[~many[rare]]], y[rare[many[rare]]])
+            out: list[list] = [[] for _ in range(10)]
+            for x in shingle_sets(text, n):
+                size, keep, least = list_sizes(len(x), percent)
+                row = (len(x), size, keep, least, bitmap(x) if len(x) else b"", *signature(x), x.view(np.int64)[:size])
                 for column, value in zip(out, row):
                     column.append(value)
-            types = [pa.int64(), pa.int32(), pa.binary()] + [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()] + [pa.int64()] * 4 + [pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([rid] + [pa.array(c, t) for c, t in zip(out, types)],
-                                             ["rid", "n", "least", "bitmap", "s0", "s1", "s2", "s3", "keys", "repeated"])
+                                             ["rid", "n", "size", "keep", "least", "bitmap", "s0", "s1", "s2", "s3", "list"])
 
-    return stored(hashed(rows).mapInArrow(describe, "rid long, n long, least int, bitmap binary, s0 long, s1 long, s2 long, "
-                                                    "s3 long, keys array<long>, repeated array<long>"), "profiles")
+    return stored(hashed(rows).mapInArrow(describe, "rid long, n long, size int, keep int, least int, bitmap binary, s0 long, s1 long, "
+                                                    "s2 long, s3 long, list array<long>"), "profiles")
 
 
 def bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -290,40 +259,23 @@ def links(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long"), "links")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Stored (rid, label): the smallest id reachable over the edges (a, b), for every id of an edge."""
-    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
-    sign = None
-    while True:
-        ends = now.union(now.select("v", "u"))
-        least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ends.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            least.select("u", "m")).filter("u <> v").distinct()
-        now = stored(small, "star")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == sign:
-            return stored(now.select(F.col("u").alias("rid"), F.col("v").alias("label")).union(
-                now.select("v", "v").distinct()), "labels")
-        sign = seen
-
-
-def tile_keys(rows: DataFrame, classes: DataFrame, n: int, percent: int, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Stored (rid, n, key, band) of keys that several classes may have, and the profiles of those classes.
-
-    Keys of ordinary buckets have few rows each, so they are counted by a window over one shuffle; those of
-    buckets with many shingles may have very many and are all kept.
-    """
+def tile_keys(rows: DataFrame, classes: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Stored (rid, n, key, band) of the keys that several classes have, and the profiles of those classes."""
     reps = classes.select(F.col("rep").alias("rid"))
-    known = profiles(rows, reps, n, percent, counts)
+    known = profiles(rows, reps, n, percent)
     # a little wider than the largest ratio of two linked sizes, so that these differ by one band at most
     band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) + 1e-6)).cast("int")
-    by_key = Window.partitionBy("key")
-    several = known.select("rid", F.explode("keys").alias("key")).withColumn("many", F.count(F.lit(1)).over(by_key)).filter("many > 1")
-    home = several.select("rid", "key").unionByName(known.select("rid", F.explode("repeated").alias("key")))
-    home = stored(home.join(reps, "rid", "left_semi").join(known.select("rid", "n"), "rid").select("rid", "n", "key", band.alias("band")), "keys")
-    known = known.drop("keys", "repeated").join(home.select("rid").distinct(), "rid", "left_semi")
+    listed = known.join(reps, "rid", "left_semi").select("rid", F.explode("list").alias("key"))
+    total = known.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    several = stored(listed.groupBy("key").agg(F.count(F.lit(1)).alias("lists")).filter("lists > 1"), "several")
+    counted = join_counted(listed, several.withColumn("of", F.col("lists")), "key", "lists", total)
+    by_row = Window.partitionBy("rid")
+    # shingles of one list only come first in its order: as many places are taken
+    place = F.row_number().over(by_row.orderBy("of", "key")) - F.count(F.lit(1)).over(by_row)
+    home = counted.withColumn("place", place).join(known.select("rid", "n", "size", "keep"), "rid").filter(
+        F.col("place") + F.col("size") <= F.col("keep")).select("rid", "n", "key", band.alias("band"))
+    home = stored(home, "keys")
+    known = known.drop("list", "size", "keep").join(home.select("rid").distinct(), "rid", "left_semi")
     return home, stored(known, "known")
 
 
@@ -331,7 +283,7 @@ def labelled(df: DataFrame, labels: DataFrame | None, rid: str, label: str) -> D
     """``df`` with the label of column ``rid``: its own id where no link is known."""
     if labels is None:
         return df.withColumn(label, F.col(rid))
-    other = labels.select(F.col("rid").alias("__of"), F.col("label").alias("__label"))
+    other = labels.select(F.col("node").alias("__of"), F.col("label").alias("__label"))
     return df.join(other, df[rid] == other["__of"], "left").withColumn(
         label, F.coalesce("__label", rid)).drop("__of", "__label")
 
@@ -364,9 +316,9 @@ def candidates(home: DataFrame, known: DataFrame, labels: DataFrame | None, turn
 def near_components(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """(rid, n, label) of every row of the stored ``rows`` (rid, text): label is the same for rows of one
     component (null for rows with an empty set)."""
-    sets, counts = class_rows(rows, n)
-    classes = stored(sets.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rep")), "classes")
-    home, known = tile_keys(rows, classes, n, percent, counts)
+    sets = class_rows(rows, n)
+    classes = stored(sets.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    home, known = tile_keys(rows, classes, n, percent)
     labels = None
     for turn in range(ROUNDS + 1):
         passed = bounded(candidates(home, known, labels, turn, percent), known, percent)
@@ -378,10 +330,11 @@ def near_components(rows: DataFrame, n: int, percent: int) -> DataFrame:
             continue
         new = links(pairs, rows, n, percent)
         if not new.isEmpty():
-            labels = components(new if labels is None else new.union(labels.select("rid", "label")))
-    whole = classes.select("digest", "rep") if labels is None else classes.join(labels, classes["rep"] == labels["rid"], "left")
+            labels = components(new if labels is None else new.union(labels.select("node", "label")))
+    whole = classes if labels is None else classes.join(labels, classes["rep"] == labels["node"], "left")
     label = F.col("rep") if labels is None else F.coalesce("label", "rep")
-    return sets.join(whole.select("digest", label.alias("label")), "digest", "left").select("rid", "n", "label")
+    whole = whole.select("digest", "copies", label.alias("label"))
+    return join_counted(sets, whole, "digest", "copies", sets.count(), "left").select("rid", "n", "label")
 
 
 def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80,
@@ -396,8 +349,8 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     rows, ids = base.select("rid", "text"), base.select("rid", "doc_id")
     all_rows = stored(near_components(rows, n, percent).join(ids, "rid"), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid"))
-    roots = all_rows.filter("label is not null").groupBy("label").agg(first.alias("root"))
-    return all_rows.join(roots, "label", "left").select(
+    roots = all_rows.filter("label is not null").groupBy("label").agg(first.alias("root"), F.count(F.lit(1)).alias("members"))
+    return join_counted(all_rows, stored(roots, "roots"), "label", "members", all_rows.count(), "left").select(
         "rid", "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("root.doc_id")).alias("component_id"),
         (F.col("label").isNull() | (F.col("rid") == F.col("root.rid"))).alias("kept"))
@@ -408,4 +361,4 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rid = fresh(docs, "__rid")
     rows = stored(with_row_id(docs, rid), "numbered")
     stays = ngram_jaccard(rows, doc_id, text, n, percent, rid).filter("kept").select(F.col("rid").alias(rid))
-    return rows.join(stays, rid, "left_semi").select(*docs.columns)
+    return rows.join(stays, rid, "left_semi").select(*columns_of(docs))
