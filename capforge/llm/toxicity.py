@@ -6,14 +6,15 @@
    with a letter three times in a row, and runs of single characters are lattices: every position offers its
    letter, the letters its sign or look-alike may stand for, nothing, or a word boundary. Viterbi decoding
    finds the letters that are likeliest under channel costs and trigrams. Every other word has one path,
-   itself, and is kept. Up to four neighbouring tokens of five characters at most are also read as one word of up
-   to 16 letters where its trigrams cost less than those of the parts with boundaries. Kept are also words of other scripts (without punctuation; where a script has no spaces also
+   itself, and is kept. Neighbouring tokens, however many, are also read as one word where its trigrams cost less than
+   those of the parts with boundaries. Kept are also words of other scripts (without punctuation; where a script has no spaces also
    pairs of neighbouring characters). Numbers are left out. Only a to z have a lattice.
 3. Features of a text's restored words, with double letters squeezed, are the words, their prefixes of
    4, 5 and 6 letters, and prefixes that begin two or more of its words. At most ``train_rows``
-   labelled rows (a hash sample; the bound of the fit) are stored; of their features those that occur
-   in toxic rows beyond chance (G-test over all features) and above the base rate enter an L2-penalised logistic regression,
-   which gets a label and a few feature numbers a row.
+   labelled rows (a hash sample; the bound of the fit) are stored. Every feature that occurs in their
+   toxic rows beyond chance (G-test over all features of toxic rows) and above the base rate enters an L2-penalised logistic
+   regression, which gets a label and a few feature numbers a row. New words are learnt from tokens, runs and the likeliest
+   boundaries; once a feature is known, every sequence of tokens that may spell it is read.
 4. A row's score is the regression's probability. Documents are scored where they are.
 
 Labels are used only of rows whose crc32(doc_id as text) mod 5 isn't 0, and ids, languages, sources
@@ -21,7 +22,7 @@ and labels are no features. Whole texts are scored wherever they are; nothing is
 
 Defined results: null and empty texts get the score of the intercept, as do texts without telling features; a null id
 counts as an empty one; rows that repeat get equal scores; no labels or no toxic labels give one
-low score to all; an empty table gives an empty result; other columns are ignored whatever their names.
+low score to all, no clean ones one high score; an empty table gives an empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -42,11 +43,9 @@ from capforge.llm.common import stored, task_memory, text_or_empty
 
 #: Bounds of the classifier's fit.
 TRAIN_ROWS = 30_000
-MAX_FEATURES = 50_000
-LEAST_SUPPORT = 3
 PREFIXES = (4, 5, 6)
 RIDGE = 0.2
-#: Log-odds of every text where the labels name no toxic row.
+#: Log-odds of every text where the labels name no toxic row (negated: no clean one).
 NOTHING = -5.0
 #: Restored words that a task remembers at once.
 REMEMBERED = 200_000
@@ -67,10 +66,6 @@ UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u34
 SUBSTITUTED, SIGN_DROPPED, MARK_DROPPED, BOUNDARY_KEPT, REPEAT_DROPPED = 1.0, 12.0, 0.5, 2.5, 0.5
 
 EDGE = ".,;:?\"'()[]{}<>«»“”„’…*_-~`/\\#%&="
-#: Runs of three and more single characters with any white space between.
-RUN = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
-#: Neighbouring tokens that may be one word, the characters of each and the letters of all.
-PARTS, PART_CHARACTERS, PARTS_LETTERS = 4, 5, 16
 TRIPLE = re.compile(r"(.)\1\1")
 DOUBLE = re.compile(r"(.)\1+")
 
@@ -209,7 +204,7 @@ def joining_cost(parts: list[str], costs: list[float]) -> float:
 
 
 def part(token: str) -> tuple[str, str]:
-    """The letters of a short token with its signs, and the squeezed letters ("" where it has signs); two "" if it can't
+    """The letters of a token with its signs, and the squeezed letters ("" where it has signs); two "" if it can't
     be a part of a word of a to z."""
     w = fold(token.strip(EDGE).rstrip("!"))
     w = "" if NUMBER.fullmatch(w) else "".join(c for c in w if c.isalpha() or c in SIGNS)
@@ -224,92 +219,148 @@ def features(word: str) -> list[str]:
     return [word] + [f"{word[:k]}*" for k in PREFIXES if len(word) > k] if len(word) > 1 else []
 
 
-def feature_finder(costs: list[float], only: frozenset[str] | None = None) -> Callable[[str], list[str]]:
-    """A function from a text to its features (those of ``only``): words, prefixes, and ``prefix**`` for
+class Remembered(dict):
+    """Values by key; of ``size`` keys at most the older half goes (two generations, the used ones move to the younger)."""
+
+    def __init__(self, make: Callable, size: int = REMEMBERED):
+        self.make, self.half, self.old = make, size // 2, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        value = self[key] = self.old[key] if key in self.old else self.make(key)
+        return value
+
+
+class Finder:
+    """Called with a text it gives the text's features (those of ``only``, if given): words, prefixes, and ``prefix**`` for
     prefixes that begin two or more of its words."""
-    remembered: dict[str, list] = {}
-    remembered_parts: dict[str, tuple | None] = {}
-    remembered_signs: dict[str, list] = {}
-    gap_costs: dict[tuple[str, str], float] = {}
-    starts = None if only is None else {f[:k] for f in (f.rstrip("*") for f in only) for k in range(1, PREFIXES[0] + 1)}
-
-    def known(word: str) -> list[str]:
-        return [f for f in features(word) if only is None or f in only or f + "*" in only]
-
-    def short(token: str) -> tuple | None:
-        """(letters with signs, squeezed letters, whether a feature may start so)"""
-        if len(remembered_parts) >= REMEMBERED // 4:
-            remembered_parts.clear()
+
+    def __init__(self, costs: list[float], only: frozenset[str] | None = None):
+        self.costs, self.only = costs, only
+        bare = [] if only is None else [f.rstrip("*") for f in only]
+        #: First letters that a feature may have, up to as many as the shortest prefix; longest feature.
+        self.starts = frozenset(f[:k] for f in bare for k in range(1, PREFIXES[0] + 1))
+        self.longest = max([max(PREFIXES), *map(len, bare)])
+        self.heads = Remembered(lambda head: DOUBLE.sub(r"\1", head) in self.starts, REMEMBERED // 4)
+        self.tokens = Remembered(self._token)
+        self.parts = Remembered(part, REMEMBERED // 4)
+        self.gaps = Remembered(lambda key: joining_cost(list(key), costs), REMEMBERED // 4)
+        self.signs = Remembered(lambda key: decode(key, costs), REMEMBERED // 4)
+
+    def known(self, word: str) -> list[str]:
+        only = self.only
+        if only is None:
+            return features(word)
+        return [f for f in features(word) if f in only or f + "*" in only] if self.heads[word[:PREFIXES[0]]] else []
+
+    def _begins(self, signs: str) -> bool:
+        """Whether any reading of letters and signs may begin a feature."""
+        if self.only is None:
+            return True
+        read = {""}
+        for options in lattice(signs):
+            grown = set()
+            for done in read:
+                for symbol, _ in options:
+                    letter = "" if symbol <= 0 or done[-1:] == chr(symbol + 96) else chr(symbol + 96)
+                    if len(done + letter) > PREFIXES[0] or not letter or done + letter in self.starts:
+                        grown.add((done + letter)[:PREFIXES[0]])
+            read = grown
+        return bool(read - {""})
+
+    def _token(self, token: str) -> tuple[list[str], bool]:
+        """The features of a token, and whether it may begin a word that goes on in the next token."""
+        plain = token.strip(EDGE).rstrip("!")
+        if self.only is not None and plain.isascii() and plain.isalpha():
+            if not self.heads[plain[:PREFIXES[0]]]:
+                return [], False
+            return [f for w in restored(token, self.costs) for f in self.known(w)], True
+        found = [f for w in restored(token, self.costs) for f in self.known(w)]
         raw, squeezed = part(token)
-        made = remembered_parts[token] = (raw, squeezed, starts is None or not squeezed or squeezed[:PREFIXES[0]] in starts) if raw else None
-        return made
+        if self.only is None:
+            return found, bool(raw)
+        return found, bool(raw) and (self.heads[squeezed[:PREFIXES[0]]] if squeezed else self._begins(raw))
 
-    def gap(a: str, b: str) -> float:
+    def gap(self, a: str, b: str) -> float:
         """Between words of two or more letters, and at the ends of others, only the letters around the gap count."""
-        key = a[-2:], b[:2]
-        cost = gap_costs.get(key)
-        if cost is None:
-            cost = gap_costs[key] = joining_cost(list(key), costs)
-        return cost
-
-    def joined_signs(parts: list[str]) -> list[str]:
-        key = " ".join(parts)
-        made = remembered_signs.get(key)
-        if made is None:
-            if len(remembered_signs) >= REMEMBERED // 4:
-                remembered_signs.clear()
-            words = decode(key, costs)
-            made = remembered_signs[key] = known(words[0]) if len(words) == 1 else []
-        return made
-
-    def of_short_tokens(tokens: list[str]) -> Iterator[str]:
-        """Features of the words that neighbouring short tokens make, where that is the likeliest reading."""
-        seen = remembered_parts
-        made = [(seen[t] if t in seen else short(t)) if len(t) <= PART_CHARACTERS else None for t in tokens]
-        made.append(None)
-        for i in [i for i, x in enumerate(made) if x and x[2] and made[i + 1]]:
-            last, squeezed, _ = made[i]
-            parts, letters, cost, exact = [last], len(last), 0.0, False
-            for x in made[i + 1:i + PARTS]:
-                if x is None:
-                    break
-                raw, more, _ = x
-                letters += len(raw)
-                if letters > PARTS_LETTERS:
-                    break
-                exact = exact or len(last) == 1 < len(parts)
+        return self.gaps[a[-2:], b[:2]]
+
+    def from_token(self, tokens: list[str], i: int) -> Iterator[str]:
+        """Features of ``only`` that token ``i`` makes with those after it, where that is the likelier reading."""
+        raw, squeezed = self.parts[tokens[i]]
+        parts, cost, exact = [raw], 0.0, False
+        for j in range(i + 1, len(tokens)):
+            more, letters = self.parts[tokens[j]]
+            if not more:
+                return
+            exact = exact or len(parts[-1]) == 1 < len(parts)
+            cost += self.gap(parts[-1], more) if squeezed and letters else 0.0
+            parts.append(more)
+            squeezed = squeezed and letters and squeezed + (letters[1:] if squeezed[-1] == letters[0] else letters)
+            if squeezed:
+                if squeezed[:PREFIXES[0]] not in self.starts:
+                    return
+                if (joining_cost(parts, self.costs) if exact else cost) < 0:
+                    yield from self.known(squeezed)
+                if len(squeezed) > self.longest:
+                    return
+            else:
+                words = self.signs[" ".join(parts)]
+                if len(words) == 1:
+                    yield from self.known(words[0])
+                if len("".join(words)) > self.longest or not self._begins("".join(parts)):
+                    return
+
+    def likeliest(self, tokens: list[str]) -> Iterator[str]:
+        """Features of the words that the likeliest boundaries make of neighbouring tokens, however many."""
+        parts: list[str] = []
+        for token in [*tokens, ""]:
+            raw, squeezed = self.parts[token] if token else ("", "")
+            if parts and squeezed and self.gap(parts[-1], squeezed) < 0:
                 parts.append(raw)
-                squeezed = squeezed and more and squeezed + (more[1:] if squeezed[-1] == more[0] else more)
-                if not squeezed:
-                    yield from joined_signs(parts)
-                else:
-                    if starts is not None and squeezed[:PREFIXES[0]] not in starts:
-                        break
-                    cost += gap(last, raw)
-                    if (joining_cost(parts, costs) if exact else cost) < 0:
-                        yield from known(squeezed)
-                last = raw
-
-    def find(text: str) -> list[str]:
+                continue
+            if len(parts) > 1 and joining_cost(parts, self.costs) < 0:
+                yield from features("".join(parts))
+            parts = [raw] if squeezed else []
+
+    def of_run(self, run: list[str]) -> list[str]:
+        """Features of three or more single characters."""
+        spaced = fold(" ".join(run))
+        words = decode(spaced, self.costs) if re.search("[a-z]", spaced) else restored("".join(run), self.costs)
+        return [f for w in words for f in self.known(w)]
+
+    def __call__(self, text: str) -> list[str]:
         counts: Counter = Counter()
         tokens = text.lower().split()
+        memory, starters, single = self.tokens, set(), False
         for token, times in Counter(tokens).items():
-            made = remembered.get(token)
-            if made is None:
-                if len(remembered) >= REMEMBERED:
-                    remembered.clear()
-                made = remembered[token] = [f for w in restored(token, costs) for f in known(w)]
-            for f in made:
+            found, starter = memory[token]
+            for f in found:
                 counts[f] += times
-        for run in RUN.finditer(text):
-            spaced = fold(" ".join(run.group().split()))
-            made = decode(spaced, costs) if re.search("[a-z]", spaced) else restored("".join(run.group().split()), costs)
-            counts.update(f for w in made for f in known(w))
-        counts.update(of_short_tokens(tokens))
+            if starter:
+                starters.add(token)
+            single = single or len(token) == 1
+        if single:
+            ones = [i for i, t in enumerate(tokens) if len(t) == 1]
+            begin = 0
+            for k in range(1, len(ones) + 1):
+                if k == len(ones) or ones[k] != ones[k - 1] + 1:
+                    if k - begin >= 3:
+                        counts.update(self.of_run(tokens[ones[begin]:ones[k - 1] + 1]))
+                    begin = k
+        if self.only is None:
+            counts.update(self.likeliest(tokens))
+        elif starters:
+            for i in [i for i, t in enumerate(tokens) if t in starters]:
+                counts.update(self.from_token(tokens, i))
         active = list(counts) + [f + "*" for f, n in counts.items() if n > 1 and f[-1] == "*"]
-        return active if only is None else [f for f in active if f in only]
+        return active if self.only is None else [f for f in active if f in self.only]
+
 
-    return find
+def feature_finder(costs: list[float], only: frozenset[str] | None = None) -> Finder:
+    return Finder(costs, only)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -326,28 +377,30 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, tr
         F.broadcast(few), "__id").select("text", "toxic")
 
 
-def feature_counts(rows: DataFrame, costs: list[float], only: frozenset[str] | None) -> DataFrame:
-    """(feature, n): in how many texts each feature (of ``only``) occurs."""
+def found_features(rows: DataFrame, costs: list[float], only: frozenset[str] | None) -> DataFrame:
+    """Stored (toxic, features): the features (of ``only``) of each row of (text, toxic)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        find = feature_finder(costs, only)
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = feature_finder(costs, only)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total.update(find(text))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["feature", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([finder(t) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))],
+                                             ["toxic", "features"])
+
+    return stored(rows.select("text", "toxic").mapInArrow(find, "toxic int, features array<string>"), "features")
+
 
-    return rows.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+def least_g(tested: int) -> float:
+    """The G statistic that a feature needs to be beyond chance among so many."""
+    return 2 * math.log(20 * max(1, tested))
 
 
-def telling(t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> np.ndarray:
-    """The G statistic of each feature against the base rate; 0 unless beyond chance over all of them."""
+def telling(t: np.ndarray, c: np.ndarray, toxic: int, clean: int, tested: int) -> np.ndarray:
+    """The G statistic of each feature against the base rate; 0 unless beyond chance over all ``tested``."""
     n, base = t + c, toxic / max(1, toxic + clean)
     p = t / n
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (t * np.log(p / base) + np.where(c > 0, c * np.log((1 - p) / (1 - base)), 0))
-    return np.where((p > base) & (g >= 2 * math.log(20 * max(1, len(t)))), g, 0)
+    return np.where((p > base) & (g >= least_g(tested)), g, 0)
 
 
 def logistic(row: np.ndarray, feature: np.ndarray, y: np.ndarray, k: int, steps: int = 400) -> np.ndarray:
@@ -375,7 +428,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-        train_rows: int = TRAIN_ROWS, max_features: int = MAX_FEATURES) -> Model:
+        train_rows: int = TRAIN_ROWS) -> Model:
     task_memory(docs.sparkSession)
     costs = trigram_costs(count_trigrams(docs.select(text_or_empty(F.col(text)))))
     rows = stored(training_rows(docs, labels, doc_id, text, train_rows), "training")
@@ -383,22 +436,28 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     toxic, clean = sum(n for k, n in sizes.items() if k), sizes.get(0, 0)
     if not toxic:
         return Model(costs, {}, NOTHING)
-    t = {r.feature: r.n for r in feature_counts(rows.filter("toxic <> 0"), costs, None).filter(
-        F.col("n") >= LEAST_SUPPORT).orderBy(F.col("n").desc(), "feature").limit(max_features).collect()}
-    c = {r.feature: r.n for r in feature_counts(rows.filter("toxic = 0"), costs, frozenset(t)).collect()}
-    names = sorted(t)
-    g = telling(np.array([t[f] for f in names], float), np.array([c.get(f, 0) for f in names], float), toxic, clean)
-    chosen = [names[i] for i in np.argsort(-g, kind="stable")[:max_features // 10] if g[i] > 0]
-    place, only = {f: i for i, f in enumerate(chosen)}, frozenset(chosen)
+    if not clean:
+        return Model(costs, {}, -NOTHING)
+    first = found_features(rows.filter("toxic <> 0"), costs, None).select(F.explode("features").alias("feature")).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"))
+    # a feature of t toxic and no clean rows has G = 2 t log(1 / base): those that can't pass even so are left out first
+    tested = first.count()
+    least = least_g(tested) / (2 * math.log((toxic + clean) / toxic))
+    candidates = frozenset(r.feature for r in first.filter(F.col("n") >= least * (1 - 1e-9)).select("feature").collect())
+    seen = found_features(rows, costs, candidates)
+    counts = seen.select(F.explode("features").alias("feature"), (F.col("toxic") != 0).cast("long").alias("bad")).groupBy("feature").agg(
+        F.sum("bad").alias("t"), F.sum(1 - F.col("bad")).alias("c")).orderBy("feature").collect()
+    g = telling(np.array([r.t for r in counts], float), np.array([r.c for r in counts], float), toxic, clean, tested)
+    chosen = [r.feature for r, x in zip(counts, g) if x > 0]
+    place = {f: i for i, f in enumerate(chosen)}
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = feature_finder(costs, only)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(
-                [sorted(place[f] for f in find(text)) for text in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["toxic", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
+                [sorted(place[f] for f in some if f in place) for some in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["toxic", "at"])
 
     # about train_rows rows of a label and a few numbers
-    seen = rows.mapInArrow(active, "toxic int, at array<int>").collect()
+    seen = seen.mapInArrow(active, "toxic int, at array<int>").collect()
     y = np.array([r.toxic != 0 for r in seen], float)
     at = [np.array(r["at"], np.int64) for r in seen]
     w = logistic(np.repeat(np.arange(len(at)), [len(x) for x in at]), np.concatenate(at), y, len(chosen))
