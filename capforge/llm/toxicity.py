@@ -12,7 +12,7 @@
 3. Features of a text's restored words, with double letters squeezed, are the words, their prefixes of
    4, 5 and 6 letters, and prefixes that begin two or more of its words. At most ``train_rows``
    labelled rows (a hash sample; the bound of the fit) are stored. Every feature that occurs in their
-   toxic rows beyond chance (G-test over all features of toxic rows) and above the base rate enters an L2-penalised logistic
+   toxic rows beyond chance (G-test over all features that can pass it) and above the base rate enters an L2-penalised logistic
    regression, which gets a label and a few feature numbers a row. New words are learnt from tokens, runs and the likeliest
    boundaries; once a feature is known, every sequence of tokens that may spell it is read.
 4. A row's score is the regression's probability. Documents are scored where they are.
@@ -70,12 +70,22 @@ TRIPLE = re.compile(r"(.)\1\1")
 DOUBLE = re.compile(r"(.)\1+")
 
 
+class Folded(dict):
+    """What a code point is without diacritics; made when first asked for."""
+
+    def __missing__(self, point: int) -> str:
+        made = "".join(c for c in unicodedata.normalize("NFKD", UNDECOMPOSED.get(point, chr(point))) if not unicodedata.combining(c))
+        self[point] = made
+        return made
+
+
+FOLDED = Folded()
+
+
 def fold(text: str) -> str:
     """Lower case without diacritics."""
     text = text.lower()
-    if text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text.translate(UNDECOMPOSED)) if not unicodedata.combining(c))
+    return text if text.isascii() else text.translate(FOLDED)
 
 
 def symbols() -> np.ndarray:
@@ -207,6 +217,8 @@ def part(token: str) -> tuple[str, str]:
     """The letters of a token with its signs, and the squeezed letters ("" where it has signs); two "" if it can't
     be a part of a word of a to z."""
     w = fold(token.strip(EDGE).rstrip("!"))
+    if w.isascii() and w.isalpha():
+        return w, DOUBLE.sub(r"\1", w)
     w = "" if NUMBER.fullmatch(w) else "".join(c for c in w if c.isalpha() or c in SIGNS)
     if w.isascii() and w.isalpha():
         return w, DOUBLE.sub(r"\1", w)
@@ -235,16 +247,20 @@ class Remembered(dict):
 
 class Finder:
     """Called with a text it gives the text's features (those of ``only``, if given): words, prefixes, and ``prefix**`` for
-    prefixes that begin two or more of its words."""
+    prefixes that begin two or more of its words. Neighbouring tokens are read as the likeliest boundaries have
+    it or, ``spelled``, in every way that spells a feature of ``only``."""
 
-    def __init__(self, costs: list[float], only: frozenset[str] | None = None):
-        self.costs, self.only = costs, only
+    def __init__(self, costs: list[float], only: frozenset[str] | None = None, spelled: bool = False):
+        self.costs, self.only, self.spelled = costs, only, spelled
         bare = [] if only is None else [f.rstrip("*") for f in only]
-        #: First letters that a feature may have, up to as many as the shortest prefix; longest feature.
+        #: First letters that a feature may have: up to as many as the shortest prefix, and up to all.
         self.starts = frozenset(f[:k] for f in bare for k in range(1, PREFIXES[0] + 1))
-        self.longest = max([max(PREFIXES), *map(len, bare)])
+        self.beginnings = frozenset(f[:k] for f in bare for k in range(1, len(f) + 1))
+        #: Prefixes whose number of words in a text tells something.
+        self.repeated = frozenset(f[:-1] for f in only or () if f.endswith("**"))
+        self.young, self.old = set(), set()
         self.heads = Remembered(lambda head: DOUBLE.sub(r"\1", head) in self.starts, REMEMBERED // 4)
-        self.tokens = Remembered(self._token)
+        self.tokens = Remembered(self._token, REMEMBERED // 4)
         self.parts = Remembered(part, REMEMBERED // 4)
         self.gaps = Remembered(lambda key: joining_cost(list(key), costs), REMEMBERED // 4)
         self.signs = Remembered(lambda key: decode(key, costs), REMEMBERED // 4)
@@ -256,39 +272,37 @@ class Finder:
         return [f for f in features(word) if f in only or f + "*" in only] if self.heads[word[:PREFIXES[0]]] else []
 
     def _begins(self, signs: str) -> bool:
-        """Whether any reading of letters and signs may begin a feature."""
-        if self.only is None:
-            return True
+        """Whether any reading of letters and signs is the beginning of a feature."""
         read = {""}
         for options in lattice(signs):
-            grown = set()
-            for done in read:
-                for symbol, _ in options:
-                    letter = "" if symbol <= 0 or done[-1:] == chr(symbol + 96) else chr(symbol + 96)
-                    if len(done + letter) > PREFIXES[0] or not letter or done + letter in self.starts:
-                        grown.add((done + letter)[:PREFIXES[0]])
-            read = grown
+            read = {done if symbol <= 0 or done[-1:] == chr(symbol + 96) else done + chr(symbol + 96) for done in read for symbol, _ in options}
+            read = {done for done in read if not done or done in self.beginnings}
+            if not read:
+                return False
         return bool(read - {""})
 
     def _token(self, token: str) -> tuple[list[str], bool]:
         """The features of a token, and whether it may begin a word that goes on in the next token."""
         plain = token.strip(EDGE).rstrip("!")
-        if self.only is not None and plain.isascii() and plain.isalpha():
-            if not self.heads[plain[:PREFIXES[0]]]:
+        w = fold(plain)
+        if self.only is not None and w.isascii() and w.isalpha():
+            here = self.heads[w[:PREFIXES[0]]]
+            if not here and (w == plain or not self.heads[plain[:PREFIXES[0]]]):
                 return [], False
-            return [f for w in restored(token, self.costs) for f in self.known(w)], True
+            return [f for x in restored(token, self.costs) for f in self.known(x)], here and DOUBLE.sub(r"\1", w) in self.beginnings
         found = [f for w in restored(token, self.costs) for f in self.known(w)]
+        if not self.spelled:
+            return found, False
         raw, squeezed = part(token)
-        if self.only is None:
-            return found, bool(raw)
-        return found, bool(raw) and (self.heads[squeezed[:PREFIXES[0]]] if squeezed else self._begins(raw))
+        return found, bool(raw) and (squeezed in self.beginnings if squeezed else self._begins(raw))
 
     def gap(self, a: str, b: str) -> float:
         """Between words of two or more letters, and at the ends of others, only the letters around the gap count."""
         return self.gaps[a[-2:], b[:2]]
 
     def from_token(self, tokens: list[str], i: int) -> Iterator[str]:
-        """Features of ``only`` that token ``i`` makes with those after it, where that is the likelier reading."""
+        """Features of ``only`` that token ``i`` makes with those after it, where that is the likelier reading; tokens are
+        added while all that is read begins a feature, a prefix being complete with the token that passes it."""
         raw, squeezed = self.parts[tokens[i]]
         parts, cost, exact = [raw], 0.0, False
         for j in range(i + 1, len(tokens)):
@@ -300,17 +314,16 @@ class Finder:
             parts.append(more)
             squeezed = squeezed and letters and squeezed + (letters[1:] if squeezed[-1] == letters[0] else letters)
             if squeezed:
-                if squeezed[:PREFIXES[0]] not in self.starts:
-                    return
-                if (joining_cost(parts, self.costs) if exact else cost) < 0:
-                    yield from self.known(squeezed)
-                if len(squeezed) > self.longest:
+                found = self.known(squeezed)
+                if found and (joining_cost(parts, self.costs) if exact else cost) < 0:
+                    yield from found
+                if squeezed not in self.beginnings:
                     return
             else:
                 words = self.signs[" ".join(parts)]
                 if len(words) == 1:
                     yield from self.known(words[0])
-                if len("".join(words)) > self.longest or not self._begins("".join(parts)):
+                if not self._begins("".join(parts)):
                     return
 
     def likeliest(self, tokens: list[str]) -> Iterator[str]:
@@ -321,8 +334,9 @@ class Finder:
             if parts and squeezed and self.gap(parts[-1], squeezed) < 0:
                 parts.append(raw)
                 continue
-            if len(parts) > 1 and joining_cost(parts, self.costs) < 0:
-                yield from features("".join(parts))
+            if len(parts) > 1 and (found := self.known("".join(parts))):
+                if min(map(len, parts)) > 1 or joining_cost(parts, self.costs) < 0:  # one letter has two gaps around it
+                    yield from found
             parts = [raw] if squeezed else []
 
     def of_run(self, run: list[str]) -> list[str]:
@@ -331,36 +345,47 @@ class Finder:
         words = decode(spaced, self.costs) if re.search("[a-z]", spaced) else restored("".join(run), self.costs)
         return [f for w in words for f in self.known(w)]
 
+    def _telling(self, tokens: list[str]) -> list[tuple[str, list[str], bool]]:
+        """(token, its features, whether it may begin a longer word) of the different tokens that have either, and of
+        single characters. Tokens that have neither are only looked up in sets."""
+        out = []
+        for token in set(tokens).difference(self.young, self.old):
+            found, starter = self.tokens[token]
+            if found or starter or len(token) == 1:
+                out.append((token, found, starter))
+            else:
+                if len(self.young) >= REMEMBERED:
+                    self.young, self.old = set(), self.young
+                self.young.add(token)
+        return out
+
     def __call__(self, text: str) -> list[str]:
         counts: Counter = Counter()
         tokens = text.lower().split()
-        memory, starters, single = self.tokens, set(), False
-        for token, times in Counter(tokens).items():
-            found, starter = memory[token]
-            for f in found:
-                counts[f] += times
-            if starter:
-                starters.add(token)
-            single = single or len(token) == 1
+        telling = self._telling(tokens)
+        number = Counter(tokens).__getitem__ if len(telling) > 20 else tokens.count
+        for token, found, _ in telling:
+            if found:
+                times = number(token) if self.only is None or not self.repeated.isdisjoint(found) else 1
+                for f in found:
+                    counts[f] += times
+        single = {t for t, _, _ in telling if len(t) == 1}
         if single:
-            ones = [i for i, t in enumerate(tokens) if len(t) == 1]
+            ones = [i for i, t in enumerate(tokens) if t in single]
             begin = 0
             for k in range(1, len(ones) + 1):
                 if k == len(ones) or ones[k] != ones[k - 1] + 1:
                     if k - begin >= 3:
                         counts.update(self.of_run(tokens[ones[begin]:ones[k - 1] + 1]))
                     begin = k
-        if self.only is None:
+        if not self.spelled:
             counts.update(self.likeliest(tokens))
-        elif starters:
+        elif starters := {t for t, _, starter in telling if starter}:
             for i in [i for i, t in enumerate(tokens) if t in starters]:
                 counts.update(self.from_token(tokens, i))
-        active = list(counts) + [f + "*" for f, n in counts.items() if n > 1 and f[-1] == "*"]
-        return active if self.only is None else [f for f in active if f in self.only]
-
-
-def feature_finder(costs: list[float], only: frozenset[str] | None = None) -> Finder:
-    return Finder(costs, only)
+        if self.only is None:
+            return list(counts) + [f + "*" for f, n in counts.items() if n > 1 and f[-1] == "*"]
+        return [f for f in counts if f in self.only] + [f + "*" for f, n in counts.items() if n > 1 and f + "*" in self.only]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -377,16 +402,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, tr
         F.broadcast(few), "__id").select("text", "toxic")
 
 
-def found_features(rows: DataFrame, costs: list[float], only: frozenset[str] | None) -> DataFrame:
-    """Stored (toxic, features): the features (of ``only``) of each row of (text, toxic)."""
+def found_features(rows: DataFrame, costs: list[float], only: frozenset[str] | None, spelled: bool = False) -> DataFrame:
+    """(toxic, features): the features (of ``only``) of each row of (text, toxic)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = feature_finder(costs, only)
+        finder = Finder(costs, only, spelled)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([finder(t) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))],
                                              ["toxic", "features"])
 
-    return stored(rows.select("text", "toxic").mapInArrow(find, "toxic int, features array<string>"), "features")
+    return rows.select("text", "toxic").mapInArrow(find, "toxic int, features array<string>")
 
 
 def least_g(tested: int) -> float:
@@ -394,6 +419,21 @@ def least_g(tested: int) -> float:
     return 2 * math.log(20 * max(1, tested))
 
 
+def testable(spread: list[tuple[int, int]], base: float) -> tuple[int, int]:
+    """How many features a test for all of them must count, and how many toxic rows each of these has at least.
+
+    A feature of t toxic and no clean rows has G = 2 t log(1 / base), and others of t less: so features with fewer toxic
+    rows than that asks for can't pass, whatever their clean rows, and don't count as tested (Tarone's
+    correction). ``spread``: (t, features with t toxic rows), rising.
+    """
+    tested = 0
+    for t, n in reversed(spread):
+        if 2 * t * math.log(1 / base) < least_g(tested + n):
+            return max(1, tested), t + 1
+        tested += n
+    return max(1, tested), 1
+
+
 def telling(t: np.ndarray, c: np.ndarray, toxic: int, clean: int, tested: int) -> np.ndarray:
     """The G statistic of each feature against the base rate; 0 unless beyond chance over all ``tested``."""
     n, base = t + c, toxic / max(1, toxic + clean)
@@ -423,7 +463,7 @@ class Model:
         self.costs, self.weight, self.intercept = costs, weight, intercept
 
     def scorer(self) -> Callable[[str], float]:
-        find = feature_finder(self.costs, frozenset(self.weight))
+        find = Finder(self.costs, frozenset(self.weight), True)
         return lambda text: 1 / (1 + math.exp(-max(-700.0, self.intercept + sum(self.weight[f] for f in find(text)))))
 
 
@@ -438,28 +478,27 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Model(costs, {}, NOTHING)
     if not clean:
         return Model(costs, {}, -NOTHING)
-    first = found_features(rows.filter("toxic <> 0"), costs, None).select(F.explode("features").alias("feature")).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"))
-    # a feature of t toxic and no clean rows has G = 2 t log(1 / base): those that can't pass even so are left out first
-    tested = first.count()
-    least = least_g(tested) / (2 * math.log((toxic + clean) / toxic))
-    candidates = frozenset(r.feature for r in first.filter(F.col("n") >= least * (1 - 1e-9)).select("feature").collect())
-    seen = found_features(rows, costs, candidates)
-    counts = seen.select(F.explode("features").alias("feature"), (F.col("toxic") != 0).cast("long").alias("bad")).groupBy("feature").agg(
-        F.sum("bad").alias("t"), F.sum(1 - F.col("bad")).alias("c")).orderBy("feature").collect()
-    g = telling(np.array([r.t for r in counts], float), np.array([r.c for r in counts], float), toxic, clean, tested)
-    chosen = [r.feature for r, x in zip(counts, g) if x > 0]
+    bad = stored(found_features(rows.filter("toxic <> 0"), costs, None), "features")
+    count = F.count(F.lit(1))
+    first = stored(bad.select(F.explode("features").alias("feature")).groupBy("feature").agg(count.alias("t")), "first")
+    spread = sorted((r.t, r.n) for r in first.groupBy("t").agg(count.alias("n")).collect())  # at most a row for each toxic row
+    tested, least = testable(spread, toxic / (toxic + clean))
+    t = {r.feature: r.t for r in first.filter(F.col("t") >= least).collect()}
+    # G falls as c grows: a tenth of the clean rows rules out most others
+    wave = F.pmod(F.xxhash64("text"), F.lit(10)) == 0
+    c: Counter = Counter()
+    for part in (wave, ~wave):
+        c.update({r.feature: r.c for r in found_features(rows.filter("toxic = 0").filter(part), costs, frozenset(t)).select(
+            F.explode("features").alias("feature")).groupBy("feature").agg(count.alias("c")).collect()})
+        names = sorted(t)
+        g = telling(np.array([t[f] for f in names], float), np.array([c[f] for f in names], float), toxic, clean, tested)
+        t = {f: t[f] for f, x in zip(names, g) if x > 0}
+    chosen = sorted(t)
     place = {f: i for i, f in enumerate(chosen)}
-
-    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
-                [sorted(place[f] for f in some if f in place) for some in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["toxic", "at"])
-
-    # about train_rows rows of a label and a few numbers
-    seen = seen.mapInArrow(active, "toxic int, at array<int>").collect()
+    # about train_rows rows of a label and a few features
+    seen = found_features(rows, costs, frozenset(chosen), True).collect()
     y = np.array([r.toxic != 0 for r in seen], float)
-    at = [np.array(r["at"], np.int64) for r in seen]
+    at = [np.array(sorted(place[f] for f in r.features), np.int64) for r in seen]
     w = logistic(np.repeat(np.arange(len(at)), [len(x) for x in at]), np.concatenate(at), y, len(chosen))
     return Model(costs, dict(zip(chosen, map(float, w[1:]))), float(w[0]))
 

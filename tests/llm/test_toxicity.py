@@ -122,5 +122,5 @@ def test_spacing_is_undone(model, text):
 
 
 def test_runs_of_three(model):
-    find = T.feature_finder(T.trigram_costs(T.trigram_counts("ass the old " * 1000, T.symbols())))
+    find = T.Finder(T.trigram_costs(T.trigram_counts("ass the old " * 1000, T.symbols())))
     assert "as" in find("an a s s wrote") and "идиот" in find("и д и о т") and "idiot" not in find("id 2024 iot")
