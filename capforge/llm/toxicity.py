@@ -13,8 +13,8 @@
    4, 5 and 6 letters, and prefixes that begin two or more of its words. At most ``train_rows``
    labelled rows (a hash sample; the bound of the fit) are stored. Every feature that occurs in their
    toxic rows beyond chance (G-test over all features that can pass it) and above the base rate enters an L2-penalised logistic
-   regression, which gets a label and a few feature numbers a row. New words are learnt from tokens, runs and the likeliest
-   boundaries; once a feature is known, every sequence of tokens that may spell it is read.
+   regression, which gets a label and a few feature numbers a row. Texts that repeat are one labelled row. Words are learnt from
+   tokens and runs of single characters; once a feature is known, every sequence of tokens that may spell it is read.
 4. A row's score is the regression's probability. Documents are scored where they are.
 
 Labels are used only of rows whose crc32(doc_id as text) mod 5 isn't 0, and ids, languages, sources
@@ -246,16 +246,21 @@ class Remembered(dict):
 
 
 class Finder:
-    """Called with a text it gives the text's features (those of ``only``, if given): words, prefixes, and ``prefix**`` for
-    prefixes that begin two or more of its words. Neighbouring tokens are read as the likeliest boundaries have
-    it or, ``spelled``, in every way that spells a feature of ``only``."""
+    """Finds a text's features (those of ``only``, if given).
 
-    def __init__(self, costs: list[float], only: frozenset[str] | None = None, spelled: bool = False):
-        self.costs, self.only, self.spelled = costs, only, spelled
+    ``written``: words and prefixes of its tokens and of runs of single characters. Called with a text it also gives
+    ``prefix**`` for prefixes that begin two or more words, and reads neighbouring tokens in every way
+    that spells a feature of ``only``.
+    """
+
+    def __init__(self, costs: list[float], only: frozenset[str] | None = None):
+        self.costs, self.only = costs, only
         bare = [] if only is None else [f.rstrip("*") for f in only]
         #: First letters that a feature may have: up to as many as the shortest prefix, and up to all.
         self.starts = frozenset(f[:k] for f in bare for k in range(1, PREFIXES[0] + 1))
         self.beginnings = frozenset(f[:k] for f in bare for k in range(1, len(f) + 1))
+        self.whole = frozenset(bare)
+        self.goes_on = Remembered(self._goes_on)
         #: Prefixes whose number of words in a text tells something.
         self.repeated = frozenset(f[:-1] for f in only or () if f.endswith("**"))
         self.young, self.old = set(), set()
@@ -281,41 +286,58 @@ class Finder:
                 return False
         return bool(read - {""})
 
-    def _token(self, token: str) -> tuple[list[str], bool]:
-        """The features of a token, and whether it may begin a word that goes on in the next token."""
+    def _token(self, token: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The features of a token, and, if it may begin a word that goes on in the next token, its letters and its squeezed
+        letters ("" where it has signs)."""
         plain = token.strip(EDGE).rstrip("!")
         w = fold(plain)
-        if self.only is not None and w.isascii() and w.isalpha():
+        if self.only is None:
+            return [f for x in restored(token, self.costs) for f in features(x)], None
+        if w.isascii() and w.isalpha():
             here = self.heads[w[:PREFIXES[0]]]
             if not here and (w == plain or not self.heads[plain[:PREFIXES[0]]]):
-                return [], False
-            return [f for x in restored(token, self.costs) for f in self.known(x)], here and DOUBLE.sub(r"\1", w) in self.beginnings
-        found = [f for w in restored(token, self.costs) for f in self.known(w)]
-        if not self.spelled:
-            return found, False
+                return [], None
+            squeezed = DOUBLE.sub(r"\1", w)
+            return [f for x in restored(token, self.costs) for f in self.known(x)], (w, squeezed) if squeezed in self.beginnings else None
+        found = [f for x in restored(token, self.costs) for f in self.known(x)]
         raw, squeezed = part(token)
-        return found, bool(raw) and (squeezed in self.beginnings if squeezed else self._begins(raw))
+        starts = bool(raw) and (squeezed in self.beginnings if squeezed else self._begins(raw))
+        return found, (raw, squeezed) if starts else None
+
+    def _goes_on(self, key: tuple[str, str]) -> bool:
+        """Whether letters that begin a feature may go on with a token that begins so: as far as it begins with
+        letters, these must be the feature's until it is complete."""
+        squeezed, letters = key
+        for letter in letters if squeezed else "":
+            if not "a" <= letter <= "z":
+                break
+            if letter != squeezed[-1]:
+                squeezed += letter
+                if squeezed not in self.beginnings:
+                    return False
+                if squeezed in self.whole:
+                    break
+        return True
 
-    def gap(self, a: str, b: str) -> float:
-        """Between words of two or more letters, and at the ends of others, only the letters around the gap count."""
-        return self.gaps[a[-2:], b[:2]]
+    def dropped(self, a: str, b: str) -> bool:
+        """Whether the boundary between two parts may be dropped: where both have two letters, if that is likelier by
+        the letters around it; else the whole word decides."""
+        return len(a) < 2 or len(b) < 2 or self.gaps[a[-2:], b[:2]] < 0
 
     def from_token(self, tokens: list[str], i: int) -> Iterator[str]:
         """Features of ``only`` that token ``i`` makes with those after it, where that is the likelier reading; tokens are
         added while all that is read begins a feature, a prefix being complete with the token that passes it."""
         raw, squeezed = self.parts[tokens[i]]
-        parts, cost, exact = [raw], 0.0, False
+        parts = [raw]
         for j in range(i + 1, len(tokens)):
             more, letters = self.parts[tokens[j]]
-            if not more:
+            if not more or squeezed and letters and not self.dropped(parts[-1], more):
                 return
-            exact = exact or len(parts[-1]) == 1 < len(parts)
-            cost += self.gap(parts[-1], more) if squeezed and letters else 0.0
             parts.append(more)
             squeezed = squeezed and letters and squeezed + (letters[1:] if squeezed[-1] == letters[0] else letters)
             if squeezed:
                 found = self.known(squeezed)
-                if found and (joining_cost(parts, self.costs) if exact else cost) < 0:
+                if found and (min(map(len, parts)) > 1 or joining_cost(parts, self.costs) < 0):
                     yield from found
                 if squeezed not in self.beginnings:
                     return
@@ -326,39 +348,43 @@ class Finder:
                 if not self._begins("".join(parts)):
                     return
 
-    def likeliest(self, tokens: list[str]) -> Iterator[str]:
-        """Features of the words that the likeliest boundaries make of neighbouring tokens, however many."""
-        parts: list[str] = []
-        for token in [*tokens, ""]:
-            raw, squeezed = self.parts[token] if token else ("", "")
-            if parts and squeezed and self.gap(parts[-1], squeezed) < 0:
-                parts.append(raw)
-                continue
-            if len(parts) > 1 and (found := self.known("".join(parts))):
-                if min(map(len, parts)) > 1 or joining_cost(parts, self.costs) < 0:  # one letter has two gaps around it
-                    yield from found
-            parts = [raw] if squeezed else []
-
     def of_run(self, run: list[str]) -> list[str]:
         """Features of three or more single characters."""
         spaced = fold(" ".join(run))
         words = decode(spaced, self.costs) if re.search("[a-z]", spaced) else restored("".join(run), self.costs)
         return [f for w in words for f in self.known(w)]
 
-    def _telling(self, tokens: list[str]) -> list[tuple[str, list[str], bool]]:
-        """(token, its features, whether it may begin a longer word) of the different tokens that have either, and of
-        single characters. Tokens that have neither are only looked up in sets."""
+    def _telling(self, tokens: list[str]) -> list[tuple[str, list[str], tuple[str, str] | None]]:
+        """(token, its features, what it begins) of the different tokens that have either, and of single characters. Tokens that
+        have neither are only looked up in sets."""
         out = []
         for token in set(tokens).difference(self.young, self.old):
-            found, starter = self.tokens[token]
-            if found or starter or len(token) == 1:
-                out.append((token, found, starter))
+            found, begins = self.tokens[token]
+            if found or begins is not None or len(token) == 1:
+                out.append((token, found, begins))
             else:
                 if len(self.young) >= REMEMBERED:
                     self.young, self.old = set(), self.young
                 self.young.add(token)
         return out
 
+    def _runs(self, tokens: list[str], telling: list) -> list[str]:
+        """Features of all runs of three and more single characters."""
+        single = {t for t, _, _ in telling if len(t) == 1}
+        ones, out, begin = [i for i, t in enumerate(tokens) if t in single] if single else [], [], 0
+        for k in range(1, len(ones) + 1):
+            if k == len(ones) or ones[k] != ones[k - 1] + 1:
+                if k - begin >= 3:
+                    out += self.of_run(tokens[ones[begin]:ones[k - 1] + 1])
+                begin = k
+        return out
+
+    def written(self, text: str) -> set[str]:
+        tokens = text.lower().split()
+        telling = self._telling(tokens)
+        found = set().union(*[f for _, f, _ in telling], self._runs(tokens, telling))
+        return found if self.only is None else found & self.only
+
     def __call__(self, text: str) -> list[str]:
         counts: Counter = Counter()
         tokens = text.lower().split()
@@ -366,25 +392,17 @@ class Finder:
         number = Counter(tokens).__getitem__ if len(telling) > 20 else tokens.count
         for token, found, _ in telling:
             if found:
-                times = number(token) if self.only is None or not self.repeated.isdisjoint(found) else 1
+                times = 1 if self.repeated.isdisjoint(found) else number(token)
                 for f in found:
                     counts[f] += times
-        single = {t for t, _, _ in telling if len(t) == 1}
-        if single:
-            ones = [i for i, t in enumerate(tokens) if t in single]
-            begin = 0
-            for k in range(1, len(ones) + 1):
-                if k == len(ones) or ones[k] != ones[k - 1] + 1:
-                    if k - begin >= 3:
-                        counts.update(self.of_run(tokens[ones[begin]:ones[k - 1] + 1]))
-                    begin = k
-        if not self.spelled:
-            counts.update(self.likeliest(tokens))
-        elif starters := {t for t, _, starter in telling if starter}:
-            for i in [i for i, t in enumerate(tokens) if t in starters]:
-                counts.update(self.from_token(tokens, i))
-        if self.only is None:
-            return list(counts) + [f + "*" for f, n in counts.items() if n > 1 and f[-1] == "*"]
+        counts.update(self._runs(tokens, telling))
+        starters = {t: b for t, _, b in telling if b is not None}
+        if starters:
+            goes_on = self.goes_on
+            for i in [i for i, t in enumerate(tokens[:-1]) if t in starters]:
+                (raw, squeezed), start = starters[tokens[i]], tokens[i + 1][:3]
+                if goes_on[squeezed, start] and (not squeezed or not start[:2].isalpha() or not start.isascii() or self.dropped(raw, start)):
+                    counts.update(self.from_token(tokens, i))
         return [f for f in counts if f in self.only] + [f + "*" for f, n in counts.items() if n > 1 and f + "*" in self.only]
 
 
@@ -402,16 +420,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, tr
         F.broadcast(few), "__id").select("text", "toxic")
 
 
-def found_features(rows: DataFrame, costs: list[float], only: frozenset[str] | None, spelled: bool = False) -> DataFrame:
-    """(toxic, features): the features (of ``only``) of each row of (text, toxic)."""
+def feature_counts(rows: DataFrame, costs: list[float], only: frozenset[str] | None) -> DataFrame:
+    """(feature, n): in how many texts each feature (of ``only``) is written."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(costs, only, spelled)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        finder = Finder(costs, only)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([finder(t) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))],
-                                             ["toxic", "features"])
+            for text in batch.column(0).to_pylist():
+                total.update(finder.written(text))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["feature", "n"])
 
-    return rows.select("text", "toxic").mapInArrow(find, "toxic int, features array<string>")
+    return rows.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def least_g(tested: int) -> float:
@@ -463,7 +483,7 @@ class Model:
         self.costs, self.weight, self.intercept = costs, weight, intercept
 
     def scorer(self) -> Callable[[str], float]:
-        find = Finder(self.costs, frozenset(self.weight), True)
+        find = Finder(self.costs, frozenset(self.weight))
         return lambda text: 1 / (1 + math.exp(-max(-700.0, self.intercept + sum(self.weight[f] for f in find(text)))))
 
 
@@ -471,34 +491,39 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         train_rows: int = TRAIN_ROWS) -> Model:
     task_memory(docs.sparkSession)
     costs = trigram_costs(count_trigrams(docs.select(text_or_empty(F.col(text)))))
-    rows = stored(training_rows(docs, labels, doc_id, text, train_rows), "training")
+    # copies tell no more than one text does
+    rows = stored(training_rows(docs, labels, doc_id, text, train_rows).dropDuplicates(["text", "toxic"]), "training")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sum(n for k, n in sizes.items() if k), sizes.get(0, 0)
     if not toxic:
         return Model(costs, {}, NOTHING)
     if not clean:
         return Model(costs, {}, -NOTHING)
-    bad = stored(found_features(rows.filter("toxic <> 0"), costs, None), "features")
-    count = F.count(F.lit(1))
-    first = stored(bad.select(F.explode("features").alias("feature")).groupBy("feature").agg(count.alias("t")), "first")
-    spread = sorted((r.t, r.n) for r in first.groupBy("t").agg(count.alias("n")).collect())  # at most a row for each toxic row
+    first = stored(feature_counts(rows.filter("toxic <> 0"), costs, None), "first")
+    spread = sorted((r.n, r.features) for r in first.groupBy("n").agg(F.count(F.lit(1)).alias("features")).collect())  # at most a row for each toxic row
     tested, least = testable(spread, toxic / (toxic + clean))
-    t = {r.feature: r.t for r in first.filter(F.col("t") >= least).collect()}
+    t = {r.feature: r.n for r in first.filter(F.col("n") >= least).collect()}
     # G falls as c grows: a tenth of the clean rows rules out most others
     wave = F.pmod(F.xxhash64("text"), F.lit(10)) == 0
     c: Counter = Counter()
     for part in (wave, ~wave):
-        c.update({r.feature: r.c for r in found_features(rows.filter("toxic = 0").filter(part), costs, frozenset(t)).select(
-            F.explode("features").alias("feature")).groupBy("feature").agg(count.alias("c")).collect()})
+        c.update({r.feature: r.n for r in feature_counts(rows.filter("toxic = 0").filter(part), costs, frozenset(t)).collect()})
         names = sorted(t)
         g = telling(np.array([t[f] for f in names], float), np.array([c[f] for f in names], float), toxic, clean, tested)
         t = {f: t[f] for f, x in zip(names, g) if x > 0}
-    chosen = sorted(t)
+    chosen = sorted([*t, *(f + "*" for f in t if f.endswith("*"))])
     place = {f: i for i, f in enumerate(chosen)}
-    # about train_rows rows of a label and a few features
-    seen = found_features(rows, costs, frozenset(chosen), True).collect()
+
+    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(costs, frozenset(chosen))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(
+                [sorted(place[f] for f in finder(text)) for text in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["toxic", "at"])
+
+    # about train_rows rows of a label and a few numbers
+    seen = rows.mapInArrow(active, "toxic int, at array<int>").collect()
     y = np.array([r.toxic != 0 for r in seen], float)
-    at = [np.array(sorted(place[f] for f in r.features), np.int64) for r in seen]
+    at = [np.array(r["at"], np.int64) for r in seen]
     w = logistic(np.repeat(np.arange(len(at)), [len(x) for x in at]), np.concatenate(at), y, len(chosen))
     return Model(costs, dict(zip(chosen, map(float, w[1:]))), float(w[0]))
 

@@ -122,5 +122,61 @@ def test_spacing_is_undone(model, text):
 
 
 def test_runs_of_three(model):
-    find = T.Finder(T.trigram_costs(T.trigram_counts("ass the old " * 1000, T.symbols())))
-    assert "as" in find("an a s s wrote") and "идиот" in find("и д и о т") and "idiot" not in find("id 2024 iot")
+    costs = T.trigram_costs(T.trigram_counts("ass the old idiot " * 1000, T.symbols()))
+    find = T.Finder(costs)
+    assert "as" in find.written("an a s s wrote") and "идиот" in find.written("и д и о т")
+    only = T.Finder(costs, frozenset(["idiot"]))
+    assert only("id iot") == ["idiot"] and only("id 2024 iot") == []
+
+
+def test_decoder_equals_enumeration():
+    """The best path of a lattice is the cheapest of all its paths."""
+    import itertools
+
+    rnd = random.Random(8)
+    costs = T.trigram_costs(T.trigram_counts("the quiet idiot in the old house sat on a stone " * 50, T.symbols()))
+
+    def cost(path):
+        total, s = 0.0, [0, 0]
+        for symbol, price in path:
+            total += price
+            if symbol > 0 or symbol == 0 and s[-1]:
+                total += costs[s[-2] * 729 + s[-1] * 27 + symbol]
+                s.append(symbol)
+        return total + (costs[s[-2] * 729 + s[-1] * 27] if s[-1] else 0.0), "".join(chr(x + 96) if x else " " for x in s[2:]).split()
+
+    for _ in range(150):
+        signs = "".join(rnd.choice("id1o0t$s -.aa") for _ in range(rnd.randrange(1, 7)))
+        best = min((cost(p) for p in itertools.product(*T.lattice(signs))), key=lambda x: x[0])
+        got = T.decode(signs, costs)
+        mine = min((cost(p)[0] for p in itertools.product(*T.lattice(signs)) if cost(p)[1] == got))
+        assert mine == pytest.approx(best[0], abs=1e-9), signs
+
+
+def test_spelled_words_equal_brute_force():
+    """Every way to put neighbouring tokens together, with no bound on their number or length."""
+    rnd = random.Random(9)
+    text = "the quiet idiot in the old house sat on a stone extraordinary " * 50
+    costs = T.trigram_costs(T.trigram_counts(text, T.symbols()))
+    only = frozenset(["idiot", "extraordinary", "extr*", "stone", "ston*", "house"])
+    find = T.Finder(costs, only)
+    for _ in range(300):
+        tokens = []
+        for _ in range(rnd.randrange(1, 5)):
+            word = rnd.choice(["idiot", "extraordinary", "stone", "house", "quiet", "old", "sat"])
+            while word:
+                k = rnd.choice([1, 2, 3, 4, len(word)])
+                tokens.append(word[:k])
+                word = word[k:]
+        want = set(find.written(" ".join(tokens)))
+        for i in range(len(tokens)):
+            for j in range(i + 1, len(tokens)):
+                joined = "".join(tokens[i:j + 1])
+                begins = all(any(f.rstrip("*").startswith(T.DOUBLE.sub(r"\1", "".join(tokens[i:m]))) for f in only) for m in range(i + 1, j + 1))
+                parts = tokens[i:j + 1]
+                likelier = all(T.joining_cost([a[-2:], b[:2]], costs) < 0 for a, b in zip(parts, parts[1:]) if min(len(a), len(b)) > 1)
+                price = T.joining_cost(parts, costs) if any(len(p) == 1 for p in parts) else -1
+                begins = begins and likelier
+                if begins and price < 0:
+                    want |= {f for f in T.features(joined) if f in only}
+        assert set(find(" ".join(tokens))) == want, tokens
