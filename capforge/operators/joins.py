@@ -7,31 +7,42 @@ parameter table, whose size is fixed.
 
 from __future__ import annotations
 
-from typing import Iterable, Mapping, Sequence
+from typing import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capforge.functions import fixed as FX
 from capforge.functions import scalar as S
+from capforge.session import materialised
 
 HOST_METRICS = ("core_number", "cpu_usage_percentage", "memory_number", "memory_usage_percentage")
 GAP_COLUMNS = ("hostname", "host_id", "datetime_1", "datetime_2", *[f"{m}_avg" for m in HOST_METRICS])
 
 
-def _gap_sides(df: DataFrame, gap_days: int, host_id: int | None, host_col: str, ts_col: str,
-               metrics: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Left rows ``(hostname, host_id, __t, metrics)`` and right rows keyed ``(__rh, __rt = t - gap)``."""
+def _gap_rows(df: DataFrame, host_id: int | None, host_col: str, ts_col: str, metrics: Sequence[str]) -> DataFrame:
+    """``(hostname, host_id, __t, metrics)`` of the host, or of all."""
     base = df.select(F.col(host_col).alias("hostname"), S.host_id(host_col).alias("host_id"),
                      F.col(ts_col).alias("__t"), *[F.col(m).cast("double").alias(m) for m in metrics])
-    if host_id is not None:
-        base = base.filter(F.col("host_id") == F.lit(int(host_id)))
+    return base if host_id is None else base.filter(F.col("host_id") == F.lit(int(host_id)))
+
+
+def _gap_partners(base: DataFrame, gap_days: int, metrics: Sequence[str]) -> DataFrame:
+    """Right rows keyed ``(__rh, __rt = t - gap)``."""
     shift = F.make_dt_interval(F.lit(int(gap_days)))
-    right = (base.filter(F.col("host_id").isNotNull() & F.col("__t").isNotNull())
-                 .select(F.col("host_id").alias("__rh"), (F.col("__t") - shift).alias("__rt"),
-                         F.col("__t").alias("datetime_2"), *[F.col(m).alias(f"__r_{m}") for m in metrics]))
-    return base, right
+    return (base.filter(F.col("host_id").isNotNull() & F.col("__t").isNotNull())
+                .select(F.col("host_id").alias("__rh"), (F.col("__t") - shift).alias("__rt"),
+                        F.col("__t").alias("datetime_2"), *[F.col(m).alias(f"__r_{m}") for m in metrics]))
+
+
+def _gap_sides(df: DataFrame, gap_days: int, host_id: int | None, host_col: str, ts_col: str,
+               metrics: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Left rows ``(hostname, host_id, __t, metrics)`` and right rows keyed ``(__rh, __rt = t - gap)``."""
+    base = _gap_rows(df, host_id, host_col, ts_col, metrics)
+    return base, _gap_partners(base, gap_days, metrics)
 
 
 def _pair(left: DataFrame, right: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -76,47 +87,118 @@ def gap_row_count(df: DataFrame, gap_days: int = FX.GAP_DAYS, host_id: int | Non
     return j.agg(F.coalesce(F.sum(F.coalesce(F.col("__n"), F.lit(1))), F.lit(0)).cast("long").alias("row_count"))
 
 
-def _upto(host: str, t: str, last_host, last_t) -> Column:
-    """Keys (host, time), NULLs last, up to the given one."""
-    h, time = F.col(host), F.col(t)
-    upto_t = F.lit(True) if last_t is None else (time <= F.lit(last_t).cast("timestamp_ntz"))
-    if last_host is None:
-        return h.isNotNull() | F.coalesce(upto_t, F.lit(False))
-    return F.coalesce((h < F.lit(last_host)) | ((h == F.lit(last_host)) & upto_t), F.lit(False))
+#: What stands for a missing key when keys are ordered (missing last).
+_LAST = np.iinfo(np.int64).max
+
+
+class _Head:
+    """Of the rows seen so far those that the first ``n`` report rows may come from."""
+
+    def __init__(self, n: int, gap: int):
+        self.n, self.gap = n, gap
+        self.keys: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.held: list[pa.RecordBatch] = []
+
+    @staticmethod
+    def of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(batch.column(batch.schema.get_field_index(c)).cast(pa.int64()).fill_null(int(_LAST)).to_numpy() for c in ("host_id", "__k"))
+
+    def within(self, host: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Keys up to the n-th smallest left key so far."""
+        if len(self.keys[0]) < self.n:
+            return np.ones(len(host), bool)
+        h, k = self.keys[0][-1], self.keys[1][-1]
+        return (host < h) | ((host == h) & (t <= k))
+
+    def kept(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        host, t = self.of(batch)
+        partner = (host != _LAST) & (t != _LAST)
+        return batch.filter(pa.array(self.within(host, t) | (partner & self.within(host, np.where(partner, t - self.gap, t)))))
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        host, t = (np.concatenate(x) for x in zip(self.keys, self.of(batch)))
+        first = np.lexsort((t, host))[:self.n]
+        self.keys = host[first], t[first]
+        self.held.append(self.kept(batch))
+
+    def rows(self) -> int:
+        return sum(b.num_rows for b in self.held)
+
+    def shrink(self) -> None:
+        self.held = [self.kept(b) for b in self.held]
+
+
+def _gap_digest(base: DataFrame, gap_days: int, n: int) -> DataFrame:
+    """The host table read once → stored rows of two kinds. ``counts``: ``(host_id, __k, __left, __right)``, how many rows of a
+    batch are left and right rows under a key. Others: the rows that the first ``n`` report rows may come from.
+
+    A row is a left row under its own time and a right row under the time one gap earlier. Each task keeps the
+    rows whose key, on either side, is at most the n-th smallest left key that it has seen: every left row yields a report
+    row, so no later key reaches the first n, and all partners of the keys that do are kept by every task.
+    """
+    gap, columns = int(gap_days) * S.DAY_MICROS, base.columns
+    keyed = base.withColumn("__k", S.epoch_micros("__t"))
+    schema = T.StructType([*keyed.schema.fields, *[T.StructField(c, T.LongType()) for c in ("__left", "__right")]])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, names = _Head(n, gap), [*columns, "__k", "__left", "__right"]
+
+        def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*batch.columns, *[pa.nulls(batch.num_rows, pa.int64())] * 2], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            host, t = _Head.of(batch)
+            partner = (host != _LAST) & (t != _LAST)
+            hosts, times = np.concatenate([host, host[partner]]), np.concatenate([t, t[partner] - gap])
+            right = np.concatenate([np.zeros(len(host), np.int64), np.ones(int(partner.sum()), np.int64)])
+            order = np.lexsort((times, hosts))
+            hosts, times, right = hosts[order], times[order], right[order]
+            start = np.flatnonzero(np.concatenate([[True], (hosts[1:] != hosts[:-1]) | (times[1:] != times[:-1])]))
+            rights = np.add.reduceat(right, start)
+            lefts = np.diff(np.concatenate([start, [len(right)]])) - rights
+            kind = {f.name: f.type for f in batch.schema}
+            made = {"host_id": pa.array(hosts[start], mask=hosts[start] == _LAST).cast(kind["host_id"]),
+                    "__k": pa.array(times[start], mask=times[start] == _LAST), "__left": pa.array(lefts), "__right": pa.array(rights)}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else pa.nulls(len(start), kind[c]) for c in names], names)
+            head.add(batch)
+            if head.rows() > HELD_ROWS:
+                head.shrink()
+                if head.rows() > HELD_ROWS // 2:  # very many rows of one time: handed on as they are
+                    yield from map(rows, head.held)
+                    head.held = []
+        head.shrink()
+        yield from map(rows, head.held)
+
+    return materialised(keyed.mapInArrow(digest, schema), "gap-digest")
+
+
+#: Rows that a task holds for the head of the report before it hands them on.
+HELD_ROWS = 100_000
 
 
 def gap_report(df: DataFrame, columns: str | Iterable[str], gap_days: int = FX.GAP_DAYS,
                host_id: int | None = None, n: int = FX.GAP_REPORT_ROWS, metrics: Sequence[str] = HOST_METRICS) -> DataFrame:
     """``gap_join`` + full row count + the first ``n`` rows of the requested columns (row 25).
 
-    The first ``n`` output rows can only come from left rows whose ``(host_id, t)``
-    is at most the ``n``-th smallest left key (every left row yields at least one
-    output row): that key is found with a top-n, and only those left rows and the
-    right rows with keys up to it are joined and sorted. The count is
-    ``gap_row_count`` (no pairs built). Every reported row carries ``row_count``, ``gap_days`` and
+    The host table is read once (``_gap_digest``): what is stored of it are the rows that the first ``n`` report rows
+    may come from, which are joined and sorted, and counts by key. Rows of a key multiply only in the count:
+    left rows times partners, at least 1. Every reported row carries ``row_count``, ``gap_days`` and
     ``host_id_filter`` (``all`` when no host is given).
     """
     from capforge.operators.relational import parse_column_list, select_requested
 
-    left, right = _gap_sides(df, gap_days, host_id, "hostname", "datetime", metrics)
-    # The n-th smallest key of a left row in report order (NULLs last) is a threshold: all earlier keys and
-    # every tie of it are the only left rows that can reach the first n report rows (each left row yields at
-    # least one). It is read first, as one row, so that both sides filter by plain values.
-    lkey = F.struct(F.col("host_id").isNull(), F.col("host_id"), F.col("__t").isNull(), F.col("__t"))
-    last = left.select(lkey.alias("k"), "host_id", "__t").orderBy("k").limit(int(n)).orderBy(F.col("k").desc()).limit(1).first()
-    if last is None:
-        head, right_head = left.limit(0), right.limit(0)
-    else:
-        head, right_head = left.filter(_upto("host_id", "__t", last.host_id, last["__t"])), right.filter(
-            _upto("__rh", "__rt", last.host_id, last["__t"]))
-    top = sort_gap_rows(_pair(head, right_head, metrics)).limit(int(n))
+    stored = _gap_digest(_gap_rows(df, host_id, "hostname", "datetime", metrics), gap_days, int(n))
+    rows = stored.filter("__left IS NULL").select("hostname", "host_id", "__t", *metrics)
+    top = sort_gap_rows(_pair(rows, _gap_partners(rows, gap_days, metrics), metrics)).limit(int(n))
     rank_cols = [F.col("host_id").asc_nulls_last(), F.col("datetime_1").asc_nulls_last()] + [
         F.col(c).asc_nulls_last() for c in top.columns if c not in ("host_id", "datetime_1")]
     # numbering the n reported rows (a window over at most n rows)
     top = top.withColumn("row_number", F.row_number().over(Window.orderBy(*rank_cols)))
-    count = gap_row_count(df, gap_days, host_id).select(
-        F.lit(int(gap_days)).alias("gap_days"),
-        F.lit("all" if host_id is None else str(host_id)).alias("host_id_filter"), "row_count")
+    pairs = stored.filter("__left IS NOT NULL").groupBy("host_id", "__k").agg(F.sum("__left").alias("l"), F.sum("__right").alias("r"))
+    count = pairs.agg(F.coalesce(F.sum(F.col("l") * F.greatest("r", F.lit(1))), F.lit(0)).cast("long").alias("row_count")).select(
+        F.lit(int(gap_days)).alias("gap_days"), F.lit("all" if host_id is None else str(host_id)).alias("host_id_filter"), "row_count")
     picked = select_requested(top, parse_column_list(columns) + ["row_number"])
     return picked.crossJoin(F.broadcast(count))
 

@@ -7,7 +7,6 @@ the map side); results are unpivoted from that single row. Exact medians come fr
 
 from __future__ import annotations
 
-import itertools
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +15,8 @@ from pyspark.sql import types as T
 
 from capforge.functions import fixed as FX
 from capforge.functions.scalar import nan_to_null
-from capforge.operators import selection, valuecounts
-from capforge.operators.relational import numeric_columns
+from capforge.operators import comoments, selection, valuecounts
+from capforge.operators.relational import numeric_columns, rows_to_json
 
 
 def _c(name: str) -> Column:
@@ -44,18 +43,24 @@ def _unpivot_row(agg_row: DataFrame, names: Sequence[str], stats: Sequence[str])
     return agg_row.select(F.inline(packed))
 
 
-def table_metadata(df: DataFrame) -> DataFrame:
-    """Column list ``(ordinal, column_name, data_type, nullable)`` with the table's ``row_count`` (row 31).
+def table_metadata(df: DataFrame, n: int = 1, order: Sequence[str] = ()) -> DataFrame:
+    """Column list ``(ordinal, column_name, data_type, nullable)`` with the table's ``row_count`` and its first ``n`` rows
+    as a JSON array, ``sample_rows`` (row 31).
 
-    The column list comes from the schema (no data read); the count is one aggregate.
-    The first rows are ``ranking.preview``.
+    The column list comes from the schema; the count is one aggregate that reads no column (Parquet: the files' footers).
+    ``order``: the columns that say which rows are first, NULLs last; none: any rows. Values as in ``rows_to_json``.
     """
     spark = df.sparkSession
     cols = spark.createDataFrame(
         [(i + 1, f.name, f.dataType.simpleString(), bool(f.nullable)) for i, f in enumerate(df.schema.fields)],
         "ordinal int, column_name string, data_type string, nullable boolean")
     count = df.agg(F.count(F.lit(1)).alias("row_count"))
-    return cols.crossJoin(F.broadcast(count))
+    first = df.orderBy(*[_c(c).asc_nulls_last() for c in order]) if order else df
+    # at most n rows, numbered in their order before they meet in one array
+    rows = rows_to_json(first.limit(int(n))).withColumn("at", F.monotonically_increasing_id())
+    sample = rows.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "json"))), lambda r: r["json"]), ","),
+                               F.lit("]")).alias("sample_rows"))
+    return cols.crossJoin(F.broadcast(count)).crossJoin(F.broadcast(sample))
 
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -181,6 +186,10 @@ def _pair_corr(x: Column, y: Column) -> Column:
     return F.when(den > 0, F.covar_samp(xc, yc) / den)
 
 
+#: Columns beyond which one generated aggregate is too long: then blocks of columns are summed (``comoments``).
+WIDE = 200
+
+
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson of every numeric column with ``target``, pairwise complete → ``(feature, correlation)`` (row 37)."""
     cols = list(columns) if columns is not None else numeric_columns(df)
@@ -189,6 +198,11 @@ def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None
     feats = [c for c in cols if c != target]
     if not feats:
         return df.sparkSession.createDataFrame([], "feature string, correlation double")
+    if len(feats) > WIDE:
+        numbers = _numbers(df, [target, *feats])
+        found = comoments.correlations_with(numbers, "c0", numbers.columns[1:])
+        names = df.sparkSession.createDataFrame(list(enumerate(feats)), "at int, feature string")
+        return names.join(found, "at", "left").select("feature", "correlation")
     y = _num(df, target)
     row = df.agg(*[_pair_corr(_num(df, c), y).alias(f"{c}__correlation") for c in feats])
     return _unpivot_row(row, feats, ["correlation"]).withColumnRenamed("column", "feature")
@@ -197,53 +211,14 @@ def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson for every pair ``i < j`` of numeric columns, pairwise complete → ``(column_1, column_2, correlation)`` (row 38).
 
-    One pass over the data whatever the width: each task multiplies its Arrow
-    batches as matrices (masked, mean-shifted columns) into four ``p × p`` sums —
-    pair counts, pair-complete sums, pair-complete sums of squares, cross
-    products — and Spark adds the per-task sums with the vector ``Summarizer``.
-    The column means used as shifts (against cancellation) come from one cheap
-    aggregate first. NULL when a side is constant or fewer than two pairs.
+    Tiles of column blocks (``comoments``): each task multiplies its Arrow batches (masked, mean-shifted columns)
+    into the sums of one tile, and tiles are added in two levels. Up to ``comoments.TILE`` columns are one tile, so
+    one scan after the means'. NULL when a side is constant or fewer than two pairs.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
     cols = list(columns) if columns is not None else numeric_columns(df)
-    p = len(cols)
     spark = df.sparkSession
-    if p < 2:
+    if len(cols) < 2:
         return spark.createDataFrame([], "column_1 string, column_2 string, correlation double")
-    src = df.select(*[_num(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
-    first = src.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(p)]).first()
-    mu = np.array([first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(p)])
-
-    def sums(batches):
-        acc = np.zeros((4, p, p))
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=float) - mu
-            m = (~np.isnan(x)).astype(float)
-            x0 = np.where(m > 0, x, 0.0)
-            acc[0] += m.T @ m            # rows where both are present
-            acc[1] += x0.T @ m           # sum of a over rows where b is present
-            acc[2] += (x0 * x0).T @ m    # sum of a² over rows where b is present
-            acc[3] += x0.T @ x0          # sum of a·b over rows where both are present
-        yield pd.DataFrame({"s": [acc.ravel()]})
-
-    total = (src.mapInPandas(sums, "s array<double>")
-                .select(array_to_vector("s").alias("v"))
-                .agg(Summarizer.sum(F.col("v")).alias("v"))
-                .select(vector_to_array("v").alias("a")))
-    pp = p * p
-    pairs = spark.createDataFrame(
-        [(cols[i], cols[j], i * p + j, j * p + i) for i, j in itertools.combinations(range(p), 2)],
-        "column_1 string, column_2 string, ij int, ji int")
-
-    def at(k: int, c: str) -> Column:
-        return F.element_at(F.col("a"), F.col(c) + F.lit(k * pp + 1))
-
-    n, sa, sb, qa, qb, sab = at(0, "ij"), at(1, "ij"), at(1, "ji"), at(2, "ij"), at(2, "ji"), at(3, "ij")
-    cab, caa, cbb = sab - sa * sb / n, qa - sa * sa / n, qb - sb * sb / n
-    return pairs.crossJoin(F.broadcast(total)).select(
-        "column_1", "column_2",
-        F.when((n > 1) & (caa > 0) & (cbb > 0), cab / F.sqrt(caa * cbb)).alias("correlation"))
+    found = comoments.all_correlations(_numbers(df, cols))
+    names = F.array(*[F.lit(c) for c in cols])
+    return found.select(F.element_at(names, F.col("i") + 1).alias("column_1"), F.element_at(names, F.col("j") + 1).alias("column_2"), "correlation")

@@ -25,6 +25,7 @@ from typing import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,8 @@ from pyspark.sql import types as T
 from capforge.functions import fixed as FX
 from capforge.functions.scalar import DAY_MICROS, above_flag, add_days, epoch_micros, floor_div, nan_to_null
 from capforge.operators import sliding
-from capforge.operators.prefix import running_counts
 from capforge.operators.relational import fill_missing
+from capforge.session import materialised
 
 DEVICE_KEYS = FX.DEVICE_KEYS
 BLOCK_DAYS = 90
@@ -295,19 +296,73 @@ def shift_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str] | str, c
                name: str | None = None) -> DataFrame:
     """Value of the row ``n`` places earlier in the group, later where ``n`` is negative (``lag``/``lead``; row 49).
 
-    ``order`` must make the order unique (add a tie-break column). Rows get their places from distributed
-    running counts and are joined with the rows ``n`` places away on (group, place), so neither a large
-    group nor a table without groups (``keys`` empty) is one task. NULL keys are a group, as with ``lag``.
+    ``order`` must make the order unique (add a tie-break column). The table is sorted once, by range; a task goes over its
+    sorted rows and finds the value of every row that has the other one in the same partition. Only the first
+    ``n`` rows of a partition are left open: they are joined by place with the last ``n`` rows of the partitions before.
+    So neither a large group nor a table without groups (``keys`` empty) is one task, and no row but
+    these is moved again. NULL keys are a group, as with ``lag``.
     """
     order = [order] if isinstance(order, str) else list(order)
-    name, keys = name or f"{col}_shift_{n}", list(keys)
-    placed = running_counts(df.withColumn("__one", F.lit(1).cast("long")).withColumn("__all", F.lit(0)), [*keys, "__all"], order, "__one")
-    other = placed.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)],
-                          (F.col("__before") + n).alias("__place"), F.col(f"`{col}`").alias("__value"))
-    same = F.col("__before") == F.col("__place")
+    name, keys, steps = name or f"{col}_shift_{n}", list(keys), abs(int(n))
+    if not steps:
+        return df.select("*", F.col(f"`{col}`").alias(name))
+    back = [F.col(f"`{c}`").asc() if n > 0 else F.col(f"`{c}`").desc() for c in order]  # later rows: the same from the end
+    dealt = df.select("*", F.col(f"`{col}`").alias("__shifted")).orderBy(*[F.col(f"`{k}`") for k in keys], *back)
+    place, value = [df.columns.index(k) for k in keys], df.columns.index(col)
+    names = [*df.columns, "__shifted", "__part", "__pos", "__open", "__halo"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen, group = TaskContext.get().partitionId(), 0, 0
+        tail: list[pa.RecordBatch] = []  # the last rows so far, as many as a shift reaches back
+        held = np.zeros(0, np.int64)  # the groups that they are in
+        before: list | None = None
+
+        def out(batch: pa.RecordBatch, shifted: pa.Array, first: int, opened: np.ndarray, halo: bool) -> pa.RecordBatch:
+            k = batch.num_rows
+            return pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], shifted, pa.array(np.full(k, part, np.int32)), pa.array(np.arange(first, first + k)), pa.array(opened),
+                 pa.array(np.full(k, halo))], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = np.zeros(batch.num_rows, bool)
+            for i in place:
+                code = batch.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                starts[1:] |= code[1:] != code[:-1]
+            here = [batch.column(i)[0] for i in place]
+            starts[0] = before is not None and any(not x.equals(y) for x, y in zip(here, before))
+            before = [batch.column(i)[batch.num_rows - 1] for i in place]
+            groups = group + np.cumsum(starts)
+            group = int(groups[-1])
+            whole = pa.Table.from_batches([*tail, batch]).combine_chunks().to_batches()[0]
+            all_groups = np.concatenate([held, groups])
+            at = np.arange(len(held), len(all_groups)) - steps
+            found = (at >= 0) & (all_groups[np.maximum(at, 0)] == groups)
+            shifted = whole.column(value).take(pa.array(np.maximum(at, 0), mask=~found))
+            yield out(batch, shifted, seen, at < 0, False)
+            seen += batch.num_rows
+            keep = min(steps, whole.num_rows)
+            tail, held = [whole.slice(whole.num_rows - keep)], all_groups[len(all_groups) - keep:]
+        if tail:
+            last = tail[0]
+            yield out(last, last.column(value), seen - last.num_rows, np.zeros(last.num_rows, bool), True)
+
+    schema = T.StructType([*dealt.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__pos", T.LongType()),
+                           T.StructField("__open", T.BooleanType()), T.StructField("__halo", T.BooleanType())])
+    rows = materialised(dealt.mapInArrow(walk, schema), "shifted")
+    ends = rows.filter("__halo").groupBy("__part").agg((F.max("__pos") + 1).alias("__size"))
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    first = ends.select("__part", F.coalesce(F.sum("__size").over(upto), F.lit(0)).alias("__first"))
+    halo = rows.filter("__halo").join(first, "__part").select((F.col("__first") + F.col("__pos") + steps).alias("__for"), F.col("__shifted").alias("__value"),
+                                                              *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)])
+    wanted = rows.filter("__open").join(first, "__part").withColumn("__at", F.col("__first") + F.col("__pos"))
+    same = F.col("__at") == F.col("__for")
     for i, k in enumerate(keys):
         same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
-    return placed.join(other, same, "left").withColumn(name, F.col("__value")).select(*df.columns, name)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    joined = wanted.join(halo, same, "left").select(*columns, F.col("__value").alias(name))
+    return rows.filter("NOT __open AND NOT __halo").select(*columns, F.col("__shifted").alias(name)).unionByName(joined)
 
 
 def rolling_stat(df: DataFrame, keys=DEVICE_KEYS, ts="Date", col="Value", days: int = 14,

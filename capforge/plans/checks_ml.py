@@ -47,13 +47,6 @@ def q_train_classifier(spark, sf_dir):
     return round_doubles(metrics)
 
 
-@register("train_regressor")
-def q_train_regressor(spark, sf_dir):
-    _, metrics = ML.train_regressor(labelled(spark, sf_dir), ["l_quantity", "l_discount", "l_tax"],
-                                    "l_extendedprice", key="row_key")
-    return round_doubles(metrics)
-
-
 _MODELS: dict = {}
 
 
@@ -65,6 +58,24 @@ def _fitted(spark, sf_dir):
     return _MODELS[key]
 
 
+REGRESSION_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _fitted_regressor(spark, sf_dir):
+    """(model, metrics) of ``train_regressor``, fitted once per Spark application and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "regressor")
+    if key not in _MODELS:
+        model, metrics = ML.train_regressor(labelled(spark, sf_dir), REGRESSION_FEATURES, "l_extendedprice", key="row_key")
+        _MODELS[key] = model, metrics.first()
+    return _MODELS[key]
+
+
+@register("train_regressor")
+def q_train_regressor(spark, sf_dir):
+    metrics = _fitted_regressor(spark, sf_dir)[1]
+    return round_doubles(spark.createDataFrame([metrics.asDict()], "rmse double, mae double, r2 double"))
+
+
 _ROW_KEY_SQL = ("CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) "
                 "|| '-' || CAST(l_suppkey AS VARCHAR)")
 _RETURNED_SQL = "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END"
@@ -83,6 +94,27 @@ def q_train_split_support(spark, sf_dir):
     return both.groupBy("is_returned").agg(F.count_if("t").alias("train_rows"), F.count_if(~F.col("t")).alias("test_rows"))
 
 
+def _close(a, b):
+    return F.coalesce(F.abs(a - b) <= F.lit(1e-9) * (1 + F.abs(b)), F.lit(False))
+
+
+@register("train_regressor_checked", f"""
+SELECT count(*) AS n, true AS rmse_same, true AS mae_same, true AS r2_same, true AS better_than_mean FROM lineitem
+WHERE ('0x' || substr(md5({_ROW_KEY_SQL} || ':42'), 1, 8))::BIGINT % 100 >= 80
+""")
+def q_train_regressor_checked(spark, sf_dir):
+    """The reported metrics are those of the stored predictions of the test rows, and better than the mean's."""
+    model, reported = _fitted_regressor(spark, sf_dir)
+    _, test = ML.train_test_split(labelled(spark, sf_dir), "row_key")
+    path = scratch_dir(spark, "regression")
+    ML.batch_predict(model, test, REGRESSION_FEATURES, "l_extendedprice").write.parquet(path)
+    y, p = F.col("l_extendedprice"), F.col("predicted_l_extendedprice")
+    again = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"), F.avg(F.abs(y - p)).alias("mae"),
+                                         (1 - F.sum((y - p) * (y - p)) / (F.var_pop(y) * F.count(F.lit(1)))).alias("r2"))
+    return again.select("n", *[_close(F.col(m), F.lit(float(reported[m]))).alias(f"{m}_same") for m in ("rmse", "mae", "r2")],
+                        (F.col("r2") > 0).alias("better_than_mean"))
+
+
 @register("batch_predict_rows", f"SELECT {_ROW_KEY_SQL} AS row_key, {_RETURNED_SQL} AS is_returned, true AS is_label FROM lineitem")
 def q_batch_predict_rows(spark, sf_dir):
     """Every row is scored once, keeps its key and target, and gets one of the labels."""
@@ -132,6 +164,37 @@ def q_oot_parts(spark, sf_dir):
     return later.join(m, "part").select("part", "n", inside.alias("scored"))
 
 
+@register("oot_metrics_checked", """
+SELECT part, count(*) AS n, true AS accuracy_same, true AS f1_same, true AS precision_same, true AS recall_same, true AS auc_same FROM (
+  SELECT CASE WHEN l_shipdate < TIMESTAMP '1999-01-01' + INTERVAL 28 DAY THEN 'horizon_1' ELSE 'horizon_2' END AS part FROM lineitem
+  WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND l_shipdate < TIMESTAMP '1999-01-01' + INTERVAL 56 DAY) GROUP BY part
+""")
+def q_oot_metrics_checked(spark, sf_dir):
+    """The reported metrics of each part are those that Spark ML's evaluators find in its stored scores."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+    from pyspark.ml.functions import vector_to_array
+
+    model, data, path = _fitted(spark, sf_dir), labelled(spark, sf_dir), scratch_dir(spark, "oot")
+    reported = ML.oot_evaluation(model, data, FEATURES, "is_returned", "l_shipdate", "1999-01-01")
+    later = ML.horizon_split(data, "l_shipdate", "1999-01-01", 12, 4, 8).filter("part <> 'train'")
+    model.transform(later.na.fill(0, subset=FEATURES)).select("part", F.col("is_returned").cast("double").alias("label"), F.col("__prediction").alias("prediction"),
+                                                             vector_to_array("probability")[1].alias("score")).write.parquet(path)
+    rows = []
+    for part in ("horizon_1", "horizon_2"):
+        stored = spark.read.parquet(path).filter(F.col("part") == part)
+        if stored.isEmpty():
+            continue
+        found = {m: MulticlassClassificationEvaluator(metricName=k).evaluate(stored) for m, k in (
+            ("accuracy", "accuracy"), ("f1", "f1"), ("precision", "weightedPrecision"), ("recall", "weightedRecall"))}
+        both = stored.select("label").distinct().count() == 2  # else the area is undefined
+        area = BinaryClassificationEvaluator(rawPredictionCol="score", numBins=0).evaluate(stored) if both else None
+        rows.append((part, stored.count(), *found.values(), area))
+    again = spark.createDataFrame(rows, "part string, n long, " + ", ".join(f"x_{m} double" for m in ("accuracy", "f1", "precision", "recall", "auc")))
+    same = [(_close(F.col(m), F.col(f"x_{m}")) | (F.col(m).isNull() & F.col(f"x_{m}").isNull())).alias(f"{m}_same")
+            for m in ("accuracy", "f1", "precision", "recall", "auc")]
+    return again.join(reported, "part").select("part", "n", *same)
+
+
 @register("save_load_model")
 def q_save_load_model(spark, sf_dir):
     path = scratch_dir(spark, "model")

@@ -43,7 +43,21 @@ LINEITEM = list(SPARK_TYPES)
     f"({i + 1}, '{c}', '{SPARK_TYPES[c]}', true)" for i, c in enumerate(LINEITEM))
     + ") AS t(ordinal, column_name, data_type, nullable) CROSS JOIN (SELECT count(*) AS row_count FROM lineitem)")
 def q_table_metadata(spark, sf_dir):
-    return P.table_metadata(table(spark, sf_dir, "lineitem"))
+    return P.table_metadata(table(spark, sf_dir, "lineitem")).drop("sample_rows")
+
+
+@register("table_metadata_sample", """
+WITH c AS (SELECT * FROM (VALUES (1, 'o_orderkey', 'bigint', true), (2, 'o_custkey', 'bigint', true), (3, 'o_orderstatus', 'string', true),
+  (4, 'o_totalprice', 'double', true), (5, 'o_orderdate', 'timestamp_ntz', true), (6, 'o_orderpriority', 'string', true))
+  AS t(ordinal, column_name, data_type, nullable)),
+r AS (SELECT o_orderkey AS k, CAST(to_json(struct_pack(o_orderkey := o_orderkey, o_custkey := o_custkey, o_orderstatus := o_orderstatus,
+  o_totalprice := o_totalprice, o_orderdate := strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), o_orderpriority := o_orderpriority)) AS VARCHAR) AS json
+  FROM orders ORDER BY o_orderkey LIMIT 3)
+SELECT c.*, (SELECT count(*) FROM orders) AS row_count, (SELECT '[' || string_agg(json, ',' ORDER BY k) || ']' FROM r) AS sample_rows FROM c
+""")
+def q_table_metadata_sample(spark, sf_dir):
+    """With the first three rows by key."""
+    return P.table_metadata(table(spark, sf_dir, "orders"), 3, ["o_orderkey"])
 
 
 def _numeric_sql(cols=NUMERIC):

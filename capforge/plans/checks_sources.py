@@ -10,6 +10,7 @@ from capforge.functions.scalar import round_doubles
 from capforge.session import scratch_dir
 from capforge.sources import files as IO
 from capforge.sources import registry as REG
+from capforge.sources.versions import VersionedTable
 from capforge.plans.checks import register
 from capforge.plans.checks_relational import DATASETS_SQL, datasets_registry
 from capforge.plans.fixtures import table
@@ -208,3 +209,15 @@ def q_recreate_tables(spark, sf_dir):
     if out.filter(F.col("creation_date").isNull()).limit(1).count():
         raise AssertionError("declared NOW() default was not applied")
     return out.drop("creation_date")
+
+
+@register("versioned_insert", """
+SELECT o_custkey AS id, coalesce(min(o_orderkey) FILTER (WHERE o_orderstatus = 'F'), min(o_orderkey)) AS order_key FROM orders GROUP BY o_custkey
+""")
+def q_versioned_insert(spark, sf_dir):
+    """A table of commits: the first inserts of customers come from finished orders, the next ones from all."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("order_key"), "o_orderstatus")
+    registry = VersionedTable(spark, scratch_dir(spark, "versions"), "id long, order_key long")
+    registry.insert_if_absent(orders.filter("o_orderstatus = 'F'").drop("o_orderstatus"), "id")
+    registry.insert_if_absent(orders.drop("o_orderstatus"), "id")
+    return registry.read()

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from capforge.functions.fixed import FALSE_TOKENS, PANDAS_NULL_TOKENS, TRUE_TOKENS
 from capforge.functions.scalar import time_text
+from capforge.sources import csvrecords
 
 
 def _check_suffix(path: str) -> None:
@@ -29,30 +30,41 @@ WHOLE = r"^[ \t]*[+-]?[0-9]+[ \t]*$"
 DECIMAL = r"(?i)^[ \t]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?[ \t]*$|^[+-]?inf(inity)?$"
 #: What both CSV directions agree on: quotes inside quoted cells are doubled.
 CSV_QUOTING = {"quote": '"', "escape": '"'}
-_BROKEN = "__broken_row"
+_BROKEN, _EXTRA = "__broken_row", "__extra_cell"
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             null_tokens: Sequence[str] = PANDAS_NULL_TOKENS, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+             null_tokens: Sequence[str] = PANDAS_NULL_TOKENS, encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
     """Read CSV with a header (row 1). With ``schema`` the types are given; otherwise inferred as above.
 
     Quotes inside quoted cells are doubled, rows with too few cells get NULLs, and a row with too many is
-    an error. ``multi_line`` allows line breaks inside quoted cells; a file is then one task, so large files
-    without such breaks should be read with ``multi_line=False``, which splits them.
+    an error, whichever columns are read. Files are split into byte ranges: whether cells hold line breaks is found by one
+    look at the lines with quotes; if some do, records are put together across ranges
+    (``csvrecords``). ``multi_line`` False skips the look (no cell holds a line break); True reads each
+    file in one task, as any encoding but UTF-8 does when it isn't False.
     """
     _check_suffix(path)
-    reader = spark.read.options(header=True, encoding=encoding, multiLine=multi_line, inferSchema=False, **CSV_QUOTING)
+    if multi_line is None and encoding.upper().replace("-", "") != "UTF8":
+        multi_line = True
+    reader = spark.read.options(header=True, encoding=encoding, multiLine=bool(multi_line), inferSchema=False, **CSV_QUOTING)
     given = (schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)) if schema is not None else None
-    names = [f.name for f in given.fields] if given else reader.csv(path).columns
-    cells = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _BROKEN]])
-    raw = reader.schema(cells).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN).csv(path)
-    # a broken row is short or long: parsed with one more cell, a long one fills it
+    names = [f.name for f in given.fields] if given else spark.read.options(
+        header=True, encoding=encoding, multiLine=multi_line is not False, inferSchema=False, **CSV_QUOTING).csv(path).columns
     wider = ", ".join(f"c{i} STRING" for i in range(len(names) + 1))
-    extra = F.from_csv(F.col(_BROKEN), wider, CSV_QUOTING)[f"c{len(names)}"]
-    tokens, too_long = list(null_tokens), F.raise_error(F.concat(F.lit("CSV row with too many cells: "), F.col(_BROKEN)))
-    first = F.when(extra.isNotNull(), too_long.cast("string")).otherwise(F.col(f"`{names[0]}`"))
-    text = raw.select(*[F.when((value := first if i == 0 else F.col(f"`{c}`")).isin(tokens), F.lit(None).cast("string")).otherwise(value).alias(c)
-                        for i, c in enumerate(names)])
+    if multi_line is None and csvrecords.has_line_breaks(spark, path):
+        cells = F.from_csv(F.col("record"), wider, {**CSV_QUOTING, "multiLine": "true"})
+        raw = csvrecords.records(spark, path).select("record", cells.alias("cells")).select(
+            *[F.col(f"cells.c{i}").alias(c) for i, c in enumerate(names)], F.col(f"cells.c{len(names)}").alias(_EXTRA), F.col("record").alias(_BROKEN))
+    else:
+        cells = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _BROKEN]])
+        raw = reader.schema(cells).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN).csv(path)
+        # a broken row is short or long: parsed with one more cell, a long one fills it
+        raw = raw.withColumn(_EXTRA, F.from_csv(F.col(_BROKEN), wider, CSV_QUOTING)[f"c{len(names)}"])
+    # a filter, so that it holds whichever columns are read (Spark wants a column of the file beside the broken row)
+    too_long = F.raise_error(F.concat(F.lit("CSV row with too many cells: "), F.coalesce(F.col(_BROKEN), F.col(f"`{names[0]}`"))))
+    tokens = list(null_tokens)
+    text = raw.filter(F.when(F.col(_EXTRA).isNotNull(), too_long.cast("boolean")).otherwise(
+        F.lit(True))).select(*[F.when((value := F.col(f"`{c}`")).isin(tokens), F.lit(None).cast("string")).otherwise(value).alias(c) for c in names])
     if given:
         return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in given.fields])
     return text.select(*[_typed(F.col(f"`{c}`"), t).alias(c) for c, t in infer_types(text).items()])
@@ -62,11 +74,6 @@ def _typed(cell, kind: str):
     return F.trim(cell).cast(kind) if kind in ("bigint", "double") else cell.cast(kind)
 
 
-def _as_string_schema(schema) -> T.StructType:
-    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    return T.StructType([T.StructField(f.name, T.StringType(), True) for f in st.fields])
-
-
 def infer_types(text: DataFrame) -> dict[str, str]:
     """Per text column: ``bigint`` / ``double`` / ``boolean`` / ``string`` from one aggregate pass."""
     cols = text.columns

@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from capforge.operators import joins as J
@@ -94,3 +96,24 @@ def test_gap_row_count_and_report_with_null_hosts(spark):
     rep = J.gap_report(h, "hostname,host_id,datetime_2", 0, n=50).collect()
     assert len(rep) == J.gap_join(h, 0).count() == rep[0].row_count == 7
     assert [r.host_id for r in sorted(rep, key=lambda r: r.row_number)][-1] is None  # NULL host last
+
+
+@pytest.mark.parametrize("n,gap,held", [(1, 2, 100_000), (20, 0, 5), (20, 2, 5), (500, -3, 50), (7, 2, 1)])
+def test_gap_report_from_one_read(spark, monkeypatch, n, gap, held):
+    """Equal to sorting all of the join, for duplicated keys, missing hosts, times and metrics, and many tasks."""
+    monkeypatch.setattr(J, "HELD_ROWS", held)
+    rng = random.Random(n)
+    rows = [(rng.choice(["server", None, "host3", "h 3", "host12", "node5", "x4y"]), rng.choice([None] + [T0 + i * D for i in range(6)]), rng.choice([None, 1, 2, 9]),
+             *[rng.choice([None, 1.0, 2.5]) for _ in range(3)]) for _ in range(240)]
+    df = spark.createDataFrame(rows, HOST).repartition(9)
+    columns = ",".join(J.GAP_COLUMNS)
+    want = [tuple(r) for r in J.sort_gap_rows(J.gap_join(df, gap)).limit(n).collect()]
+    got = sorted(J.gap_report(df, columns, gap, n=n).collect(), key=lambda r: r.row_number)
+    assert [tuple(r)[:len(J.GAP_COLUMNS)] for r in got] == want and [r.row_number for r in got] == list(range(1, len(want) + 1))
+    assert {r.row_count for r in got} == {J.gap_join(df, gap).count()}
+    one = J.gap_report(df, "hostname", gap, host_id=3, n=n).collect()
+    assert {r.row_count for r in one} == {J.gap_join(df, gap, 3).count()}
+
+
+def test_gap_report_of_an_empty_table(spark):
+    assert J.gap_report(spark.createDataFrame([], HOST), "hostname").collect() == []
