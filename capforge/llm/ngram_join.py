@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capforge.llm.common import columns_of, fresh, join_counted, mix, stored, task_memory, text_or_empty, with_row_id
+from capforge.llm.common import HEAVY, columns_of, fresh, join_counted, mix, stored, task_memory, text_or_empty, with_row_id
 from capforge.llm.components import components
 
 BLOOM_BITS = 1 << 23
@@ -50,7 +50,7 @@ ROUNDS = 1
 #: Keys that two linked rows share at least, where their sizes ask for as many.
 SHARED = 4
 #: A list has one of so many shingles beyond what linked sets must share.
-SPARE = 10
+SPARE = 20
 #: Orders of ids among which a key chooses the one that decides its pivot.
 ORDERS = 4
 #: Pivots that a row is compared with in a round: those with the best bounds.
@@ -203,7 +203,7 @@ def sets_of(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 def profiles(rows: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """Stored (rid, n, size, keep, least, bitmap, s0 to s3, list) of the rows ``reps`` and few others (see
-    ``bloom_filter``): the list and its sizes as in ``list_sizes``."""
+    ``bloom_filter``): the list and its sizes as in ``list_sizes``. Rows with rid -1 name shingles of many lists."""
     bits = bloom_filter(reps)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +215,14 @@ def profiles(rows: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFram
                 row = (len(x), size, keep, least, bitmap(x) if len(x) else b"", *signature(x), x.view(np.int64)[:size])
                 for column, value in zip(out, row):
                     column.append(value)
+            # shingles in more than a thousandth of these lists' places: any that is so often in all lists is so in some batch
+            places = np.concatenate(out[9]) if out[9] else np.zeros(0, np.int64)
+            key, times = np.unique(places, return_counts=True)
+            often = key[(times > 1) & (times * HEAVY >= len(places))]
+            if len(often):
+                rid = pa.concat_arrays([rid, pa.array([-1], rid.type)])
+                for column, value in zip(out, (None, None, None, None, None, None, None, None, None, often)):
+                    column.append(value)
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()] + [pa.int64()] * 4 + [pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([rid] + [pa.array(c, t) for c, t in zip(out, types)],
                                              ["rid", "n", "size", "keep", "least", "bitmap", "s0", "s1", "s2", "s3", "list"])
@@ -267,8 +275,11 @@ def tile_keys(rows: DataFrame, classes: DataFrame, n: int, percent: int) -> tupl
     band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) + 1e-6)).cast("int")
     listed = known.join(reps, "rid", "left_semi").select("rid", F.explode("list").alias("key"))
     total = known.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    several = stored(listed.groupBy("key").agg(F.count(F.lit(1)).alias("lists")).filter("lists > 1"), "several")
-    counted = join_counted(listed, several.withColumn("of", F.col("lists")), "key", "lists", total)
+    often = known.filter("rid = -1").select(F.explode("list").alias("key")).distinct()
+    hot = stored(listed.join(often, "key").groupBy("key").agg(F.count(F.lit(1)).alias("of")).filter(F.col("of") * HEAVY > total), "hot")
+    # fewer than HEAVY shingles are hot; the lists of each other one meet in a shuffle
+    rest = listed.join(F.broadcast(hot.select("key")), "key", "left_anti").withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    counted = rest.filter("of > 1").select("rid", "key", "of").unionByName(listed.join(F.broadcast(hot), "key").select("rid", "key", "of"))
     by_row = Window.partitionBy("rid")
     # shingles of one list only come first in its order: as many places are taken
     place = F.row_number().over(by_row.orderBy("of", "key")) - F.count(F.lit(1)).over(by_row)
