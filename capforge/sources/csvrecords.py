@@ -126,14 +126,17 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     known = marked.join(inside, ["file", "start"], "left").withColumn("turned", F.coalesce("starts_inside", F.lit(False))).select(
         "file", "start", "seq", "value", F.when(F.col("turned"), F.col("b1")).otherwise(F.col("b0")).alias("begins"),
         F.when(F.col("turned"), F.col("e1")).otherwise(F.col("e0")).alias("ends"))
-    whole = known.filter("NOT begins AND NOT ends").select("start", "seq", F.col("value").alias("record"))
+    # null where a line is no record: what a caller asks of records must not be asked of other lines, which the optimiser
+    # would do below the join if it saw the line alone
+    alone, shut = ~F.col("begins") & ~F.col("ends"), (F.col("first") >= 0) & ~F.col("open")
+    whole = known.select("start", "seq", F.when(alone, F.col("value")).alias("record"))
     # lines of one record share the number of its first line; -1: the record began in a range before
     in_range = Window.partitionBy("file", "start").orderBy("seq")
     first = F.coalesce(F.last(F.when(~F.col("begins"), F.col("seq")), ignorenulls=True).over(in_range), F.lit(-1))
     pieces = known.filter("begins OR ends").withColumn("first", first).groupBy("file", "start", "first").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), "\n").alias("piece"),
         F.max_by("ends", "seq").alias("open"))
-    closed = pieces.filter("first >= 0 AND NOT open").select("start", F.col("first").alias("seq"), F.col("piece").alias("record"))
+    closed = pieces.select("start", F.col("first").alias("seq"), F.when(shut, F.col("piece")).alias("record"))
     # at most two pieces a range: what goes on from before, and what is left open
     order = Window.partitionBy("file").orderBy("start", "first")
     owner = F.last(F.when(F.col("first") >= 0, F.struct("start", "first")), ignorenulls=True).over(order)
@@ -141,4 +144,5 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "first", "piece"))), lambda x: x["piece"]), "\n").alias("record"))
     every = whole.unionByName(closed).unionByName(across.select("owner.start", F.col("owner.first").alias("seq"), "record"))
     text = F.when(F.col("record").endswith("\r"), F.expr("left(record, char_length(record) - 1)")).otherwise(F.col("record"))
-    return every.filter("NOT (start = 0 AND seq = 0)").select(text.alias("record")).filter(F.trim("record") != "")
+    header = (F.col("start") == 0) & (F.col("seq") == 0)
+    return every.select(F.when(~header, text).alias("record")).filter(F.trim("record") != "")

@@ -60,8 +60,8 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
         raw = reader.schema(cells).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN).csv(path)
         # a broken row is short or long: parsed with one more cell, a long one fills it
         raw = raw.withColumn(_EXTRA, F.from_csv(F.col(_BROKEN), wider, CSV_QUOTING)[f"c{len(names)}"])
-    # a filter, so that it holds whichever columns are read (Spark wants a column of the file beside the broken row)
-    too_long = F.raise_error(F.concat(F.lit("CSV row with too many cells: "), F.coalesce(F.col(_BROKEN), F.col(f"`{names[0]}`"))))
+    # a filter, so that it holds whichever columns are read; it names all, as a row is only compared with the columns that are read
+    too_long = F.raise_error(F.concat(F.lit("CSV row with too many cells: "), F.coalesce(F.col(_BROKEN), *[F.col(f"`{c}`") for c in names])))
     tokens = list(null_tokens)
     text = raw.filter(F.when(F.col(_EXTRA).isNotNull(), too_long.cast("boolean")).otherwise(
         F.lit(True))).select(*[F.when((value := F.col(f"`{c}`")).isin(tokens), F.lit(None).cast("string")).otherwise(value).alias(c) for c in names])
