@@ -80,7 +80,7 @@ class _Moments:
     """Rows, extremes, mean and squared deviations, merged batch by batch."""
 
     def __init__(self):
-        self.n, self.min, self.max, self.mean, self.m2 = 0, np.inf, -np.inf, 0.0, 0.0
+        self.n, self.min, self.max, self.mean, self.m2, self.total = 0, np.inf, -np.inf, 0.0, 0.0, 0.0
 
     def add(self, x: np.ndarray) -> None:
         if not len(x):
@@ -89,10 +89,11 @@ class _Moments:
         step, total = mean - self.mean, self.n + n
         self.m2 += float(((x - mean) ** 2).sum()) + step * step * self.n * n / total
         self.mean += step * n / total if self.n else mean
+        self.total = float(np.cumsum(np.concatenate([[self.total], x]))[-1])  # one by one, as SQL engines add
         self.n, self.min, self.max = total, min(self.min, float(x.min())), max(self.max, float(x.max()))
 
 
-_SCHEMA = "id int, slot int, digit long, n long, lo double, hi double, mean double, m2 double"
+_SCHEMA = "id int, slot int, digit long, n long, lo double, hi double, mean double, m2 double, total double"
 
 
 def _digit_counts(numbers: DataFrame, level: int, prefixes: dict[int, list[int]] | None) -> DataFrame:
@@ -103,12 +104,12 @@ def _digit_counts(numbers: DataFrame, level: int, prefixes: dict[int, list[int]]
     shift, above = 64 - sum(DIGITS[:level + 1]), np.uint64(64 - sum(DIGITS[:level]))
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
 
-    def rows(i: int, slot: int, digit: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, mean=None, m2=None) -> pa.RecordBatch:
+    def rows(i: int, slot: int, digit: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, mean=None, m2=None, total=None) -> pa.RecordBatch:
         k = len(n)
         return pa.RecordBatch.from_arrays([
             pa.array(np.full(k, i, np.int32)), pa.array(np.full(k, slot, np.int32)), pa.array(digit.astype(np.int64)),
             pa.array(np.asarray(n, np.int64)), pa.array(lo, pa.float64()), pa.array(hi, pa.float64()),
-            pa.array([mean] * k, pa.float64()), pa.array([m2] * k, pa.float64())], names)
+            *[pa.array([v] * k, pa.float64()) for v in (mean, m2, total)]], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], _Counts] = {}
@@ -140,7 +141,7 @@ def _digit_counts(numbers: DataFrame, level: int, prefixes: dict[int, list[int]]
         zero, none = np.zeros(1, np.int64), np.array([np.nan])
         if prefixes is None:
             for i, m in moments.items():
-                yield rows(i, -1, zero, [m.n], np.array([m.min]), np.array([m.max]), m.mean, m.m2)
+                yield rows(i, -1, zero, [m.n], np.array([m.min]), np.array([m.max]), m.mean, m.m2, m.total)
             yield rows(-1, -1, zero, [total], none, none)
 
     return materialised(numbers.mapInArrow(count, _SCHEMA), f"digits-{level}")
@@ -165,8 +166,8 @@ def summaries(numbers: DataFrame) -> tuple[int, list[Summary]]:
     whole = Window.partitionBy("id")
     mean = F.sum(F.when(F.col("n") > 0, F.col("mean") * F.col("n"))).over(whole) / F.sum("n").over(whole)
     spread = F.col("m2") + F.col("n") * (F.col("mean") - F.col("all_mean")) * (F.col("mean") - F.col("all_mean"))
-    known = task.filter("id < 0 OR n > 0").withColumn("all_mean", mean).groupBy("id").agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("all_mean").alias("mean"), F.sum(spread).alias("m2"))
+    known = task.filter("n > 0").withColumn("all_mean", mean).groupBy("id").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.sum("total") / F.sum("n")).alias("mean"), F.sum(spread).alias("m2"))
     out, rows = [Summary() for _ in columns], 0
     for r in known.collect():  # one row for each column
         if r.id < 0:
