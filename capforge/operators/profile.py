@@ -64,7 +64,8 @@ def table_metadata(df: DataFrame, n: int = 1, order: Sequence[str] = ()) -> Data
 
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[_num(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    """The columns as DOUBLE with NaN read as missing, c0, c1, ... (as SQL text: one call for any number of them)."""
+    return df.selectExpr(*[f"nanvl(CAST({valuecounts.quoted(c)} AS DOUBLE), CAST(NULL AS DOUBLE)) AS c{i}" for i, c in enumerate(columns)])
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
