@@ -55,3 +55,49 @@ def test_predict_record_and_oot(spark, scratch):
     assert prev.count() == 5 and spark.read.parquet(runs).collect()[0].status == "completed"
     oot = ML.oot_evaluation(model, d, FEATS, "y", "l_shipdate", "1999-01-01").collect()
     assert {r.part for r in oot} == {"horizon_1", "horizon_2"}
+
+
+def test_rounds_go_over_counted_cells_with_the_same_trees(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    d = spark.range(3000).selectExpr(
+        "(id * 7919) % 3001 / 3001.0 AS a", "CAST((id * 31) % 9 AS double) AS b", "if(id % 50 = 0, id % 7, 0) AS c", "CAST(id AS string) AS k")
+    d = d.withColumn("y", F.expr(
+        "int(pmod(hash(k), 100) < 20 + 60 * int(a > 0.4 and b < 5) + 10 * c)")).withColumn("z", F.expr("100 * a * b + c + pmod(hash(k), 50)"))
+    big = d.union(d).union(d).withColumn("k", F.concat_ws("-", "k", F.monotonically_increasing_id()))
+    feats = ["a", "b", "c"]
+    for train, est, label, by_label in ((ML.train_classifier, GBTClassifier, "y", True), (ML.train_regressor, GBTRegressor, "z", False)):
+        model, _ = train(big, feats, label, key="k", maxIter=4, maxDepth=4)
+        bins, assembler, fitted = model.stages
+        rows, _ = ML.train_test_split(big.withColumn("__label", F.col(label).cast("double")), "k")
+        cells = ML._cells(rows, bins, by_label)
+        assert cells.count() <= 32 * 9 * 7 * (2 if by_label else 1) < rows.count()
+        assert cells.agg(F.sum("__weight")).first()[0] == rows.count()
+        # the same trees from single rows
+        names = bins.getOutputCols()
+        one = bins.transform(rows).select(*[F.col(c).alias(c, metadata={}) for c in names], "__label")
+        plain = est(featuresCol="__features", labelCol="__label", predictionCol="__prediction", seed=42, maxIter=4, maxDepth=4,
+                    stepSize=0.1).fit(assembler.transform(one))
+        a = [r[0] for r in model.transform(d).orderBy("k").select("__prediction").collect()]
+        b = [r[0] for r in plain.transform(assembler.transform(bins.transform(d))).orderBy("k").select("__prediction").collect()]
+        assert a == pytest.approx(b, abs=1e-9) and len(set(a)) > 1
+
+
+def test_bins_hold_every_frequent_value_alone():
+    assert ML.bin_bounds([1.0, 1.0, 2.0, 4.0], 3) == [1.5, 3.0]
+    assert ML.bin_bounds([3.0] * 5, 32) == [] and ML.bin_bounds([], 32) == []
+    assert ML.bin_bounds([float("-inf"), 1.0, float("inf")], 4) == [1.0]
+    skewed = [0.0] * 900 + [float(i) for i in range(1, 101)]
+    bounds = ML.bin_bounds(skewed, 32)
+    assert bounds[0] == 0.5 and len(bounds) == 31 and max(b - a for a, b in zip(bounds, bounds[1:])) <= 5
+
+
+def test_missing_labels_and_settings_by_row(spark):
+    d = spark.range(400).selectExpr("id % 5 AS a", "if(id % 5 = 3, null, id * 1.5D) AS z", "id % 2 AS y", "id AS k")
+    with pytest.raises(Exception, match="(?i)null"):
+        ML.train_regressor(d, ["a"], "z", key="k", maxIter=1)
+    model, m = ML.train_classifier(d, ["a"], "y", key="k", maxIter=1, subsamplingRate=0.5)
+    assert len(model.stages) == 2 and 0 <= m.first().accuracy <= 1
+    model, _ = ML.train_classifier(d.withColumn("a", F.lit(1)), ["a"], "y", key="k", maxIter=1)  # one value
+    assert model.transform(d.withColumn("a", F.lit(1))).count() == 400
