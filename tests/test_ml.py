@@ -101,3 +101,21 @@ def test_missing_labels_and_settings_by_row(spark):
     assert len(model.stages) == 2 and 0 <= m.first().accuracy <= 1
     model, _ = ML.train_classifier(d.withColumn("a", F.lit(1)), ["a"], "y", key="k", maxIter=1)  # one value
     assert model.transform(d.withColumn("a", F.lit(1))).count() == 400
+
+
+def test_scores_are_looked_up_by_cell(spark, monkeypatch):
+    d = spark.range(900).selectExpr("(id * 7919) % 901 / 901.0 AS a", "CAST(id % 9 AS double) AS b", "id AS k", "int(id % 9 > 4) AS y",
+                                    "id % 3 AS cls", "id % 9 + (id * 7919) % 901 / 9.0 AS z")
+    odd = spark.createDataFrame([(v, w, 1000 + 10 * i + j, 0, 0, 0.0) for i, v in enumerate([None, float("nan"), float("inf"), -1e300, 0.0, 2.0])
+                                 for j, w in enumerate([None, float("nan"), float("-inf"), 4.5, 99.0])], "a double, b double, k long, y int, cls long, z double")
+    data = d.union(odd).union(odd)  # rows that repeat stay
+    for train, label, outputs in ((ML.train_classifier, "y", ["__prediction", "probability"]), (ML.train_classifier, "cls", ["__prediction"]),
+                                  (ML.train_regressor, "z", ["__prediction"])):
+        model, _ = train(d, ["a", "b"], label, key="k", maxIter=3, maxDepth=3)
+        plan = ML.score(model, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range (0" in plan and "broadcast" in plan  # before: every row went through every tree
+        want = sorted(str(tuple(r)) for r in model.transform(data).select(*data.columns, *outputs).collect())
+        assert sorted(str(tuple(r)) for r in ML.score(model, data, outputs).collect()) == want
+        with monkeypatch.context() as m:
+            m.setattr(ML, "GRID", 1)  # a grid beyond the bound isn't built
+            assert sorted(str(tuple(r)) for r in ML.score(model, data, outputs).collect()) == want
