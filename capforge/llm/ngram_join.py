@@ -36,13 +36,14 @@ import random
 from typing import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capforge.llm.common import HEAVY, columns_of, fresh, join_counted, mix, stored, task_memory, text_or_empty, with_row_id
+from capforge.llm.common import BROADCAST_ROWS, HEAVY, columns_of, fresh, join_counted, mix, stored, task_memory, text_or_empty, with_row_id
 from capforge.llm.components import components
 
 BLOOM_BITS = 1 << 23
@@ -275,7 +276,9 @@ def tile_keys(rows: DataFrame, classes: DataFrame, n: int, percent: int) -> tupl
     band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) + 1e-6)).cast("int")
     listed = known.join(reps, "rid", "left_semi").select("rid", F.explode("list").alias("key"))
     total = known.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    often = known.filter("rid = -1").select(F.explode("list").alias("key")).distinct()
+    often = stored(known.filter("rid = -1").select(F.explode("list").alias("key")).distinct(), "often")
+    if often.count() <= BROADCAST_ROWS:  # else the lists are shuffled to find which of these are hot
+        often = F.broadcast(often)
     hot = stored(listed.join(often, "key").groupBy("key").agg(F.count(F.lit(1)).alias("of")).filter(F.col("of") * HEAVY > total), "hot")
     # fewer than HEAVY shingles are hot; the lists of each other one meet in a shuffle
     rest = listed.join(F.broadcast(hot.select("key")), "key", "left_anti").withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("key")))
@@ -368,8 +371,19 @@ def ngram_jaccard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns."""
-    rid = fresh(docs, "__rid")
+    """The rows of ``docs`` that stay, with its columns. Those that a Bloom filter of the dropped ones doesn't know stay
+    where they are; only the others are shuffled, to join them with the ids of all that stay."""
+    rid, maybe = fresh(docs, "__rid"), fresh(docs, "__maybe")
     rows = stored(with_row_id(docs, rid), "numbered")
-    stays = ngram_jaccard(rows, doc_id, text, n, percent, rid).filter("kept").select(F.col("rid").alias(rid))
-    return rows.join(stays, rid, "left_semi").select(*columns_of(docs))
+    found = stored(ngram_jaccard(rows, doc_id, text, n, percent, rid).select("rid", "kept"), "kept")
+    bits = bloom_filter(found.filter("not kept"))
+
+    def known(first: pd.Series, second: pd.Series) -> pd.Series:
+        a, b = first.to_numpy(), second.to_numpy()
+        return pd.Series((bits[a >> 6] >> (a & 63)) & (bits[b >> 6] >> (b & 63)) & 1 == 1)
+
+    hit = F.pandas_udf(known, "boolean")
+    rows = rows.withColumn(maybe, hit(*[bloom_word(F.col(rid), i) for i in (1, 2)]))
+    stays = found.filter("kept").select(F.col("rid").alias(rid))
+    sure, open_ = rows.filter(~F.col(maybe)), rows.filter(maybe).join(stays, rid, "left_semi")
+    return sure.select(*columns_of(docs)).unionByName(open_.select(*columns_of(docs)))

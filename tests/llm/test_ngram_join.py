@@ -88,6 +88,19 @@ def test_stage_keeps_one_of_each(frame):
     assert kept.count() == len({c for _, n, c in want if n}) + sum(n == 0 for _, n, _ in want)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 23])
+def test_only_rows_that_a_filter_of_the_dropped_ones_knows_are_shuffled(frame, monkeypatch, bits):
+    monkeypatch.setattr(J, "BLOOM_BITS", bits)  # a full filter lets all rows through, a join decides
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0 if bits == 64 else 100)
+    rows = varied(8) + EDGE
+    kept = J.keep_one_of_each(frame(rows), n=3, percent=80)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")  # before: one join of all texts
+    got_ids = sorted((r.doc_id for r in kept.collect()), key=repr)
+    alone = sorted((r.doc_id for r in J.ngram_jaccard(frame(rows), n=3, percent=80).filter("kept").collect()), key=repr)
+    assert got_ids == alone
+
+
 def test_empty(frame):
     assert J.ngram_jaccard(frame(EDGE).limit(0)).count() == 0
     assert J.ngram_jaccard(frame(EDGE[:3])).filter("n_shingles = 0 AND component_id = doc_id AND kept").count() == 3
