@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join: size-banded tiles, hashed bitmap signatures, exact sorted-array intersection.
+"""N-gram Jaccard self-join: tiles of equal parts, hashed bitmap signatures, exact sorted-array intersection.
 
 A text's set is its distinct word shingles (words ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased;
 with fewer than ``n`` words the whole sequence is one shingle; without words the set is empty and linked
@@ -7,19 +7,22 @@ rows reachable by links. Shingles are 64-bit hashes.
 
 1. Rows with equal sets form a class; from here on a class is one row (its sets' row with the smallest
    id). Copies are linked without being paired.
-2. Linked sets share at least ceil(percent |a| / 100) shingles, so of the first |a| - ceil(percent |a| / 100) + m of
-   each in hash order they share at least m; these are a set's list. How many lists hold a shingle is counted, and
-   each list is ordered by that, the rarest first: of the list less m the linked sets share at least one (less m, plus
-   4, at least 4) in this order too, and only these are keys. So a passage that many documents share is the
-   last to become a key, however large the table is.
-3. A tile is a key and a size band: a band's home rows with the rows of the band below it; linked sets
-   differ by at most one band. Each row's bitmap has one bit for each shingle hash modulo its length,
+2. A level holds the pairs whose larger set has 2^(l-1) + 1 to 2^l shingles; a set is of the level of its own size and of those
+   that larger linked sets may have. Each level deals all shingles into parts by their hash, the same for all its sets. Sets of
+   sizes a and b that are linked differ in d = (a + b) (100 - percent) / (100 + percent) shingles at most, and each spoils one
+   part only: of the parts that aren't empty a set shares all but d with any linked one, whole. So a key is all of a
+   part's shingles. Of a set's parts, the largest first, the first d + s are its list. How many lists hold a key is counted, and each
+   list is ordered by that, the rarest first: the first d + 1 are a set's keys, of which it shares one with any linked
+   set. So neither single shingles that occur by chance in many texts nor, up to s, parts of passages that many share are keys.
+   Sets that have no more than d parts with shingles (few, and small) have single shingles as keys too: linked sets share at least
+   ceil(percent |a| / 100), so of the first |a| - ceil(percent |a| / 100) + m of each in hash order they share at least m.
+3. Each row's bitmap has one bit for each shingle hash modulo its length,
    set when an odd number of shingles falls on it. The bits that differ between two bitmaps are at most the
    symmetric difference, which bounds the intersection from above by (|a| + |b| - bits) / 2.
-4. Keys that one list only holds make no tile. In each tile one row is the pivot; a row is compared with the likeliest pivots of its tiles only, so a
-   tile of m near copies costs m comparisons. Rows connected through pivots get one label; then all pairs of a tile with different labels are compared, 256 bits of their
-   bitmaps first, and those that share m keys are kept. Pairs within one label can add nothing to the
-   components and are never made.
+4. The rows that have a key are its tile; keys that one list only holds make none. In each tile one row is the pivot; a row is compared with the
+   likeliest pivots of its tiles only, so a tile of m near copies costs m comparisons. Rows connected through pivots get one label; then all
+   pairs of a tile with different labels are compared, 256 bits of their bitmaps first. Pairs within one label can
+   add nothing to the components and are never made.
 5. Pairs that pass the bitmap bound are intersected exactly: the sorted arrays are built again from the
    texts of these rows alone (a fixed-size Bloom filter of their ids thins the scan, a join makes it exact).
 6. Components by alternating large-star and small-star steps over the links, as stored tables.
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 import math
 import random
+from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
@@ -48,10 +52,12 @@ from capforge.llm.components import components
 
 BLOOM_BITS = 1 << 23
 ROUNDS = 1
-#: Keys that two linked rows share at least, where their sizes ask for as many.
+#: Single shingles that two linked rows' lists share at least, where their sizes ask for as many.
 SHARED = 4
-#: A list has one of so many shingles beyond what linked sets must share.
+#: A list of single shingles has one of so many beyond what linked sets must share.
 SPARE = 20
+#: A list has one of so many keys beyond the parts that linked sets may differ in.
+SPARE_PARTS = 8
 #: Orders of ids among which a key chooses the one that decides its pivot.
 ORDERS = 4
 #: Pivots that a row is compared with in a round: those with the best bounds.
@@ -155,6 +161,58 @@ def list_sizes(n: int, percent: int) -> tuple[int, int, int]:
     return size, size - common + least, least
 
 
+def may_differ(a: int, b: int, percent: int) -> int:
+    """In how many shingles linked sets of these sizes differ at most."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def level_of(n: int) -> int:
+    return (n - 1).bit_length()
+
+
+@lru_cache
+def parts_of(level: int, percent: int) -> tuple[int, int]:
+    """How many parts a level deals shingles into, and how many keys its lists have to spare: as few parts as leave its
+    largest sets enough that aren't empty."""
+    top = 1 << level
+    differ = may_differ(top, top, percent)
+    more = 1 + differ // SPARE_PARTS
+    parts = differ + more
+    while parts < 4 * differ + 8:
+        empty = parts * math.exp(-top / parts)  # about so many, and twice its deviation
+        if parts - empty - 2 * math.sqrt(empty) > differ + more:
+            break
+        parts += 1 + parts // 50
+    return parts, more
+
+
+def part_keys(x: np.ndarray, level: int, parts: int) -> np.ndarray:
+    """Of the sorted array ``x`` a key for each part that isn't empty, in an order that all sets share: those of most shingles first."""
+    part = ((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending as x is
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    tag = mix(part[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level + 1))
+    keys = mix(np.add.reduceat(mix(x), starts) + tag)
+    return keys[np.lexsort((keys, -np.diff(starts, append=len(x))))]
+
+
+def key_lists(x: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(level, how many of the list are keys, list) of a set at each of its levels, and at level -1 its single shingles where
+    the parts of a level are too few. Sets that only equal ones are linked with have no lists."""
+    n, out, few = len(x), [], False
+    for level in range(level_of(n), level_of(100 * n // percent) + 1) if n else ():
+        differ = may_differ(n, min(1 << level, 100 * n // percent), percent)
+        if not differ:
+            continue
+        parts, more = parts_of(level, percent)
+        keys = part_keys(x, level, parts)
+        few |= len(keys) <= differ
+        out.append((level, min(len(keys), differ + 1), keys[:differ + more]))
+    if few:
+        size, keep, _ = list_sizes(n, percent)
+        out.append((-1, keep, mix(x[:size])))
+    return out
+
+
 def signature(x: np.ndarray) -> np.ndarray:
     """A parity bitmap of 256 bits, whatever the size of the set, as four 64-bit words."""
     odd = np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1
@@ -203,33 +261,34 @@ def sets_of(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 
 def profiles(rows: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """Stored (rid, n, size, keep, least, bitmap, s0 to s3, list) of the rows ``reps`` and few others (see
-    ``bloom_filter``): the list and its sizes as in ``list_sizes``. Rows with rid -1 name shingles of many lists."""
+    """Stored (rid, n, bitmap, s0 to s3, level, size, keep, list) of the rows ``reps`` and few others (see ``bloom_filter``):
+    a row for each of ``key_lists``, the bitmaps on the first of a rid only. Rows with rid -1 name keys of many lists."""
     bits = bloom_filter(reps)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, text = passed(batch, bits)
-            out: list[list] = [[] for _ in range(10)]
-            for x in shingle_sets(text, n):
-                size, keep, least = list_sizes(len(x), percent)
-                row = (len(x), size, keep, least, bitmap(x) if len(x) else b"", *signature(x), x.view(np.int64)[:size])
-                for column, value in zip(out, row):
-                    column.append(value)
-            # shingles in more than a thousandth of these lists' places: any that is so often in all lists is so in some batch
-            places = np.concatenate(out[9]) if out[9] else np.zeros(0, np.int64)
+            out: list[list] = [[] for _ in range(11)]
+            for r, x in zip(rid.to_pylist(), shingle_sets(text, n)):
+                marks = [bitmap(x), *signature(x)] if len(x) else []
+                for level, keep, keys in key_lists(x, percent):
+                    row = (r, len(x), *(marks or [None] * 5), level, len(keys), keep, keys.view(np.int64))
+                    marks = []
+                    for column, value in zip(out, row):
+                        column.append(value)
+            # keys in more than a thousandth of these lists' places: any that is so often in all lists is so in some batch
+            places = np.concatenate(out[10]) if out[10] else np.zeros(0, np.int64)
             key, times = np.unique(places, return_counts=True)
             often = key[(times > 1) & (times * HEAVY >= len(places))]
             if len(often):
-                rid = pa.concat_arrays([rid, pa.array([-1], rid.type)])
-                for column, value in zip(out, (None, None, None, None, None, None, None, None, None, often)):
+                for column, value in zip(out, (-1, *[None] * 9, often)):
                     column.append(value)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()] + [pa.int64()] * 4 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([rid] + [pa.array(c, t) for c, t in zip(out, types)],
-                                             ["rid", "n", "size", "keep", "least", "bitmap", "s0", "s1", "s2", "s3", "list"])
+            types = [pa.int64(), pa.int64(), pa.binary()] + [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)],
+                                             ["rid", "n", "bitmap", "s0", "s1", "s2", "s3", "level", "size", "keep", "list"])
 
-    return stored(hashed(rows).mapInArrow(describe, "rid long, n long, size int, keep int, least int, bitmap binary, s0 long, s1 long, "
-                                                    "s2 long, s3 long, list array<long>"), "profiles")
+    return stored(hashed(rows).mapInArrow(describe, "rid long, n long, bitmap binary, s0 long, s1 long, s2 long, s3 long, level int, "
+                                                    "size int, keep int, list array<long>"), "profiles")
 
 
 def bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -269,28 +328,28 @@ def links(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def tile_keys(rows: DataFrame, classes: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Stored (rid, n, key, band) of the keys that several classes have, and the profiles of those classes."""
+    """Stored (rid, n, key) of the keys that several classes have, and the bitmaps of those classes."""
     reps = classes.select(F.col("rep").alias("rid"))
     known = profiles(rows, reps, n, percent)
-    # a little wider than the largest ratio of two linked sizes, so that these differ by one band at most
-    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) + 1e-6)).cast("int")
-    listed = known.join(reps, "rid", "left_semi").select("rid", F.explode("list").alias("key"))
-    total = known.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    lists = known.filter("rid >= 0").select("rid", "n", "level", "size", "keep", "list")
+    listed = lists.select("rid", "level", F.explode("list").alias("key"))
+    total = lists.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     often = stored(known.filter("rid = -1").select(F.explode("list").alias("key")).distinct(), "often")
     if often.count() <= BROADCAST_ROWS:  # else the lists are shuffled to find which of these are hot
         often = F.broadcast(often)
     hot = stored(listed.join(often, "key").groupBy("key").agg(F.count(F.lit(1)).alias("of")).filter(F.col("of") * HEAVY > total), "hot")
-    # fewer than HEAVY shingles are hot; the lists of each other one meet in a shuffle
+    # fewer than HEAVY keys are hot; the lists of each other one meet in a shuffle
     rest = listed.join(F.broadcast(hot.select("key")), "key", "left_anti").withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    counted = rest.filter("of > 1").select("rid", "key", "of").unionByName(listed.join(F.broadcast(hot), "key").select("rid", "key", "of"))
-    by_row = Window.partitionBy("rid")
-    # shingles of one list only come first in its order: as many places are taken
-    place = F.row_number().over(by_row.orderBy("of", "key")) - F.count(F.lit(1)).over(by_row)
-    home = counted.withColumn("place", place).join(known.select("rid", "n", "size", "keep"), "rid").filter(
-        F.col("place") + F.col("size") <= F.col("keep")).select("rid", "n", "key", band.alias("band"))
-    home = stored(home, "keys")
-    known = known.drop("list", "size", "keep").join(home.select("rid").distinct(), "rid", "left_semi")
-    return home, stored(known, "known")
+    names = ["rid", "level", "key", "of"]
+    counted = stored(rest.filter("of > 1").select(*names).unionByName(listed.join(F.broadcast(hot), "key").select(*names)), "counted")
+    by_list = Window.partitionBy("rid", "level")
+    # keys of one list only come first in its order: as many places are taken
+    place = F.row_number().over(by_list.orderBy("of", "key")) - F.count(F.lit(1)).over(by_list)
+    placed = counted.join(reps, "rid", "left_semi").withColumn("place", place)  # without the others that the filter let through
+    home = stored(placed.join(lists.drop("list"), ["rid", "level"]).filter(
+        F.col("place") + F.col("size") <= F.col("keep")).select("rid", "n", "key"), "keys")
+    marks = known.filter("bitmap is not null").select("rid", "n", "bitmap", "s0", "s1", "s2", "s3")
+    return home, stored(marks.join(home.select("rid").distinct(), "rid", "left_semi"), "known")
 
 
 def labelled(df: DataFrame, labels: DataFrame | None, rid: str, label: str) -> DataFrame:
@@ -305,26 +364,24 @@ def labelled(df: DataFrame, labels: DataFrame | None, rid: str, label: str) -> D
 def candidates(home: DataFrame, known: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
     """(a, b) to compare: rows with the pivots of their tiles, or in the last round all pairs of a tile,
     where the labels differ."""
-    now = labelled(home, labels, "rid", "label").withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
+    now = labelled(home, labels, "rid", "label")
     # another order of ids, another pivot: so the keys of a large group have several
     masks = F.array(*[F.lit(random.Random(turn * ORDERS + i).getrandbits(62)) for i in range(ORDERS)])
     mask = F.element_at(masks, (F.pmod(F.xxhash64("key"), F.lit(ORDERS)) + 1).cast("int"))
-    info = now.groupBy("key", "tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(
-        F.col("rid").bitwiseXOR(mask)).alias("p")).filter("lo < hi").select("key", "tile", F.col("p").bitwiseXOR(mask).alias("b"))
+    info = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(
+        F.col("rid").bitwiseXOR(mask)).alias("p")).filter("lo < hi").select("key", F.col("p").bitwiseXOR(mask).alias("b"))
     if turn < ROUNDS:
-        pairs = now.join(labelled(info, labels, "b", "lb"), ["key", "tile"]).filter("label <> lb")
+        pairs = now.join(labelled(info, labels, "b", "lb"), "key").filter("label <> lb")
         return pairs.select(F.col("rid").alias("a"), "b").distinct()
-    mixed = now.join(info.select("key", "tile"), ["key", "tile"]).join(known.select("rid", "least", "s0", "s1", "s2", "s3"), "rid")
-    names = ["rid", "n", "label", "band", "least", "s0", "s1", "s2", "s3"]
-    one, two = (mixed.select("key", "tile", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "ab")
+    mixed = now.join(info.select("key"), "key").join(known.select("rid", "s0", "s1", "s2", "s3"), "rid")
+    names = ["rid", "n", "label", "s0", "s1", "s2", "s3"]
+    one, two = (mixed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "ab")
     n_a, n_b, both = F.col("n_a"), F.col("n_b"), F.col("n_a") + F.col("n_b")
     differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(4)), F.lit(0))
     # n + m - differ may be odd: twice the bound is compared
     bound = F.least(both - differ, 2 * n_a, 2 * n_b) * (100 + percent) >= 2 * percent * both
-    once = F.col("tile") == F.greatest("band_a", "band_b")  # two rows of one band meet in two tiles
-    pairs = one.join(two, ["key", "tile"]).filter((F.col("rid_a") < F.col("rid_b")) & (F.col("label_a") != F.col("label_b")) & once & bound)
-    return pairs.groupBy(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.min(F.least("least_a", "least_b")).alias("least")).filter("shared >= least").select("a", "b")
+    pairs = one.join(two, "key").filter((F.col("rid_a") < F.col("rid_b")) & (F.col("label_a") != F.col("label_b")) & bound)
+    return pairs.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).distinct()
 
 
 def near_components(rows: DataFrame, n: int, percent: int) -> DataFrame:

@@ -139,3 +139,51 @@ def test_shingles_of_slices(texts, n):
     whole = pa.array(["pad é x"] + texts)
     sizes = [len(x) for x in J.shingle_sets(whole.slice(1), n)]
     assert sizes == [len(shingles(t, n)) for t in texts]
+
+
+def spoilt(base, rnd, percent):
+    """A set that is linked with ``base``, as far from it as may be."""
+    other, fresh = set(base), rnd.getrandbits(64)
+    while True:
+        now = set(other)
+        now.discard(rnd.choice(sorted(now & set(base)) or [0]))
+        if rnd.random() < 0.5:
+            now.add(fresh := rnd.getrandbits(64))
+        if not now or not J.linked(len(now & set(base)), len(now), len(base), percent):
+            return other
+        other = now
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+@pytest.mark.parametrize("parts", [None, 2])
+def test_linked_sets_share_a_key_of_equal_parts(monkeypatch, percent, parts):
+    """Keys are the first of a list in any order that all share; with too few parts, single shingles are keys as well."""
+    if parts:
+        monkeypatch.setattr(J, "parts_of", lambda level, percent: (parts, 1))
+    rnd = random.Random(percent)
+    for size in [1, 2, 3, 5, 8, 9, 10, 11, 15, 16, 17, 30, 32, 33, 60, 64, 65, 100, 127, 128, 129, 250, 256, 257, 700, 1024, 1025]:
+        base = {rnd.getrandbits(64) for _ in range(size)}
+        other = spoilt(base, rnd, percent)
+        if other == base:
+            continue
+        for seed in range(3):
+            keys = []
+            for x in (base, other):
+                lists = J.key_lists(np.array(sorted(x), np.uint64), percent)
+                assert all(1 <= keep <= len(k) for _, keep, k in lists)
+                keys.append({(level, v) for level, keep, k in lists for v in sorted(k.tolist(), key=lambda v: hash((v, seed)))[:keep]})
+            assert keys[0] & keys[1]
+
+
+def test_shingles_that_many_texts_have_by_chance_make_no_pairs(frame):
+    """Before, a tile was a single shingle: 240 texts over few words made thousands of pairs, as the square of their number."""
+    rnd = random.Random(1)
+    df = frame([(i, " ".join(f"w{rnd.randrange(20)}" for _ in range(200))) for i in range(240)]).selectExpr("doc_id AS rid", "text")
+    home, _ = J.tile_keys(df, J.class_rows(df, 3).selectExpr("rid AS rep"), 3, 80)
+    assert home.groupBy("key").count().selectExpr("coalesce(sum(count * (count - 1) / 2), 0) AS n").first().n <= 240
+
+
+def test_sets_with_too_few_parts(frame, monkeypatch):
+    monkeypatch.setattr(J, "parts_of", lambda level, percent: (3, 1))  # nearly all sets need single shingles
+    rows = varied(11) + EDGE[:8]
+    assert got(frame(rows), 3, 80) == brute(rows, 3, 80)
