@@ -19,10 +19,12 @@ rows reachable by links. Shingles are 64-bit hashes.
 3. Each row's bitmap has one bit for each shingle hash modulo its length,
    set when an odd number of shingles falls on it. The bits that differ between two bitmaps are at most the
    symmetric difference, which bounds the intersection from above by (|a| + |b| - bits) / 2.
-4. The rows that have a key are its tile; keys that one list only holds make none. In each tile one row is the pivot; a row is compared with the
+4. The rows that have a key are its tile; keys that one list only holds make none. In each tile one row is the pivot, the one whose list
+   others share most of (of a group of near copies the one nearest to all); a row is compared with the
    likeliest pivots of its tiles only, so a tile of m near copies costs m comparisons. Rows connected through pivots get one label; then all
    pairs of a tile with different labels are compared, 256 bits of their bitmaps first. Pairs within one label can
-   add nothing to the components and are never made.
+   add nothing to the components and are never made. Rows that share many keys are paired in the first of their tiles and
+   few others: each row of a tile knows the keys before it, and of two rows that have one of those in common this tile makes no pair.
 5. Pairs that pass the bitmap bound are intersected exactly: the sorted arrays are built again from the
    texts of these rows alone (a fixed-size Bloom filter of their ids thins the scan, a join makes it exact).
 6. Components by alternating large-star and small-star steps over the links, as stored tables.
@@ -62,6 +64,8 @@ SPARE_PARTS = 8
 ORDERS = 4
 #: Pivots that a row is compared with in a round: those with the best bounds.
 TRIED = 5
+#: Keys before a tile's in a row's order, by which pairs of two rows that met in an earlier tile are known.
+LAST = 8
 SLICE = 1_000_000
 
 
@@ -328,7 +332,8 @@ def links(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def tile_keys(rows: DataFrame, classes: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Stored (rid, n, key) of the keys that several classes have, and the bitmaps of those classes."""
+    """Stored (rid, n, key, common) of the keys that several classes have, and the bitmaps of those classes; common: how often
+    all lists hold what this list holds, so the largest is a group's most typical row."""
     reps = classes.select(F.col("rep").alias("rid"))
     known = profiles(rows, reps, n, percent)
     lists = known.filter("rid >= 0").select("rid", "n", "level", "size", "keep", "list")
@@ -345,9 +350,10 @@ def tile_keys(rows: DataFrame, classes: DataFrame, n: int, percent: int) -> tupl
     by_list = Window.partitionBy("rid", "level")
     # keys of one list only come first in its order: as many places are taken
     place = F.row_number().over(by_list.orderBy("of", "key")) - F.count(F.lit(1)).over(by_list)
-    placed = counted.join(reps, "rid", "left_semi").withColumn("place", place)  # without the others that the filter let through
+    placed = counted.join(reps, "rid", "left_semi").withColumn("place", place).withColumn(  # without the others that the filter let through
+        "common", F.sum("of").over(by_list))
     home = stored(placed.join(lists.drop("list"), ["rid", "level"]).filter(
-        F.col("place") + F.col("size") <= F.col("keep")).select("rid", "n", "key"), "keys")
+        F.col("place") + F.col("size") <= F.col("keep")).select("rid", "n", "key", "common"), "keys")
     marks = known.filter("bitmap is not null").select("rid", "n", "bitmap", "s0", "s1", "s2", "s3")
     return home, stored(marks.join(home.select("rid").distinct(), "rid", "left_semi"), "known")
 
@@ -368,20 +374,31 @@ def candidates(home: DataFrame, known: DataFrame, labels: DataFrame | None, turn
     # another order of ids, another pivot: so the keys of a large group have several
     masks = F.array(*[F.lit(random.Random(turn * ORDERS + i).getrandbits(62)) for i in range(ORDERS)])
     mask = F.element_at(masks, (F.pmod(F.xxhash64("key"), F.lit(ORDERS)) + 1).cast("int"))
-    info = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(
-        F.col("rid").bitwiseXOR(mask)).alias("p")).filter("lo < hi").select("key", F.col("p").bitwiseXOR(mask).alias("b"))
+    first = F.lit(0) if turn else -F.col("common")
+    info = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(
+        first.alias("first"), F.col("rid").bitwiseXOR(mask).alias("x"))).alias("p")).filter("lo < hi").select(
+            "key", F.col("p.x").bitwiseXOR(mask).alias("b"))
     if turn < ROUNDS:
         pairs = now.join(labelled(info, labels, "b", "lb"), "key").filter("label <> lb")
         return pairs.select(F.col("rid").alias("a"), "b").distinct()
     mixed = now.join(info.select("key"), "key").join(known.select("rid", "s0", "s1", "s2", "s3"), "rid")
-    names = ["rid", "n", "label", "s0", "s1", "s2", "s3"]
+    return tile_pairs(mixed, percent).distinct()
+
+
+def tile_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the rows (rid, n, key, label, s0 to s3) of a tile with different labels that 256 bits allow a link. A pair may
+    come from several of its tiles, but not from those before which, by ``LAST`` keys of both rows, it met in another."""
+    by_row = Window.partitionBy("rid").orderBy("key")
+    mixed = mixed.withColumn("last", F.collect_list("key").over(by_row.rowsBetween(-LAST, -1)))
+    names = ["rid", "n", "label", "s0", "s1", "s2", "s3", "last"]
     one, two = (mixed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "ab")
     n_a, n_b, both = F.col("n_a"), F.col("n_b"), F.col("n_a") + F.col("n_b")
     differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(4)), F.lit(0))
     # n + m - differ may be odd: twice the bound is compared
     bound = F.least(both - differ, 2 * n_a, 2 * n_b) * (100 + percent) >= 2 * percent * both
-    pairs = one.join(two, "key").filter((F.col("rid_a") < F.col("rid_b")) & (F.col("label_a") != F.col("label_b")) & bound)
-    return pairs.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).distinct()
+    pairs = one.join(two, "key").filter((F.col("rid_a") < F.col("rid_b")) & (F.col("label_a") != F.col("label_b")) & bound & ~F.arrays_overlap(
+        "last_a", "last_b"))
+    return pairs.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
 
 
 def near_components(rows: DataFrame, n: int, percent: int) -> DataFrame:

@@ -187,3 +187,36 @@ def test_sets_with_too_few_parts(frame, monkeypatch):
     monkeypatch.setattr(J, "parts_of", lambda level, percent: (3, 1))  # nearly all sets need single shingles
     rows = varied(11) + EDGE[:8]
     assert got(frame(rows), 3, 80) == brute(rows, 3, 80)
+
+
+def test_near_copies_of_one_text_meet_its_most_typical_row(frame, monkeypatch):
+    """Before, pivots were rows at random: most were too far from each other to be linked, and all pairs of the rest were made."""
+    rnd, made, old = random.Random(3), [], J.candidates
+    base = [f"t{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        w = list(base)
+        for j in range(2):
+            w[rnd.randrange(200)] = f"v{i} {j}"
+        rows.append((i, " ".join(w)))
+
+    def counted(home, known, labels, turn, percent):
+        out = old(home, known, labels, turn, percent)
+        if turn == J.ROUNDS:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "candidates", counted)
+    rnd.shuffle(rows)
+    assert got(frame(rows), 3, 90) == brute(rows, 3, 90)
+    assert made[0] <= 150
+
+
+def test_a_pair_is_made_in_few_of_its_tiles(spark):
+    """Before, each of the shared keys made it. Rows with the same keys, with some in common, and with one."""
+    sets = {1: set(range(100)), 2: set(range(100)), 3: set(range(50, 150)), 4: {99, 300}, 5: {301}}
+    mixed = spark.createDataFrame([(r, 100, k * 7919 % 1009, r, 0, 0, 0, 0) for r, x in sets.items() for k in x],
+                                  "rid long, n long, key long, label long, s0 long, s1 long, s2 long, s3 long")
+    pairs = [tuple(r) for r in J.tile_pairs(mixed, 90).collect()]
+    assert set(pairs) == {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)}
+    assert pairs.count((1, 2)) == 1 and len(pairs) <= 20
